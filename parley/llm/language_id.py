@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_mod, small_batches, text_views
 
@@ -170,7 +171,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "ambiguous")
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
 
     def predict(batches):
         for batch in batches:
