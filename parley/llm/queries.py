@@ -5,7 +5,27 @@ from __future__ import annotations
 from .common import LOWER, UPPER, documents
 from .exact_dedup import exact_dedup
 from .language_id import language_report
+from .packing import pack_documents
+from .ppm import ppm_report
 from .secret_scan import secrets_report
+from .simhash import near_components
+from .warc import warc_report
+
+
+def op3_warc_archive(spark, sf_dir):
+    return warc_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_simhash_near_dedup(spark, sf_dir):
+    return near_components(documents(spark, sf_dir))
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op6_ppm_scoring(spark, sf_dir):
+    return ppm_report(documents(spark, sf_dir))
 
 
 def op7_exact_dedup(spark, sf_dir):
