@@ -120,7 +120,7 @@ def gram_scores(needed: DataFrame, tables: dict, order: int) -> DataFrame:
     return state.select("gram", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") + rest).alias("value"))
 
 
-def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = 5, block_mb: float = 6) -> DataFrame:
+def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = 5, block_mb: float = 16) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train: a condition over the columns of docs; rows where it holds are learned from. Texts are lower-cased (A-Z); null
