@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import bpe_report, read_ranks
 from .common import LOWER, UPPER, documents
 from .exact_dedup import exact_dedup
 from .language_id import language_report
@@ -12,6 +13,12 @@ from .simhash import near_components
 from .warc import warc_report
 
 
+def op1_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe_report(documents(spark, sf_dir), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def op3_warc_archive(spark, sf_dir):
     return warc_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
