@@ -35,6 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by key: later groupings and joins by it need no shuffle."""
+    spark = df.sparkSession
+    parts = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def small_batches(spark: SparkSession, mb: int = 4) -> None:
     """Bounds what one Arrow batch brings into a Python worker, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

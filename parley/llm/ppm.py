@@ -7,12 +7,15 @@ longer one are excluded; escapes are estimated by method D. The code length of a
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, crc_mod, small_batches, text_bytes, text_views, written
+from .common import block_count, bucketed, crc_mod, small_batches, text_bytes, text_views, written
 
 #: Never a byte of UTF-8: stands before a text as often as contexts are long, and once after it.
 EDGE = 0xFF
@@ -78,7 +81,7 @@ def model_tables(counts: DataFrame, order: int) -> dict[int, tuple[DataFrame, Da
     grams = {order: counts}
     for d in range(order - 1, -1, -1):
         keep = (1 << 8 * (d + 1)) - 1
-        grams[d] = grams[d + 1].groupBy(F.col("gram").bitwiseAND(F.lit(keep)).alias("gram")).agg(F.sum("c").alias("c"))
+        grams[d] = written(grams[d + 1].groupBy(F.col("gram").bitwiseAND(F.lit(keep)).alias("gram")).agg(F.sum("c").alias("c")), "ppm-depth")
     tables = {}
     for d in range(order, -1, -1):
         own = grams[d]
@@ -91,16 +94,26 @@ def model_tables(counts: DataFrame, order: int) -> dict[int, tuple[DataFrame, Da
         else:
             own = own.withColumn("c_below", F.lit(0).cast("long"))
         contexts = own.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("q"), F.sum("c_below").alias("below"))
-        tables[d] = grams[d], contexts
+        tables[d] = grams[d], written(contexts, "ppm-contexts")
     return tables
 
 
-def gram_scores(needed: DataFrame, tables: dict, order: int) -> DataFrame:
-    """gram, value: log10 of the probability of the gram's last byte after the others, for all grams in needed."""
-    state = needed.select("gram", F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("ex_n"), F.lit(0).cast("long").alias("ex_q"), F.lit(False).alias("done"))
-    for d in range(order, -1, -1):
+def gram_scores(unseen: DataFrame, tables: dict, order: int) -> DataFrame:
+    """gram, value: log10 of the probability of the gram's last byte after the others, for all grams of the model and
+    those of unseen (gram), which the model has not at its greatest depth."""
+    grams, contexts = tables[order]
+    top = F.shiftright("gram", 8).alias("context")
+    seen = grams.select("gram", "c", top).join(contexts, "context").select("gram", F.log10((2 * F.col("c") - 1) / (2.0 * F.col("n"))).alias("value"))
+    state = unseen.select("gram", top).join(contexts, "context", "left").select(
+        "gram",
+        F.coalesce(F.log10(F.col("q") / (2.0 * F.col("n"))), F.lit(0.0)).alias("value"),
+        F.coalesce("below", F.lit(0)).alias("ex_n"),
+        F.coalesce("q", F.lit(0)).alias("ex_q"),
+        F.lit(False).alias("done"),
+    )
+    for d in range(order - 1, -1, -1):
         grams, contexts = tables[d]
-        keep = F.lit((1 << 8 * (d + 1)) - 1) if d < 7 else F.lit(-1).cast("long")
+        keep = F.lit((1 << 8 * (d + 1)) - 1)
         state = state.withColumn("key", F.col("gram").bitwiseAND(keep)).withColumn("context", F.shiftright("key", 8))
         grams = grams.select(F.col("gram").alias("key"), "c")
         # Proven bounds: at most 65,536 grams up to depth 1 and 65,536 contexts up to depth 2.
@@ -117,78 +130,99 @@ def gram_scores(needed: DataFrame, tables: dict, order: int) -> DataFrame:
             (F.col("done") | (known & F.col("c").isNotNull())).alias("done"),
         )
     rest = F.log10(1.0 / F.greatest(F.lit(1), 256 - F.col("ex_q")))
-    return state.select("gram", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") + rest).alias("value"))
+    return seen.unionByName(state.select("gram", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") + rest).alias("value")))
+
+
+#: Keys of one table: grams of up to 7 bytes are below WORDS, words above it by their hash; ENDS counts texts.
+WORDS, ENDS = 1 << 62, -1
+
 
+def word_keys(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) >> 2 | WORDS for w in words), dtype=np.int64, count=len(words))
 
-def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = 5, block_mb: float = 16) -> DataFrame:
+
+def packed(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """Ascending keys as gaps and their values, compressed."""
+    raw = np.diff(keys, prepend=np.int64(0)).tobytes() + values.astype("<f8").tobytes()
+    return len(keys).to_bytes(4, "little") + zlib.compress(np.frombuffer(raw, np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    raw = np.ascontiguousarray(np.frombuffer(zlib.decompress(data[4:]), np.uint8).reshape(8, 2 * n).T)
+    return np.cumsum(raw[:n].view("<i8").ravel()), raw[n:].view("<f8").ravel()
+
+
+def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = 5, block_mb: float = 48) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train: a condition over the columns of docs; rows where it holds are learned from. Texts are lower-cased (A-Z); null
     is empty. base_score: add-one unigram model over words and an end; score: log10 probability of the text's bytes and
     its end. Nothing to learn from gives every byte the same probability. An empty table gives no rows.
+
+    Every block of rows sends its distinct grams and words with their training counts, and gets back the scores of just
+    those; so neither the driver nor a broadcast holds the model. order: at most 6.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, size = text_bytes(slim)
-    blocks = block_count(size + rows, block_mb, 4)
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    schema = pa.schema([("block", pa.int64()), ("gram", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
+    blocks = block_count(size + rows, block_mb, 6)
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def texts_of(table: pa.Table):
         for batch in table.to_batches():
             yield from zip(batch.column("doc_id").to_pylist(), batch.column("train").to_pylist(), (bytes(v).lower() for v in text_views(batch.column("text"))), strict=True)
 
     def gather(table: pa.Table) -> pa.Table:
-        grams, words, ends = Counter(), {}, 0
+        counts, ends = Counter(), 0
         for _, learn, normal in texts_of(table):
             ends += learn
             for codes in text_grams(normal, order):
-                grams.add(codes, learn)
-            step = int(learn)
-            for w in normal.split():
-                words[w] = words.get(w, 0) + step
-        grams.merge()
-        n, m = len(grams.keys), len(words)
-        # A row with neither gram nor word counts the ends.
-        gram = pa.concat_arrays([pa.array(grams.keys), pa.nulls(m + 1, pa.int64())])
-        word = pa.concat_arrays([pa.nulls(n, pa.string()), pa.array([w.decode() for w in words], pa.string()), pa.nulls(1, pa.string())])
-        count = np.concatenate([grams.counts, np.fromiter(words.values(), dtype=np.int64, count=m), [ends]])
-        block = table.column("block")[0].as_py()
-        return pa.table([pa.array(np.full(n + m + 1, block)), gram, word, pa.array(count)], schema=schema)
-
-    found = written(dealt.groupBy("block").applyInArrow(gather, "block long, gram long, word string, n long"), "ppm-counts")
-    # Words: every block gets the corpus counts of its own words.
-    words = found.where("word is not null")
-    totals = written(words.groupBy("word").agg(F.sum("n").alias("c")), "ppm-words")
-    n_words, n_distinct = totals.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    n_ends = found.where("word is null and gram is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                counts.add(codes, learn)
+            counts.add(word_keys(normal.split()), learn)
+        counts.add(np.array([ENDS]), False)
+        counts.merge()
+        counts.counts[0] = ends
+        return pa.table({"block": np.full(len(counts.keys), table.column("block")[0].as_py(), dtype=np.int32), "key": counts.keys, "n": counts.counts})
+
+    found = bucketed(dealt.groupBy("block").applyInArrow(gather, "block int, key long, n long"), "key", "ppm")
+    totals = written(found.groupBy("key").agg(F.sum("n").alias("c")), "ppm-totals")
+    words = totals.where(F.col("key") >= WORDS)
+    n_words, n_distinct = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    n_ends = totals.where(F.col("key") == ENDS).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     n_all, n_kinds = int(n_words + n_ends), int(n_distinct + (n_ends > 0))
-    # Bytes: every block gets the log probability of its own grams.
-    grams = written(found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("c")), "ppm-grams")
-    scores = gram_scores(grams, model_tables(grams.where("c > 0"), order), order)
-    none = F.lit(None)
-    wanted_words = words.select("block", "word").join(totals, "word").select("block", none.cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
-    wanted_grams = found.where("gram is not null").select("block", "gram").join(scores, "gram").select("block", "gram", none.cast("string").alias("word"), "value")
-    wanted = wanted_words.unionByName(wanted_grams)
+    grams = totals.where((F.col("key") >= 0) & (F.col("key") < WORDS)).withColumnRenamed("key", "gram")
+    scores = gram_scores(grams.where("c = 0"), model_tables(grams.where("c > 0"), order), order).withColumnRenamed("gram", "key")
+    values = scores.unionByName(words.select("key", F.col("c").cast("double").alias("value")))
+
+    def send(batches):
+        """The rows of each block, packed."""
+        for batch in batches:
+            block, keys, value = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "key", "value"))
+            ranked = np.lexsort((keys, block))
+            starts = np.flatnonzero(np.diff(block[ranked], prepend=-1))
+            parts = np.split(ranked, starts[1:]) if len(ranked) else []
+            yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[p[0]]) for p in parts], pa.int32()), "data": pa.array([packed(keys[p], value[p]) for p in parts], pa.binary())})
+
+    joined = found.select("block", "key").join(values, "key").select("block", "key", "value").sortWithinPartitions("block")
+    wanted = joined.mapInArrow(send, "block int, data binary")
     floor = float(np.log10(1.0 / (n_all + n_kinds + 1)))
 
     def apply(table: pa.Table, known: pa.Table) -> pa.Table:
-        is_word = known.column("word").is_valid()
-        own = known.filter(is_word)
-        counts = dict(zip(own.column("word").to_pylist(), own.column("value").to_pylist(), strict=True))
-        logs = {w.encode(): (float(np.log10(c + 1)), c > 0) for w, c in counts.items()}
-        own = known.filter(known.column("gram").is_valid())
-        codes, values = own.column("gram").to_numpy(), own.column("value").to_numpy()
-        ranked = np.argsort(codes)
-        codes, values = codes[ranked], values[ranked]
-        end = float(np.log10(n_ends + 1)), n_ends > 0
+        parts = [unpacked(d) for d in known.column("data").to_pylist()]
+        keys, values = (np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in (0, 1))
+        ranked = np.argsort(keys)
+        keys, values = keys[ranked], values[ranked]
+        del parts, ranked
+        end = float(np.log10(n_ends + 1))
         out = {name: [] for name in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
         for doc_id, learn, normal in texts_of(table):
-            got = [logs[w] for w in normal.split()]
-            got.append(end)
-            score = sum(float(values[np.searchsorted(codes, part)].sum()) for part in text_grams(normal, order))
-            base = sum(x for x, _ in got) + len(got) * floor
-            for name, value in zip(out, (doc_id, not learn, len(got), sum(k for _, k in got), n_all, base, score), strict=True):
+            counts = values[np.searchsorted(keys, word_keys(normal.split()))]
+            n_tokens = len(counts) + 1
+            score = sum(float(values[np.searchsorted(keys, part)].sum()) for part in text_grams(normal, order))
+            base = float(np.log10(counts + 1).sum()) + end + n_tokens * floor
+            n_known = int((counts > 0).sum()) + int(n_ends > 0)
+            for name, value in zip(out, (doc_id, not learn, n_tokens, n_known, n_all, base, score), strict=True):
                 out[name].append(value)
         types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))

@@ -7,7 +7,6 @@ in a table of its own. Records are rebuilt by a join of the two and every stored
 from __future__ import annotations
 
 import re
-import uuid
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_folder, small_batches, written
+from .common import bucketed, small_batches, written
 
 CRLF = "\r\n"
 #: Digits of base 32 as conv() writes them and as RFC 4648 does.
@@ -42,7 +41,6 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
     them, if rows repeat; null keys last) and the others revisit it. A null url gives no target header. An empty table
     gives an empty archive. Other columns are not read.
     """
-    spark = pages.sparkSession
     slim = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     marked = slim.withColumn("sha256", F.sha2("payload", 256))
     lines = marked.select("page_id", "url", "sha256", F.octet_length("payload").alias("size"), F.xxhash64("payload").alias("second"), base32_sha1(F.col("payload")).alias("sha1"))
@@ -73,10 +71,7 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
     )
     headers = written(joined.select("page_id", head.alias("head"), "sha256"), "warc-headers")
     store = marked.select("sha256", "payload").dropDuplicates(["sha256"])
-    table = f"warc_{uuid.uuid4().hex}"
-    parts = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store.write.bucketBy(parts, "sha256").sortBy("sha256").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
-    return Archive(headers, spark.table(table))
+    return Archive(headers, bucketed(store, "sha256", "warc", buckets))
 
 
 def verified(archive: Archive) -> DataFrame:
