@@ -6,6 +6,8 @@ from .bpe import bpe_report, read_ranks
 from .common import LOWER, UPPER, documents
 from .exact_dedup import exact_dedup
 from .language_id import language_report
+from .license_scan import license_passages
+from .order_minhash import order_minhash_report
 from .packing import pack_documents
 from .ppm import ppm_report
 from .secret_scan import secrets_report
@@ -19,6 +21,10 @@ def op1_byte_bpe(spark, sf_dir):
     return bpe_report(documents(spark, sf_dir), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
 
 
+def op2_order_minhash(spark, sf_dir):
+    return order_minhash_report(documents(spark, sf_dir))
+
+
 def op3_warc_archive(spark, sf_dir):
     return warc_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -43,6 +49,10 @@ def op8_secret_scan(spark, sf_dir):
     return secrets_report(documents(spark, sf_dir))
 
 
+def op9_license_scan(spark, sf_dir):
+    return license_passages(documents(spark, sf_dir))
+
+
 def op10_language_id(spark, sf_dir):
     return language_report(documents(spark, sf_dir))
 
