@@ -67,8 +67,23 @@ def _hash(view, bits: int) -> tuple[int, bytes]:
     return xxhash.xxh3_64_intdigest(normal) >> (64 - bits), normal
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_mb: float = 8, owner_rows: int = 1_000_000) -> DataFrame:
-    """One row per input row: key, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """decisions() without row_hash."""
+    return decisions(docs, key, text, **settings).drop("row_hash")
+
+
+def keep_first_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that decisions() keeps: one of each set of equal texts."""
+    kept = decisions(docs, key, text).where("kept").select("row_hash")
+    return docs.withColumn("row_hash", row_hash(key, text)).join(kept, "row_hash").dropDuplicates(["row_hash"]).select(docs.columns)
+
+
+def row_hash(key: str, text: str):
+    return F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")))
+
+
+def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_mb: float = 8, owner_rows: int = 1_000_000) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_hash (of key and text).
 
     Texts are equal when identical after lower-casing A-Z; a null text is the empty text. Of equal texts the row with
     the largest key stays; a null key loses to any other. Of rows with both text and key equal exactly one is kept.
@@ -81,7 +96,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     blocks = block_count(size, block_mb, 4)
     owners = max(1, math.ceil(rows / owner_rows))
     bits = min(56, max(24, math.ceil(math.log2(rows + 2)) + 14))  # of a fingerprint; one false suspect in 2^14 rows
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    dealt = slim.withColumn("block", F.pmod(row_hash("doc_id", "text"), F.lit(blocks))).withColumn("row_hash", row_hash("doc_id", "text")).repartition(blocks, "block")
 
     def owner_of(hashes):
         return ((hashes * np.uint64(owners)) >> np.uint64(bits)).astype(np.int64) if bits + owners.bit_length() < 64 else np.minimum(hashes // np.uint64(((1 << bits) // owners) + 1), owners - 1).astype(np.int64)
@@ -103,13 +118,13 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
 
     sent = dealt.mapInArrow(send, "owner long, block long, n long, code binary")
     bitmaps = sent.groupBy("owner").applyInPandas(answer_messages, "owner long, block long, n long, bitmap binary")
-    out_schema = "block long, line long, doc_id long, slot long, text_sha256 string, normal string, n long"
-    arrow_schema = pa.schema([("block", pa.int64()), ("line", pa.int64()), ("doc_id", pa.int64()), ("slot", pa.int64()), ("text_sha256", pa.string()), ("normal", pa.string()), ("n", pa.int64())])
+    out_schema = "block long, line long, doc_id long, row_hash long, slot long, text_sha256 string, normal string, n long"
+    arrow_schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in out_schema.split(", ")])
 
     def mark(texts: pa.Table, answers: pa.Table) -> pa.Table:
         """Rows of a block with their digests; after them the distinct suspects (n > 0) with their text, slot by slot."""
         texts, out, hashes = texts.combine_chunks(), {f.name: [] for f in arrow_schema}, []
-        ids = texts.column("doc_id").to_pylist()
+        ids, row_hashes = texts.column("doc_id").to_pylist(), texts.column("row_hash").to_pylist()
         views = [v for c in texts.column("text").chunks for v in text_views(c)]
         block = texts.column("block")[0].as_py() if len(ids) else 0
         hashes = np.array([_hash(v, bits)[0] for v in views], dtype=np.uint64)
@@ -128,10 +143,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
                     found[1] = line
                 found[2] += 1
                 slot = found[0]
-            for name, value in zip(out, (block, line, doc_id, slot, hashlib.sha256(normal).hexdigest(), None, 0), strict=True):
+            for name, value in zip(out, (block, line, doc_id, row_hashes[line], slot, hashlib.sha256(normal).hexdigest(), None, 0), strict=True):
                 out[name].append(value)
         for normal, (slot, line, n) in slots.items():
-            for name, value in zip(out, (block, line, ids[line], slot, hashlib.sha256(normal).hexdigest(), normal.decode(), n), strict=True):
+            for name, value in zip(out, (block, line, ids[line], row_hashes[line], slot, hashlib.sha256(normal).hexdigest(), normal.decode(), n), strict=True):
                 out[name].append(value)
         return pa.table(out, schema=arrow_schema)
 
@@ -139,7 +154,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
     same = Window.partitionBy("text_sha256", "normal")
     best = F.max(F.struct("doc_id", F.col("block").alias("at"), F.col("line").alias("row"))).over(same)
     verified = marked.where("n > 0").select("block", "slot", best.alias("best"), F.sum("n").over(same).alias("group_size"))
-    rows_ = marked.where("n = 0").select("block", "line", "doc_id", "slot", "text_sha256")
+    rows_ = marked.where("n = 0").select("block", "line", "doc_id", "row_hash", "slot", "text_sha256")
     joined = rows_.join(verified, ["block", "slot"], "left")
     alone = F.col("best").isNull()
     return joined.select(
@@ -148,4 +163,5 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | ((F.col("best.at") == F.col("block")) & (F.col("best.row") == F.col("line")))).alias("kept"),
         "text_sha256",
+        "row_hash",
     )
