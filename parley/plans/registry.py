@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import base
+from . import relational  # noqa: F401
+
+FLAGSHIP = "contact_stats"
 
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
