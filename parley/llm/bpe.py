@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_views
 
-#: Words that a task remembers with their tokens, and the longest of them in bytes.
-REMEMBERED, LONGEST = 500_000, 64
+#: Words that a task remembers with their tokens, and the longest of them in characters.
+REMEMBERED, LONGEST = 1_500_000, 64
+#: Bytes of a word up to which one pair at a time is contracted; in longer ones equal pairs may go together.
+SHORT = 64
 #: Words and tokens handled by one query.
 WORDS, TOKENS = 20_000, 500_000
 
@@ -44,7 +46,7 @@ def merge_rows(ranks: dict[bytes, int]) -> pd.DataFrame:
     return merges
 
 
-# For words of up to LONGEST bytes. A row knows the position of its right neighbour; `code` is the rank of the pair, its
+# For words of up to SHORT bytes. A row knows the position of its right neighbour; `code` is the rank of the pair, its
 # position and its neighbour's in one number, so that the least code of a word is its leftmost pair of least rank.
 CONTRACT_SHORT = """
 WITH RECURSIVE state(word, pos, token, next_pos, step) AS (
@@ -100,7 +102,7 @@ GROUP BY word
 """
 
 DECODE = """
-SELECT doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex
+SELECT doc, array_to_string(list(v.hex ORDER BY t.pos), '') AS hex
 FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc ORDER BY doc
 """
 
@@ -126,7 +128,7 @@ class Codec:
         """The ids of each word, in order: a word that is a token is that token, others are contracted."""
         out = [[self.ranks[w]] if w in self.ranks else None for w in words]
         todo = [i for i, x in enumerate(out) if x is None]
-        for query, own in ((CONTRACT_SHORT, [i for i in todo if len(words[i]) <= LONGEST]), (CONTRACT_LONG, [i for i in todo if len(words[i]) > LONGEST])):
+        for query, own in ((CONTRACT_SHORT, [i for i in todo if len(words[i]) <= SHORT]), (CONTRACT_LONG, [i for i in todo if len(words[i]) > SHORT])):
             if not own:
                 continue
             sizes = np.array([len(words[i]) for i in own])
@@ -139,46 +141,47 @@ class Codec:
             self.db.unregister("start")
         return out
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The ids, as little-endian 32-bit numbers, of the words not remembered, from queries of bounded size."""
-        found, batch, held = {}, [], 0
-        for w in [w for w in words if w not in self.known]:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Remembers the ids (little-endian 32-bit numbers) of words, from queries of bounded size. Returns the ids of
+        those too long to be remembered."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {w: self.known[w] for w in words if w in self.known}
+        long_, batch, held = {}, [], 0
+
+        def flush():
+            for w, ids in zip(batch, self.contract([w.encode() for w in batch]), strict=True):
+                (self.known if len(w) <= LONGEST else long_)[w] = struct.pack(f"<{len(ids)}I", *ids)
+
+        for w in new:
             batch.append(w)
             held += len(w)
             if len(batch) >= WORDS or held >= TOKENS // 8:
-                found.update(zip(batch, (_packed(x) for x in self.contract(batch)), strict=True))
+                flush()
                 batch, held = [], 0
         if batch:
-            found.update(zip(batch, (_packed(x) for x in self.contract(batch)), strict=True))
-        if len(self.known) + len(found) > REMEMBERED:
-            gone = {w: self.known[w] for w in words if w in self.known}
-            found.update(gone)
-            self.known = {}
-        self.known.update((w, x) for w, x in found.items() if len(w) <= LONGEST)
-        return found
-
-    def words(self, text: str):
-        return (m.group().encode() for m in self.split.finditer(text))
+            flush()
+        return long_
 
     def encode(self, texts: list[str]):
         """For each text its ids as arrays, piece by piece; words that several texts share are contracted once."""
         for group in _groups(texts, 1 << 20):
             if len(group) == 1:
-                words = self.words(group[0])
+                words = (m.group() for m in self.split.finditer(group[0]))
                 pieces = []
                 while part := list(islice(words, TOKENS)):
-                    own = self.learn(set(part))
-                    pieces.append(self._ids(part, own))
+                    pieces.append(self._ids(part, self.learn(set(part))))
                 yield pieces
                 continue
-            split = [[w.encode() for w in self.split.findall(t)] for t in group]
-            own = self.learn(set().union(*split))
+            split = [self.split.findall(t) for t in group]
+            long_ = self.learn(set().union(*split))
             for part in split:
-                yield [self._ids(part, own)]
+                yield [self._ids(part, long_)]
 
-    def _ids(self, words: list[bytes], own: dict) -> np.ndarray:
+    def _ids(self, words: list[str], long_: dict[str, bytes]) -> np.ndarray:
         known = self.known
-        return np.frombuffer(b"".join([known[w] if w in known else own[w] for w in words]), dtype="<u4")
+        ids = [known[w] if w in known else long_[w] for w in words] if long_ else map(known.__getitem__, words)
+        return np.frombuffer(b"".join(ids), dtype="<u4")
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each id list, by ordered aggregation."""
@@ -193,10 +196,6 @@ class Codec:
         return [bytes.fromhex(got.get(i, "")) for i in range(len(ids))]
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def _groups(texts: list[str], size: int):
     """Neighbouring texts of up to size characters together; a longer text alone."""
     group, held = [], 0
