@@ -190,7 +190,7 @@ class TrigramIndex:
 
 def _runs(keys: np.ndarray, values: np.ndarray):
     starts = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[starts], np.split(values, starts[1:])
+    return keys[starts], np.split(values, starts[1:]) if len(starts) else []
 
 
 class Scanner:
