@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import base
-from . import content, flows, relational, search, segments, transcripts  # noqa: F401
+from . import content, documents, flows, relational, search, segments, transcripts  # noqa: F401
 
 FLAGSHIP = "contact_stats"
 
