@@ -53,23 +53,81 @@ def _inner(part: bytes, order: int) -> np.ndarray:
 
 
 class Counter:
-    """Counts of numbers, merged now and then so that memory follows the distinct ones."""
+    """Counts of numbers in training texts, and the numbers of other texts with a count of 0.
+
+    Numbers are sorted and counted piece by piece; the pieces are merged now and then, so that memory follows the
+    distinct numbers.
+    """
 
     def __init__(self):
-        self.keys, self.counts, self.waiting, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
+        self.waiting = {True: [], False: []}
+        self.size = {True: 0, False: 0}
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
 
     def add(self, codes: np.ndarray, train: bool) -> None:
-        self.waiting.append((codes, train))
-        self.size += len(codes)
-        if self.size > PIECE:
-            self.merge()
-
-    def merge(self) -> None:
-        keys = np.concatenate([self.keys, *(c for c, _ in self.waiting)])
-        counts = np.concatenate([self.counts, *(np.full(len(c), int(t), dtype=np.int64) for c, t in self.waiting)])
-        self.keys, inverse = np.unique(keys, return_inverse=True)
-        self.counts = np.bincount(inverse, weights=counts, minlength=len(self.keys)).astype(np.int64)
-        self.waiting, self.size = [], 0
+        self.waiting[train].append(codes)
+        self.size[train] += len(codes)
+        if self.size[train] > PIECE:
+            self._count(train)
+
+    def _count(self, train: bool) -> None:
+        if self.waiting[train]:
+            keys, counts = np.unique(np.concatenate(self.waiting[train]).astype(np.int64), return_counts=True)
+            self.parts.append((keys, counts * int(train)))
+            self.waiting[train], self.size[train] = [], 0
+            self.held += len(keys)
+            if self.held > 4 * PIECE:
+                self._merge()
+
+    def _merge(self) -> None:
+        keys = np.concatenate([k for k, _ in self.parts])
+        if not len(keys):
+            self.parts, self.held = [(keys, np.zeros(0, dtype=np.int64))], 0
+            return
+        ranked = np.argsort(keys, kind="stable")
+        keys = keys[ranked]
+        starts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+        counts = np.add.reduceat(np.concatenate([c for _, c in self.parts])[ranked], starts)
+        self.parts, self.held = [(keys[starts], counts)], 0
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, counts) in ascending order."""
+        self._count(True)
+        self._count(False)
+        if not self.parts:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._merge()
+        return self.parts[0]
+
+
+class Lookup:
+    """Values by number, in an open table: every number asked for must be in it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        at = np.full(1 << bits, -1, dtype=np.int32)
+        left, place = np.arange(len(keys), dtype=np.int32), self._home(keys)
+        while len(left):
+            free = at[place] < 0
+            at[place[free]] = left[free]  # of several for one place one stays
+            away = at[place] != left
+            left, place = left[away], (place[away] + 1) & self.mask
+        self.keys, self.values = np.full(1 << bits, -2, dtype=np.int64), np.zeros(1 << bits)
+        full = at >= 0
+        self.keys[full], self.values[full] = keys[at[full]], values[at[full]]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        place = self._home(keys)
+        away = np.flatnonzero(self.keys[place] != keys)
+        while len(away):
+            place[away] = (place[away] + 1) & self.mask
+            away = away[self.keys[place[away]] != keys[away]]
+        return self.values[place]
 
 
 def model_tables(counts: DataFrame, order: int) -> dict[int, tuple[DataFrame, DataFrame]]:
@@ -153,7 +211,7 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(raw[:n].view("<i8").ravel()), raw[n:].view("<f8").ravel()
 
 
-def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = 5, block_mb: float = 48) -> DataFrame:
+def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "text", order: int = 5, block_mb: float = 32) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     train: a condition over the columns of docs; rows where it holds are learned from. Texts are lower-cased (A-Z); null
@@ -181,9 +239,9 @@ def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "te
                 counts.add(codes, learn)
             counts.add(word_keys(normal.split()), learn)
         counts.add(np.array([ENDS]), False)
-        counts.merge()
-        counts.counts[0] = ends
-        return pa.table({"block": np.full(len(counts.keys), table.column("block")[0].as_py(), dtype=np.int32), "key": counts.keys, "n": counts.counts})
+        keys, n = counts.merged()
+        n[0] = ends  # ENDS is the least number
+        return pa.table({"block": np.full(len(keys), table.column("block")[0].as_py(), dtype=np.int32), "key": keys, "n": n})
 
     found = bucketed(dealt.groupBy("block").applyInArrow(gather, "block int, key long, n long"), "key", "ppm")
     totals = written(found.groupBy("key").agg(F.sum("n").alias("c")), "ppm-totals")
@@ -211,15 +269,14 @@ def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     def apply(table: pa.Table, known: pa.Table) -> pa.Table:
         parts = [unpacked(d) for d in known.column("data").to_pylist()]
         keys, values = (np.concatenate([p[i] for p in parts] or [np.zeros(0)]) for i in (0, 1))
-        ranked = np.argsort(keys)
-        keys, values = keys[ranked], values[ranked]
-        del parts, ranked
+        known_ = Lookup(keys.astype(np.int64), values)
+        del parts, keys, values
         end = float(np.log10(n_ends + 1))
         out = {name: [] for name in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
         for doc_id, learn, normal in texts_of(table):
-            counts = values[np.searchsorted(keys, word_keys(normal.split()))]
+            counts = known_[word_keys(normal.split())]
             n_tokens = len(counts) + 1
-            score = sum(float(values[np.searchsorted(keys, part)].sum()) for part in text_grams(normal, order))
+            score = sum(float(known_[part].sum()) for part in text_grams(normal, order))
             base = float(np.log10(counts + 1).sum()) + end + n_tokens * floor
             n_known = int((counts > 0).sum()) + int(n_ends > 0)
             for name, value in zip(out, (doc_id, not learn, n_tokens, n_known, n_all, base, score), strict=True):

@@ -349,8 +349,7 @@ def test_ppm_probabilities_sum_to_one(spark):
     counter = ppm.Counter()
     for t in texts:
         counter.add(ppm.gram_codes(t, order), True)
-    counter.merge()
-    known = spark.createDataFrame([(int(k), int(n)) for k, n in zip(counter.keys, counter.counts, strict=True)], "gram long, c long")
+    known = spark.createDataFrame([(int(k), int(n)) for k, n in zip(*counter.merged(), strict=True)], "gram long, c long")
     contexts = [b"ab", b"zz", b"zb"]
     every = spark.createDataFrame([(c[0] << 16 | c[1] << 8 | s,) for c in contexts for s in range(256)], "gram long")
     scores = ppm.gram_scores(every.join(known, "gram", "left_anti"), ppm.model_tables(known, order), order).join(every, "gram").toPandas()
@@ -367,6 +366,27 @@ def test_packed_rows(values):
     assert k.tolist() == keys.tolist() and v.tolist() == [values[int(x)] for x in keys]
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.dictionaries(st.integers(-1, 1 << 62), st.floats(-100, 100), max_size=300))
+def test_lookup(values):
+    keys = np.array(list(values), dtype=np.int64)
+    table = ppm.Lookup(keys, np.array(list(values.values()), dtype=float))
+    asked = np.concatenate([keys, keys[::-1]])
+    assert table[asked].tolist() == [values[int(k)] for k in asked]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(-1, 40), max_size=30), st.booleans()), max_size=12))
+def test_counter(parts):
+    counter, want = ppm.Counter(), collections.Counter()
+    for codes, train in parts:
+        counter.add(np.array(codes, dtype=np.int64), train)
+        for c in codes:
+            want[c] += int(train)
+    keys, counts = counter.merged()
+    assert dict(zip(keys.tolist(), counts.tolist(), strict=True)) == dict(want) and keys.tolist() == sorted(want)
+
+
 # ---- 7
 
 
