@@ -12,7 +12,7 @@ from .base import query
 from .segments import transcript_markdown
 
 
-@query(sql("SELECT conv_id, turn - 1 AS idx, start_sec::DOUBLE AS start_sec, end_sec::DOUBLE AS end_sec, 0.75 AS confidence FROM turns", TURNS).replace("turn - 1 AS idx", "row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS idx").replace("FROM turns", "FROM turns WHERE trim(text) <> ''"))
+@query(sql("SELECT conv_id, turn - 1 AS idx, start_sec::DOUBLE AS start_sec, end_sec::DOUBLE AS end_sec, 0.75::DOUBLE AS confidence FROM turns", TURNS).replace("turn - 1 AS idx", "row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS idx").replace("FROM turns", "FROM turns WHERE trim(text) <> ''"))
 def recogniser_segments(spark, sf):
     """The turns as recogniser documents (JSON), parsed, cleaned and scored again."""
     t = turns(spark, sf)
