@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, text_views
 
+#: Bytes whose trigrams are taken at once, so that a very long text needs bounded memory.
+PIECE = 1 << 22
 #: More alternatives than this are not followed; the part then gives no trigram.
 MOST_STRINGS = 24
 
@@ -164,15 +166,17 @@ class TrigramIndex:
     def __init__(self, views: list, wanted: np.ndarray):
         self.size = len(views)
         raw = b"\x00\x00".join(bytes(v) for v in views).lower()
-        data = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
-        self.postings: dict[int, np.ndarray] = {}
-        if len(data) < 3:
-            return
-        codes = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
-        at = np.flatnonzero(wanted[codes])
+        data = np.frombuffer(raw, dtype=np.uint8)
         starts = np.cumsum([0, *(len(v) + 2 for v in views)])[:-1]
-        docs = np.searchsorted(starts, at, side="right") - 1
-        pairs = np.unique(codes[at].astype(np.int64) << 32 | docs)
+        self.postings: dict[int, np.ndarray] = {}
+        found = [np.zeros(0, dtype=np.int64)]
+        for begin in range(0, len(data) - 2, PIECE):
+            part = data[begin : begin + PIECE + 2].astype(np.uint32)
+            codes = part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]
+            at = np.flatnonzero(wanted[codes])
+            docs = np.searchsorted(starts, at + begin, side="right") - 1
+            found.append(np.unique(codes[at].astype(np.int64) << 32 | docs))
+        pairs = np.unique(np.concatenate(found))
         for code, docs_of in zip(*_runs(pairs >> 32, pairs & 0xFFFFFFFF), strict=True):
             self.postings[int(code)] = docs_of
 
