@@ -1,8 +1,8 @@
-"""Near-duplicate groups: SimHash finds candidates, shared word shingles decide.
+"""Near-duplicate groups: every pair of texts whose word shingles are alike is found, by a prefix filter.
 
-Fingerprints are taken over the distinct words of a text, since these hardly move under an edit that touches few words
-but many shingles; several independent ones raise the recall. Texts whose fingerprints are connected (see simhash) form
-a family. Within a family, texts of a Jaccard similarity of five-word shingles of at least 0.8 are joined.
+With all shingles in one order, two sets of a Jaccard similarity of at least 0.8 share one of their first
+n - ceil(0.8 n) + 1 shingles. Texts meet under these and form families, which hold every similar pair; within a family,
+texts of a Jaccard similarity of five-word shingles of at least 0.8 are joined.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,42 +21,110 @@ from .components import components
 from .exact_dedup import row_hash
 
 WORDS_EACH, SIMILARITY = 5, 0.8
-#: Bits by which fingerprints may differ, and their seeds.
-TOLERANCE, SEEDS = 5, (11, 12)
 #: Texts of a family, and their MB, compared in one task. In a larger family texts meet LEADERS of it, again and again.
 FAMILY, FAMILY_MB, LEADERS = 5_000, 64, 64
+#: Rows whose shingles are counted, the rows from which on a shingle is common, and so many of the most common ones.
+#: These only steer the cost: the filter is whole in any order of the shingles.
+COUNTED, COMMON, MOST_COMMON = 20_000, 3, 200_000
+#: Rows under one shingle that meet in pairs; more are linked in a chain.
+PAIRED = 8
+#: The shingle of texts without words.
+NO_SHINGLE = np.uint64(0)
 
 
-def word_fingerprints(docs: DataFrame, seeds=SEEDS) -> DataFrame:
-    """row_id, doc_id, fp0, fp1, ... for row_id, doc_id, text."""
+def common_shingles(slim: DataFrame) -> np.ndarray:
+    """The most common shingles of a sample of rows, the most common last: a list of a fixed size."""
 
     def run(batches):
         for batch in batches:
-            columns = [[] for _ in seeds]
+            sets = [np.zeros(0, dtype=np.uint64), *map(shingles, text_views(batch.column("text")))]
+            yield pa.RecordBatch.from_pydict({"s": np.concatenate(sets).view(np.int64)})
+
+    every = max(1, slim.count() // COUNTED)
+    counts = slim.where(F.pmod(F.xxhash64("row_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
+    return found["s"].to_numpy(dtype=np.int64).view(np.uint64)[::-1].copy()
+
+
+def prefix_of(own: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first n - ceil(SIMILARITY n) + 1 of a text's shingles (ascending): the others by value, then the common ones
+    by place. common ascends and place has the rank of each."""
+    if not len(own):
+        return np.array([NO_SHINGLE])
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        own = own[np.argsort(np.where(common[at] == own, place[at] + 1, 0), kind="stable")]
+    return own[: len(own) - math.ceil(SIMILARITY * len(own) - 1e-9) + 1]
+
+
+def prefixes(slim: DataFrame) -> DataFrame:
+    """row_id, doc_id, n (distinct shingles), prefix for row_id, doc_id, text."""
+    found = common_shingles(slim)
+    order = np.argsort(found)
+    common, place = found[order], order  # order[i]: the rank of the i-th by value
+
+    def run(batches):
+        for batch in batches:
+            n, out = [], []
             for view in text_views(batch.column("text")):
-                words = set(bytes(view).lower().split())
-                for out, seed in zip(columns, seeds, strict=True):
-                    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
-                    out.append(simhash.fingerprint_of([hashes]))
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns)], names=["row_id", "doc_id", *(f"fp{i}" for i in range(len(seeds)))])
-
-    return docs.mapInArrow(run, "row_id long, doc_id long, " + ", ".join(f"fp{i} long" for i in range(len(seeds))))
-
-
-def families(marked: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
-    """row_id, family of the rows that are connected to another row by some fingerprint."""
-    links = None
-    for name in [c for c in marked.columns if c.startswith("fp")]:
-        nodes = marked.groupBy(F.col(name).alias("fp")).agg(F.min("row_id").alias("least"), F.count(F.lit(1)).alias("n"))
-        nodes = written(nodes, "near-nodes")
-        joined = components(simhash.links(nodes.select("fp"), tolerance))
-        roots = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-        roots = written(roots, "near-roots")
-        several = roots.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
-        near = roots.join(several, "root").select(F.col("fp").alias(name), "first")
-        own = marked.select("row_id", name).join(near, name).select(F.col("row_id").alias("a"), F.col("first").alias("b"))
-        links = own if links is None else links.unionByName(own)
-    return components(links).select(F.col("node").alias("row_id"), F.col("root").alias("family"))
+                own = shingles(view)
+                n.append(len(own))
+                out.append(prefix_of(own, common, place).view(np.int64))
+            offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(n, pa.int64()), lists], names=["row_id", "doc_id", "n", "prefix"])
+
+    return slim.mapInArrow(run, "row_id long, doc_id long, n long, prefix array<long>")
+
+
+def meet(batches):
+    """Links a, b of rows that share a shingle, for rows s, n, place, row_id sorted by s, n, row_id.
+
+    Up to PAIRED rows of a shingle are linked where their sizes, and the shingles after this one, allow SIMILARITY; if
+    this is the first shingle that they share, a similar pair passes. More rows are linked to the next by size while
+    sizes allow it, and so each row to all of the sizes that may be alike.
+    """
+    kept: list[np.ndarray] = []
+
+    def found(s, n, place, row):
+        new = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, dtype=bool)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(s)))
+        many = np.repeat(sizes > PAIRED, sizes)
+        a, b = [], []
+        for step in range(1, PAIRED):
+            x = np.flatnonzero(s[step:] == s[:-step])
+            if not len(x):
+                break
+            y = x + step
+            after = np.minimum(n[x] - place[x], n[y] - place[y])
+            near = (n[x] >= SIMILARITY * n[y] - 1e-9) & (row[x] != row[y])
+            near &= np.where(many[x], step == 1, after * (1 + SIMILARITY) >= SIMILARITY * (n[x] + n[y]) - 1e-6)
+            a.append(row[x[near]])
+            b.append(row[y[near]])
+        none = np.zeros(0, dtype=np.int64)
+        return pa.RecordBatch.from_pydict({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        got = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("s", "n", "place", "row_id")]
+        got = [np.concatenate([k, g]) for k, g in zip(kept, got, strict=True)] if kept else got
+        last = int(np.searchsorted(got[0], got[0][-1]))  # this shingle may go on in the next batch
+        yield found(*(g[:last] for g in got))
+        if not last and len(got[0]) > PAIRED + 1:  # a long run: its links are given, its last rows stay
+            yield found(*got)
+            got = [g[-PAIRED - 1 :] for g in got]
+        kept = [g[last:] for g in got]
+    if kept:
+        yield found(*kept)
+
+
+def families(marked: DataFrame) -> DataFrame:
+    """row_id, family of the rows that may be alike to another row."""
+    rows = marked.select("row_id", "n", F.posexplode("prefix").alias("place", "s")).select("s", "n", F.col("place").cast("long").alias("place"), "row_id")
+    met = rows.repartition("s").sortWithinPartitions("s", "n", "row_id").mapInArrow(meet, "a long, b long")
+    return components(met).select(F.col("node").alias("row_id"), F.col("root").alias("family"))
 
 
 def shingles(view) -> np.ndarray:
@@ -147,7 +214,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     small_batches(docs.sparkSession)
     slim = docs.select(row_hash(key, text).alias("row_id"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = written(word_fingerprints(slim).dropDuplicates(["row_id"]), "near-marked")
+    marked = written(prefixes(slim).dropDuplicates(["row_id"]), "near-marked")
     member = written(families(marked), "near-families")
     texts = written(slim.join(member, "row_id").dropDuplicates(["row_id"]).select("row_id", "family", "text"), "near-texts")
     sizes = texts.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))

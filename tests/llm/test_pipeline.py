@@ -43,6 +43,57 @@ def test_large_families_are_thinned(spark, monkeypatch):
     assert set(clean) <= kept and sum(len(kept & set(g)) == 1 for g in groups) >= 11 and all(kept & set(g) for g in groups)
 
 
+def edited_copies(texts=40, seed=4):
+    """Texts of a large vocabulary, each with copies: the tail cut, another text's words appended, words swapped."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i:x}" for i in range(20_000)]
+    out = []
+    for _ in range(texts):
+        base = rnd.choices(vocabulary, k=rnd.randint(60, 500))
+        out.append(base)
+        for share in (0.05, 0.1, 0.15, 0.18, 0.22):
+            out.append(base[: round(len(base) * (1 - share))])
+            out.append(base + rnd.choices(vocabulary, k=round(len(base) * share)))
+        swapped = list(base)
+        swapped[rnd.randrange(len(base))] = rnd.choice(vocabulary)
+        out.append(swapped)
+    rnd.shuffle(out)
+    return [" ".join(t) for t in out]
+
+
+def left_by_brute_force(texts):
+    """Numbers of the texts that stay if all pairs are compared."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if both >= 0.8 * (len(a) + len(b) - both) - 1e-9:
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return {i for i in range(len(texts)) if top(i) == i}
+
+
+def test_cut_and_appended_copies_are_found(spark):
+    texts = edited_copies()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()} == left_by_brute_force(texts)
+
+
+def test_rows_of_a_common_shingle_stay_linked(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRED", 2)
+    monkeypatch.setattr(near_dedup, "COMMON", 2)
+    texts = edited_copies(10, 5)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    assert {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()} == left_by_brute_force(texts)
+
+
 def test_near_duplicates_edges(spark):
     docs = edge_docs(spark)
     kept = near_dedup.keep_one_of_each(docs)
