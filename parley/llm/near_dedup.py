@@ -21,8 +21,9 @@ from .components import components
 from .exact_dedup import row_hash
 
 WORDS_EACH, SIMILARITY = 5, 0.8
-#: Texts of a family, and their MB, compared in one task. In a larger family texts meet LEADERS of it, again and again.
-FAMILY, FAMILY_MB, LEADERS = 5_000, 64, 64
+#: Texts of a family, and their MB, compared in one task. In a larger family texts meet LEADERS of it, in up to ROUNDS
+#: rounds, and the pairs that these leave open in blocks of half as many.
+FAMILY, FAMILY_MB, LEADERS, ROUNDS = 5_000, 64, 64, 8
 #: Rows whose shingles are counted, the rows from which on a shingle is common, and so many of the most common ones.
 #: These only steer the cost: the filter is whole in any order of the shingles.
 COUNTED, COMMON, MOST_COMMON = 20_000, 3, 200_000
@@ -191,26 +192,96 @@ def link_family(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def follow(batches):
-    """Links of each row to the leaders of its family (heads) that it is like."""
-    family, sets = None, []
-    for batch in batches:
-        out = []
-        for own, heads, row, view in zip(batch.column("family").to_pylist(), batch.column("heads"), batch.column("row_id").to_pylist(), text_views(batch.column("text")), strict=True):
-            if own != family:
-                family, sets = own, [(h["row"], shingles(h["words"].encode())) for h in heads.as_py()]
-            mine = shingles(view)
-            out += [(row, leader) for leader, s in sets if row != leader and alike(s, mine)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def follow(table: pa.Table) -> pa.Table:
+    """a, b, linked of each row a and each leader b (lead) of one slice with a distance (1 - similarity) of at most
+    twice that of alike ones."""
+    table = table.combine_chunks()
+    rows, lead = table.column("row_id").to_pylist(), table.column("lead").to_pylist()
+    views = [v for c in table.column("text").chunks for v in text_views(c)]
+    heads = [(rows[i], shingles(views[i])) for i, x in enumerate(lead) if x]
+    lengths = np.array([len(h) for _, h in heads], dtype=np.int64)
+    flat, starts = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in heads)]), np.cumsum(lengths) - lengths
+    out = []
+    for row, is_lead, view in zip(rows, lead, views, strict=True):
+        if is_lead or not heads:
+            continue
+        mine = shingles(view)
+        held = np.zeros(len(flat) + 1, dtype=bool)
+        if len(mine):
+            held[:-1] = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        both = np.add.reduceat(held, starts, dtype=np.int64) * (lengths > 0)
+        every = lengths + len(mine) - both
+        for i in np.flatnonzero(both >= (2 * SIMILARITY - 1) * every - 1e-6).tolist():
+            if heads[i][0] != row:
+                out.append((row, heads[i][0], bool(both[i] >= SIMILARITY * every[i] - 1e-9)))
+    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "linked"])
+
+
+def in_blocks(n: str, size: str):
+    """The blocks of n rows and size bytes, two of which a task may hold."""
+    return F.greatest(F.lit(1), F.ceil(2 * F.col(n) / FAMILY), F.ceil(2 * F.col(size) / (FAMILY_MB << 20))).cast("int")
+
+
+def large_links(rows: DataFrame) -> DataFrame:
+    """Links a, b of rows (row_id, family, text, blocks) that join just what all similar pairs of a family join.
+
+    In a round, LEADERS of a family's rows meet all its rows that nothing is linked to yet; a row that is like a leader
+    takes no part in later rounds. If a is linked to leader c and b is like a, then b took part in that round and is, by
+    the triangle inequality of the Jaccard distance, linked to c too or on its border: at most twice as far from it.
+    So what is left are pairs of a border with what was linked to its leader, unless both are joined already, and
+    pairs of the rows that no round linked. Those meet in blocks, each block with each other one.
+    """
+    active, turn = written(rows, "near-big"), 0
+    texts, met_all, waiting = active.select("row_id", "text"), [], active.count()
+    while waiting and turn < ROUNDS:
+        # Leaders: the rows of least hash, chosen per slice of the family first and then among those.
+        thin = active.select("family", "row_id", F.xxhash64("row_id", F.lit(turn)).alias("draw"), F.pmod(F.xxhash64("row_id"), F.lit(1024)).alias("slice"))
+        first = thin.withColumn("rank", F.row_number().over(Window.partitionBy("family", "slice").orderBy("draw"))).where(f"rank <= {LEADERS}")
+        chosen = first.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy("draw"))).where(f"rank <= {LEADERS}").select("family", "row_id")
+        leaders = written(active.join(chosen, ["family", "row_id"], "left_semi"), "near-leaders")
+        own = active.select("family", F.pmod(F.xxhash64("row_id", F.lit(-1)), "blocks").cast("int").alias("slice"), "row_id", "text", F.lit(False).alias("lead"))
+        sent = leaders.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slice"), "row_id", "text", F.lit(True).alias("lead"))
+        met = written(own.unionByName(sent).groupBy("family", "slice").applyInArrow(follow, "a long, b long, linked boolean"), "near-met")
+        met_all.append(met)
+        now = leaders.select("row_id").unionByName(met.where("linked").select(F.col("a").alias("row_id"))).distinct()
+        active = written(active.join(now, "row_id", "left_anti"), "near-active")
+        left, turn = active.count(), turn + 1
+        waiting, few = left, 4 * (waiting - left) < waiting
+        if few:
+            break
+    met = met_all[0]
+    for x in met_all[1:]:
+        met = met.unionByName(x)
+    linked = met.where("linked").select("a", "b")
+    # A row's own leader is that of the round in which it was linked first: it took part in no later one.
+    cluster = linked.groupBy("a").agg(F.min("b").alias("g")).select("g", F.col("a").alias("row_id"), F.lit(1).alias("side"))
+    roots = written(components(linked), "near-roots")
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    border = met.where("not linked").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    border = border.where("coalesce(root_a, a) <> coalesce(root_b, b)").select(F.col("b").alias("g"), F.col("a").alias("row_id"), F.lit(0).alias("side"))
+    border = written(border, "near-border")
+    sides = border.unionByName(cluster.join(border.select("g").distinct(), "g", "left_semi")).join(texts, "row_id")
+    sides = written(sides, "near-sides")
+    size = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.octet_length("text"))), F.lit(0)).alias(f"size{side}")
+    count = lambda side: F.sum((F.col("side") == side).cast("long")).alias(f"n{side}")
+    counts = sides.groupBy("g").agg(count(0), size(0), count(1), size(1)).where("n0 > 0 and n1 > 0").select("g", in_blocks("n0", "size0").alias("k0"), in_blocks("n1", "size1").alias("k1"))
+    placed = sides.join(counts, "g").withColumn("own", F.pmod(F.xxhash64("row_id", F.lit(-2)), F.when(F.col("side") == 0, F.col("k0")).otherwise(F.col("k1"))).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("k1")).otherwise(F.col("k0")) - 1)))
+    across = placed.select(F.lit(0).alias("kind"), "g", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"), "row_id", "text")
+    counts = active.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size")).select("family", in_blocks("n", "size").alias("k"))
+    placed = active.join(counts, "family").withColumn("own", F.pmod(F.xxhash64("row_id", F.lit(-2)), "k").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("k = 1 or own <> other")
+    within = placed.select(F.lit(1).alias("kind"), F.col("family").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row_id", "text")
+    rest = across.unionByName(within).groupBy("kind", "g", "i", "j").applyInArrow(link_family, "a long, b long")
+    return linked.unionByName(rest)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """row_hash, group of the rows to drop: those of a group but for the one of the smallest key (null keys last).
 
-    A null text is empty; empty texts are alike. Rows equal in key and text share a row_hash and count as one. A family
-    over FAMILY rows or FAMILY_MB is held by no task: in each round LEADERS of its rows that nothing is linked to yet
-    are compared with all its rows, until none is left. Only a link between two rows that aren't leaders can then be
-    missed, where no leader joins their groups.
+    A null text is empty; empty texts are alike. Rows equal in key and text share a row_hash and count as one. Every
+    pair of alike rows joins a group. A family over FAMILY rows or FAMILY_MB is held by no task: large_links() joins
+    the same rows as one task would.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(row_hash(key, text).alias("row_id"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -218,25 +289,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     member = written(families(marked), "near-families")
     texts = written(slim.join(member, "row_id").dropDuplicates(["row_id"]).select("row_id", "family", "text"), "near-texts")
     sizes = texts.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
-    large = written(sizes.where((F.col("n") > FAMILY) | (F.col("size") > FAMILY_MB << 20)).select("family"), "near-large")
+    large = written(sizes.where((F.col("n") > FAMILY) | (F.col("size") > FAMILY_MB << 20)).select("family", in_blocks("n", "size").alias("blocks")), "near-large")
     links = texts.join(large, "family", "left_anti").groupBy("family").applyInArrow(link_family, "a long, b long")
-    big = None if large.isEmpty() else written(texts.join(large, "family", "left_semi"), "near-big")
-    done, turn = None, 0
-    while big is not None:
-        active = big if done is None else big.join(done, "row_id", "left_anti")
-        # Leaders: the rows of least hash, chosen per slice of the family first and then among those.
-        thin = active.select("family", "row_id", F.xxhash64("row_id", F.lit(turn)).alias("draw"), F.pmod(F.xxhash64("row_id"), F.lit(1024)).alias("slice"))
-        first = thin.withColumn("rank", F.row_number().over(Window.partitionBy("family", "slice").orderBy("draw"))).where(f"rank <= {LEADERS}")
-        chosen = first.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy("draw"))).where(f"rank <= {LEADERS}").select("family", "row_id")
-        leaders = written(big.join(chosen, ["family", "row_id"], "left_semi"), "near-leaders")
-        if leaders.isEmpty():
-            break
-        heads = leaders.groupBy("family").agg(F.collect_list(F.struct(F.col("row_id").alias("row"), F.col("text").alias("words"))).alias("heads"))
-        met = written(big.join(heads, "family").select("family", "heads", "row_id", "text").mapInArrow(follow, "a long, b long"), "near-links")
-        links = links.unionByName(met)
-        now = leaders.select("row_id").unionByName(met.select(F.col("a").alias("row_id")))
-        done = written((now if done is None else now.unionByName(done)).distinct(), "near-done")
-        turn += 1
+    if not large.isEmpty():
+        links = links.unionByName(large_links(texts.join(large, "family")))
     groups = components(links).join(marked.select(F.col("row_id").alias("node"), "doc_id"), "node")
     stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stays"))
     return groups.join(stays, "root").where("node <> stays.node").select(F.col("node").alias("row_hash"), F.col("root").alias("group"))

@@ -94,6 +94,21 @@ def test_rows_of_a_common_shingle_stay_linked(spark, monkeypatch):
     assert {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()} == left_by_brute_force(texts)
 
 
+def test_large_families_lose_no_link(spark, monkeypatch):
+    """Texts that slide along one long text: each is like its neighbours only, so families are chains."""
+    rnd = random.Random(6)
+    long = rnd.choices([f"w{i:x}" for i in range(20_000)], k=1500)
+    texts = [" ".join(long[i : i + 200]) for i in range(0, 900, 12)]
+    texts += [" ".join(long[i : i + 200]) for i in range(950, 1300, 35)]  # these are alike to none
+    rnd.shuffle(texts)
+    texts += edited_copies(6, 7)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    monkeypatch.setattr(near_dedup, "FAMILY", 4)
+    monkeypatch.setattr(near_dedup, "LEADERS", 2)
+    monkeypatch.setattr(near_dedup, "PAIRED", 2)
+    assert {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()} == left_by_brute_force(texts)
+
+
 def test_near_duplicates_edges(spark):
     docs = edge_docs(spark)
     kept = near_dedup.keep_one_of_each(docs)
