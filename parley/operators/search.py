@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import words
+from .graph import _stored
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -108,19 +109,104 @@ def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFr
     return asked.agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("hit_rate"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
-def similar_pairs(vectors: DataFrame, planes: int, least: float, tables: int = 6) -> DataFrame:
-    """a, b: pairs of vectors with a cosine of at least `least`, found by hashing on signs of seeded projections.
+#: Vectors of a cell that one task compares with as many others, the vectors for which there is one pivot, and so many
+#: pivots at most. They steer the cost, never the links.
+BLOCK, FOR_A_PIVOT, MOST_PIVOTS = 4096, 2048, 1024
 
-    Vectors meet only in buckets of equal signs; `tables` bucket tables raise the recall. Every pair is verified.
+
+def link_cell(least: float):
+    """For applyInPandas: links a, b that join what all similar pairs of a cell join; across sides only, if kind is 0."""
+    import numpy as np
+    import pandas as pd
+
+    def run(cell: pd.DataFrame) -> pd.DataFrame:
+        unit = np.array(cell["vec"].tolist(), dtype=np.float64)
+        norms = np.sqrt((unit * unit).sum(1))
+        unit /= norms[:, None]
+        ids, sides, within, out = cell["vec_id"].to_numpy(), cell["side"].to_numpy(), bool(cell["kind"].iloc[0]), []
+        left = np.arange(len(ids))
+        while len(left):
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                seed = front.pop()
+                both = norms[left] * norms[seed]
+                near = (unit[left] @ unit[seed] >= least - 1e-12) & (both > 1e-12) & np.isfinite(both)
+                near &= within | (sides[left] != sides[seed])
+                got, left = left[near], left[~near]
+                front.extend(got.tolist())
+                out += [(ids[i], ids[seed]) for i in got]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def similar_links(vectors: DataFrame, least: float) -> DataFrame:
+    """a, b: links between vectors (vec_id, vec) that join just what all pairs with a cosine of at least `least` join.
+
+    Equal vectors are linked to the first and compared as one. Each vector lives in the cell of the pivot of the least
+    angle and visits the cells of later pivots unless no vector there can be alike: the angle to the pivot exceeds the
+    cell's largest by more than that of `least` (triangle inequality), or the plane between both pivots is further away
+    than alike vectors are. Cells are compared in blocks. Without clusters nothing is spared and all pairs are compared.
     """
     import numpy as np
-
-    rng, out = np.random.default_rng(7), None
-    for t in range(tables):
-        width = 64
-        signs = F.concat(*(F.when(dot(F.col("vec"), F.array(*(F.lit(float(x)) for x in rng.standard_normal(width)))) > 0, "1").otherwise("0") for _ in range(planes)))
-        keyed = vectors.select("vec_id", "vec", signs.alias("bucket"))
-        x, y = keyed.select(F.col("vec_id").alias("a"), F.col("vec").alias("va"), "bucket"), keyed.select(F.col("vec_id").alias("b"), F.col("vec").alias("vb"), "bucket")
-        met = x.join(y, "bucket").where("a < b").where(cosine(F.col("va"), F.col("vb")) >= least).select("a", "b")
-        out = met if out is None else out.unionByName(met)
-    return out.distinct()
+    import pyarrow as pa
+
+    usable = vectors.where(F.forall("vec", lambda x: x.isNotNull())).withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("norm > 0 and not isnan(norm) and norm < double('infinity')")
+    first = _stored(usable.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.first("norm").alias("norm")))
+    equal = usable.where("norm * norm > 1e-12").join(first.select("vec", F.col("vec_id").alias("b")), "vec").select(F.col("vec_id").alias("a"), "b").where("a <> b")
+    few = max(1, min(MOST_PIVOTS, first.count() // FOR_A_PIVOT))
+    chosen = [np.array(r.vec) / r.norm for r in first.orderBy(F.xxhash64("vec_id"), "vec_id").limit(few).collect()]  # MOST_PIVOTS rows at most
+    by_size: dict[int, tuple] = {}
+    for size in {len(x) for x in chosen}:
+        numbers = [i for i, x in enumerate(chosen) if len(x) == size]
+        by_size[size] = np.array(numbers), np.array([chosen[i] for i in numbers])
+
+    def homes(batches):
+        for batch in batches:
+            home, angle = [], []
+            for vec, norm in zip(batch.column("vec").to_pylist(), batch.column("norm").to_pylist(), strict=True):
+                if len(vec) not in by_size:
+                    home.append(-len(vec))  # a size without a pivot is a cell of its own
+                    angle.append(0.0)
+                    continue
+                numbers, pivots = by_size[len(vec)]
+                cosines = pivots @ (np.array(vec) / norm)
+                home.append(int(numbers[cosines.argmax()]))
+                angle.append(float(np.arccos(min(1.0, max(-1.0, cosines.max())))))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), batch.column("norm"), pa.array(home, pa.int64()), pa.array(angle, pa.float64())], names=["vec_id", "vec", "norm", "home", "angle"])
+
+    kind = first.schema["vec_id"].dataType.simpleString()
+    lived = _stored(first.select("vec_id", "vec", "norm").mapInArrow(homes, f"vec_id {kind}, vec array<double>, norm double, home long, angle double"))
+    reach = {r.home: r.reach for r in lived.groupBy("home").agg(F.max("angle").alias("reach")).where("home >= 0").collect()}  # a row for each pivot
+
+    def visits(batches):
+        alike, apart = np.arccos(least), np.sqrt(2 - 2 * least)
+        for batch in batches:
+            out = []
+            for vec, norm, home in zip(batch.column("vec").to_pylist(), batch.column("norm").to_pylist(), batch.column("home").to_pylist(), strict=True):
+                if home < 0:
+                    out.append([])
+                    continue
+                numbers, pivots = by_size[len(vec)]
+                cosines, own = pivots @ (np.array(vec) / norm), int(np.searchsorted(numbers, home))
+                limits = np.array([reach.get(int(q), -10.0) for q in numbers])
+                far = np.arccos(np.clip(cosines, -1, 1)) > limits + alike + 1e-6
+                between = np.maximum(np.sqrt(((pivots - pivots[own]) ** 2).sum(1)), 1e-12)
+                far |= (cosines[own] - cosines) / between > apart + 1e-3
+                out.append(numbers[~far & (numbers > home)].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), batch.column("home"), pa.array(out, pa.list_(pa.int64()))], names=["vec_id", "vec", "home", "cells"])
+
+    went = _stored(lived.mapInArrow(visits, f"vec_id {kind}, vec array<double>, home long, cells array<long>"))
+    own = went.select(F.col("home").alias("cell"), F.lit(0).alias("side"), "vec_id", "vec")
+    guests = went.select(F.explode("cells").alias("cell"), F.lit(1).alias("side"), "vec_id", "vec")
+    sizes = own.select("cell", "side").unionByName(guests.select("cell", "side")).groupBy("cell").agg(*(F.ceil(F.sum((F.col("side") == x).cast("long")) / BLOCK).cast("int").alias(f"k{x}") for x in (0, 1)))
+    sizes = _stored(sizes)
+    number = lambda k: F.pmod(F.xxhash64("vec_id"), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    met = own.join(sizes, "cell").withColumn("n", number("k0"))
+    inner = met.withColumn("o", every("k0")).where("k0 = 1 or n <> o").select(F.lit(1).alias("kind"), "cell", F.least("n", "o").alias("i"), F.greatest("n", "o").alias("j"), "side", "vec_id", "vec")
+    hosts = met.where("k1 > 0").withColumn("o", every("k1")).select(F.lit(0).alias("kind"), "cell", F.col("n").alias("i"), F.col("o").alias("j"), "side", "vec_id", "vec")
+    come = guests.join(sizes, "cell").withColumn("n", number("k1")).withColumn("o", every("k0")).select(F.lit(0).alias("kind"), "cell", F.col("o").alias("i"), F.col("n").alias("j"), "side", "vec_id", "vec")
+    cells = inner.unionByName(hosts).unionByName(come)
+    links = cells.groupBy("kind", "cell", "i", "j").applyInPandas(link_cell(least), "a long, b long")
+    return links.unionByName(equal.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))

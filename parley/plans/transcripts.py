@@ -68,5 +68,5 @@ def speaker_groups(spark, sf):
     from ..operators.graph import components
 
     v = vectors(spark, sf)
-    joined = components(S.similar_pairs(v, 8, 0.75))
+    joined = components(S.similar_links(v, 0.75))
     return v.select("vec_id").join(joined, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.coalesce("root", "vec_id").alias("group_id"))

@@ -147,3 +147,27 @@ def test_models(spark):
     a, b = spark.createDataFrame([("x y",), ("x y",)], "t string").select(models.embed(F.col("t")).alias("v")).collect()
     assert a.v == b.v and len(a.v) == models.DIMENSIONS
     assert models.hashed_vectors(pd.Series([None]))[0] == [0.0] * models.DIMENSIONS
+
+
+def test_similar_links_join_what_all_pairs_join(spark, monkeypatch):
+    import numpy as np
+
+    from parley.operators import graph
+
+    monkeypatch.setattr(search, "BLOCK", 16)
+    monkeypatch.setattr(search, "FOR_A_PIVOT", 25)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 64))
+    rows = [(c + rng.standard_normal(64) * 0.55) * 10.0 ** rng.integers(-2, 3) for c in centres for _ in range(16)]
+    rows += [rng.standard_normal(64) for _ in range(40)] + [rows[0]] * 5 + [np.zeros(64)] * 2
+    rows += [x[:32] for x in rows[:20]]  # of another size
+    v = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(rows)], "vec_id long, vec array<double>")
+    root = list(range(len(rows)))
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows[:i]):
+            if len(x) == len(y) and x.any() and y.any() and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.75:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    linked = {i: r for i, r in enumerate(root) if root.count(r) > 1}
+    assert 1 < len(set(linked.values())) and len(linked) > 100
+    assert {r.node: r.root for r in graph.components(search.similar_links(v, 0.75)).collect()} == linked
