@@ -85,6 +85,8 @@ class Matcher:
         self.templates = {k: _WORD.findall(v.lower()) for k, v in (templates or TEMPLATES).items()}
         self.telling = {k: {w for w in v if w not in COMMON} for k, v in self.templates.items()}
         self.vocabulary = set().union(*self.telling.values())
+        self.counts = {k: Counter(v) for k, v in self.templates.items()}
+        self.at = {k: {w: [i for i, x in enumerate(v) if x == w] for w in self.telling[k]} for k, v in self.templates.items()}
 
     def needed(self, name: str) -> int:
         """So many distinct telling words a passage has at least: words left out are at most 1 - least of the template."""
@@ -113,7 +115,10 @@ class Matcher:
         found, places = [], [m.span() for m in _WORD.finditer(lower)]
         for name in names:
             template, own = self.templates[name], []
-            for start, end in self.stretches(words, name):
+            windows = dict.fromkeys(self.stretches(words, name))
+            for window in list(windows):
+                windows.update(dict.fromkeys(self.repeats(words, name, *window)))
+            for start, end in windows:
                 pairs = align(words[start:end], template)
                 if len(pairs) >= self.covered(name):
                     own.append((len(pairs) / len(template), places[start + pairs[0][0]][0], places[start + pairs[-1][0]][1]))
@@ -137,6 +142,19 @@ class Matcher:
                     yield at, min(len(words), at + 2 * m)
                 done = h + m // 4
 
+    def repeats(self, words: list[str], name: str, start: int, end: int):
+        """For a window that holds telling words more often than the template, and so gives few anchors: stretches of
+        the template's length, and a fifth more, from each word where a copy may begin."""
+        template, counts = self.templates[name], self.counts[name]
+        found = Counter(w for w in words[start:end] if w in self.telling[name])
+        if all(n <= counts[w] for w, n in found.items()):
+            return
+        m, least = len(template), self.covered(name)
+        for at in sorted({max(0, i - t) for i in range(start, end) for t in self.at[name].get(words[i], ())}):
+            for stop in (at + m, at + m + m // 5):
+                if sum((Counter(words[at:stop]) & counts).values()) >= least:
+                    yield at, min(len(words), stop)
+
 
 def license_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, templates=None) -> DataFrame:
     """One row per passage: doc_id, license, coverage (of the template's words), start, end (code points, end exclusive).

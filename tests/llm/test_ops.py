@@ -541,3 +541,15 @@ def test_sql(spark, sf_dir):
     con = duck(sf_dir)
     for name, sql in queries.oracle_sql().items():
         assert rows(queries.queries()[name](spark, sf_dir).toPandas()) == rows(con.execute(sql).df())
+
+
+def test_license_copies_back_to_back():
+    from parley.llm.license_scan import TEMPLATES, Matcher
+
+    matcher = Matcher()
+    for name in ("apache-2.0-notice", "gpl-3.0-notice"):
+        words = TEMPLATES[name].split()
+        for text in (TEMPLATES[name], " ".join([*words[:2], "kindly", *words[2:]]), " ".join([*words[:3], *words[4:]])):
+            for n in (1, 2, 3, 4, 5, 8):
+                found = [x for x in matcher.scan("\n".join([text] * n)) if x[0] == name]
+                assert len(found) == n, (name, text, n)
