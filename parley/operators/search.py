@@ -124,7 +124,8 @@ def link_cell(least: float):
         norms = np.sqrt((unit * unit).sum(1))
         unit /= norms[:, None]
         ids, sides, within, out = cell["vec_id"].to_numpy(), cell["side"].to_numpy(), bool(cell["kind"].iloc[0]), []
-        left = np.arange(len(ids))
+        lonely = [((unit[i : i + 512] @ unit.T) >= least - 1e-9).sum(1) < 2 for i in range(0, len(ids), 512)]
+        left = np.flatnonzero(~np.concatenate(lonely))
         while len(left):
             front, left = [left[0]], left[1:]
             while front and len(left):
