@@ -1,26 +1,27 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-1. Rows are dealt into blocks. A block hashes its texts and sends each owner of a hash range its sorted hashes,
-   as Golomb-Rice coded gaps.
+1. Where its rows lie, each block hashes its texts and sends every owner of a hash range its sorted distinct hashes, as
+   Golomb-Rice coded gaps, with a bit for each hash that the block itself holds twice. Texts don't move.
 2. An owner merges what it got and answers every block with a bitmap: which of its hashes occur more than once.
-3. Only texts behind a set bit (the suspects), one row per block and distinct text, are shuffled and compared
-   byte for byte. So a text that a third of all rows share sends one row per block.
+3. Only texts behind a set bit (the suspects) are shuffled and compared byte for byte; equal ones are counted before the
+   shuffle, so a text that a third of all rows share sends one row per task.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import block_count, small_batches, text_bytes, text_views, written
+from .common import LOWER, UPPER, fresh, in_bitmap, join_groups, row_bitmap, written
+
+#: Rows of a block at most.
+BLOCK_ROWS = 200_000
 
 
 def golomb_encode(values: np.ndarray, bits: int) -> bytes:
@@ -53,115 +54,118 @@ def golomb_decode(code: bytes, n: int) -> np.ndarray:
 
 
 def answer_messages(messages: pd.DataFrame) -> pd.DataFrame:
-    """One owner's messages (block, n, code) to bitmaps: bit i is set if the i-th hash occurs more than once in all."""
+    """One owner's messages (block, n, code, twice) to bitmaps: bit i is set if the i-th hash occurs more than once in all."""
     parts = [golomb_decode(code, n) for code, n in zip(messages["code"], messages["n"], strict=True)]
     _, inverse, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    twice = counts[inverse] > 1
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
-    bitmaps = [np.packbits(x).tobytes() for x in np.split(twice, cuts)]
+    own = [np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(messages["twice"], messages["n"], strict=True)]
+    repeated = np.bincount(inverse, weights=np.concatenate(own), minlength=len(counts)) > 0
+    twice = ((counts > 1) | repeated)[inverse]
+    bitmaps = [np.packbits(x).tobytes() for x in np.split(twice, np.cumsum([len(p) for p in parts])[:-1])]
     return messages[["owner", "block", "n"]].assign(bitmap=bitmaps)
 
 
-def _hash(view, bits: int) -> tuple[int, bytes]:
-    normal = bytes(view).lower()  # of bytes: A-Z only
-    return xxhash.xxh3_64_intdigest(normal) >> (64 - bits), normal
+def normal_text(text: str | Column) -> Column:
+    """What equal texts share: A-Z lower-cased, null as the empty text."""
+    return F.translate(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), UPPER, LOWER)
+
+
+MARKS = "block long, line long, doc_id long, hash long, text_sha256 string, owner long, n long, code binary, twice binary"
+
+
+def marked_rows(docs: DataFrame, key: str, text: str, owner_rows: int) -> tuple[DataFrame, int]:
+    """(a written table with block, line, doc_id, hash, text_sha256 and suspect of every row, the number of rows)."""
+    rows = docs.count()
+    owners = max(1, math.ceil(rows / owner_rows))
+    bits = min(56, max(24, math.ceil(math.log2(rows + 2)) + 14))  # of a fingerprint; one false suspect in 2^14 rows
+    slim = docs.select(F.col(key).cast("long").alias("doc_id"), normal_text(text).alias("normal"))
+    thin = slim.select("doc_id", F.xxhash64("normal").alias("hash"), F.sha2(F.col("normal").cast("binary"), 256).alias("text_sha256"))
+    schema = pa.schema([(x.split()[0], {"string": pa.string(), "binary": pa.binary()}.get(x.split()[1], pa.int64())) for x in MARKS.split(", ")])
 
+    def send(batches):
+        """The rows, numbered, and after those of a block its messages."""
+        first = TaskContext.get().partitionId() << 24
+        number, line, held = first, 0, []
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """decisions() without row_hash."""
-    return decisions(docs, key, text, **settings).drop("row_hash")
+        def told():
+            distinct, counts = np.unique(np.concatenate(held), return_counts=True)
+            to = ((distinct >> np.uint64(max(0, bits - 32))) * np.uint64(owners) >> np.uint64(min(32, bits))).astype(np.int64)
+            starts = np.flatnonzero(np.diff(to, prepend=-1))
+            own, twice = np.split(distinct, starts[1:]), np.split(counts > 1, starts[1:])
+            columns = {"block": [number] * len(own), "owner": to[starts], "n": [len(p) for p in own], "code": [golomb_encode(p, bits) for p in own], "twice": [np.packbits(t).tobytes() for t in twice]}
+            return pa.RecordBatch.from_pydict({f.name: columns.get(f.name, pa.nulls(len(own), f.type)) for f in schema}, schema=schema)
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                if line + part.num_rows > BLOCK_ROWS and held:
+                    yield told()
+                    number, line, held = number + 1, 0, []
+                n = part.num_rows
+                held.append(part.column("hash").to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits))
+                columns = {"block": np.full(n, number), "line": np.arange(line, line + n)} | {c: part.column(c) for c in ("doc_id", "hash", "text_sha256")}
+                yield pa.RecordBatch.from_pydict({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in schema}, schema=schema)
+                line += n
+        if held:
+            yield told()
+
+    sent = written(thin.mapInArrow(send, MARKS), "exact-sent")
+    messages = sent.where("owner is not null").select("owner", "block", "n", "code", "twice")
+    bitmaps = messages.groupBy("owner").applyInPandas(answer_messages, "owner long, block long, n long, bitmap binary")
+
+    def mark(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """The rows of a block with what the owners say of their hashes."""
+        answers = sorted(answers.to_pylist(), key=lambda a: a["owner"])
+        flags = np.concatenate([np.unpackbits(np.frombuffer(a["bitmap"], np.uint8), count=a["n"]) for a in answers])
+        hashes = own.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        _, inverse = np.unique(hashes, return_inverse=True)
+        return own.append_column("suspect", pa.array(flags[inverse].astype(bool)))
 
-def keep_first_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that decisions() keeps: one of each set of equal texts."""
-    kept = decisions(docs, key, text).where("kept").select("row_hash")
-    return docs.withColumn("row_hash", row_hash(key, text)).join(kept, "row_hash").dropDuplicates(["row_hash"]).select(docs.columns)
+    names = ["block", "line", "doc_id", "hash", "text_sha256"]
+    own = sent.where("owner is null").select(names)
+    marked = own.groupBy("block").cogroup(bitmaps.groupBy("block")).applyInArrow(mark, "block long, line long, doc_id long, hash long, text_sha256 string, suspect boolean")
+    return written(marked, "exact-marked"), rows
 
 
-def row_hash(key: str, text: str):
-    return F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text), F.lit("")))
+def suspect_texts(docs: DataFrame, text: str, marked: DataFrame, rows: int) -> tuple[DataFrame, str]:
+    """docs with a column (its name is returned) that is true for all suspects, and for few other rows."""
+    name = fresh(docs, "suspect")
+    return in_bitmap(docs, F.xxhash64(normal_text(text)), row_bitmap(marked.where("suspect").select("hash"), "hash", rows), rows, name), name
 
 
-def decisions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_mb: float = 8, owner_rows: int = 1_000_000) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_hash (of key and text).
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", owner_rows: int = 2_000_000) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; a null text is the empty text. Of equal texts the row with
     the largest key stays; a null key loses to any other. Of rows with both text and key equal exactly one is kept.
-    An empty table gives no rows. Further columns of docs, whatever their names, are not read.
+    An empty table gives no rows; texts may be of any length. Further columns of docs, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows, size = text_bytes(slim)
-    blocks = block_count(size, block_mb, 4)
-    owners = max(1, math.ceil(rows / owner_rows))
-    bits = min(56, max(24, math.ceil(math.log2(rows + 2)) + 14))  # of a fingerprint; one false suspect in 2^14 rows
-    dealt = slim.withColumn("block", F.pmod(row_hash("doc_id", "text"), F.lit(blocks))).withColumn("row_hash", row_hash("doc_id", "text")).repartition(blocks, "block")
-
-    def owner_of(hashes):
-        return ((hashes * np.uint64(owners)) >> np.uint64(bits)).astype(np.int64) if bits + owners.bit_length() < 64 else np.minimum(hashes // np.uint64(((1 << bits) // owners) + 1), owners - 1).astype(np.int64)
-
-    def send(batches):
-        by_block: dict[int, list] = {}
-        for batch in batches:
-            for block, view in zip(batch.column("block").to_pylist(), text_views(batch.column("text")), strict=True):
-                by_block.setdefault(block, []).append(_hash(view, bits)[0])
-        for block, hashes in by_block.items():
-            ordered = np.sort(np.array(hashes, dtype=np.uint64))
-            to = owner_of(ordered)
-            starts = np.flatnonzero(np.diff(to, prepend=-1))
-            pieces = np.split(ordered, starts[1:])
-            yield pa.RecordBatch.from_pydict(
-                {"owner": to[starts], "block": [block] * len(pieces), "n": [len(p) for p in pieces], "code": [golomb_encode(p, bits) for p in pieces]},
-                schema=pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("code", pa.binary())]),
-            )
-
-    sent = dealt.mapInArrow(send, "owner long, block long, n long, code binary")
-    bitmaps = sent.groupBy("owner").applyInPandas(answer_messages, "owner long, block long, n long, bitmap binary")
-    out_schema = "block long, line long, doc_id long, row_hash long, slot long, text_sha256 string, normal string, n long"
-    arrow_schema = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.int64()) for x in out_schema.split(", ")])
-
-    def mark(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        """Rows of a block with their digests; after them the distinct suspects (n > 0) with their text, slot by slot."""
-        texts, out, hashes = texts.combine_chunks(), {f.name: [] for f in arrow_schema}, []
-        ids, row_hashes = texts.column("doc_id").to_pylist(), texts.column("row_hash").to_pylist()
-        views = [v for c in texts.column("text").chunks for v in text_views(c)]
-        block = texts.column("block")[0].as_py() if len(ids) else 0
-        hashes = np.array([_hash(v, bits)[0] for v in views], dtype=np.uint64)
-        answers = sorted(answers.to_pylist(), key=lambda a: a["owner"])
-        flags = np.concatenate([np.unpackbits(np.frombuffer(a["bitmap"], np.uint8), count=a["n"]) for a in answers]) if answers else np.zeros(0, np.uint8)
-        suspect = np.zeros(len(ids), dtype=bool)
-        suspect[np.argsort(hashes, kind="stable")] = flags.astype(bool)
-        slots: dict[bytes, list] = {}
-        for line, (doc_id, view) in enumerate(zip(ids, views, strict=True)):
-            normal = bytes(view).lower()
-            slot = None
-            if suspect[line]:
-                found = slots.setdefault(normal, [len(slots), line, 0])
-                best = ids[found[1]]
-                if doc_id is not None and (best is None or doc_id > best):
-                    found[1] = line
-                found[2] += 1
-                slot = found[0]
-            for name, value in zip(out, (block, line, doc_id, row_hashes[line], slot, hashlib.sha256(normal).hexdigest(), None, 0), strict=True):
-                out[name].append(value)
-        for normal, (slot, line, n) in slots.items():
-            for name, value in zip(out, (block, line, ids[line], row_hashes[line], slot, hashlib.sha256(normal).hexdigest(), normal.decode(), n), strict=True):
-                out[name].append(value)
-        return pa.table(out, schema=arrow_schema)
-
-    marked = written(dealt.groupBy("block").cogroup(bitmaps.groupBy("block")).applyInArrow(mark, out_schema), "exact-dedup")
-    same = Window.partitionBy("text_sha256", "normal")
-    best = F.max(F.struct("doc_id", F.col("block").alias("at"), F.col("line").alias("row"))).over(same)
-    verified = marked.where("n > 0").select("block", "slot", best.alias("best"), F.sum("n").over(same).alias("group_size"))
-    rows_ = marked.where("n = 0").select("block", "line", "doc_id", "row_hash", "slot", "text_sha256")
-    joined = rows_.join(verified, ["block", "slot"], "left")
+    marked, rows = marked_rows(docs, key, text, owner_rows)
+    flagged, name = suspect_texts(docs, text, marked, rows)
+    same = flagged.where(F.col(f"`{name}`")).select(normal_text(text).alias("normal")).groupBy("normal").agg(F.count(F.lit(1)).alias("n"))
+    same = same.select(F.sha2(F.col("normal").cast("binary"), 256).alias("text_sha256"), "n").groupBy("text_sha256").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+    best = marked.where("suspect").groupBy("text_sha256").agg(F.max(F.struct("doc_id", "block", "line")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    sure = F.when((F.col("texts") == 1) & (F.col("n") == F.col("group_size")), F.col("group_size")).otherwise(F.raise_error(F.lit("texts of one digest differ, or the table changed")))
+    groups = written(best.join(same, "text_sha256").select("text_sha256", "best", sure.alias("group_size")).where("group_size > 1"), "exact-groups")
+    joined = join_groups(marked.select("block", "line", "doc_id", "text_sha256"), groups, "text_sha256", "group_size", rows)
     alone = F.col("best").isNull()
     return joined.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | ((F.col("best.at") == F.col("block")) & (F.col("best.row") == F.col("line")))).alias("kept"),
+        (alone | ((F.col("best.block") == F.col("block")) & (F.col("best.line") == F.col("line")))).alias("kept"),
         "text_sha256",
-        "row_hash",
     )
+
+
+def keep_first_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", owner_rows: int = 2_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that exact_dedup() keeps: one of each set of equal texts.
+
+    Rows behind no set bit stay where they are; suspects meet by their bytes and the best of each text stays. Nulls,
+    ties, repeated rows, empty and very long texts and an empty table are as in exact_dedup(); columns may have any name.
+    """
+    marked, rows = marked_rows(docs, key, text, owner_rows)
+    flagged, name = suspect_texts(docs, text, marked, rows)
+    suspect, columns = F.col(f"`{name}`"), [F.col(f"`{c}`") for c in docs.columns]
+    rank = F.struct(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
+    best = flagged.where(suspect).groupBy(normal_text(text).alias(name)).agg(F.max_by(F.struct(*columns), rank).alias("row")).select("row.*")
+    return flagged.where(~suspect).select(*columns).unionByName(best)

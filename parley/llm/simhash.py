@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_views, written
+from .common import join_groups, small_batches, text_views, written
 from .components import components
 
 BITS = 64
@@ -272,10 +272,10 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     zero and links like any other. Repeated rows are rows of the same component; an empty table gives no rows.
     """
     marked = written(fingerprints(docs, key, text, words_each), "simhash")
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = written(components(links(written(nodes, "simhash-nodes").select("fp"), tolerance)), "simhash-components")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "simhash-nodes")
+    joined = written(components(links(nodes.select("fp"), tolerance)), "simhash-components")
     lowest = joined.join(nodes, joined["node"] == nodes["fp"]).select("node", "root", "least")
     groups = lowest.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = lowest.join(groups, "root").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(nodes.join(linked, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    return join_groups(marked, named, "fp", "rows", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -399,7 +399,7 @@ def test_golomb_round_trip(values):
 
 def test_exact_dedup_against_brute_force(spark, sf_dir):
     docs = edge_docs(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000))
-    got = exact_dedup.exact_dedup(docs, block_mb=0.02, owner_rows=60).collect()
+    got = exact_dedup.exact_dedup(docs, owner_rows=60).collect()
     normal = lambda t: (t or "").encode().lower()
     groups = collections.defaultdict(list)
     for r in docs.collect():
