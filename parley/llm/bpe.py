@@ -3,6 +3,10 @@
 A text is split by the tokenizer's pattern. Words that the task hasn't met before become rows (word, position, token);
 the recursive query joins neighbouring tokens with the merge table and contracts each word's leftmost pair of least
 rank until no pair merges. Ordered aggregation turns positions back into lists, and token ids back into bytes.
+
+A word of more than SHORT bytes is contracted in overlapping pieces. A token list is the encoding of its bytes if and
+only if each two neighbouring tokens are the encoding of theirs, so pieces may be joined at any token that both have at
+the same place; where two have none in common, they are contracted again as one longer piece.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from .common import small_batches, text_views
 
 #: Words that a task remembers with their tokens, and the longest of them in characters.
 REMEMBERED, LONGEST = 1_500_000, 64
-#: Bytes of a word up to which one pair at a time is contracted; in longer ones equal pairs may go together.
+#: Bytes of a word up to which it is contracted whole. Pieces of longer ones start every SHORT / 2 bytes.
 SHORT = 64
+#: Bytes times the bytes of the longest word that one query contracts.
+HELD = 4_000_000
 #: Words and tokens handled by one query.
 WORDS, TOKENS = 20_000, 500_000
 
@@ -34,21 +40,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_rows(ranks: dict[bytes, int]) -> pd.DataFrame:
-    """Every way to join two tokens into a third: lhs, rhs, rank (the id of the result), safe.
-
-    safe: no pair that the result can be part of has a lower rank, so that equal pairs of a word may be contracted
-    together; elsewhere only the leftmost one is.
-    """
+    """Every way to join two tokens into a third: lhs, rhs, rank (the id of the result)."""
     pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    merges = pd.DataFrame(pairs, columns=["lhs", "rhs", "rank"])
-    lowest = pd.concat([merges.groupby("lhs")["rank"].min(), merges.groupby("rhs")["rank"].min()]).groupby(level=0).min()
-    merges["safe"] = merges["rank"] < merges["rank"].map(lowest).fillna(1 << 60)
-    return merges
+    return pd.DataFrame(pairs, columns=["lhs", "rhs", "rank"])
 
 
-# For words of up to SHORT bytes. A row knows the position of its right neighbour; `code` is the rank of the pair, its
+# A row knows the position of its right neighbour; `code` is the rank of the pair, its
 # position and its neighbour's in one number, so that the least code of a word is its leftmost pair of least rank.
-CONTRACT_SHORT = """
+CONTRACT = """
 WITH RECURSIVE state(word, pos, token, next_pos, step) AS (
     SELECT word, pos, token, pos + 1, 0 FROM start
     UNION ALL (
@@ -69,38 +68,6 @@ FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) last U
 GROUP BY word
 """
 
-# For longer words. `pairs` numbers the tokens of each word and looks its neighbours up; `least` has the word's least rank; `hits` the
-# places of that rank: the leftmost one, or every second one of each row of neighbours if they may go together.
-CONTRACT_LONG = """
-WITH RECURSIVE state(word, pos, token, step) AS (
-    SELECT word, pos, token, 0 FROM start
-    UNION ALL (
-    WITH numbered AS (
-        SELECT word, pos, token, step, lead(token) OVER w AS next, row_number() OVER w AS i
-        FROM state WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), pairs AS (
-        SELECT n.*, m.rank, m.safe FROM numbered n LEFT JOIN merges m ON m.lhs = n.token AND m.rhs = n.next
-    ), least AS (
-        SELECT word, min(rank) AS rank, arg_min(i, (rank, i)) FILTER (rank IS NOT NULL) AS first FROM pairs GROUP BY word HAVING min(rank) IS NOT NULL
-    ), places AS (
-        SELECT p.word, p.i, p.safe, l.first, p.i - row_number() OVER (PARTITION BY p.word ORDER BY p.i) AS island
-        FROM pairs p JOIN least l ON l.word = p.word AND l.rank = p.rank
-    ), hits AS (
-        SELECT word, i FROM (SELECT *, min(i) OVER (PARTITION BY word, island) AS head FROM places)
-        WHERE i = first OR (safe AND (i - head) % 2 = 0)
-    )
-    SELECT p.word, p.pos, CASE WHEN h.i IS NOT NULL THEN p.rank ELSE p.token END, p.step + 1
-    FROM pairs p JOIN least l ON l.word = p.word
-    LEFT JOIN hits h ON h.word = p.word AND h.i = p.i
-    LEFT JOIN hits b ON b.word = p.word AND b.i = p.i - 1
-    WHERE b.i IS NULL
-    )
-)
-SELECT word, list(token ORDER BY pos) AS ids
-FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) last USING (word, step)
-GROUP BY word
-"""
-
 DECODE = """
 SELECT doc, array_to_string(list(v.hex ORDER BY t.pos), '') AS hex
 FROM tokens t JOIN vocabulary v ON v.id = t.id GROUP BY doc ORDER BY doc
@@ -115,32 +82,76 @@ class Codec:
         import regex
 
         self.ranks, self.known = ranks, {}
+        self.size_of = dict(zip(ranks.values(), map(len, ranks), strict=True))
         self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.split = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self.db.execute("SET enable_progress_bar = false")
         merges = merge_rows(ranks)  # noqa: F841  read by DuckDB
-        self.db.execute("CREATE TABLE merges AS SELECT lhs::INT AS lhs, rhs::INT AS rhs, rank::INT AS rank, safe FROM merges")
+        self.db.execute("CREATE TABLE merges AS SELECT lhs::INT AS lhs, rhs::INT AS rhs, rank::INT AS rank FROM merges")
         vocabulary = pd.DataFrame({"id": list(ranks.values()), "hex": [t.hex() for t in ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE vocabulary AS SELECT id::INT AS id, hex FROM vocabulary")
 
     def contract(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word, in order: a word that is a token is that token, others are contracted."""
         out = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        todo = [i for i, x in enumerate(out) if x is None]
-        for query, own in ((CONTRACT_SHORT, [i for i in todo if len(words[i]) <= SHORT]), (CONTRACT_LONG, [i for i in todo if len(words[i]) > SHORT])):
-            if not own:
-                continue
-            sizes = np.array([len(words[i]) for i in own])
-            raw = np.frombuffer(b"".join(words[i] for i in own), dtype=np.uint8)
-            word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
+        short = [i for i, x in enumerate(out) if x is None and len(words[i]) <= SHORT]
+        for i, ids in zip(short, self._contracted([words[i] for i in short]), strict=True):
+            out[i] = ids
+        for i, x in enumerate(out):
+            if x is None:
+                out[i] = self._long(words[i])
+        return out
+
+    def _contracted(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words, from queries of bounded size: a query holds every step of its words."""
+        out, at = [], 0
+        most = HELD // max(map(len, words), default=1)
+        while at < len(words):
+            end, held = at, 0
+            while end < len(words) and (end == at or held + len(words[end]) <= most):
+                held += len(words[end])
+                end += 1
+            part = words[at:end]
+            sizes = np.array([len(w) for w in part])
+            raw = np.frombuffer(b"".join(part), dtype=np.uint8)
+            word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             pos = (np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             self.db.register("start", pa.table({"word": word, "pos": pos, "token": self.single[raw]}))
-            for i, ids in self.db.execute(query).fetchall():
-                out[own[i]] = ids
+            found = dict(self.db.execute(CONTRACT).fetchall())
             self.db.unregister("start")
+            out += [found[i] for i in range(len(part))]
+            at = end
         return out
 
+    def _long(self, word: bytes) -> list[int]:
+        """The ids of a long word, joined from those of its pieces; these grow until all neighbours have a token in common."""
+        size, known = SHORT, {}
+        while True:
+            pieces = [(at, min(len(word), at + size)) for at in range(0, max(1, len(word) - size // 2), size // 2)]
+            for _ in range(3):
+                new = list(dict.fromkeys(p for p in pieces if p not in known))
+                for (a, b), ids in zip(new, self._contracted([word[a:b] for a, b in new]), strict=True):
+                    starts = a + np.append(0, np.cumsum([self.size_of[i] for i in ids])[:-1])
+                    known[a, b] = list(zip(starts.tolist(), ids, strict=True))
+                cuts, joined, least = [], [pieces[0]], 0
+                for before, piece in zip(pieces[:-1], pieces[1:], strict=True):
+                    common = [t for t, _ in set(known[piece]).intersection(known[before]) if t > least]
+                    if common:
+                        middle = (piece[0] + before[1]) / 2
+                        least = min(common, key=lambda t: (abs(t - middle), t))
+                        cuts.append(least)
+                        joined.append(piece)
+                    elif joined[-1] == before:
+                        joined[-1] = (before[0], piece[1])
+                    else:  # the piece before has just become longer; this one is looked at again
+                        joined.append(piece)
+                if len(cuts) == len(pieces) - 1:
+                    starts, ends = [0, *cuts], [*cuts, len(word)]
+                    return [i for p, a, b in zip(pieces, starts, ends, strict=True) for at, i in known[p] if a <= at < b]
+                pieces = joined
+            size, known = 2 * size, {}
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Remembers the ids (little-endian 32-bit numbers) of words, from queries of bounded size. Returns the ids of
         those too long to be remembered."""
@@ -255,7 +266,11 @@ def decode_documents(encoded: DataFrame, ranks: dict[bytes, int], pattern: str)
 
 
 def bpe_report(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again in the same task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded and its ids decoded again in the same task.
+
+    A null text is empty and has no ids; equal texts and repeated rows give equal answers, each row its own. Texts and
+    unbroken words may be of any length. An empty table gives no rows; further columns of docs are not read.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
