@@ -10,8 +10,6 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
-from re import _constants as C
-from re import _parser as P
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +36,8 @@ class Rule:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
 
 
-#: The three base rules, then further public key formats. The order breaks ties of a start.
+#: The three base rules, then further public key formats. The order breaks ties of a start. Each is read in
+#: time linear in the text: a run of characters is entered at its start, or at a bounded number of places.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 6, 2),
     Rule("access", r"AKIA[A-Z0-9]+", False, 20),
@@ -47,9 +46,9 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+-]+@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,30}://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+-]+@"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -75,16 +74,27 @@ def of_strings(strings: set[str]):
     return True if query is None else query
 
 
-def _class_chars(items) -> set[str] | None:
+#: What the rules are written in: classes, groups, alternatives, repeats and single characters.
+_TOKEN = re.compile(r"""(?P<behind>\(\?<!\[[^\]]*\]\))|(?P<open>\((?:\?:)?)|(?P<close>\))|(?P<bar>\|)|\[(?P<set>[^\]]*)\]|(?P<times>[?*+]|\{\d+(?:,\d*)?\})|\\x(?P<hex>[0-9A-Fa-f]{2})|\\(?P<escaped>[^A-Za-z0-9])|(?P<plain>[^\\.^$\[\](){}|?*+])""")
+
+
+def _tokens(pattern: str) -> list[tuple[str, str]]:
+    out, at = [], 0
+    while at < len(pattern):
+        m = _TOKEN.match(pattern, at)
+        if not m:
+            raise ValueError(f"no trigram query for this part of a rule: {pattern[at:]}")
+        out.append((m.lastgroup, m[m.lastgroup]))
+        at = m.end()
+    return out
+
+
+def _class_chars(body: str) -> set[str] | None:
+    """The characters of a class; None for large or negated ones."""
     chars: set[str] = set()
-    for op, value in items:
-        if op is C.LITERAL:
-            chars.add(chr(value))
-        elif op is C.RANGE and value[1] - value[0] < MOST_STRINGS:
-            chars.update(map(chr, range(value[0], value[1] + 1)))
-        else:
-            return None
-    return chars
+    for m in re.finditer(r"\\?(.)-\\?(.)|\\?(.)", body):
+        chars.update(map(chr, range(ord(m[1]), ord(m[2]) + 1)) if m[1] else m[3])
+    return None if body.startswith("^") or len(chars) > MOST_STRINGS else chars
 
 
 def _joined(left: set[str], right: set[str]) -> set[str] | None:
@@ -92,57 +102,51 @@ def _joined(left: set[str], right: set[str]) -> set[str] | None:
     return out if len(out) <= MOST_STRINGS else None
 
 
-def _analyse(nodes) -> tuple[set[str] | None, object]:
-    """(all strings that the nodes can match, or None if too many; a query that holds for any text with a match)."""
-    query, run, whole = True, {""}, True  # run: the strings of the last nodes that are known exactly
-
-    def broken():
-        nonlocal query, run, whole
-        query, run, whole = both(query, of_strings(run)), {""}, False
-
-    for op, value in nodes:
-        exact, own = None, True
-        if op is C.LITERAL:
-            exact = {chr(value)}
-        elif op is C.IN:
-            exact = _class_chars(value)
-        elif op is C.SUBPATTERN:
-            exact, own = _analyse(value[-1])
-        elif op is C.BRANCH:
-            found = [_analyse(x) for x in value[1]]
-            own = None
-            for x, q in found:
-                q = of_strings(x) if x is not None else q
-                own = q if own is None else either(own, q)
-            exact = set().union(*(x for x, _ in found)) if all(x is not None for x, _ in found) else None
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
-            low, high, inner = value
-            one, inner_query = _analyse(inner)
-            if low == 0 and high == 1 and one is not None:
-                exact = one | {""}
-            elif low == high == 1:
-                exact, own = one, inner_query
-            elif low >= 1:
-                own = of_strings(one) if one is not None else inner_query
-        elif op is C.AT:
+def _alternatives(tokens: list, at: int) -> tuple[set[str] | None, object, int]:
+    """(all strings that one of the alternatives can match, or None if too many; a query that holds for any match; the
+    token after them)."""
+    exact, query = set(), None
+    while True:
+        strings, own, at = _sequence(tokens, at)
+        own = of_strings(strings) if strings is not None else own
+        query = own if query is None else either(query, own)
+        exact = exact | strings if exact is not None and strings is not None else None
+        if at >= len(tokens) or tokens[at][0] != "bar":
+            return exact, query, at
+        at += 1
+
+
+def _sequence(tokens: list, at: int) -> tuple[set[str] | None, object, int]:
+    query, run, whole = True, {""}, True  # run: the strings of the last parts that are known exactly
+    while at < len(tokens) and tokens[at][0] not in ("bar", "close"):
+        kind, value = tokens[at]
+        own, at = True, at + 1
+        if kind == "open":
+            exact, own, at = _alternatives(tokens, at)
+            at += 1
+        elif kind == "behind":
             exact = {""}
+        else:
+            exact = _class_chars(value) if kind == "set" else {chr(int(value, 16)) if kind == "hex" else value}
+        if at < len(tokens) and tokens[at][0] == "times":
+            times, at = tokens[at][1], at + 1
+            inner = of_strings(exact) if exact is not None else own
+            if times == "?" and exact is not None:
+                exact = exact | {""}
+            else:
+                exact, own = None, True if times[0] in "?*" or times.startswith("{0") else inner
         query = both(query, own if exact is None else True)
         longer = _joined(run, exact) if exact is not None and len(exact) <= MOST_STRINGS else None
         if longer is not None:
             run = longer
         else:
-            broken()
-            if exact is not None and len(exact) <= MOST_STRINGS:
-                run = exact
-    if whole:
-        return run, of_strings(run)
-    return None, both(query, of_strings(run))
+            query, run, whole = both(query, of_strings(run)), exact if exact is not None else {""}, False
+    return (run, of_strings(run), at) if whole else (None, both(query, of_strings(run)), at)
 
 
 def trigram_query(rule: Rule):
     """The rule's Boolean query over lower-cased trigrams; True if none is mandatory."""
-    strings, query = _analyse(P.parse(rule.pattern, re.ASCII))
-    return _lower(of_strings(strings) if strings is not None else query)
+    return _lower(_alternatives(_tokens(rule.pattern), 0)[1])
 
 
 def _lower(query):
@@ -227,8 +231,8 @@ SPAN = "array<struct<kind:string,start:long,end:long>>"
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
     """One row per input row: key, spans (kind, start, end in code points, by start and then rule), base_sha256, spans_text.
 
-    A null text is empty and has no span. Rows with the same key or text are scanned each on its own. Further columns
-    of docs are not read.
+    A null or empty text has no span; texts may be of any length. Rows with the same key or text are scanned each on its
+    own; an empty table gives no rows. Further columns of docs are not read.
     """
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -262,7 +266,8 @@ def secrets_report(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rules=RULES) -> DataFrame:
-    """docs with every span in `text` replaced by mark (overlapping spans once); a null text stays null."""
+    """docs with every span in `text` replaced by mark (overlapping spans once), row by row; a null text stays null, and
+    further columns, whatever their names, stay as they are. An empty table gives no rows."""
     small_batches(docs.sparkSession)
 
     def clean(batches):
