@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, small_batches, text_views
+from .common import crc_mod, small_batches, text_views, written
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -30,7 +30,6 @@ class Settings:
     hash_bits: int = 17
     orders: tuple[int, ...] = (2, 3, 4)
     smoothing: float = 0.5
-    most_languages: int = 200  # the driver holds most_languages * 2**hash_bits counts at most
     weighing_rows: int = 20_000  # expected rows of the sample that weighs the classifiers; the counts take all rows
     ambiguous_below: float = 0.6  # a score below this is flagged
     piece: int = 1 << 18  # bytes of a text handled at once
@@ -102,48 +101,92 @@ class Model:
         return self.languages[best], score, score < self.settings.ambiguous_below
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
-    """Learns from all rows of docs whose text and lang are not null; no rows give a model that answers `und`."""
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+def counted(rows: DataFrame, settings: Settings) -> DataFrame:
+    """lang, bucket, n: how often each hashed n-gram occurs in the texts of each language; bucket -1 counts the texts."""
 
     def count(batches):
-        counts: dict[str, np.ndarray] = {}
-        n_docs: dict[str, int] = {}
+        held: dict[str, list] = {}
+        sizes: dict[str, int] = {}
+        texts: dict[str, int] = {}
+
+        def told(language):
+            n = np.bincount(np.concatenate(held.pop(language)), minlength=1 << settings.hash_bits)
+            at, texts_ = np.flatnonzero(n), texts.pop(language)
+            sizes[language] = 0
+            return pa.RecordBatch.from_pydict({"lang": [language] * (len(at) + 1), "bucket": np.append(at, -1), "n": np.append(n[at], texts_)})
+
         for batch in batches:
             for language, view in zip(batch.column("lang").to_pylist(), text_views(batch.column("text")), strict=True):
-                own = counts.setdefault(language, np.zeros(1 << settings.hash_bits, dtype=np.int64))
-                n_docs[language] = n_docs.get(language, 0) + 1
+                own = held.setdefault(language, [np.zeros(0, dtype=np.int64)])
+                texts[language] = texts.get(language, 0) + 1
                 for index in buckets(view, settings):
-                    np.add.at(own, index, 1)
-        for language, own in counts.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_pydict({"lang": [language] * (len(at) + 1), "bucket": np.append(at, -1), "n": np.append(own[at], n_docs[language])})
-
-    found = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # At most `most_languages` languages of 2**hash_bits buckets: a bound that doesn't follow the rows.
-    names = [r.lang for r in found.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(settings.most_languages).collect()]
-    languages = sorted(names)
+                    own.append(index)
+                    sizes[language] = sizes.get(language, 0) + len(index)
+                if sizes.get(language, 0) > 1 << 21:
+                    yield told(language)
+        for language in list(held):
+            yield told(language)
+
+    return rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def bit_odds(found: DataFrame, languages: list[str], code: np.ndarray, settings: Settings) -> np.ndarray:
+    """buckets x bits: the log odds of each hashed n-gram for each bit, worked out where the counts lie.
+
+    The driver gets 2^hash_bits rows of one number per bit, however many languages there are.
+    """
+    size, number = 1 << settings.hash_bits, {x: i for i, x in enumerate(languages)}
+    totals = {r.lang: r.n for r in found.where("bucket >= 0").groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row per language
+    per = 1.0 / np.array([totals.get(x, 0) + settings.smoothing * size for x in languages])
+    plus, minus = (code > 0) / np.maximum(1, (code > 0).sum(0)), (code < 0) / np.maximum(1, (code < 0).sum(0))
+    floor = settings.smoothing * per
+    step = 1 << max(0, settings.hash_bits - 8)
+
+    def odds(group: pa.Table) -> pa.Table:
+        at, n = group.column("bucket").to_numpy() % step, group.column("n").to_numpy()
+        lang = np.array([number[x] for x in group.column("lang").to_pylist()], dtype=np.int64)
+        sums = np.zeros((2, step, code.shape[1]))
+        for side, share in enumerate((plus, minus)):
+            np.add.at(sums[side], at, share[lang] * (n * per[lang])[:, None])
+            sums[side] += floor @ share
+        value = (np.log(sums[0]) - np.log(sums[1])).astype(np.float32)
+        first = group.column("part")[0].as_py() * step
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(step + 1) * code.shape[1], pa.int32()), pa.array(value.ravel()))
+        return pa.table({"bucket": np.arange(first, first + step), "odds": lists})
+
+    parts = found.where("bucket >= 0").withColumn("part", F.floor(F.col("bucket") / step).cast("long"))
+    got = parts.groupBy("part").applyInArrow(odds, "bucket long, odds array<float>").toArrow()
+    out = np.tile((np.log(floor @ plus) - np.log(floor @ minus)).astype(np.float32), (size, 1))  # of buckets that no text has
+    out[got.column("bucket").to_numpy()] = got.column("odds").combine_chunks().flatten().to_numpy().reshape(-1, code.shape[1])
+    return out
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> Model:
+    """Learns from all rows of docs whose text and lang are not null; no rows give a model that answers `und`.
+
+    All languages that occur are learned. Equal texts and repeated rows count each time; empty texts count as texts only.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    found = written(counted(rows, settings), "language-counts")
+    texts = {r.lang: r.n for r in found.where("bucket = -1").collect()}  # a row per language
+    languages = sorted(texts)
     if len(languages) < 2:
         return Model(languages, codewords(len(languages)), np.zeros((1, 0)), np.zeros((len(languages), 0)), np.zeros(0), settings)
-    got = found.where(F.col("bucket") >= 0).where(F.col("lang").isin(languages)).toPandas()
-    counts = np.zeros((len(languages), 1 << settings.hash_bits))
-    counts[got["lang"].map({x: i for i, x in enumerate(languages)}), got["bucket"]] = got["n"]
-    share = counts + settings.smoothing
-    share /= share.sum(1, keepdims=True)
     code = codewords(len(languages))
-    odds = np.stack([np.log(share[c > 0].mean(0)) - np.log(share[c < 0].mean(0)) for c in code.T], axis=1).astype(np.float32)
+    odds = bit_odds(found, languages, code, settings)
     model = Model(languages, code, odds, np.ones(code.shape), np.ones(code.shape[1]), settings)
-    total = sum(r.n for r in found.where("bucket = -1").collect())
-    every = max(1, total // settings.weighing_rows)
+    every = max(1, sum(texts.values()) // settings.weighing_rows)
     sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
 
+    number = {x: i for i, x in enumerate(languages)}
+
     def weigh(batches):
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for language, view in zip(batch.column("lang").to_pylist(), text_views(batch.column("text")), strict=True):
-                if language in languages and (out := model.outputs(view)) is not None:
-                    right = out * code[languages.index(language)] > 0
+                if (out := model.outputs(view)) is not None:
+                    right = out * code[number[language]] > 0
                     for b in range(code.shape[1]):
                         sums.setdefault((language, b), np.zeros(3))
                         sums[language, b] += (1, right[b], abs(out[b]))
@@ -155,7 +198,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Set
     size, n = np.zeros(code.shape[1]), np.zeros(code.shape[1])
     accuracy = np.full(code.shape, 0.5)
     for r in weighed.itertuples():
-        accuracy[languages.index(r.lang), r.bit] = r.right / r.n
+        accuracy[number[r.lang], r.bit] = r.right / r.n
         size[r.bit] += r.size
         n[r.bit] += r.n
     weight = np.maximum(accuracy, 0.01)
@@ -164,26 +207,31 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", settings: Set
     return model
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and ambiguous added (columns of these names are replaced).
+def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with a language, its score and whether it is ambiguous added, under names that docs must not have.
 
-    A null text or one without a letter gives `und`, score 0. Equal texts get equal answers.
+    A null or empty text, or one without a letter, gives `und`, score 0; texts may be of any length. Equal texts and
+    repeated rows get equal answers; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("lang_pred", "score", "ambiguous")
-    schema = T.StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    if taken := set(names) & set(docs.columns):
+        raise ValueError(f"docs has the columns {sorted(taken)} already; give other names")
+    schema = T.StructType(list(docs.schema.fields)).add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
 
     def predict(batches):
         for batch in batches:
             got = [model.predict(v) for v in text_views(batch.column(text))]
             columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(predict, schema)
 
 
 def language_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous: trained on the rows whose crc32(key) mod 3 is not 1."""
+    """doc_id, held_out, lang_pred, score, ambiguous: trained on the rows whose crc32(key) mod 3 is not 1.
+
+    One row per row of docs, whatever further columns it has; edge cases as in train() and identify().
+    """
     held = (crc_mod(key, 3) == 1).alias("held_out")
     model = train(docs.where(crc_mod(key, 3) != 1))
     return identify(docs.select(F.col(key).alias("doc_id"), held, "text"), model).drop("text")

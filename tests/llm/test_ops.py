@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -50,14 +51,25 @@ def test_bpe_round_trip(spark, tokenizer):
     assert sorted((r.doc_id is None, r.doc_id, bytes(r.decoded)) for r in back.collect() if r.doc_id is not None) == sorted((False, r.doc_id, (r.text or "").encode()) for r in docs.collect() if r.doc_id is not None)
 
 
-def test_bpe_long_and_short_queries_agree(tokenizer):
+def test_bpe_pieces_of_long_words(tokenizer):
     ranks, pattern, library = tokenizer
     codec, rnd = bpe.Codec(ranks, pattern), random.Random(5)
-    words = ["".join(rnd.choice("abcdeé") for _ in range(n)).encode() for n in (1, 2, 9, 40, 64, 65, 200)] + [b"a" * 130, b"ab" * 90]
+    words = ["".join(rnd.choice("abcdeé") for _ in range(n)).encode() for n in (1, 2, 9, 40, 64, 65, 200, 3000)] + [b"a" * 130, b"ab" * 90, b"-" * 999, "ÃÂ".encode() * 300]
     for w, ids in zip(words, codec.contract(words), strict=True):
         assert ids == library.encode_ordinary(w.decode())
 
 
+def test_bpe_long_unbroken_words(tokenizer):
+    """100,000 letters in a row take seconds and no disk."""
+    ranks, pattern, library = tokenizer
+    codec, rnd = bpe.Codec(ranks, pattern), random.Random(6)
+    word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    began = time.time()
+    assert codec.contract([word.encode()])[0] == library.encode_ordinary(word)
+    assert time.time() - began < 30
+    assert codec.db.execute("SELECT current_setting('temp_directory')").fetchone()[0] in ("", None)
+
+
 # ---- 2
 
 
@@ -453,6 +465,25 @@ def test_trigram_queries_lose_nothing():
     assert sum(q is True for q in scanner.queries) == 1  # only runs of hex digits have no mandatory trigram
 
 
+def test_rules_are_linear():
+    scanner = secret_scan.Scanner()
+    hard = ["://" + "a" * 1_000_000, "eyJ" * 330_000 + ".eyJ", "http://" + "u" * 1_000_000, ("token" + " " * 50) * 20_000, "-----BEGIN " + "A " * 500_000, "a://" * 250_000]
+    began = time.time()
+    for text in hard:
+        scanner.scan([memoryview(text.encode())])
+    assert time.time() - began < 20
+
+
+def test_trigram_queries_of_small_rules():
+    query = lambda p: secret_scan.trigram_query(secret_scan.Rule("x", p))
+    assert query("abcd") == ("and", "abc", "bcd")
+    assert query("(?:abc|xyz)+") == ("or", "abc", "xyz")
+    assert query(r"\x41bc?d*") is True and query("(?:abc)*") is True and query("[a-z]{5}") is True
+    assert query(r"(?<![a-z])a[bc]d") == ("or", "abd", "acd")
+    with pytest.raises(ValueError):
+        query("a.c")
+
+
 def test_redaction_keeps_rows(spark):
     docs = edge_docs(spark)
     clean = secret_scan.redact(docs)
@@ -515,6 +546,59 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert (held["lang_pred"] == held["lang"]).mean() >= 0.95
 
 
+def test_language_against_brute_force(spark, sf_dir):
+    """Counts, odds, weights and decoding worked out again in plain Python."""
+    conf = language_id.Settings(hash_bits=9, orders=(2, 3))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(120)
+    model = language_id.train(docs, settings=conf)
+    rows_ = [(r.text, r.lang) for r in docs.collect() if r.text is not None and r.lang is not None]
+
+    def grams(text):
+        raw = re.sub(rb" +", b" ", (" " + text.lower() + " ").encode().translate(language_id._BLANKED))
+        out = []
+        for n in conf.orders:
+            for i in range(len(raw) - n + 1):
+                code = n
+                for b in raw[i : i + n]:
+                    code = code << 8 | b
+                out.append((code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - conf.hash_bits)
+        return out
+
+    languages, size = sorted({x for _, x in rows_}), 1 << conf.hash_bits
+    counts = {x: collections.Counter() for x in languages}
+    for text, x in rows_:
+        counts[x].update(grams(text))
+    share = {x: [(counts[x][b] + conf.smoothing) / (sum(counts[x].values()) + conf.smoothing * size) for b in range(size)] for x in languages}
+    code = language_id.codewords(len(languages)).tolist()
+    bits = range(len(code[0]))
+    mean = lambda sign, bit, b: sum(share[x][b] for x, c in zip(languages, code, strict=True) if c[bit] == sign) / sum(c[bit] == sign for c in code)
+    odds = [[math.log(mean(1, bit, b)) - math.log(mean(-1, bit, b)) for bit in bits] for b in range(size)]
+    assert model.languages == languages and np.allclose(model.odds, odds, atol=1e-4)
+    outputs = lambda text: [sum(odds[g][bit] for g in own) / len(own) for own in [grams(text)] for bit in bits]
+    known = [(outputs(t), languages.index(x)) for t, x in rows_]
+    scale = [sum(abs(o[bit]) for o, _ in known) / len(known) for bit in bits]
+    right = [[np.mean([o[bit] * code[i][bit] > 0 for o, j in known if j == i]) for bit in bits] for i in range(len(languages))]
+    weight = [[max(w, 0.01) / sum(max(v, 0.01) for v in own) for w in own] for own in right]
+    for r in language_id.identify(docs, model).collect():
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert r.lang_pred == "und"
+            continue
+        margin = [min(20, max(-20, o / s)) for o, s in zip(outputs(r.text), scale, strict=True)]
+        loss = [sum(w * math.log1p(math.exp(-2 * c * m)) for w, c, m in zip(own, row, margin, strict=True)) for own, row in zip(weight, code, strict=True)]
+        chance = [math.exp(-(x - min(loss)) * len(bits) / 2) for x in loss]
+        assert r.lang_pred == languages[loss.index(min(loss))] or sorted(loss)[1] - min(loss) < 1e-6
+        assert r.score == pytest.approx(max(chance) / sum(chance), abs=1e-3)
+
+
+def test_many_languages_are_learned(spark):
+    """No language is left out, however many there are."""
+    rnd, names = random.Random(8), [f"l{i:03}" for i in range(230)]
+    own = {x: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(6)] for x in names}
+    docs = spark.createDataFrame([(i, " ".join(rnd.choices(own[x], k=40)), x, "s", 0) for i, x in enumerate(names * 3)], DOCS)
+    got = language_id.identify(docs, language_id.train(docs, settings=language_id.Settings(hash_bits=12))).toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.95
+
+
 def test_language_edges(spark):
     docs = edge_docs(spark, ["12345 !!", "ÜBER"])
     got = {r.doc_id: r for r in language_id.language_report(docs).collect()}
