@@ -13,28 +13,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
-from parley.llm.common import documents, written
+from parley.llm.common import documents, fresh, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = language_id.identify(docs, language_id.train(docs))
-    sure = named.where(F.col("lang_pred") != language_id.UNKNOWN)
-    return sure.withColumn("lang", F.when(F.col("ambiguous") & F.col("lang").isNotNull(), F.col("lang")).otherwise(F.col("lang_pred"))).select(docs.columns)
+    """Documents without a letter (null and empty ones too) go; equal and repeated rows fare alike."""
+    names = tuple(fresh(docs, x) for x in ("lang_pred", "score", "ambiguous"))
+    named = language_id.identify(docs, language_id.train(docs), names=names)
+    sure = named.where(F.col(names[0]) != language_id.UNKNOWN)
+    return sure.withColumn("lang", F.when(F.col(names[2]) & F.col("lang").isNotNull(), F.col("lang")).otherwise(F.col(names[0]))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text stays, of null and empty texts together one; of repeated rows one."""
     return exact_dedup.keep_first_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group stays, the one of the smallest doc_id; empty texts are one group; repeated rows count as one."""
     return near_dedup.keep_one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Every row stays; null texts stay null (n_chars too) and empty ones empty."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row is packed, repeated ones each on its own; null and empty texts have one token, very long ones are cut."""
     return packing.pack_documents(docs)
 
 
@@ -51,6 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the documents, each one's rows written before the next reads them; an empty table gives no rows.
+
+    Further columns of documents, whatever their names, pass all stages but the last as they are.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
