@@ -2,9 +2,10 @@
 
 Fingerprints of five-word shingles meet by the generalised pigeonhole of simhash.py. Texts of a Jaccard similarity of 0.8
 differ in 9.7 of 64 bits on average, which no affordable tolerance reaches, so texts also meet under a prefix filter:
-with all shingles in one order, two sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles. What
-met forms families, which hold every similar pair; within a family, texts of a Jaccard similarity of five-word shingles
-of at least 0.8 are joined.
+with all shingles in one order, two sets of that similarity share one of their first n - ceil(0.8 n) + 1 shingles. Pairs
+that met are held against each other by bitmaps of their shingles, which bound the similarity from above; the rest form
+families, which hold every similar pair. Within a family, texts of a Jaccard similarity of five-word shingles of at
+least 0.8 are joined.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ FAMILY, FAMILY_MB, LEADERS, ROUNDS = 5_000, 64, 64, 8
 #: Rows whose shingles are counted, the rows from which on a shingle is common, and so many of the most common ones.
 #: These only steer the cost: the filter is whole in any order of the shingles.
 COUNTED, COMMON, MOST_COMMON = 20_000, 3, 200_000
-#: Rows under one shingle that meet in pairs; more are linked in a chain.
-PAIRED = 8
+#: Rows under one shingle that meet in pairs; of more, neighbours meet first and then those that are still apart, in
+#: blocks of half of BLOCK rows.
+PAIRED, BLOCK = 8, 8_000
+#: Bytes of the bitmap of a text's shingles: of up to MANY shingles, and of more.
+BITMAP, LARGE_BITMAP, MANY = 256, 2048, 1600
 #: The shingle of texts without words.
 NO_SHINGLE = np.uint64(0)
 
@@ -62,33 +66,61 @@ def prefix_of(own: np.ndarray, common: np.ndarray, place: np.ndarray) -> np.ndar
 
 
 def prefixes(slim: DataFrame) -> DataFrame:
-    """digest, doc_id, n (distinct shingles), fp (SimHash of all shingles), prefix for digest, doc_id, text."""
+    """digest, doc_id, n (distinct shingles), fp (SimHash of all shingles), bits (bitmap), prefix for digest, doc_id, text."""
     found = common_shingles(slim)
     order = np.argsort(found)
     common, place = found[order], order  # order[i]: the rank of the i-th by value
 
     def run(batches):
         for batch in batches:
-            n, fps, out = [], [], []
+            n, fps, bits, out = [], [], [], []
             for view in text_views(batch.column("text")):
                 parts = list(simhash.shingle_hashes(view, WORDS_EACH))
                 own = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
                 n.append(len(own))
                 fps.append(simhash.fingerprint_of(parts))
+                bits.append(bitmap_of(own))
                 out.append(prefix_of(own, common, place).view(np.int64))
             offsets = pa.array(np.cumsum([0, *map(len, out)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), lists], names=["digest", "doc_id", "n", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(bits, pa.binary()), lists], names=["digest", "doc_id", "n", "fp", "bits", "prefix"])
 
-    return slim.mapInArrow(run, "digest string, doc_id long, n long, fp long, prefix array<long>")
+    return slim.mapInArrow(run, "digest string, doc_id long, n long, fp long, bits binary, prefix array<long>")
+
+
+def bitmap_of(own: np.ndarray) -> bytes:
+    """A bit for each shingle, by its hash."""
+    bits = np.zeros((BITMAP if len(own) <= MANY else LARGE_BITMAP) * 8, dtype=bool)
+    bits[own % np.uint64(len(bits))] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_alike(n_a: np.ndarray, bits_a: list, n_b: np.ndarray, bits_b: list) -> np.ndarray:
+    """Whether the bitmaps of pairs leave room for SIMILARITY: sets differ in at least as many shingles as bitmaps in bits."""
+    out = np.zeros(len(n_a), dtype=bool)
+    large_a, large_b = (np.array([len(x) > BITMAP for x in y], dtype=bool) for y in (bits_a, bits_b))
+    for large in (True, False):
+        at = np.flatnonzero((large_a & large_b) == large)
+        for some in np.split(at, range(4096, len(at), 4096)):
+            x, y = (np.stack([as_size(z[i], large) for i in some]) if len(some) else np.zeros((0, 1), np.uint64) for z in (bits_a, bits_b))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            every = n_a[some] + n_b[some]
+            out[some] = (every - apart) / 2 >= SIMILARITY / (1 + SIMILARITY) * every - 1e-6
+    return out
+
+
+def as_size(bits: bytes, large: bool) -> np.ndarray:
+    """A bitmap in 64-bit words; a large one folded to the small size unless large is wanted."""
+    words = np.frombuffer(bits, dtype="<u8")
+    return words if large or len(bits) == BITMAP else np.bitwise_or.reduce(words.reshape(-1, BITMAP // 8), axis=0)
 
 
 def meet(batches):
-    """Links a, b of rows that share a shingle, for rows s, n, place, row_id sorted by s, n, row_id.
+    """a, b, crowd for rows s, n, place, row_id sorted by s, n, row_id: pairs of rows that share a shingle (crowd false),
+    and shingles with their rows where more than PAIRED share one (crowd true).
 
-    Up to PAIRED rows of a shingle are linked where their sizes, and the shingles after this one, allow SIMILARITY; if
-    this is the first shingle that they share, a similar pair passes. More rows are linked to the next by size while
-    sizes allow it, and so each row to all of the sizes that may be alike.
+    Up to PAIRED rows of a shingle are paired where their sizes, and the shingles after this one, allow SIMILARITY; if
+    this is the first shingle that they share, a similar pair passes. Of more rows, neighbours by size are paired.
     """
     kept: list[np.ndarray] = []
 
@@ -108,8 +140,9 @@ def meet(batches):
             near &= np.where(many[x], step == 1, after * (1 + SIMILARITY) >= SIMILARITY * (n[x] + n[y]) - 1e-6)
             a.append(row[x[near]])
             b.append(row[y[near]])
-        none = np.zeros(0, dtype=np.int64)
-        return pa.RecordBatch.from_pydict({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+        a, b = np.concatenate([np.zeros(0, dtype=np.int64), *a]), np.concatenate([np.zeros(0, dtype=np.int64), *b])
+        crowd = np.append(np.zeros(len(a), dtype=bool), np.ones(int(many.sum()), dtype=bool))
+        return pa.RecordBatch.from_pydict({"a": np.append(a, s[many]), "b": np.append(b, row[many]), "crowd": crowd})
 
     for batch in batches:
         if not batch.num_rows:
@@ -135,11 +168,72 @@ def fingerprint_links(marked: DataFrame, rows: int) -> DataFrame:
     return apart.unionByName(same.where("row_id <> least").select(F.col("row_id").alias("a"), F.col("least").alias("b")))
 
 
+def verified_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The distinct pairs a, b whose bitmaps may_be_alike()."""
+    of = lambda c: marked.select(F.col("row_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    joined = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct().join(of("a"), "a").join(of("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            n = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b")]
+            bits = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b")]
+            good = pa.array(may_be_alike(n[0], bits[0], n[1], bits[1]))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def link_crowd(table: pa.Table) -> pa.Table:
+    """Links a, b between rows of one shingle and of several roots that join what all pairs which may_be_alike() join."""
+    table = table.combine_chunks()
+    rows, roots, n = (table.column(c).to_numpy() for c in ("row_id", "root", "n"))
+    bits = table.column("bits").to_pylist()
+    sizes = np.array([len(x) > BITMAP for x in bits])
+    small = np.stack([as_size(x, False) for x in bits])
+    large = np.zeros((len(bits), LARGE_BITMAP // 8 if sizes.any() else 0), dtype=np.uint64)
+    for i in np.flatnonzero(sizes):
+        large[i] = as_size(bits[i], True)
+    _, group = np.unique(roots, return_inverse=True)
+    out = []
+    for i in range(len(rows)):
+        at = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        if not len(at):
+            continue
+        fits = np.minimum(n[at], n[i]) >= SIMILARITY * np.maximum(n[at], n[i]) - 1e-9
+        at = at[fits]
+        both = sizes[at] & sizes[i]
+        apart = np.empty(len(at), dtype=np.int64)
+        apart[~both] = np.bitwise_count(small[at[~both]] ^ small[i]).sum(1, dtype=np.int64)
+        apart[both] = np.bitwise_count(large[at[both]] ^ large[i]).sum(1, dtype=np.int64)
+        every = n[at] + n[i]
+        for j in at[(every - apart) / 2 >= SIMILARITY / (1 + SIMILARITY) * every - 1e-6].tolist():
+            if group[j] != group[i]:
+                out.append((rows[i], rows[j]))
+                group[group == group[j]] = group[i]
+    return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def crowd_links(crowds: DataFrame, known: DataFrame, marked: DataFrame) -> DataFrame:
+    """Links between rows (b) under one shingle (a) that known (node, root) leaves apart; in blocks, each with each other."""
+    placed = crowds.join(known.select(F.col("node").alias("b"), "root"), "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
+    apart = placed.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    apart = apart.select("a", F.greatest(F.lit(1), F.ceil(2 * F.col("rows") / BLOCK)).cast("int").alias("k"))
+    rows = placed.join(apart, "a").join(marked.select(F.col("row_id").alias("b"), "n", "bits"), "b")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("b"), "k").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.where("k = 1 or own <> other").select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("b").alias("row_id"), "root", "n", "bits")
+    return rows.groupBy("a", "i", "j").applyInArrow(link_crowd, "a long, b long")
+
+
 def families(marked: DataFrame, rows: int) -> DataFrame:
     """row_id, family of the rows that may be alike to another row."""
     firsts = marked.select("row_id", "n", F.posexplode("prefix").alias("place", "s")).select("s", "n", F.col("place").cast("long").alias("place"), "row_id")
-    met = firsts.repartition("s").sortWithinPartitions("s", "n", "row_id").mapInArrow(meet, "a long, b long")
-    return components(met.unionByName(fingerprint_links(marked, rows))).select(F.col("node").alias("row_id"), F.col("root").alias("family"))
+    met = written(firsts.repartition("s").sortWithinPartitions("s", "n", "row_id").mapInArrow(meet, "a long, b long, crowd boolean").distinct(), "near-met")
+    pairs = met.where("not crowd").select("a", "b").unionByName(fingerprint_links(marked, rows))
+    known = written(components(verified_pairs(pairs, marked)), "near-known")
+    more = written(crowd_links(met.where("crowd").select("a", "b"), known, marked), "near-crowds")
+    if not more.isEmpty():
+        known = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return known.select(F.col("node").alias("row_id"), F.col("root").alias("family"))
 
 
 def shingles(view) -> np.ndarray:
@@ -306,17 +400,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     small_batches(docs.sparkSession)
     rows = docs.count()
     slim = docs.select(digest_of(key, text).alias("digest"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    marked = written(prefixes(slim).dropDuplicates(["digest"]).withColumn("row_id", F.monotonically_increasing_id()), "near-marked")
-    member = families(marked, rows).join(marked.select("row_id", "digest"), "row_id")
-    member = written(member, "near-families")
+    marked = written(prefixes(slim).withColumn("row_id", F.monotonically_increasing_id()), "near-marked")
+    # Repeats of a row have all shingles in common and so one family; the first stands for them.
+    member = families(marked, rows).join(marked.select("row_id", "digest", "doc_id"), "row_id")
+    member = written(member.groupBy("digest").agg(F.min(F.struct("row_id", "family", "doc_id")).alias("m")).select("digest", "m.*"), "near-families")
     some = in_bitmap(slim, F.xxhash64("digest"), row_bitmap(member.select(F.xxhash64("digest").alias("h")), "h", rows), rows, "member").where("member")
-    texts = written(some.select("digest", "text").dropDuplicates(["digest"]).join(member, "digest").select("row_id", "family", "text"), "near-texts")
+    texts = written(some.select("digest", "text").dropDuplicates(["digest"]).join(member.select("digest", "row_id", "family"), "digest").select("row_id", "family", "text"), "near-texts")
     sizes = texts.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
     large = written(sizes.where((F.col("n") > FAMILY) | (F.col("size") > FAMILY_MB << 20)).select("family", in_blocks("n", "size").alias("blocks")), "near-large")
     links = texts.join(large, "family", "left_anti").groupBy("family").applyInArrow(link_family, "a long, b long")
     if not large.isEmpty():
         links = links.unionByName(large_links(texts.join(large, "family")))
-    groups = written(components(links).join(marked.select(F.col("row_id").alias("node"), "doc_id", "digest"), "node"), "near-groups")
+    groups = written(components(links).join(member.select(F.col("row_id").alias("node"), "doc_id", "digest"), "node"), "near-groups")
     stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("stays"), F.count(F.lit(1)).alias("rows"))
     joined = join_groups(groups, written(stays, "near-stays"), "root", "rows", rows)
     return joined.where("node <> stays.node").select("digest", F.col("root").alias("group"))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -89,6 +90,7 @@ def test_cut_and_appended_copies_are_found(spark):
 def test_rows_of_a_common_shingle_stay_linked(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRED", 2)
     monkeypatch.setattr(near_dedup, "COMMON", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 6)
     texts = edited_copies(10, 5)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     assert {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()} == left_by_brute_force(texts)
@@ -109,6 +111,19 @@ def test_large_families_lose_no_link(spark, monkeypatch):
     assert {r.doc_id for r in near_dedup.keep_one_of_each(docs).collect()} == left_by_brute_force(texts)
 
 
+def test_bitmaps_lose_no_pair():
+    """The bound holds for every similar pair, across both sizes of bitmaps, and rules out most others."""
+    rng = np.random.default_rng(3)
+    kept, others = [], []
+    for n in (1, 5, 60, 500, 1500, 1650, 2500):
+        for share in (0.0, 0.05, 0.1, 0.3, 0.9):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.append(a[: max(1, round(len(a) * (1 - share)))], rng.integers(0, 1 << 63, round(n * share / 2), dtype=np.uint64)))
+            got = near_dedup.may_be_alike(np.array([len(a)]), [near_dedup.bitmap_of(a)], np.array([len(b)]), [near_dedup.bitmap_of(b)])[0]
+            (kept if near_dedup.alike(a, b) else others).append(got)
+    assert all(kept) and len(kept) > 10 and sum(others) < len(others) / 2
+
+
 def test_near_duplicates_edges(spark):
     docs = edge_docs(spark)
     kept = near_dedup.keep_one_of_each(docs)
