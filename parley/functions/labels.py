@@ -40,20 +40,34 @@ def unrepeated(text: Column) -> Column:
     return F.when((once != "") & (F.size(F.split(text, " ")) >= 6), once).otherwise(text)
 
 
+def folded(text: Column) -> Column:
+    """Lower case, ё as е."""
+    return F.translate(F.lower(text), "ё", "е")
+
+
 def fuzzy_score(text: Column, query: str) -> Column:
-    """Each query character in order: 1 and the streak so far each, 8 more at a word's start, less 0.05 per character of
-    the text; null if they don't all occur."""
-    wanted = query.lower()
-    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+    """Each query character in order: 1 and the streak so far (its own hit counted) each, 8 more at a word's start, less
+    0.05 per character of the text; null if they don't all occur, 0 for an empty query."""
+    wanted = query.lower().replace("ё", "е")
+    if not wanted:
+        return F.lit(0.0)
+    low = folded(text)
+    chars = F.filter(F.split(low, ""), lambda c: c != "")
     state = F.aggregate(
-        F.transform(chars, lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
+        chars,
         F.struct(F.lit(0).alias("at"), F.lit(0).alias("streak"), F.lit(0.0).alias("score"), F.lit(" ").alias("last")),
-        lambda s, x: F.when(
-            x["c"] == F.substring(F.lit(wanted + "\0"), s["at"] + 1, F.lit(1)),
-            F.struct((s["at"] + 1).alias("at"), (s["streak"] + 1).alias("streak"), (s["score"] + 1 + s["streak"] + F.when(s["last"].rlike(r"[\s\-_/]"), 8.0).otherwise(0.0)).alias("score"), x["c"].alias("last")),
-        ).otherwise(F.struct(s["at"].alias("at"), F.lit(0).alias("streak"), s["score"].alias("score"), x["c"].alias("last"))),
+        lambda s, c: F.when(
+            c == F.substring(F.lit(wanted + "\0"), s["at"] + 1, F.lit(1)),
+            F.struct((s["at"] + 1).alias("at"), (s["streak"] + 1).alias("streak"), (s["score"] + 2 + s["streak"] + F.when(s["last"].rlike(r"[\p{L}\p{N}]"), 0.0).otherwise(8.0)).alias("score"), c.alias("last")),
+        ).otherwise(F.struct(s["at"].alias("at"), F.lit(0).alias("streak"), s["score"].alias("score"), c.alias("last"))),
     )
-    return F.when(state["at"] == len(wanted), F.round(state["score"] - 0.05 * F.char_length(text), 4))
+    return F.when(state["at"] == len(wanted), F.round(state["score"] - 0.05 * F.char_length(low), 4))
+
+
+def fuzzy_filter(rows, query: str, text: str, order: str):
+    """The rows that fit a query, with score, best first and then in their order; an empty query lets all pass."""
+    scored = rows.withColumn("score", fuzzy_score(F.col(text), query)).where("score is not null")
+    return scored.orderBy(F.desc("score"), order) if query else scored.orderBy(order)
 
 
 def route_of_processing(provider: Column, path: Column) -> Column:

@@ -1,102 +1,190 @@
-"""Ordered folds that no window expresses: each key's rows meet in one task, which a limit guards."""
+"""Ordered folds that no window expresses.
 
-from __future__ import annotations
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-#: Rows of one key in one task; a key with more ends the job with an error.
-MOST_ROWS = 500_000
+Rows are dealt by key and sorted; a task then goes through them once and holds one small state, never a key's rows. So a
+key may have any number of rows: Spark's sort spills, and Python sees one batch at a time.
+"""
 
+from __future__ import annotations
 
-def _guarded(fold):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_ROWS:
-            raise ValueError(f"more than {MOST_ROWS} rows of one key")
-        return fold(group)
+from collections import deque
 
-    return run
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
+
+
+class Fold:
+    """The state of one key. row() takes the columns of a row after the key and returns finished rows, end() the last ones."""
+
+    def row(self, *values) -> list[tuple]:
+        raise NotImplementedError
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def in_order(rows: DataFrame, order: list, fold: type[Fold], schema: str, *settings) -> DataFrame:
+    """What a fold makes of the rows of each key (the first column) in order; key comes first in the output too."""
+    key, columns = rows.columns[0], rows.columns
+    kind = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for values in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if state is None or values[0] != now:
+                    if state is not None:
+                        out += [(now, *x) for x in state.end()]
+                    now, state = values[0], fold(*settings)
+                out += [(now, *x) for x in state.row(*values[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+        if state is not None:
+            out = [(now, *x) for x in state.end()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kind)
+
+
+class _TokenWindows(Fold):
+    def __init__(self, budget: int):
+        self.budget, self.number, self.n, self.total = budget, 0, 0, 0
+        self.first = self.last = self.size = None
+
+    def row(self, order, size):
+        done = []
+        if self.n and self.total + size <= self.budget:
+            self.n, self.total = self.n + 1, self.total + size
+        else:
+            if self.n:
+                done = self.end()
+                self.number += 1
+            if self.n > 1 and self.size + size <= self.budget:
+                self.first, self.n, self.total = self.last, 2, self.size + size
+            else:
+                self.first, self.n, self.total = order, 1, size
+        self.last, self.size = order, size
+        return done
+
+    def end(self):
+        return [(self.number, self.first, self.last, self.n, self.total)]
 
 
 def token_windows(rows: DataFrame, key: str, order: str, tokens: str, budget: int = 350) -> DataFrame:
     """key, window, first, last, n, tokens: greedy windows of at most `budget` tokens. A window of several rows lends
-    its last row to the next one; a row over the budget stands alone."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        sizes, orders, out = group[tokens].tolist(), group[order].tolist(), []
-        start = 0
-        while start < len(sizes):
-            end, total = start + 1, sizes[start]
-            while end < len(sizes) and total + sizes[end] <= budget:
-                total += sizes[end]
-                end += 1
-            out.append((orders[start], orders[end - 1], end - start, total))
-            if end == len(sizes):
-                break
-            start = end - 1 if end - start > 1 and sizes[end - 1] + sizes[end] <= budget else end
-        made = pd.DataFrame(out, columns=["first", "last", "n", "tokens"])
-        made.insert(0, "window", range(len(made)))
-        made.insert(0, key, group[key].iloc[0])
-        return made
-
+    its last row to the next one; a row over the budget stands alone. Rows of equal order go by their tokens."""
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, order, tokens).groupBy(key).applyInPandas(_guarded(fold), f"{key} {kind}, window long, first long, last long, n long, tokens long")
+    slim = rows.select(key, F.col(order).cast("long").alias(order), F.col(tokens).cast("long").alias(tokens))
+    return in_order(slim, [order, tokens], _TokenWindows, f"{key} {kind}, window long, first long, last long, n long, tokens long", budget)
+
+
+class _Budget(Fold):
+    def __init__(self, budget: int, per_source: int):
+        self.left, self.per_source, self.texts, self.sources, self.place = budget, per_source, set(), {}, 0
+
+    def row(self, rank, passage_id, source, text, tokens):
+        if tokens > self.left or text in self.texts or self.sources.get(source, 0) >= self.per_source:
+            return []
+        self.texts.add(text)
+        self.sources[source] = self.sources.get(source, 0) + 1
+        self.left -= tokens
+        self.place += 1
+        return [(passage_id, self.place)]
 
 
 def budget_selection(hits: DataFrame, key: str, budget: int = 5500, per_source: int = 3) -> DataFrame:
     """key, passage_id, place of hits (key, passage_id, source, text, tokens, rank) taken in rank order: no text twice,
-    at most per_source of a source, and none that would exceed the budget (later, smaller ones may still fit)."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "passage_id"], kind="stable")
-        texts, sources, left, out = set(), {}, budget, []
-        for r in group.itertuples():
-            if r.text in texts or sources.get(r.source, 0) >= per_source or r.tokens > left:
-                continue
-            texts.add(r.text)
-            sources[r.source] = sources.get(r.source, 0) + 1
-            left -= r.tokens
-            out.append(r.passage_id)
-        return pd.DataFrame({key: group[key].iloc[0] if len(group) else None, "passage_id": out, "place": range(1, len(out) + 1)})
+    at most per_source of a source, and none that would exceed the budget (later, smaller ones may still fit).
 
+    What can't be taken goes before the fold: the budget left only falls, so of the rows of a source with t tokens (t > 0)
+    and texts of their own at most per_source + budget / t come into question, the best ranked.
+    """
     kind = hits.schema[key].dataType.simpleString()
-    return hits.select(key, "passage_id", "source", "text", "tokens", "rank").groupBy(key).applyInPandas(_guarded(fold), f"{key} {kind}, passage_id long, place long")
+    fit = hits.where(F.col("tokens") <= budget).groupBy(key, "source", "tokens", "text").agg(F.min(F.struct("rank", "passage_id")).alias("best")).select(key, "source", "tokens", "text", "best.rank", "best.passage_id")
+    place = F.row_number().over(Window.partitionBy(key, "source", "tokens").orderBy("rank", "passage_id"))
+    few = fit.where("tokens > 0").withColumn("place", place).where(F.col("place") <= per_source + F.floor(F.lit(budget) / F.col("tokens"))).drop("place")
+    rows = few.unionByName(fit.where("tokens <= 0")).select(key, F.col("rank").cast("long"), F.col("passage_id").cast("long"), "source", "text", F.col("tokens").cast("long"))
+    return in_order(rows, ["rank", "passage_id"], _Budget, f"{key} {kind}, passage_id long, place long", budget, per_source)
+
+
+class _Lanes(Fold):
+    def __init__(self):
+        self.ends, self.reach, self.cluster = [], None, -1
+
+    def row(self, start, end, item):
+        if self.reach is None or start >= self.reach:
+            self.ends, self.reach, self.cluster = [], end, self.cluster + 1
+        lane = next((i for i, e in enumerate(self.ends) if e <= start), len(self.ends))
+        self.ends[lane : lane + 1] = [end]
+        self.reach = max(self.reach, end)
+        return [(item, start, end, lane, self.cluster)]
 
 
 def lanes(rows: DataFrame, key: str, item: str, start: str, end: str) -> DataFrame:
-    """rows with lane (the first that is free at their start) and width (lanes of their cluster of overlapping rows)."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([start, end, item], ascending=[True, False, True], ignore_index=True)
-        ends, lane, cluster, reach, widths = [], [], [], None, []
-        for a, b in zip(group[start].tolist(), group[end].tolist(), strict=True):
-            if reach is None or a >= reach:
-                ends, reach = [], b
-                widths.append(0)
-            i = next((i for i, e in enumerate(ends) if e <= a), len(ends))
-            ends[i : i + 1] = [b]
-            reach = max(reach, b)
-            widths[-1] = max(widths[-1], len(ends))
-            lane.append(i)
-            cluster.append(len(widths) - 1)
-        return group.assign(lane=lane, width=[widths[c] for c in cluster])
-
-    slim = rows.select(key, item, start, end)
-    return slim.groupBy(key).applyInPandas(_guarded(fold), T.StructType([*slim.schema.fields, T.StructField("lane", T.LongType()), T.StructField("width", T.LongType())]))
+    """key, item, start, end with lane (the first that is free at their start) and width (lanes of their cluster of
+    overlapping rows). The state is the ends of the lanes in use."""
+    kind, own = rows.schema[key].dataType.simpleString(), rows.schema[item].dataType.simpleString()
+    slim = rows.select(key, F.col(start).cast("long").alias(start), F.col(end).cast("long").alias(end), item)
+    laid = in_order(slim, [start, F.desc(end), item], _Lanes, f"{key} {kind}, {item} {own}, {start} long, {end} long, lane long, cluster long")
+    return laid.withColumn("width", F.max(F.col("lane") + 1).over(Window.partitionBy(key, "cluster"))).drop("cluster")
+
+
+class _Cooldown(Fold):
+    def __init__(self, pause: float):
+        self.pause, self.last = pause, None
+
+    def row(self, t, item):
+        emitted = self.last is None or t - self.last >= self.pause
+        self.last = t if emitted else self.last
+        return [(item, t, emitted)]
 
 
 def cooled_down(rows: DataFrame, key: str, item: str, seconds_col: str, pause: float) -> DataFrame:
-    """rows with emitted: false within `pause` seconds of the last emitted row of the key."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([seconds_col, item], ignore_index=True)
-        last, out = None, []
-        for t in group[seconds_col].tolist():
-            out.append(last is None or t - last >= pause)
-            last = t if out[-1] else last
-        return group.assign(emitted=out)
-
-    slim = rows.select(key, item, seconds_col)
-    return slim.groupBy(key).applyInPandas(_guarded(fold), T.StructType([*slim.schema.fields, T.StructField("emitted", T.BooleanType())]))
+    """key, item, seconds with emitted: false within `pause` seconds of the last emitted row of the key.
+
+    A row that comes `pause` or more after the one before is always emitted, so stretches between such gaps are folded
+    apart from each other.
+    """
+    kind, own, number = (rows.schema[c].dataType.simpleString() for c in (key, item, seconds_col))
+    w = Window.partitionBy(key).orderBy(seconds_col, item)
+    fresh = F.coalesce(F.col(seconds_col) - F.lag(seconds_col).over(w) >= pause, F.lit(True)).cast("long")
+    cut = rows.select(key, item, seconds_col).withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    slim = cut.select(F.struct(key, "_part").alias("_key"), seconds_col, item)
+    folded = in_order(slim, [seconds_col, item], _Cooldown, f"_key struct<{key}:{kind},_part:bigint>, {item} {own}, {seconds_col} {number}, emitted boolean", pause)
+    return folded.select(f"_key.{key}", item, seconds_col, "emitted")
+
+
+class _Quietest(Fold):
+    def __init__(self, target: int, slack: int):
+        self.target, self.slack, self.start, self.number, self.last = target, slack, None, 0, None
+        self.held: deque = deque()  # samples from the earliest place of the next cut on
+
+    def row(self, ts, value):
+        self.start = ts if self.start is None else self.start
+        done = []
+        while ts - self.start > self.target + self.slack:
+            low, high = self.start + self.target - self.slack, self.start + self.target + self.slack
+            inside = [(v, t) for t, v in self.held if low <= t <= high]
+            cut = min(inside)[1] if inside else self.start + self.target
+            done.append((self.number, self.start, cut))
+            self.start, self.number = cut, self.number + 1
+            while self.held and self.held[0][0] < cut + self.target - self.slack:
+                self.held.popleft()
+        if ts >= self.start + self.target - self.slack:
+            self.held.append((ts, value))
+        self.last = ts
+        return done
+
+    def end(self):
+        return [(self.number, self.start, self.last)]
+
+
+def adaptive_windows(samples: DataFrame, target_ms: int, slack_ms: int) -> DataFrame:
+    """key, window, start_ms, end_ms: consecutive windows of about target_ms per key of samples (key, ts_ms, value), cut
+    at the quietest sample within slack_ms of the target. The state is the samples of one such stretch."""
+    rows = samples.select("key", F.col("ts_ms").cast("long").alias("ts_ms"), "value")
+    return in_order(rows, ["ts_ms", "value"], _Quietest, "key long, window long, start_ms long, end_ms long", target_ms, slack_ms)

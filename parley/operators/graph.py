@@ -1,34 +1,53 @@
-"""Connected components by label propagation with shortcuts."""
+"""Connected components of a table of links, by alternating large and small stars."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{folder}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: lineage is cut and a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes the files behind a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links (a, b) to node, root: the smallest node that each linked node reaches.
+    """links: two columns a, b. Returns node, root: every node of a link with the smallest node it can reach.
 
-    In each round a node takes the smallest label among its neighbours' and its own, and then the label of its label;
-    rounds are stored, so lineage doesn't grow.
+    Self links and repeated links change nothing; no links give no rows. Each round is a written table, deleted after the
+    next; the number of rounds grows with the logarithm of the longest path. Hubs are pre-aggregated before they are joined.
     """
-    both = _stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _stored(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")))
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges, before = stored(edges, "links"), None
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
-        moved = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "near").alias("root"))
-        jump = moved.select(F.col("node").alias("via"), F.col("root").alias("further"))
-        after = _stored(moved.join(jump, F.col("root") == F.col("via"), "left").select("node", F.least("root", F.coalesce("further", "root")).alias("root")))
-        if after.join(labels.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
-            return after
-        labels = after
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before or not now[0]:
+            break
+        before, last = now, edges
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        removed(last)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

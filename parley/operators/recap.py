@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .graph import stored
+
 FOUND = 0.90
-#: Items of one recap folded in one task; more are an error rather than a silent loss.
-MOST_ITEMS = 100_000
 
 ITEM = T.StructType([T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("quote", T.StringType())])
 RECAP = T.StructType(
@@ -55,29 +54,32 @@ def evidence_state(quote: Column, score: Column) -> Column:
 def keep_unlike(rows: DataFrame, key: str, order: str, text: str, most: float = 0.7) -> DataFrame:
     """rows with kept: a row stays unless its words are at least `most` alike (Jaccard) to a row kept before it.
 
-    The fold depends on order and isn't transitive, so each key's rows meet in one task; a key with more than
-    MOST_ITEMS rows ends the job. Kept rows are looked up by shared words, rarest first.
+    Rows of equal words fall to the first of them. Others meet under their rarest words: with the words of a key in one
+    order, alike sets share one of their first n - ceil(most n) + 1. What is kept is then settled in rounds: a row that
+    no undecided row before it is alike to stays, and the later ones alike to it go. Rows without words stay.
     """
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_ITEMS:
-            raise ValueError(f"more than {MOST_ITEMS} items of one key")
-        group = group.sort_values([order, text], ignore_index=True)
-        by_word: dict[str, list[int]] = {}
-        sets, kept = [], []
-        for i, value in enumerate(group[text].fillna("")):
-            own = set(value.lower().split())
-            near: dict[int, int] = {}
-            for w in own:
-                for j in by_word.get(w, ()):
-                    near[j] = near.get(j, 0) + 1
-            unlike = all(n < most * (len(own) + len(sets[j]) - n) for j, n in near.items())
-            sets.append(own)
-            kept.append(unlike)
-            if unlike:
-                for w in own:
-                    by_word.setdefault(w, []).append(i)
-        return group.assign(kept=kept)
-
-    slim = rows.select(key, order, text)
-    return slim.groupBy(key).applyInPandas(fold, T.StructType([*slim.schema.fields, T.StructField("kept", T.BooleanType())]))
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != ""))
+    own = stored(rows.select(key, order, text, words.alias("_w")).withColumn("_id", F.monotonically_increasing_id()))
+    same = F.array_sort("_w")
+    nodes = stored(own.where(F.size("_w") > 0).groupBy(key, same.alias("_w")).agg(F.min(F.struct(order, text, F.col("_id").alias("id"))).alias("_at")))
+    met = nodes.select(key, F.col("_at.id").alias("id"), "_at", F.size("_w").alias("n"), F.explode("_w").alias("w"))
+    counts = met.groupBy(key, "w").agg(F.count(F.lit(1)).alias("df"))
+    ranked = met.join(counts, [key, "w"]).groupBy(key, "id", "n").agg(F.any_value("_at").alias("_at"), F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    first = ranked.select(key, "id", "n", "_at", F.explode(F.expr(f"slice(ws, 1, n - cast(ceil({most} * n - 1e-9) as int) + 1)")).alias("x")).where("x.df > 1").select(key, "id", "n", "_at", "x.w")
+    a, b = (first.select(key, "w", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "_at"))) for s in ("a", "b"))
+    near = a.join(b, [key, "w"]).where("_at_a < _at_b").where(f"least(n_a, n_b) >= {most} * greatest(n_a, n_b) - 1e-9").select("id_a", "id_b").distinct()
+    of = lambda s: nodes.select(F.col("_at.id").alias(f"id_{s}"), F.col("_w").alias(f"w_{s}"))
+    both = F.size(F.array_intersect("w_a", "w_b"))
+    edges = near.join(of("a"), "id_a").join(of("b"), "id_b").where(both >= most * (F.size("w_a") + F.size("w_b") - both)).select("id_a", "id_b")
+    edges, gone = stored(edges), None
+    while not edges.isEmpty():
+        later = edges.select(F.col("id_b").alias("id_a")).distinct()
+        drop = stored(edges.join(later, "id_a", "left_anti").select(F.col("id_b").alias("id")).distinct())
+        gone = drop if gone is None else gone.unionByName(drop)
+        left = edges.join(drop.select(F.col("id").alias("id_b")), "id_b", "left_anti").join(drop.select(F.col("id").alias("id_a")), "id_a", "left_anti")
+        edges = stored(left.join(later, "id_a", "left_semi"))
+    kept = nodes.select(F.col("_at.id").alias("_id"))
+    if gone is not None:
+        kept = kept.join(gone.select(F.col("id").alias("_id")), "_id", "left_anti")
+    joined = own.join(kept.withColumn("_kept", F.lit(True)), "_id", "left")
+    return joined.select(key, order, text, (F.coalesce("_kept", F.lit(False)) | (F.size("_w") == 0)).alias("kept"))

@@ -9,16 +9,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import words
-from .graph import _stored
+from ..functions.text import squeezed, words
+from .bitmaps import in_bitmap, row_bitmap
+from .graph import stored
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 MOST_TERMS = 12
-#: Words that say nothing about what is asked; a list for each language the engine serves.
+#: Words that say nothing about what is asked, a list for each language. They decide what is found.
 STOP_WORDS = {
+    "ru": frozenset(
+        """
+        что чем чём кто кого как где когда почему зачем сколько какой какая какое какие по
+        за на не ни но же ли бы из до от об под при для про
+        это эти этот эта там тут был были было была есть будет мы вы он она
+        они нам вам его нас вас их такой такая такое итог итоге итогу всё все или
+        сегодня вчера позавчера назад неделю неделе недели неделя месяц месяца месяце году года год квартал квартала
+        квартале прошлой прошлом прошлый прошлую прошлого
+        """.split()
+    ),
     "en": frozenset("the and for was what who when where how why did does about with from that this which have has are were our you they".split()),
-    "ru": frozenset("что кто как где когда или для про при это его она они мы вы был была было были на по из".split()),
 }
 
 
@@ -109,6 +119,35 @@ def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFr
     return asked.agg(F.avg(F.col("rank").isNotNull().cast("double")).alias("hit_rate"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
 
 
+#: Words of an item under which it meets passages.
+GRAM = 5
+
+
+def occurrences(passages: DataFrame, items: DataFrame) -> DataFrame:
+    """item_id, passage_id: the passages in which the words of an item (lower-cased) stand in a row, as whole words.
+
+    An item meets passages under one run of GRAM of its words, or under all of them if it has fewer; a bitmap of these
+    runs keeps other runs from being moved. What met is verified on the texts. Items without words occur nowhere.
+    """
+    split = lambda: F.filter(F.split(squeezed(F.col("text")), " "), lambda w: w != "")
+    run = lambda ws, n: f"transform(sequence(0, size({ws}) - {n}), i -> xxhash64({n}, array_join(slice({ws}, i + 1, {n}), ' ')))"
+    own = stored(items.select("item_id", F.concat(F.lit(" "), F.array_join(split(), " "), F.lit(" ")).alias("item"), split().alias("w"), F.least(F.lit(GRAM), F.size(split())).alias("n")).where("n > 0"))
+    lengths = [r.n for r in own.select("n").distinct().collect()]  # GRAM at most
+    if not lengths:
+        return passages.select(F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), "passage_id").where(F.lit(False))
+    key = F.coalesce(*(F.when(F.col("n") == n, F.array_min(F.expr(run("w", n)))) for n in lengths))
+    keys = stored(own.select("item_id", "item", key.alias("h")))
+    runs = F.concat(*(F.when(F.size("w") >= n, F.expr(run("w", n))).otherwise(F.array().cast("array<bigint>")) for n in lengths))
+    rows = keys.count()
+    told = passages.select("passage_id", split().alias("w")).select("passage_id", F.explode(F.array_distinct(runs)).alias("h"))
+    met = in_bitmap(told, F.col("h"), row_bitmap(keys, "h", rows), rows, "known").where("known").join(keys.select("item_id", "h"), "h")
+    pairs = stored(met.select("item_id", "passage_id").distinct())
+    found = row_bitmap(pairs.select(F.xxhash64("passage_id").alias("h")), "h", rows)
+    texts = in_bitmap(passages.select("passage_id", "text"), F.xxhash64("passage_id"), found, rows, "met").where("met")
+    whole = F.concat(F.lit(" "), F.array_join(split(), " "), F.lit(" "))
+    return pairs.join(texts.select("passage_id", whole.alias("whole")), "passage_id").join(keys.select("item_id", "item"), "item_id").where(F.contains("whole", "item")).select("item_id", "passage_id")
+
+
 #: Vectors of a cell that one task compares with as many others, the vectors for which there is one pivot, and so many
 #: pivots at most. They steer the cost, never the links.
 BLOCK, FOR_A_PIVOT, MOST_PIVOTS = 4096, 2048, 1024
@@ -153,7 +192,7 @@ def similar_links(vectors: DataFrame, least: float) -> DataFrame:
     import pyarrow as pa
 
     usable = vectors.where(F.forall("vec", lambda x: x.isNotNull())).withColumn("norm", F.sqrt(dot(F.col("vec"), F.col("vec")))).where("norm > 0 and not isnan(norm) and norm < double('infinity')")
-    first = _stored(usable.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.first("norm").alias("norm")))
+    first = stored(usable.groupBy("vec").agg(F.min("vec_id").alias("vec_id"), F.first("norm").alias("norm")))
     equal = usable.where("norm * norm > 1e-12").join(first.select("vec", F.col("vec_id").alias("b")), "vec").select(F.col("vec_id").alias("a"), "b").where("a <> b")
     few = max(1, min(MOST_PIVOTS, first.count() // FOR_A_PIVOT))
     chosen = [np.array(r.vec) / r.norm for r in first.orderBy(F.xxhash64("vec_id"), "vec_id").limit(few).collect()]  # MOST_PIVOTS rows at most
@@ -177,7 +216,7 @@ def similar_links(vectors: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), batch.column("norm"), pa.array(home, pa.int64()), pa.array(angle, pa.float64())], names=["vec_id", "vec", "norm", "home", "angle"])
 
     kind = first.schema["vec_id"].dataType.simpleString()
-    lived = _stored(first.select("vec_id", "vec", "norm").mapInArrow(homes, f"vec_id {kind}, vec array<double>, norm double, home long, angle double"))
+    lived = stored(first.select("vec_id", "vec", "norm").mapInArrow(homes, f"vec_id {kind}, vec array<double>, norm double, home long, angle double"))
     reach = {r.home: r.reach for r in lived.groupBy("home").agg(F.max("angle").alias("reach")).where("home >= 0").collect()}  # a row for each pivot
 
     def visits(batches):
@@ -197,11 +236,11 @@ def similar_links(vectors: DataFrame, least: float) -> DataFrame:
                 out.append(numbers[~far & (numbers > home)].tolist())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), batch.column("home"), pa.array(out, pa.list_(pa.int64()))], names=["vec_id", "vec", "home", "cells"])
 
-    went = _stored(lived.mapInArrow(visits, f"vec_id {kind}, vec array<double>, home long, cells array<long>"))
+    went = stored(lived.mapInArrow(visits, f"vec_id {kind}, vec array<double>, home long, cells array<long>"))
     own = went.select(F.col("home").alias("cell"), F.lit(0).alias("side"), "vec_id", "vec")
     guests = went.select(F.explode("cells").alias("cell"), F.lit(1).alias("side"), "vec_id", "vec")
     sizes = own.select("cell", "side").unionByName(guests.select("cell", "side")).groupBy("cell").agg(*(F.ceil(F.sum((F.col("side") == x).cast("long")) / BLOCK).cast("int").alias(f"k{x}") for x in (0, 1)))
-    sizes = _stored(sizes)
+    sizes = stored(sizes)
     number = lambda k: F.pmod(F.xxhash64("vec_id"), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     met = own.join(sizes, "cell").withColumn("n", number("k0"))

@@ -76,25 +76,50 @@ def recap_problems(spark, sf):
     return c.withColumn("doc", doc).select("call_id", F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("problems"))
 
 
-@query(sql("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'the') THEN 'ok' ELSE 'not_found' END AS state FROM turns WHERE length(text) < 3", TURNS).replace(" WHERE length(text) < 3", "").replace("CASE WHEN contains(lower(text), 'the') THEN 'ok' ELSE 'not_found' END", "CASE WHEN trim(substr(text, 5, 40)) = '' THEN 'empty' ELSE 'ok' END"))
+_QUOTED = """q AS (SELECT conv_id, turn, text, CASE turn % 4 WHEN 0 THEN substr(text, 5, 40) WHEN 1 THEN substr(text, 5, 20) || '#' || substr(text, 26, 20) WHEN 2 THEN reverse(substr(text, 5, 40)) END AS quote FROM turns)"""
+_SCORED = """scored AS (SELECT *, CASE WHEN trim(quote) = '' THEN 0 WHEN contains(text, quote) THEN 1 ELSE list_max(list_transform(generate_series(1, greatest(1, length(text) - length(quote) + 1)), lambda i: 1 - levenshtein(substr(text, i, length(quote)), quote) / length(quote)::DOUBLE)) END AS score FROM q)"""
+
+
+@query(sql("SELECT conv_id, turn, CASE WHEN quote IS NULL THEN 'missing' WHEN trim(quote) = '' THEN 'empty' WHEN score < 0.9 THEN 'not_found' ELSE 'ok' END AS state FROM scored", TURNS, _QUOTED, _SCORED))
 def evidence_found(spark, sf):
-    """Quotes cut from the turns themselves are found in them; blank ones are empty."""
-    quote = F.substring("text", 5, 40)
-    return turns(spark, sf).select("conv_id", "turn", recap.evidence_state(quote, F.when(F.trim(quote) == "", 0.0).otherwise(recap.window_similarity(F.col("text"), quote))).alias("state"))
+    """Quotes held against the whole turn: cut from it, cut with one character changed, reversed, and none at all."""
+    t, k = F.col("text"), F.col("turn") % 4
+    changed = F.concat(F.substring(t, 5, 20), F.lit("#"), F.substring(t, 26, 20))
+    quote = F.when(k == 0, F.substring(t, 5, 40)).when(k == 1, changed).when(k == 2, F.reverse(F.substring(t, 5, 40)))
+    q = turns(spark, sf).withColumn("quote", quote)
+    score = F.when(F.trim("quote") == "", 0.0).otherwise(recap.window_similarity(t, F.col("quote")))
+    return q.select("conv_id", "turn", recap.evidence_state(F.col("quote"), score).alias("state"))
+
 
+_NUMBERED = "t AS (SELECT conv_id, turn, text, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM turns)"
+_KEPT = """kept AS (SELECT conv_id, turn, text, i, true AS kept, CASE WHEN len(w) > 0 THEN [w] ELSE [] END AS held FROM t WHERE i = 1 UNION ALL
+ SELECT t.conv_id, t.turn, t.text, t.i, ok, CASE WHEN ok AND len(t.w) > 0 THEN list_append(held, t.w) ELSE held END FROM (SELECT t.*, k.held, len(list_filter(k.held, lambda h: len(list_intersect(h, t.w)) >= 0.7 * len(list_distinct(list_concat(h, t.w))))) = 0 AS ok FROM kept k JOIN t ON t.conv_id = k.conv_id AND t.i = k.i + 1) t)"""
 
-@query()
+
+@query("WITH RECURSIVE " + ", ".join((TURNS, _NUMBERED, _KEPT)) + " SELECT conv_id, turn, text, kept FROM kept")
 def jaccard_keep_first(spark, sf):
     """Turns that aren't near copies of an earlier turn of their conversation."""
     return recap.keep_unlike(turns(spark, sf), "conv_id", "turn", "text")
 
 
-@query()
+_SIZED = "t AS (SELECT conv_id, turn, strlen(text) // 4 AS size, row_number() OVER w AS i, lag(turn) OVER w AS before, lag(strlen(text) // 4) OVER w AS lent FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, strlen(text) // 4))"
+_WINDOWED = """s AS (SELECT conv_id, i, 0 AS win, turn AS first, turn AS last, 1 AS n, size AS total FROM t WHERE i = 1 UNION ALL
+ SELECT conv_id, i, CASE WHEN fits THEN win ELSE win + 1 END, CASE WHEN fits THEN first WHEN lends THEN before ELSE turn END, turn, CASE WHEN fits THEN n + 1 WHEN lends THEN 2 ELSE 1 END, CASE WHEN fits THEN total + size WHEN lends THEN lent + size ELSE size END
+ FROM (SELECT t.*, s.win, s.first, s.n, s.total, s.total + t.size <= 350 AS fits, s.n > 1 AND t.lent + t.size <= 350 AS lends FROM s JOIN t ON t.conv_id = s.conv_id AND t.i = s.i + 1))"""
+
+
+@query("WITH RECURSIVE " + ", ".join((TURNS, _SIZED, _WINDOWED)) + ' SELECT conv_id, win::BIGINT AS "window", arg_max(first, i)::BIGINT AS first, arg_max(last, i)::BIGINT AS last, max(n)::BIGINT AS n, arg_max(total, i)::BIGINT AS tokens FROM s GROUP BY conv_id, win')
 def token_windows(spark, sf):
     return folds.token_windows(turns(spark, sf).withColumn("tokens", T.token_estimate(F.col("text"))), "conv_id", "turn", "tokens")
 
 
-@query()
+_RANKED = "t AS (SELECT call_id, passage_id, lang AS source, md5(text) AS text, strlen(text) // 4 AS tokens, row_number() OVER (PARTITION BY call_id ORDER BY passage_id) AS i FROM passages)"
+_CHOSEN = """s AS (SELECT call_id, passage_id, i, tokens <= 5500 AS ok, CASE WHEN tokens <= 5500 THEN 5500 - tokens ELSE 5500 END AS room, CASE WHEN tokens <= 5500 THEN [text] ELSE [] END AS texts, CASE WHEN tokens <= 5500 THEN [source] ELSE [] END AS sources FROM t WHERE i = 1 UNION ALL
+ SELECT call_id, passage_id, i, ok, CASE WHEN ok THEN room - tokens ELSE room END, CASE WHEN ok THEN list_append(texts, text) ELSE texts END, CASE WHEN ok THEN list_append(sources, source) ELSE sources END
+ FROM (SELECT t.*, s.room, s.texts, s.sources, t.tokens <= s.room AND NOT list_contains(s.texts, t.text) AND len(list_filter(s.sources, lambda x: x IS NOT DISTINCT FROM t.source)) < 3 AS ok FROM s JOIN t ON t.call_id = s.call_id AND t.i = s.i + 1))"""
+
+
+@query("WITH RECURSIVE " + ", ".join((PASSAGES, _RANKED, _CHOSEN)) + " SELECT call_id, passage_id, row_number() OVER (PARTITION BY call_id ORDER BY i) AS place FROM s WHERE ok")
 def budget_select(spark, sf):
     """Passages per language within a token budget, longest first."""
     p = passages(spark, sf).withColumn("tokens", T.token_estimate(F.col("text")))
@@ -102,14 +127,24 @@ def budget_select(spark, sf):
     return folds.budget_selection(keyed, "call_id", 5500, 3)
 
 
-@query()
+_TIMED = "t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_sec, end_sec DESC, event_id) AS i FROM (SELECT user_id, event_id, start_sec, start_sec + greatest(60, round(value * 60)::BIGINT) AS end_sec FROM (SELECT *, floor(epoch_us(ts) / 1000000)::BIGINT AS start_sec FROM failures)))"
+_LAID = """s AS (SELECT user_id, event_id, start_sec, end_sec, i, 0 AS lane, 0 AS cluster, end_sec AS reach, [end_sec] AS ends FROM t WHERE i = 1 UNION ALL
+ SELECT user_id, event_id, start_sec, end_sec, i, spot - 1, CASE WHEN opens THEN cluster + 1 ELSE cluster END, CASE WHEN opens THEN end_sec ELSE greatest(reach, end_sec) END, list_concat(list_append(ends[1:spot - 1], end_sec), ends[spot + 1:])
+ FROM (SELECT *, coalesce(list_position(list_transform(ends, lambda e: e <= start_sec), true), len(ends) + 1)::INT AS spot FROM (SELECT t.*, s.cluster, s.reach, t.start_sec >= s.reach AS opens, CASE WHEN t.start_sec >= s.reach THEN [] ELSE s.ends END AS ends FROM s JOIN t ON t.user_id = s.user_id AND t.i = s.i + 1)))"""
+
+
+@query("WITH RECURSIVE " + ", ".join((FAILURES, _TIMED, _LAID)) + " SELECT user_id, event_id, start_sec, end_sec, lane::BIGINT AS lane, max(lane + 1) OVER (PARTITION BY user_id, cluster)::BIGINT AS width FROM s")
 def lane_pack(spark, sf):
     f = failures(spark, sf)
     start = F.unix_seconds("ts")
     return folds.lanes(f.select("user_id", "event_id", start.alias("start_sec"), (start + F.greatest(F.lit(60), F.round(F.col("value") * 60).cast("long"))).alias("end_sec")), "user_id", "event_id", "start_sec", "end_sec")
 
 
-@query()
+_SECONDS = "t AS (SELECT user_id, event_id, floor(epoch_us(ts) / 1000000)::BIGINT AS sec, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000), event_id) AS i FROM failures)"
+_COOLED = "s AS (SELECT user_id, event_id, sec, i, true AS emitted, sec AS said FROM t WHERE i = 1 UNION ALL SELECT t.user_id, t.event_id, t.sec, t.i, t.sec - s.said >= 21600, CASE WHEN t.sec - s.said >= 21600 THEN t.sec ELSE s.said END FROM s JOIN t ON t.user_id = s.user_id AND t.i = s.i + 1)"
+
+
+@query("WITH RECURSIVE " + ", ".join((FAILURES, _SECONDS, _COOLED)) + " SELECT user_id, event_id, sec, emitted FROM s")
 def cooldown(spark, sf):
     return folds.cooled_down(failures(spark, sf).withColumn("sec", F.unix_seconds("ts")), "user_id", "event_id", "sec", 6 * 3600)
 

@@ -2,35 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import models
-from ..operators import answers
+from ..operators import answers, folds
+from ..operators.graph import shared_folder
 from ..sources.tables import CALLS, CONTACTS, SPEAKERS, TURNS, calls, contacts, speakers, sql, table, turns
 from ..streaming import chunks, machines
 from .base import query
 
 
-def _shared(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="parley-")
+_LEVELS = "t AS (SELECT user_id AS key, floor(epoch_us(ts::TIMESTAMP) / 1000)::BIGINT AS ts, value, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts::TIMESTAMP) / 1000), value) AS i FROM events)"
+# One row of m per sample: the silence's and voice's start (-1: none) and what was said, after it.
+_STEPPED = """m AS (SELECT key, 0::BIGINT AS i, 0::BIGINT AS ts, -1::BIGINT AS silence, -1::BIGINT AS voice, false AS suggested, false AS stopped, false AS ended, false AS says, false AS stops FROM (SELECT DISTINCT key FROM t) UNION ALL
+ SELECT key, i, ts, s, v, CASE WHEN ended THEN false ELSE suggested OR says END, stopped OR stops, ended, says, stops FROM (
+  SELECT key, i, ts, CASE WHEN ended THEN -1 ELSE s END AS s, v, suggested, stopped, ended, NOT stopped AND NOT ended AND s >= 0 AND NOT suggested AND ts - s >= 21600000 AS says, NOT stopped AND NOT ended AND s >= 0 AND ts - s >= 86400000 AS stops FROM (
+   SELECT *, loud AND NOT stopped AND s >= 0 AND ts - v >= 7200000 AS ended FROM (
+    SELECT t.key, t.i, t.ts, m.suggested, m.stopped, t.value >= 20 AS loud, CASE WHEN m.stopped THEN m.voice WHEN t.value >= 20 THEN CASE WHEN m.voice < 0 THEN t.ts ELSE m.voice END ELSE -1 END AS v, CASE WHEN m.stopped OR t.value >= 20 OR m.silence >= 0 THEN m.silence ELSE t.ts END AS s
+    FROM m JOIN t ON t.key = m.key AND t.i = m.i + 1))))"""
+_SILENCE = "WITH RECURSIVE " + ", ".join((_LEVELS, _STEPPED)) + """ SELECT key, ts AS ts_ms, 'voice' AS signal, ts AS trim_ms FROM m WHERE ended UNION ALL SELECT key, ts, 'suggest', ts FROM m WHERE says UNION ALL SELECT key, ts, 'stop', least(silence + 5000, ts) FROM m WHERE stops"""
 
 
-@query()
+@query(_SILENCE)
 def silence_session(spark, sf):
     return machines.silence_signals(machines.samples_of(table(spark, sf, "events")))
 
 
-@query()
+@query(_SILENCE)
 def silence_session_stream(spark, sf):
     """The same machine on a stream that replays the events; tests hold it against silence_session."""
     stored = table(spark, sf, "events")
     # A stream reads a folder: that of the table's files, or the one that holds the table where it is a single file.
     folder = f"{sf}/events.parquet" if "/events.parquet/" in stored.inputFiles()[0] else sf
     stream = machines.level_stream(spark, folder, stored.schema, "events.parquet" if folder == sf else "*.parquet")
-    return machines.drained(machines.silence_signals_stream(stream), _shared(spark))
+    return machines.drained(machines.silence_signals_stream(stream), shared_folder(spark))
 
 
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -38,10 +43,15 @@ def hourly_levels(spark, sf):
     return machines.hourly(machines.samples_of(table(spark, sf, "events"))).withColumn("total", F.round("total", 4))
 
 
-@query()
+_SAMPLES = "t AS (SELECT user_id AS key, floor(epoch_us(ts::TIMESTAMP) / 1000)::BIGINT AS ts, value FROM events), ends AS (SELECT key, min(ts) AS first, max(ts) AS last FROM t GROUP BY key)"
+_CUTS = """w AS (SELECT key, 0 AS win, first AS start, last FROM ends UNION ALL
+ SELECT w.key, w.win + 1, coalesce(arg_min(t.ts, (t.value, t.ts)), w.start + 86400000)::BIGINT, w.last FROM w LEFT JOIN t ON t.key = w.key AND t.ts BETWEEN w.start + 77760000 AND w.start + 95040000 WHERE w.last - w.start > 95040000 GROUP BY w.key, w.win, w.start, w.last)"""
+
+
+@query("WITH RECURSIVE " + ", ".join((_SAMPLES, _CUTS)) + ' SELECT key, win::BIGINT AS "window", start AS start_ms, coalesce(lead(start) OVER (PARTITION BY key ORDER BY win), last) AS end_ms FROM w')
 def adaptive_windows(spark, sf):
     day = 86_400_000
-    return machines.adaptive_windows(machines.samples_of(table(spark, sf, "events")), day, day // 10)
+    return folds.adaptive_windows(machines.samples_of(table(spark, sf, "events")), day, day // 10)
 
 
 def _chunks(spark, sf):

@@ -114,10 +114,24 @@ def retrieval_quality(spark, sf):
     return S.retrieval_metrics(top.select("query_id", F.col("vec_id").alias("item"), "rank"), relevant, 5).select(F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
-@query(sql("SELECT item_id, count(p.passage_id) AS n_passages FROM benchmark LEFT JOIN passages p ON contains(lower(p.text), lower(substr(benchmark.text, 1, 60))) GROUP BY item_id", PASSAGES))
+_SPACED = "' ' || trim(regexp_replace(lower({}), '\\s+', ' ', 'g')) || ' '"
+
+
+@query(sql(f"SELECT item_id, count(passage_id) AS n_passages FROM (SELECT item_id, {_SPACED.format('text')} AS item FROM benchmark) LEFT JOIN (SELECT passage_id, {_SPACED.format('text')} AS whole FROM passages) ON trim(item) <> '' AND contains(whole, item) GROUP BY item_id", PASSAGES))
 def quotes_found(spark, sf):
-    """In how many passages the first 60 characters of a quote occur. The quotes are a list of a checked size, matched
-    in one pass over the passages."""
-    b = table(spark, sf, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("needle"))
-    hits = passages(spark, sf).select(F.lower("text").alias("t")).join(F.broadcast(b) if b.count() <= 10_000 else b, F.expr("contains(t, needle)")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return b.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_passages"))
+    """In how many passages the words of a whole benchmark item stand in a row."""
+    items = table(spark, sf, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = S.occurrences(passages(spark, sf), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(hits, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_passages"))
+
+
+@query(sql(f"""SELECT item_id, k, count(passage_id) AS n_passages FROM (SELECT item_id, k, {_SPACED.format("list_aggregate(w[3:2 + k], 'string_agg', ' ')")} AS item FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ') AS w, unnest([2, 4, 9]) AS k FROM benchmark))
+ LEFT JOIN (SELECT passage_id, {_SPACED.format('text')} AS whole FROM passages) ON trim(item) <> '' AND contains(whole, item) GROUP BY ALL""", PASSAGES))
+def phrases_found(spark, sf):
+    """In how many passages phrases of two, four and nine words from each benchmark item stand."""
+    from ..functions.text import squeezed
+
+    b = table(spark, sf, "benchmark").select("item_id", F.split(squeezed(F.col("text")), " ").alias("w"), F.explode(F.array(F.lit(2), F.lit(4), F.lit(9))).alias("k"))
+    items = b.select(F.struct("item_id", "k").alias("item_id"), F.array_join(F.expr("slice(w, 3, k)"), " ").alias("text"))
+    hits = S.occurrences(passages(spark, sf), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    return items.join(hits, "item_id", "left").select("item_id.item_id", "item_id.k", F.coalesce("n", F.lit(0)).alias("n_passages"))

@@ -19,11 +19,11 @@ def speaker_islands(spark, sf):
 
 
 @query(sql("""SELECT conv_id, turn, speaker, end_sec FROM (SELECT *, max(end_sec) OVER (PARTITION BY conv_id, run) AS latest FROM (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS run FROM (
- SELECT *, CASE WHEN norm = lag(norm) OVER w THEN 0 ELSE 1 END AS new FROM (SELECT *, substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 12) AS norm FROM turns) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)))) WHERE new = 1""", TURNS).replace("speaker, end_sec FROM", "speaker, latest AS end_sec FROM"))
+ SELECT *, CASE WHEN norm = lag(norm) OVER w AND speaker = lag(speaker) OVER w THEN 0 ELSE 1 END AS new FROM (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm FROM turns) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)))) WHERE new = 1""", TURNS).replace("speaker, end_sec FROM", "speaker, latest AS end_sec FROM"))
 def repeats_collapsed(spark, sf):
-    """Neighbouring turns that begin alike become one."""
-    t = turns(spark, sf).withColumn("norm", F.substring(squeezed(F.col("text")), 1, 12))
-    return G.without_repeats(t, "conv_id", ["turn", "text"], ["norm"]).select("conv_id", "turn", "speaker", "end_sec")
+    """Neighbouring turns of one speaker with the same whole text (normalised) become one."""
+    t = turns(spark, sf).withColumn("norm", squeezed(F.col("text")))
+    return G.without_repeats(t, "conv_id", ["turn", "text"], ["speaker", "norm"]).select("conv_id", "turn", "speaker", "end_sec")
 
 
 @query(sql("SELECT call_id, phrase, count(*) AS n FROM (SELECT call_id, trim(regexp_replace(lower(unnest(string_split(text, chr(10)))), '\\s+', ' ', 'g')) AS phrase FROM passages) WHERE len(string_split(phrase, ' ')) >= 5 GROUP BY ALL HAVING count(*) >= 4", PASSAGES))

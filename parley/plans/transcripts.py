@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import labels
 from ..operators import search as S
 from ..sources import stt
-from ..sources.tables import CALLS, CONTACTS, SPEAKERS, TURNS, calls, contacts, speakers, sql, turns, vectors
+from ..sources.tables import CALLS, CONTACTS, SPEAKERS, TURNS, VECTORS, calls, contacts, speakers, sql, turns, vectors
 from .base import query
 from .segments import transcript_markdown
 
@@ -44,10 +44,18 @@ def noise_and_loops(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", labels.without_noise_tags(noisy).alias("clean"), labels.unrepeated(loop).alias("once"))
 
 
-@query()
+_QUERY = "ho cust42"
+_CHARS = f"""t AS (SELECT contact_id, lower(org || ' ' || display_name) AS low, '{_QUERY}' AS q FROM contacts)"""
+_MATCHED = """m AS (SELECT contact_id, low, q, 0 AS i, 0 AS found, 0 AS streak, 0.0::DOUBLE AS score FROM t UNION ALL
+ SELECT contact_id, low, q, i + 1, CASE WHEN hit THEN found + 1 ELSE found END, CASE WHEN hit THEN streak + 1 ELSE 0 END, CASE WHEN hit THEN score + 2 + streak + CASE WHEN i = 0 OR NOT regexp_matches(substr(low, i, 1), '[\\p{L}\\p{N}]') THEN 8 ELSE 0 END ELSE score END
+ FROM (SELECT *, found < length(q) AND substr(low, i + 1, 1) = substr(q, found + 1, 1) AS hit FROM m WHERE i < length(low)))"""
+
+
+@query("WITH RECURSIVE " + ", ".join((CONTACTS, _CHARS, _MATCHED)) + " SELECT contact_id, round(score - 0.05 * length(low), 4) AS score FROM m WHERE i = length(low) AND found = length(q)")
 def fuzzy_contacts(spark, sf):
-    """Contacts that a typed query fits as a subsequence, with their score."""
-    return contacts(spark, sf).select("contact_id", labels.fuzzy_score(F.col("display_name"), "cus42").alias("score")).where("score is not null")
+    """Contacts that a typed query fits as a subsequence, with their score, best first."""
+    c = contacts(spark, sf).withColumn("name", F.concat_ws(" ", "org", "display_name"))
+    return labels.fuzzy_filter(c, _QUERY, "name", "contact_id").select("contact_id", "score")
 
 
 @query(sql("SELECT call_id, '# ' || title || chr(10) || strftime(started_at, '%d.%m.%Y') || ' · ' || provider || chr(10) || chr(10) || coalesce(failed_reason, 'no recap') AS markdown FROM calls", CALLS))
@@ -62,7 +70,11 @@ def contact_cards(spark, sf):
     return contacts(spark, sf).join(n, "contact_id", "left").select("contact_id", F.concat("display_name", F.lit(", "), "org", F.lit(". "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" calls")).alias("card"))
 
 
-@query()
+_ALIKE = """links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON list_dot_product(a.vec, b.vec) >= 0.75 * sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) - 1e-12),
+ reach AS (SELECT a AS node, b AS root FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON links.a = reach.root)"""
+
+
+@query("WITH RECURSIVE " + ", ".join((VECTORS, _ALIKE)) + " SELECT vec_id, coalesce(min(root), vec_id) AS group_id FROM vectors LEFT JOIN reach ON reach.node = vec_id GROUP BY vec_id")
 def speaker_groups(spark, sf):
     """Voices joined by a cosine of at least 0.75, as groups named by their smallest sample."""
     from ..operators.graph import components

@@ -9,21 +9,39 @@ from pyspark.sql.window import Window
 
 STT = "result struct<language string>, transcription array<struct<text string, offsets struct<`from` long, `to` long>, tokens array<struct<text string, p double>>>>"
 
-#: What recognisers write for silence and noise.
-ARTIFACTS = ("[music]", "[silence]", "[blank_audio]", "(music)", "thank you for watching", "thanks for watching", "subscribe")
-FILLERS = ("thank you", "thanks", "bye", "okay", "you")
+#: What recognisers write for silence, noise and credits (whole texts, then parts of texts), and what they
+#: write for silence though people say it too.
+ARTIFACTS = ("thanks for watching", "[blank_audio]", "(silence)", "[music]", "(music)", "[applause]", "[foreign]", "[音楽]", "[bgm]", "[♪音楽♪]", "[музыка]", "[аплодисменты]", "[смех]", "[шум]", "[тишина]")
+CREDITS = ("редактор субтитров", "корректор субтитров", "субтитры подготовил", "субтитры:", "[апалькова", "[александрова", "н.александрова", "а.семкин", "subtitles by", "transcribed by", "продолжение следует")
+FILLERS = ("you", "thank you", "thanks", "bye", "goodbye")
 NOISE = "music|noise|silence|applause|laughter|blank"
+_MARKERS = "-–—•*"
+
+
+def unmarked(text: Column) -> Column:
+    """Trimmed text without the dialogue marks before it."""
+    return F.trim(F.regexp_replace(F.trim(text), rf"^[{_MARKERS}]+", ""))
 
 
 def is_artifact(text: Column) -> Column:
-    t = F.lower(F.trim(text))
-    return (t == "") | t.isin(*ARTIFACTS) | (t.startswith("[") & t.endswith("]") & (F.char_length(t) > 20)) | (t == "[foreign]")
+    """What nobody says: nothing, a known tag or credit, a bracketed `foreign`, or a bracket of over 20 characters."""
+    own = unmarked(text)
+    low = F.lower(own)
+    credit = F.lit(False)
+    for part in CREDITS:
+        credit = credit | low.contains(part)
+    foreign = (F.regexp_replace(low, r"[^\p{L}\p{N}]+", "") == "foreign") & own.contains("[")
+    return (own == "") | low.isin(*ARTIFACTS) | credit | foreign | (own.startswith("[") & own.endswith("]") & (F.char_length(own) > 20))
+
+
+def is_filler(text: Column) -> Column:
+    """One of FILLERS, whatever marks stand around it."""
+    return F.lower(F.trim(F.regexp_replace(unmarked(text), r"^[\p{Punct}…]+|[\p{Punct}…]+$", ""))).isin(*FILLERS)
 
 
 def is_hallucination(text: Column, confidence: Column) -> Column:
     """An artifact, or a filler of a known confidence under 0.3; fillers of unknown confidence stay."""
-    filler = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\s]+", "")).isin(*FILLERS)
-    return is_artifact(text) | (filler & F.coalesce(confidence < 0.30, F.lit(False)))
+    return is_artifact(text) | (is_filler(text) & F.coalesce(confidence < 0.30, F.lit(False)))
 
 
 def mean_probability(tokens: Column) -> Column:

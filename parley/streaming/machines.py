@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.folds import Fold, in_order
+
 SIGNALS = "key long, ts_ms long, signal string, trim_ms long"
 
 
@@ -62,9 +64,19 @@ def _run(key, samples: pd.DataFrame, state: tuple, rules: SilenceRules) -> tuple
     return state, pd.DataFrame(out, columns=["key", "ts_ms", "signal", "trim_ms"])
 
 
+class _Silence(Fold):
+    def __init__(self, rules: SilenceRules):
+        self.rules, self.state = rules, START
+
+    def row(self, ts, value):
+        self.state, signals = step(self.state, ts, value, self.rules)
+        return [(ts, name, int(trim)) for name, trim in signals]
+
+
 def silence_signals(samples: DataFrame, rules: SilenceRules = SilenceRules()) -> DataFrame:
-    """Signals of stored samples (key, ts_ms, value); each key is one session."""
-    return samples.groupBy("key").applyInPandas(lambda pdf: _run(int(pdf["key"].iloc[0]), pdf, START, rules)[1], SIGNALS)
+    """Signals of stored samples (key, ts_ms, value); each key is one session, of any length."""
+    rows = samples.select(F.col("key").cast("long").alias("key"), F.col("ts_ms").cast("long").alias("ts_ms"), F.col("value").cast("double").alias("value"))
+    return in_order(rows, ["ts_ms", "value"], _Silence, SIGNALS, rules)
 
 
 def silence_signals_stream(samples: DataFrame, rules: SilenceRules = SilenceRules()) -> DataFrame:
@@ -103,24 +115,3 @@ def hourly(samples: DataFrame, late: str = "1 hour") -> DataFrame:
     """Counts and means per hour and kind; with a watermark when the samples are a stream."""
     rows = samples.withWatermark("ts", late) if samples.isStreaming else samples
     return rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("hour"), "event_type", "n", "total")
-
-
-def adaptive_windows(samples: DataFrame, target_ms: int, slack_ms: int) -> DataFrame:
-    """Consecutive windows of about target_ms per key, cut at the quietest sample within slack_ms of the target."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "value"])
-        ts, value = pdf["ts_ms"].to_numpy(), pdf["value"].to_numpy()
-        out, start = [], int(ts[0])
-        while int(ts[-1]) - start > target_ms + slack_ms:
-            inside = (ts >= start + target_ms - slack_ms) & (ts <= start + target_ms + slack_ms)
-            cut = int(ts[inside][value[inside].argmin()]) if inside.any() else start + target_ms
-            out.append((start, cut))
-            start = cut
-        out.append((start, int(ts[-1])))
-        made = pd.DataFrame(out, columns=["start_ms", "end_ms"])
-        made.insert(0, "window", range(len(made)))
-        made.insert(0, "key", int(pdf["key"].iloc[0]))
-        return made
-
-    return samples.select("key", "ts_ms", "value").groupBy("key").applyInPandas(fold, "key long, window long, start_ms long, end_ms long")

@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from parley.functions import models, text, times
+from parley.functions import labels, models, text, times
 from parley.operators import answers, dml, folds, recap, search, segments
 from parley.operators.relational import consent_given, in_scope, search_calls
+from parley.sources import stt
 from parley.streaming import machines
 
 
@@ -119,6 +120,63 @@ def test_versions_and_partitions(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [(1, "a"), (2, "z")]
 
 
+def test_folds_hold_no_key(spark):
+    """One key with many rows over many batches: the folds go through it with a bounded state."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        rows = spark.range(20_000).select(F.lit("k").alias("k"), "id", (F.col("id") % 90 + 1).alias("t"))
+        got = folds.token_windows(rows, "k", "id", "t", 200).agg(F.max("last").alias("last"), F.max("tokens").alias("most")).first()
+        assert got["last"] == 19_999 and got["most"] <= 200
+        cool = folds.cooled_down(rows.select("k", "id", (F.col("id") * 3).alias("s")), "k", "id", "s", 10)
+        assert cool.where("emitted").count() == 5_000
+        lane = folds.lanes(rows.select("k", "id", F.col("id").alias("a"), (F.col("id") + 3).alias("b")), "k", "id", "a", "b")
+        assert lane.agg(F.max("lane")).first()[0] == 2 and lane.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_keep_unlike_against_the_plain_fold(spark):
+    rnd = random.Random(3)
+    data = [(k, i, " ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(7)))) for k in "xy" for i in range(60)]
+    want = {}
+    for k in "xy":
+        held = []
+        for key, i, t in data:
+            if key == k:
+                own = set(t.split())
+                want[k, i] = all(len(own & h) < 0.7 * len(own | h) for h in held if own or h)
+                if want[k, i] and own:
+                    held.append(own)
+    got = {(r.k, r.o): r.kept for r in recap.keep_unlike(spark.createDataFrame(data, "k string, o long, t string"), "k", "o", "t").collect()}
+    assert got == want
+
+
+def test_fuzzy_scores(spark):
+    score = lambda q, t: one(spark, labels.fuzzy_score(F.lit(t), q))
+    assert score("", "abc") == 0.0 and score("zz", "abc") is None
+    assert score("ab", "abc") == pytest.approx(2 + 8 + 3 - 0.15)
+    assert score("пе", "Пётр") == pytest.approx(2 + 8 + 3 - 0.2)
+    assert score("b", "a.b") == pytest.approx(2 + 8 - 0.15)
+    rows = spark.createDataFrame([(1, "abc"), (2, "xaxbx"), (3, "zz"), (4, "ab")], "i long, t string")
+    assert [r.i for r in labels.fuzzy_filter(rows, "ab", "t", "i").collect()] == [4, 1, 2]
+    assert labels.fuzzy_filter(rows, "", "t", "i").count() == 4
+
+
+def test_hallucinations(spark):
+    said = [("- [FOREIGN]", None, True), ("[Foreign].", 0.9, True), ("foreign", 0.1, False), ("Thanks.", 0.2, True), ("Thanks.", None, False), ("thank you", 0.6, False)]
+    said += [("Subtitles by someone", 0.99, True), ("[a long bracket of words]", 0.9, True), ("[short]", 0.9, False), ("•", 0.9, True), ("  ", 0.9, True), ("Редактор субтитров А.Б.", 0.9, True)]
+    rows = spark.createDataFrame([(t, p, w) for t, p, w in said], "t string, p double, want boolean")
+    assert rows.where(stt.is_hallucination(F.col("t"), F.col("p")) != F.col("want")).collect() == []
+
+
+def test_occurrences_need_whole_words(spark):
+    p = spark.createDataFrame([(1, "One  two\nthree four five six seven"), (2, "zone two threes"), (3, None), (4, "two three")], "passage_id long, text string")
+    items = spark.createDataFrame([(1, "one two three"), (2, "TWO three"), (3, "two three four five six"), (4, " "), (5, "seven eight"), (6, "one two three four five six seven")], "item_id long, text string")
+    assert {tuple(r) for r in search.occurrences(p, items).collect()} == {(1, 1), (2, 1), (2, 4), (3, 1), (6, 1)}
+    assert search.occurrences(p, items.limit(0)).count() == 0
+
+
 def test_silence_machine():
     rules = machines.SilenceRules(quiet=1, voice_ms=800, suggest_ms=1000, stop_ms=3000, tail_ms=100)
     state, seen = machines.START, []
