@@ -6,9 +6,13 @@ import math
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bitmaps import fresh, in_bitmap, join_groups, row_bitmap  # noqa: F401
+from ..operators.graph import shared_folder
+from ..operators.graph import stored as written  # noqa: F401
+
 #: Letters whose case the operators fold; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -17,20 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one in the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
     """df as a table in the shared folder, bucketed and sorted by key: later groupings and joins by it need no shuffle."""
     spark = df.sparkSession
@@ -70,51 +60,3 @@ def text_views(column) -> list[memoryview]:
 def crc_mod(key: str, divisor: int):
     """crc32 of the key as text, modulo divisor; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % divisor
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """name, or name with underscores before it, so that df has no such column."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
-#: Bits of a row_bitmap() at most: 16 MB, whatever the number of rows.
-MOST_BITS = 27
-
-
-def _place(value: Column, rows: int) -> Column:
-    """A place from 1 to the bits of the bitmap for so many rows."""
-    bits = min(MOST_BITS, max(15, (16 * max(1, rows)).bit_length()))
-    return F.pmod(value, F.lit(1 << bits)) + 1
-
-
-def row_bitmap(hashes: DataFrame, column: str, rows: int) -> DataFrame:
-    """bucket, bits: a bitmap of hashes in pieces of 4 KB; at most 2^MOST_BITS bits for any number of rows.
-
-    It only spares work: with more rows than bits, more of them pass in_bitmap() and meet the exact test after it.
-    """
-    place = hashes.select(_place(F.col(column), rows).alias("p"))
-    return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-
-
-def in_bitmap(df: DataFrame, hash_: Column, bitmap: DataFrame, rows: int, name: str) -> DataFrame:
-    """df with the boolean column `name`: whether the hash of the row is in the bitmap (which is broadcast: 16 MB at most)."""
-    at, bucket, bits = (fresh(df, x) for x in ("bit_at", "bit_bucket", "bit_set"))
-    placed = df.withColumn(at, _place(hash_, rows))
-    placed = placed.withColumn(bucket, F.bitmap_bucket_number(F.col(at))).withColumn(at, F.bitmap_bit_position(F.col(at)).cast("int"))
-    joined = placed.join(F.broadcast(bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(bits))), bucket, "left")
-    test = F.expr(f"shiftright(cast(conv(hex(substring(`{bits}`, `{at}` div 8 + 1, 1)), 16, 10) as int), `{at}` % 8) & 1 = 1")
-    return joined.withColumn(name, F.coalesce(test, F.lit(False))).drop(at, bucket, bits)
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """rows left-joined with groups (one row per key, with its number of rows) without a hot task.
-
-    Groups of over a thousandth of all rows are fewer than a thousand and are broadcast; the rest are joined by a
-    shuffle in which no key has more rows than that. rows and groups should be written tables: each is read twice.
-    """
-    hot = groups.where(F.col(size) * 1000 > total)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) * 1000 <= total), key, "left")
-    return rows.join(F.broadcast(hot), key).unionByName(rest)

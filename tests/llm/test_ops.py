@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parley.llm import bpe, exact_dedup, language_id, license_scan, order_minhash, packing, ppm, secret_scan, simhash, warc
-from parley.llm.components import components
+from parley.operators.graph import components
 
 from ..compare import duck, rows
 from .texts import DOCS, EDGE, edge_docs, empty_docs
