@@ -70,6 +70,7 @@ def fuzzy_filter(rows, query: str, text: str, order: str):
     return scored.orderBy(F.desc("score"), order) if query else scored.orderBy(order)
 
 
-def route_of_processing(provider: Column, path: Column) -> Column:
-    """local, cloud_own or cloud_managed; null if neither is known."""
-    return F.when(provider == "local", "local").when(path == "own", "cloud_own").when(path.isNotNull() | provider.isNotNull(), "cloud_managed")
+def processing_via(engine: Column, provider: Column, path: Column) -> Column:
+    """local for a local engine or provider, cloud_byo for own keys, cloud_managed for another provider, else null."""
+    p = F.coalesce(provider, F.lit(""))
+    return F.when(F.coalesce(engine, F.lit("")).startswith("local") | (p == "local"), "local").when(path == "byo", "cloud_byo").when(p != "", "cloud_managed")

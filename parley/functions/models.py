@@ -50,3 +50,36 @@ def embed(text: Column, prefix: str = "passage: ") -> Column:
 def generate(prompt: Column) -> Column:
     function, kind = _MODELS["generate"]
     return F.pandas_udf(lambda s: function(s), kind)(prompt)
+
+
+@F.pandas_udf("binary")
+def vector_bytes(vectors: pd.Series) -> pd.Series:
+    """Vectors as little-endian 32-bit floats; null stays null."""
+    return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+
+
+@F.pandas_udf("array<float>")
+def bytes_vector(blobs: pd.Series) -> pd.Series:
+    """Little-endian 32-bit floats as a vector; null for null and for lengths that aren't multiples of four."""
+    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+
+
+def normalised(vector):
+    """A vector over its length; one of (nearly) no length stays as it is."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(norm > 1e-12, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+
+
+@F.pandas_udf("array<double>")
+def pooled(tokens: pd.Series, mask: pd.Series) -> pd.Series:
+    """The mean of the token vectors whose mask is 1, over its length; null where no token counts."""
+
+    def one(vectors, keep):
+        rows = np.array([v for v, k in zip(vectors, keep, strict=True) if k == 1], dtype=float)
+        if not len(rows):
+            return None
+        mean = rows.mean(0)
+        norm = np.sqrt((mean * mean).sum())
+        return mean / norm if norm > 1e-12 else mean
+
+    return pd.Series([one(v, k) for v, k in zip(tokens, mask, strict=True)])

@@ -83,3 +83,102 @@ def keep_unlike(rows: DataFrame, key: str, order: str, text: str, most: float =
         kept = kept.join(gone.select(F.col("id").alias("_id")), "_id", "left_anti")
     joined = own.join(kept.withColumn("_kept", F.lit(True)), "_id", "left")
     return joined.select(key, order, text, (F.coalesce("_kept", F.lit(False)) | (F.size("_w") == 0)).alias("kept"))
+
+
+# ---- clean-up of nested recaps ---------------------------------------------------------------------------------------
+
+
+def stripped(items: Column, transcript: Column, least: float = FOUND) -> Column:
+    """Items (text, quote) without blank texts; quotes that the transcript doesn't hold become null."""
+    ok = lambda i: evidence_state(i["quote"], window_similarity(transcript, F.coalesce(i["quote"], F.lit("")))) == "ok"
+    kept = F.filter(items, lambda i: F.trim(i["text"]) != "")
+    return F.transform(kept, lambda i: i.withField("quote", F.when(F.coalesce(F.trim(i["quote"]) != "", F.lit(False)) & ok(i), i["quote"])))
+
+
+def unlike_items(items: Column, most: float = 0.7) -> Column:
+    """Items (text) that aren't `most` alike (Jaccard of words) to one kept before; items of one recap are few."""
+    words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
+
+    def add(kept, item):
+        own = words(item["text"])
+
+        def alike(k):
+            other = words(k["text"])
+            union = F.size(F.array_union(own, other))
+            return (union > 0) & (F.size(F.array_intersect(own, other)) >= most * union)
+
+        return F.when(F.exists(kept, alike), kept).otherwise(F.array_append(kept, item))
+
+    return F.aggregate(items, F.slice(items, 1, 0), add)
+
+
+def distinct_participants(people: Column) -> Column:
+    """People (tag, name) of whom neither the tag nor the name (if there is one) came before; case and blanks around
+    don't count. A tag counts as seen even if its row goes because of the name."""
+    tag = lambda p: F.lower(F.trim(p["tag"]))
+    name = lambda p: F.lower(F.trim(F.coalesce(p["name"], F.lit(""))))
+    first = F.filter(people, lambda p, i: ~F.exists(F.slice(people, F.lit(1), i), lambda q: tag(q) == tag(p)))
+    return F.filter(first, lambda p, i: (name(p) == "") | ~F.exists(F.slice(first, F.lit(1), i), lambda q: name(q) == name(p)))
+
+
+def promoted(items: Column) -> Column:
+    """Items of the first recap schema (text, due) as those of the second: numbered, commitments, without confidences."""
+    return F.transform(items, lambda a, i: F.struct(F.concat(F.lit("legacy-"), i.cast("string")).alias("id"), a["text"].alias("text"), a["due"].alias("due"), F.lit("commitment").alias("category"), F.lit(None).cast("double").alias("due_confidence"), F.lit(None).cast("string").alias("quote")))
+
+
+def capped(items: Column, most: int) -> Column:
+    return F.slice(items, 1, most)
+
+
+def shortened_quotes(items: Column, most: int = 100) -> Column:
+    return F.transform(items, lambda i: i.withField("quote", F.substring(i["quote"], 1, most)))
+
+
+def without_quotes(items: Column) -> Column:
+    return F.transform(items, lambda i: i.dropFields("quote"))
+
+
+def capped_topics(topics: Column, most: int, points: int) -> Column:
+    """The first topics (title, points), each with its first points."""
+    return F.transform(F.slice(topics, 1, most), lambda t: t.withField("points", F.slice(t["points"], 1, points)))
+
+
+def compacted(summary: Column, points: Column, items: Column, budget: int) -> Column:
+    """The JSON of a recap within a budget of tokens: whole, else with shorter quotes, else without, else with capped
+    lists, else with a shortened summary too. The first that fits is taken, the last whether it fits or not."""
+    doc = lambda s, p, i: F.to_json(F.struct(s.alias("summary"), p.alias("key_points"), i.alias("action_items")))
+    few_points, few_items = capped(points, 12), capped(without_quotes(items), 12)
+    short = F.when(F.char_length(summary) > 600, F.concat(F.substring(summary, 1, 600), F.lit("…"))).otherwise(summary)
+    stages = [doc(summary, points, items), doc(summary, points, shortened_quotes(items)), doc(summary, points, without_quotes(items)), doc(summary, few_points, few_items)]
+    fits = lambda d: F.floor(F.octet_length(d) / 4) <= budget
+    return F.coalesce(*(F.when(fits(d), d) for d in stages), doc(short, few_points, few_items))
+
+
+def preview(title: Column, points: Column, most: int = 120) -> Column:
+    """The title and up to three key points, each of at most `most` characters; null for a blank title."""
+    return F.when(F.trim(title) != "", F.array_join(F.transform(F.concat(F.array(title), F.slice(points, 1, 3)), lambda x: F.substring(x, 1, most)), " | "))
+
+
+def classified(answer: Column) -> Column:
+    """struct(call_type, confidence, language) of a classifier's JSON: unknown types are other, the confidence is 0.5
+    unless given and held to 0..1, the language is auto unless given."""
+    from ..functions.documents import call_type, clamped
+
+    field = lambda f: F.get_json_object(answer, f"$.{f}")
+    return F.struct(call_type(field("call_type")).alias("call_type"), clamped(field("confidence").try_cast("double"), 0.0, 1.0, 0.5).alias("confidence"), F.coalesce(field("language"), F.lit("auto")).alias("language"))
+
+
+def judged(answer: Column, names: tuple[str, ...] = ("accuracy", "coverage", "clarity", "brevity")) -> Column:
+    """The mean of a judge's scores in JSON, each held to 1..5; a missing one is 1."""
+    score = lambda n: F.least(F.lit(5.0), F.greatest(F.lit(1.0), F.coalesce(F.get_json_object(answer, f"$.{n}").try_cast("double"), F.lit(1.0))))
+    total = F.lit(0.0)
+    for n in names:
+        total = total + score(n)
+    return total / len(names)
+
+
+def rendered(title: Column, summary: Column, points: Column, items: Column) -> Column:
+    """Markdown with the sections that have something to say, in a fixed order."""
+    bullets = lambda head, rows: F.when(F.size(rows) > 0, F.concat(F.lit(f"## {head}\n"), F.array_join(F.transform(rows, lambda r: F.concat(F.lit("- "), r)), "\n")))
+    lines = F.transform(items, lambda i: F.concat(i["text"], F.coalesce(F.concat(F.lit(" — "), i["quote"]), F.lit(""))))
+    return F.concat_ws("\n\n", F.concat(F.lit("# "), title), F.when(F.trim(summary) != "", summary), bullets("Key points", points), bullets("Actions", lines))

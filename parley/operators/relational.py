@@ -105,3 +105,36 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
     x, y = old.select(key, F.col(value).alias("x"), F.lit(True).alias("in_x")), new.select(key, F.col(value).alias("y"), F.lit(True).alias("in_y"))
     change = F.when(F.col("in_x").isNull(), "insert").when(F.col("in_y").isNull(), "delete").when(~F.col("x").eqNullSafe(F.col("y")), "update")
     return x.join(y, key, "full_outer").select(key, change.alias("change")).where("change is not null")
+
+
+def named_in(questions: DataFrame, people: DataFrame, key: str, question: str) -> DataFrame:
+    """key, contact_id: contacts of whose names a word of three characters and more begins a word of the question, which
+    goes on for three characters at most; ё counts as е.
+
+    Words meet by equality: each asked word is tried with none to three of its last characters taken off.
+    """
+    low = lambda c: F.translate(F.lower(F.col(c)), "ё", "е")
+    split = lambda c: F.array_distinct(F.filter(F.split(low(c), r"[^\p{L}\p{N}#]+"), lambda w: F.char_length(w) >= 3))
+    asked = questions.select(key, F.explode(split(question)).alias("w"))
+    tried = asked.select(key, F.explode(F.array(*(F.substring("w", F.lit(1), F.char_length("w") - i) for i in range(4)))).alias("w")).distinct()
+    names = people.select("contact_id", F.explode(split("display_name")).alias("w"))
+    return tried.join(names, "w").select(key, "contact_id").distinct()
+
+
+def owner_of_hint(hints: DataFrame, people: DataFrame, key: str, hint: str) -> DataFrame:
+    """key, contact_id: the contact of the same name as the hint, else the first (by id) of which either holds the other.
+
+    Names meet hints by equality, then under runs of four characters, and what met is verified; shorter texts meet whole.
+    """
+    h = hints.select(key, F.lower(F.trim(hint)).alias("h")).where("h <> ''")
+    p = people.select("contact_id", F.lower("display_name").alias("name")).where("name <> ''")
+    size = 4
+    runs = lambda c: F.array_distinct(F.expr(f"transform(sequence(1, greatest(1, char_length({c}) - {size - 1})), i -> substring({c}, i, {size}))"))
+    rare = p.select(F.explode(runs("name")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    held = lambda rows, key_, c: rows.select(key_, c, F.explode(runs(c)).alias("g")).join(rare, "g", "left").groupBy(key_, c).agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    # The rarest run of the shorter text stands in the longer one: a hint's in names, a name's in hints.
+    in_names = held(h, key, "h").join(p.select("contact_id", "name", F.explode(runs("name")).alias("g")), "g").where("contains(name, h)")
+    in_hints = held(p, "contact_id", "name").join(h.select(key, "h", F.explode(runs("h")).alias("g")), "g").where("contains(h, name)")
+    short = h.where(F.char_length("h") < size).join(p.select("contact_id", "name", F.explode(F.flatten(F.array(*(F.expr(f"transform(sequence(1, char_length(name)), i -> substring(name, i, {n}))") for n in range(1, size))))).alias("h")), "h")
+    met = in_names.select(key, "h", "contact_id", "name").unionByName(in_hints.select(key, "h", "contact_id", "name")).unionByName(short.select(key, "h", "contact_id", "name"))
+    return met.groupBy(key).agg(F.min_by("contact_id", F.struct(F.col("name") != F.col("h"), "contact_id")).alias("contact_id"))
