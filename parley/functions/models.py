@@ -52,34 +52,43 @@ def generate(prompt: Column) -> Column:
     return F.pandas_udf(lambda s: function(s), kind)(prompt)
 
 
-@F.pandas_udf("binary")
-def vector_bytes(vectors: pd.Series) -> pd.Series:
+def vector_bytes(vectors: Column) -> Column:
     """Vectors as little-endian 32-bit floats; null stays null."""
-    return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
-@F.pandas_udf("array<float>")
-def bytes_vector(blobs: pd.Series) -> pd.Series:
+    return run(vectors)
+
+
+def bytes_vector(blobs: Column) -> Column:
     """Little-endian 32-bit floats as a vector; null for null and for lengths that aren't multiples of four."""
-    return blobs.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+
+    @F.pandas_udf("array<float>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+
+    return run(blobs)
+
+
+def _once(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
 
-def normalised(vector):
+def normalised(vector: Column) -> Column:
     """A vector over its length; one of (nearly) no length stays as it is."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 1e-12, F.transform(vector, lambda x: x / norm)).otherwise(vector)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    return _once(vector, lambda v: _once(norm(v), lambda n: F.when(n > 1e-12, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
-@F.pandas_udf("array<double>")
-def pooled(tokens: pd.Series, mask: pd.Series) -> pd.Series:
+def pooled(tokens: Column, mask: Column) -> Column:
     """The mean of the token vectors whose mask is 1, over its length; null where no token counts."""
+    kept = F.filter(F.zip_with(tokens, mask, lambda t, m: F.when(m == 1, t)), lambda t: t.isNotNull())
 
-    def one(vectors, keep):
-        rows = np.array([v for v, k in zip(vectors, keep, strict=True) if k == 1], dtype=float)
-        if not len(rows):
-            return None
-        mean = rows.mean(0)
-        norm = np.sqrt((mean * mean).sum())
-        return mean / norm if norm > 1e-12 else mean
+    def mean(rows):
+        total = F.aggregate(rows, F.transform(rows[0], lambda x: x * 0.0), lambda s, t: F.zip_with(s, t, lambda a, b: a + b))
+        return _once(F.size(rows), lambda n: F.when(n > 0, F.transform(total, lambda x: x / n)))
 
-    return pd.Series([one(v, k) for v, k in zip(tokens, mask, strict=True)])
+    return normalised(_once(kept, mean))

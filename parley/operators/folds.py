@@ -188,3 +188,73 @@ def adaptive_windows(samples: DataFrame, target_ms: int, slack_ms: int) -> DataF
     at the quietest sample within slack_ms of the target. The state is the samples of one such stretch."""
     rows = samples.select("key", F.col("ts_ms").cast("long").alias("ts_ms"), "value")
     return in_order(rows, ["ts_ms", "value"], _Quietest, "key long, window long, start_ms long, end_ms long", target_ms, slack_ms)
+
+
+class _Blocks(Fold):
+    def __init__(self, most: int, overlap: int):
+        self.most, self.overlap, self.number, self.text = most, overlap, 0, ""
+
+    def row(self, order, block, whole):
+        done = []
+        if self.text and whole > self.most and len(self.text.encode()) // 4 + len(block.encode()) // 4 + 1 > self.most:
+            done = self.end()
+            self.number += 1
+            self.text = tail_at_header(self.text, self.overlap) + "\n"
+        self.text = f"{self.text}\n{block}" if self.text else block
+        return done
+
+    def end(self):
+        return [(self.number, self.text)] if self.text else []
+
+
+def tail_at_header(chunk: str, least: int) -> str:
+    """The shortest end of a chunk that begins at a turn's header and has `least` characters, else all from the first
+    header on; without headers the last `least` characters."""
+    starts, at = [], 0
+    for line in chunk.split("\n"):
+        if line.startswith("**") and "]:" in line:
+            starts.append(at)
+        at += len(line) + 1
+    if not starts:
+        return chunk[-least:] if least else ""
+    return chunk[max((s for s in starts if len(chunk) - s >= least), default=starts[0]) :]
+
+
+def block_chunks(blocks: DataFrame, key: str, order: str, text: str, most: int, overlap: int) -> DataFrame:
+    """key, chunk, text: the turns of a transcript packed into chunks of about `most` tokens (a quarter of the bytes); a
+    chunk begins with the end of the one before, from a turn's header on. A transcript within `most` is one chunk."""
+    kind = blocks.schema[key].dataType.simpleString()
+    size = F.floor((F.sum(F.octet_length(text) + 1).over(Window.partitionBy(key)) - 1) / 4)
+    rows = blocks.select(key, F.col(order).cast("long").alias(order), text, size.cast("long").alias("whole"))
+    return in_order(rows, [order, text], _Blocks, f"{key} {kind}, chunk long, text string", most, overlap)
+
+
+class _Untaken(Fold):
+    def __init__(self):
+        self.taken: list[tuple] = []
+
+    def row(self, rank, item, kind, start, end):
+        if kind and start is not None and any(a <= start and (b is None or start < b) for a, b in self.taken):
+            return []
+        if start is not None:
+            self.taken.append((start, end))
+        return [(item,)]
+
+
+def without_overlaps(hits: DataFrame, key: str) -> DataFrame:
+    """key, item of hits (rank, item, is_transcript, start, end) in rank order: a transcript's hit goes if it starts within
+    the span of one taken before (an open end reaches on). The state is the spans taken of one call."""
+    kind, own = hits.schema[key].dataType.simpleString(), hits.schema["item"].dataType.simpleString()
+    rows = hits.select(key, F.col("rank").cast("long").alias("rank"), "item", "is_transcript", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    return in_order(rows, ["rank", "item"], _Untaken, f"{key} {kind}, item {own}")
+
+
+def with_priority(fragments: DataFrame, extras: DataFrame, key: str, budget: int) -> DataFrame:
+    """key, place, item, tokens: the ranked fragments (place, item, tokens) that fit a budget beside the extras, and these
+    after them. The lowest ranked give way first, all at once."""
+    need = extras.groupBy(key).agg(F.sum("tokens").alias("_need"))
+    running = F.sum("tokens").over(Window.partitionBy(key).orderBy("place", "item").rowsBetween(Window.unboundedPreceding, 0))
+    kept = fragments.withColumn("_run", running).join(need, key, "left").where(F.col("_need").isNull() | (F.col("_run") + F.col("_need") <= budget))
+    added = extras.select(key, (F.col("place") + (1 << 40)).alias("place"), "item", "tokens")
+    both = kept.select(key, F.col("place").cast("long").alias("place"), "item", "tokens").unionByName(added)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("place", "item")).cast("long"))

@@ -145,3 +145,14 @@ def vector_codec(spark, sf):
     back = v.select("vec_id", "vec", "blob", M.bytes_vector(F.col("blob")).alias("back"), M.normalised(F.col("vec")).alias("unit"))
     same = F.forall(F.zip_with("vec", "back", lambda a, b: a.cast("float") == b), lambda x: x)
     return back.select("vec_id", F.octet_length("blob").cast("long").alias("bytes"), (F.octet_length("blob") / 4).cast("long").alias("dim"), same.alias("same"), F.round(F.sqrt(dot(F.col("unit"), F.col("unit"))), 4).alias("norm"))
+
+
+@query(sql("SELECT vec_id, round(list_dot_product(m, m) / n2, 4) AS norm, round(m[1] / sqrt(n2), 4) AS first FROM (SELECT vec_id, m, list_dot_product(m, m) AS n2 FROM (SELECT vec_id, list_transform(list_zip(vec, list_reverse(vec)), lambda z: (z[1] + z[2]) / 2) AS m FROM vectors))", VECTORS))
+def tokens_pooled(spark, sf):
+    """Token vectors pooled where their mask is set: of three, the vector, its reverse and a masked one."""
+    from ..functions import models as M
+    from ..operators.search import dot
+
+    v = F.col("vec")
+    made = M.pooled(F.array(v, F.reverse(v), F.transform(v, lambda x: x * 100)), F.array(F.lit(1), F.lit(1), F.lit(0)))
+    return vectors(spark, sf).select("vec_id", made.alias("p")).select("vec_id", F.round(dot(F.col("p"), F.col("p")), 4).alias("norm"), F.round(F.col("p")[0], 4).alias("first"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import base
-from . import content, documents, flows, people, questions, recaps, relational, search, segments, transcripts  # noqa: F401
+from . import answering, content, documents, flows, lifecycle, people, questions, recaps, relational, search, segments, stitching, transcripts  # noqa: F401
 
 FLAGSHIP = "contact_stats"
 

@@ -64,3 +64,60 @@ def peaks(samples: Column, n: int) -> Column:
     """The largest magnitude in each of n equal parts; samples after the last whole part are left out."""
     width = F.floor(F.size(samples) / n).cast("int")
     return F.when(width > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_max(F.transform(F.slice(samples, i * width + 1, width), lambda x: F.abs(x)))))
+
+
+def wav_bytes(samples: Column, rate: Column) -> Column:
+    """Mono samples as 16-bit WAV files: held to -1..1, scaled and cut to whole numbers."""
+
+    def one(xs, hz):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(int(hz))
+            w.writeframes((np.clip(np.asarray(xs, dtype=float), -1, 1) * 32767).astype("<i2").tobytes())
+        return out.getvalue()
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([one(x, hz) for x, hz in zip(s, r, strict=True)])
+
+    return run(samples, rate)
+
+
+def wav_samples(data: Column) -> Column:
+    """struct(rate, channels, samples) of WAV files held in a column."""
+
+    @F.pandas_udf("struct<rate:int,channels:int,samples:array<float>>")
+    def run(files: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([decode(bytes(d)) for d in files], columns=["rate", "channels", "samples"])
+
+    return run(data)
+
+
+def duration_ms(samples: Column, rate: Column) -> Column:
+    return F.floor(F.size(samples) * 1000 / rate).cast("long")
+
+
+def duration_by_size(data: Column) -> Column:
+    """Seconds of a WAV file by its size and the byte rate in its header, whatever the header says of the data's size;
+    null for what is no WAV file or has no byte rate."""
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("double")
+    rate = byte(29) + byte(30) * 256 + byte(31) * 65536 + byte(32) * 16777216
+    ok = (F.octet_length(data) >= 44) & (F.hex(F.substring(data, 1, 4)) == "52494646") & (F.hex(F.substring(data, 9, 4)) == "57415645") & (rate > 0)
+    return F.when(ok, (F.octet_length(data) - 44) / rate)
+
+
+def slice_or_error(samples: Column, rate: Column, start: Column, end: Column) -> Column:
+    """slice_of(), where an end at or before the start is an error."""
+    return F.when(end > start, slice_of(samples, rate, start, end)).otherwise(F.raise_error(F.lit("the end of a slice isn't after its start")))
+
+
+def promoted_roots(files: DataFrame) -> DataFrame:
+    """files (call_id, chunk_idx, path; the file of the whole call has no chunk_idx): a whole file becomes chunk 0 where
+    other chunks exist and chunk 0 doesn't."""
+    chunks = files.where("chunk_idx is not null")
+    lacking = chunks.groupBy("call_id").agg(F.min("chunk_idx").alias("least")).where("least > 0").select("call_id")
+    whole = files.where("chunk_idx is null")
+    moved = whole.join(lacking, "call_id", "left_semi").withColumn("chunk_idx", F.lit(0).cast(files.schema["chunk_idx"].dataType))
+    return chunks.unionByName(moved.select(files.columns)).unionByName(whole.join(lacking, "call_id", "left_anti").select(files.columns))
