@@ -49,23 +49,31 @@ def postings(passages: DataFrame) -> DataFrame:
     return rows.groupBy("passage_id", "word", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_hits(passages: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """passage_id, dl, term, tf for passages with at least one term. Only words that match are counted, row by row."""
+def counted_terms(passages: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
+    """passage_id, dl, hits (term, tf of the terms that occur) of every passage; each text is split once."""
     split = passages.select("passage_id", words(F.col("text")).alias("w"))
     counted = [
         F.struct(F.lit(t).alias("term"), F.size(F.filter("w", (lambda p: lambda w: w.startswith(p))(t) if prefix else (lambda p: lambda w: w == p)(t))).cast("long").alias("tf"))
         for t, prefix in terms
     ]
-    rows = split.select("passage_id", F.size("w").cast("long").alias("dl"), F.array(*counted).alias("hits"))
-    return rows.select("passage_id", "dl", F.inline("hits")).where("tf > 0")
+    return split.select("passage_id", F.size("w").cast("long").alias("dl"), F.filter(F.array(*counted), lambda h: h["tf"] > 0).alias("hits"))
+
+
+def term_hits(passages: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
+    """passage_id, dl, term, tf for passages with at least one term. Only words that match are counted, row by row."""
+    return counted_terms(passages, terms).select("passage_id", "dl", F.inline("hits"))
 
 
 def bm25(passages: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """passage_id, score (higher is better) of the passages that have a term; the idf is floored just above zero."""
+    """passage_id, score (higher is better) of the passages that have a term; the idf is floored just above zero.
+
+    The texts are read and split once, into a thin table from which the statistics of the corpus come too.
+    """
     if not terms:
         return passages.select("passage_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    hits = term_hits(passages, terms)
-    corpus = passages.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(words(F.col("text")))).alias("avgdl"))
+    counted = stored(counted_terms(passages, terms), "terms")
+    hits = counted.where(F.size("hits") > 0).select("passage_id", "dl", F.inline("hits"))
+    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # MOST_TERMS rows at most
     scored = hits.join(F.broadcast(df), "term").join(F.broadcast(corpus), F.lit(True))
     idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
