@@ -28,7 +28,7 @@ from .common import small_batches, text_views
 REMEMBERED, LONGEST = 1_500_000, 64
 #: Bytes of a word up to which it is contracted whole. Pieces of longer ones start every SHORT / 2 bytes.
 SHORT = 64
-#: Bytes times the bytes of the longest word that one query contracts.
+#: Bytes of a query's words times those of the longest one.
 HELD = 4_000_000
 #: Words and tokens handled by one query.
 WORDS, TOKENS = 20_000, 500_000
@@ -98,59 +98,59 @@ class Codec:
         short = [i for i, x in enumerate(out) if x is None and len(words[i]) <= SHORT]
         for i, ids in zip(short, self._contracted([words[i] for i in short]), strict=True):
             out[i] = ids
-        for i, x in enumerate(out):
-            if x is None:
-                out[i] = self._long(words[i])
+        long_ = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(long_, self._long([words[i] for i in long_]), strict=True):
+            out[i] = ids
         return out
 
     def _contracted(self, words: list[bytes]) -> list[list[int]]:
         """The ids of words, from queries of bounded size: a query holds every step of its words."""
-        out, at = [], 0
-        most = HELD // max(map(len, words), default=1)
-        while at < len(words):
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        at = 0
+        while at < len(order):
             end, held = at, 0
-            while end < len(words) and (end == at or held + len(words[end]) <= most):
-                held += len(words[end])
+            while end < len(order) and (end == at or (held + len(words[order[end]])) * len(words[order[end]]) <= HELD):
+                held += len(words[order[end]])
                 end += 1
-            part = words[at:end]
+            part = [words[i] for i in order[at:end]]
             sizes = np.array([len(w) for w in part])
             raw = np.frombuffer(b"".join(part), dtype=np.uint8)
             word = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             pos = (np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             self.db.register("start", pa.table({"word": word, "pos": pos, "token": self.single[raw]}))
-            found = dict(self.db.execute(CONTRACT).fetchall())
+            for i, ids in self.db.execute(CONTRACT).fetchall():
+                out[order[at + i]] = ids
             self.db.unregister("start")
-            out += [found[i] for i in range(len(part))]
             at = end
         return out
 
-    def _long(self, word: bytes) -> list[int]:
-        """The ids of a long word, joined from those of its pieces; these grow until all neighbours have a token in common."""
-        size, known = SHORT, {}
-        while True:
-            pieces = [(at, min(len(word), at + size)) for at in range(0, max(1, len(word) - size // 2), size // 2)]
-            for _ in range(3):
-                new = list(dict.fromkeys(p for p in pieces if p not in known))
-                for (a, b), ids in zip(new, self._contracted([word[a:b] for a, b in new]), strict=True):
-                    starts = a + np.append(0, np.cumsum([self.size_of[i] for i in ids])[:-1])
-                    known[a, b] = list(zip(starts.tolist(), ids, strict=True))
-                cuts, joined, least = [], [pieces[0]], 0
-                for before, piece in zip(pieces[:-1], pieces[1:], strict=True):
-                    common = [t for t, _ in set(known[piece]).intersection(known[before]) if t > least]
-                    if common:
-                        middle = (piece[0] + before[1]) / 2
-                        least = min(common, key=lambda t: (abs(t - middle), t))
-                        cuts.append(least)
-                        joined.append(piece)
-                    elif joined[-1] == before:
-                        joined[-1] = (before[0], piece[1])
-                    else:  # the piece before has just become longer; this one is looked at again
-                        joined.append(piece)
-                if len(cuts) == len(pieces) - 1:
-                    starts, ends = [0, *cuts], [*cuts, len(word)]
-                    return [i for p, a, b in zip(pieces, starts, ends, strict=True) for at, i in known[p] if a <= at < b]
-                pieces = joined
-            size, known = 2 * size, {}
+    def _long(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of long words, joined from those of their pieces; the pieces of a word grow until all neighbours have a
+        token in common."""
+        out: list[list[int]] = [[]] * len(words)
+        known: list[dict] = [{} for _ in words]  # of each word: piece to its tokens with their places
+        size = dict.fromkeys(range(len(words)), SHORT)
+        tries = dict.fromkeys(size, 0)
+        pieces = {i: pieces_of(len(words[i]), SHORT) for i in size}
+        while size:
+            new = [(i, p) for i in size for p in dict.fromkeys(pieces[i]) if p not in known[i]]
+            for (i, (a, b)), ids in zip(new, self._contracted([words[i][a:b] for i, (a, b) in new]), strict=True):
+                starts = a + np.append(0, np.cumsum([self.size_of[x] for x in ids])[:-1])
+                known[i][a, b] = list(zip(starts.tolist(), ids, strict=True))
+            for i in list(size):
+                cuts, joined = joints(pieces[i], known[i])
+                tries[i] += 1
+                if len(cuts) == len(pieces[i]) - 1:
+                    starts, ends = [0, *cuts], [*cuts, len(words[i])]
+                    out[i] = [x for p, a, b in zip(pieces[i], starts, ends, strict=True) for at, x in known[i][p] if a <= at < b]
+                    del size[i]
+                elif tries[i] % 3:
+                    pieces[i] = joined
+                else:
+                    size[i] *= 2
+                    known[i], pieces[i] = {}, pieces_of(len(words[i]), size[i])
+        return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Remembers the ids (little-endian 32-bit numbers) of words, from queries of bounded size. Returns the ids of
@@ -220,6 +220,29 @@ def _groups(texts: list[str], size: int):
         yield group
 
 
+def pieces_of(n: int, size: int) -> list[tuple[int, int]]:
+    """Overlapping pieces of n bytes: one of `size` bytes every size / 2."""
+    return [(at, min(n, at + size)) for at in range(0, max(1, n - size // 2), size // 2)]
+
+
+def joints(pieces: list, known: dict) -> tuple[list[int], list]:
+    """(where neighbouring pieces are joined: at a token that both have, near the middle of what they share; the pieces
+    with those made one that have none)."""
+    cuts, joined, least = [], [pieces[0]], 0
+    for before, piece in zip(pieces[:-1], pieces[1:], strict=True):
+        common = [t for t, _ in set(known[piece]).intersection(known[before]) if t > least]
+        if common:
+            middle = (piece[0] + before[1]) / 2
+            least = min(common, key=lambda t: (abs(t - middle), t))
+            cuts.append(least)
+            joined.append(piece)
+        elif joined[-1] == before:
+            joined[-1] = (before[0], piece[1])
+        else:  # the piece before has just become longer; this one is looked at again
+            joined.append(piece)
+    return cuts, joined
+
+
 _CODECS: dict[tuple, Codec] = {}
 
 
