@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "te
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, size = text_bytes(slim)
     blocks = block_count(size + rows, block_mb, 6)
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")  # a task per block
 
     def texts_of(table: pa.Table):
         for batch in table.to_batches():
@@ -263,7 +263,7 @@ def score_documents(docs: DataFrame, train, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_pydict({"block": pa.array([int(block[p[0]]) for p in parts], pa.int32()), "data": pa.array([packed(keys[p], value[p]) for p in parts], pa.binary())})
 
     joined = found.select("block", "key").join(values, "key").select("block", "key", "value").sortWithinPartitions("block")
-    wanted = joined.mapInArrow(send, "block int, data binary")
+    wanted = joined.mapInArrow(send, "block int, data binary").repartitionById(blocks, "block")
     floor = float(np.log10(1.0 / (n_all + n_kinds + 1)))
 
     def apply(table: pa.Table, known: pa.Table) -> pa.Table:
