@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import base
-from . import answering, content, documents, flows, lifecycle, people, questions, recaps, relational, search, segments, stitching, transcripts, views  # noqa: F401
+from . import answering, content, documents, flows, lifecycle, people, processing, questions, recaps, relational, search, segments, stitching, transcripts, views  # noqa: F401
 
 FLAGSHIP = "contact_stats"
 
