@@ -63,7 +63,7 @@ def askable_questions(spark, sf):
     return calls(spark, sf).select("call_id", Q.is_askable(text, 40).alias("askable"))
 
 
-_NAMED = "asked AS (SELECT call_id, unnest(string_split(lower('Who called ' || 'Customer#' || lpad(contact_id::VARCHAR, 9, '0') || CASE call_id % 3 WHEN 1 THEN 'xyz' WHEN 2 THEN 'wxyz' ELSE '' END), ' ')) AS w FROM calls WHERE call_id % 50 = 0)"
+_NAMED = "asked AS (SELECT call_id, unnest(string_split(lower('Who called ' || 'Customer#' || lpad(contact_id::VARCHAR, 9, '0') || CASE call_id % 3 WHEN 1 THEN 'xyz' WHEN 2 THEN 'wxyz' ELSE '' END), ' ')) AS w FROM calls)"
 
 
 @query(sql("SELECT DISTINCT call_id, contacts.contact_id FROM asked JOIN contacts ON starts_with(w, lower(display_name)) AND length(w) - length(display_name) <= 3", CALLS, CONTACTS, _NAMED))
@@ -71,11 +71,11 @@ def names_in_questions(spark, sf):
     """Contacts whose name is a word of the question, with an ending of three characters at most."""
     ending = F.when(F.col("call_id") % 3 == 1, "xyz").when(F.col("call_id") % 3 == 2, "wxyz").otherwise("")
     named = F.concat(F.lit("Who called Customer#"), F.lpad(F.col("contact_id").cast("string"), 9, "0"), ending)
-    asked = calls(spark, sf).where("call_id % 50 = 0").select("call_id", named.alias("question"))
+    asked = calls(spark, sf).select("call_id", named.alias("question"))
     return R.named_in(asked, contacts(spark, sf), "call_id", "question").select("call_id", "contact_id")
 
 
-_HINTS = "hints AS (SELECT call_id, CASE call_id % 4 WHEN 0 THEN ' CUSTOMER#' || lpad(contact_id::VARCHAR, 9, '0') WHEN 1 THEN 'the customer#' || lpad(contact_id::VARCHAR, 9, '0') || ' team' WHEN 2 THEN '  ' ELSE '#' || lpad((contact_id // 100)::VARCHAR, 7, '0') END AS hint FROM calls WHERE call_id % 20 < 4)"
+_HINTS = "hints AS (SELECT call_id, CASE call_id % 4 WHEN 0 THEN ' CUSTOMER#' || lpad(contact_id::VARCHAR, 9, '0') WHEN 1 THEN 'the customer#' || lpad(contact_id::VARCHAR, 9, '0') || ' team' WHEN 2 THEN '  ' ELSE '#' || lpad((contact_id // 100)::VARCHAR, 7, '0') END AS hint FROM calls)"
 
 
 @query(sql("""SELECT call_id, first(contact_id ORDER BY name <> h, contact_id) AS contact_id FROM (SELECT call_id, lower(trim(hint)) AS h FROM hints) JOIN (SELECT contact_id, lower(display_name) AS name FROM contacts) ON h <> '' AND (contains(name, h) OR contains(h, name)) GROUP BY call_id""", CALLS, CONTACTS, _HINTS))
@@ -84,7 +84,7 @@ def owners_by_hint(spark, sf):
     padded = F.lpad(F.col("contact_id").cast("string"), 9, "0")
     k = F.col("call_id") % 4
     hint = F.when(k == 0, F.concat(F.lit(" CUSTOMER#"), padded)).when(k == 1, F.concat(F.lit("the customer#"), padded, F.lit(" team"))).when(k == 2, "  ").otherwise(F.concat(F.lit("#"), F.lpad(F.floor(F.col("contact_id") / 100).cast("string"), 7, "0")))
-    hints = calls(spark, sf).where("call_id % 20 < 4").select("call_id", hint.alias("hint"))
+    hints = calls(spark, sf).select("call_id", hint.alias("hint"))
     return R.owner_of_hint(hints, contacts(spark, sf), "call_id", "hint")
 
 
