@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import processing as P
-from ..operators.graph import shared_folder
+from ..operators.graph import shared_folder, stored
 from ..sources import artifacts, stt
-from ..sources.tables import CALLS, CONTACTS, FAILURES, PASSAGES, TURNS, VECTORS, calls, contacts, passages, sql, table, turns, vectors
+from ..sources.tables import CALLS, CONTACTS, FAILURES, PASSAGES, TURNS, VECTORS, calls, contacts, passages, sql, turns, vectors
 from .base import query
 from .lifecycle import _LEVELS, RATE, _audio
 from .transcripts import contact_cards
@@ -24,16 +24,18 @@ def passage_texts(spark, sf):
     return passages(spark, sf).select("call_id", "passage_id", "text", place.cast("long").alias("place"))
 
 
-@query(f"SELECT n_nationkey::VARCHAR AS call, CASE WHEN n_nationkey % 3 <> 0 AND n_nationkey <> 5 THEN n_name || chr(10) || 'region ' || n_regionkey || chr(10) END AS text, n_nationkey = 5 AS gone FROM nation")
+@query(sql("SELECT call_id AS call, CASE WHEN size % 3 <> 0 AND call_id <> first THEN n || ' passages' || chr(10) || size || ' characters' || chr(10) END AS text, call_id = first AS gone FROM (SELECT coalesce(call_id, 'none') AS call_id, count(*) AS n, sum(length(text))::BIGINT AS size, min(min(coalesce(call_id, 'none'))) OVER () AS first FROM passages GROUP BY 1)", PASSAGES))
 def artifacts_read(spark, sf):
-    """Artifacts written as files, those of one call deleted, and read back; missing ones are null."""
-    n = table(spark, sf, "nation").withColumn("call", F.col("n_nationkey").cast("string"))
+    """Two artifacts of each call's passages written as files, those of the first call deleted, and read back; missing ones are null."""
+    rows = passages(spark, sf).groupBy(F.coalesce("call_id", F.lit("none")).alias("call")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("size"))
+    rows = stored(rows, "passages-of-calls")
     root = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
-    text = F.concat("n_name", F.lit("\nregion "), F.col("n_regionkey").cast("string"), F.lit("\n"))
-    recaps = n.where("n_nationkey % 3 <> 0").select("call", F.lit("recap").alias("kind"), text.alias("text"))
-    artifacts.write_artifacts(recaps.unionByName(n.select("call", F.lit("transcript").alias("kind"), F.col("n_name").alias("text"))), root)
-    gone = artifacts.remove_artifacts(spark, root, "5")
-    return artifacts.read_artifacts(spark, root, n, "recap").select("call", "text", ((F.col("call") == "5") & F.lit(gone)).alias("gone"))
+    text = F.concat(F.col("n").cast("string"), F.lit(" passages\n"), F.col("size").cast("string"), F.lit(" characters\n"))
+    recaps = rows.where("size % 3 <> 0").select("call", F.lit("recap").alias("kind"), text.alias("text"))
+    artifacts.write_artifacts(recaps.unionByName(rows.select("call", F.lit("transcript").alias("kind"), F.col("n").cast("string").alias("text"))), root)
+    first = rows.agg(F.min("call")).first()[0]
+    gone = first is not None and artifacts.remove_artifacts(spark, root, first)
+    return artifacts.read_artifacts(spark, root, rows, "recap").select("call", "text", ((F.col("call") == first) & F.lit(gone)).alias("gone"))
 
 
 @query(sql("SELECT conv_id || '-' || turn AS doc, 'w' || turn || chr(65533) || 'x' AS text, 'en' AS language FROM turns", TURNS))

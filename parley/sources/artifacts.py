@@ -18,8 +18,11 @@ def read_artifacts(spark: SparkSession, root: str, calls: DataFrame, kind: str)
 
 
 def remove_artifacts(spark: SparkSession, root: str, call: str | None = None) -> bool:
-    """Deletes the folder of one call, or of all; a key that would lead elsewhere is an error. True if there was one."""
-    if call is not None and (not call or call.strip(".") == "" or any(c in call for c in "/\\:")):
-        raise ValueError(f"no key of a call: {call!r}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(root if call is None else f"{root}/call={call}")
+    """Deletes the folder of one call, or of all. True if there was one. A key is escaped as Spark writes it, so that it
+    names a folder right below root whatever its characters; an empty one is an error."""
+    if call == "":
+        raise ValueError("an empty key of a call")
+    jvm = spark._jvm
+    folder = "" if call is None else "/call=" + jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(call)
+    path = jvm.org.apache.hadoop.fs.Path(root + folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

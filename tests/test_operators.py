@@ -229,3 +229,48 @@ def test_similar_links_join_what_all_pairs_join(spark, monkeypatch):
     linked = {i: r for i, r in enumerate(root) if root.count(r) > 1}
     assert 1 < len(set(linked.values())) and len(linked) > 100
     assert {r.node: r.root for r in graph.components(search.similar_links(v, 0.75)).collect()} == linked
+
+
+def test_artifacts_of_odd_keys(spark, tmp_path):
+    from parley.sources import artifacts
+
+    root, keys = f"{tmp_path}/a", ["a/b", "..", "x:y", "plain", "lines"]
+    rows = spark.createDataFrame([(k, "recap", "one\n\n" if k == "lines" else f"text of {k}") for k in keys], "call string, kind string, text string")
+    artifacts.write_artifacts(rows, root)
+    asked = spark.createDataFrame([(k,) for k in [*keys, "none"]], "call string")
+    read = lambda: {r.call: r.text for r in artifacts.read_artifacts(spark, root, asked, "recap").collect()}
+    assert read() == {**{k: f"text of {k}" for k in keys}, "lines": "one\n\n", "none": None}
+    assert artifacts.remove_artifacts(spark, root, "..") and artifacts.remove_artifacts(spark, root, "a/b")
+    assert not artifacts.remove_artifacts(spark, root, "none")
+    assert {k for k, t in read().items() if t} == {"x:y", "plain", "lines"}
+    assert artifacts.remove_artifacts(spark, root) and (tmp_path).exists()
+
+
+def test_cuts_and_chunks_edges(spark):
+    from parley.operators import processing as P
+
+    calls = spark.createDataFrame([(1, -5, 4000), (2, None, 4000), (3, 9, None)], "call_id int, duration_sec long, cutoff_ms long")
+    tracks = spark.createDataFrame([(i, "mic", 6000) for i in (1, 2, 3, 4)], "call_id int, track string, length_ms long")
+    got = {r.call_id: (r.keep_ms, r.flag) for r in P.trimmed_tails(calls, tracks).collect()}
+    assert got == {1: (0, P.CUT_FLAG), 2: (4000, P.CUT_FLAG), 3: (6000, None), 4: (6000, None)}
+
+    chunks = spark.createDataFrame([(1, i, s) for i, s in enumerate(["pending", "pending", "done", "pending"])], "call_id int, chunk_idx int, status string")
+    heard = "call_id int, chunk_idx int, text string, error string"
+    mic = spark.createDataFrame([(1, 0, " A  b\nc ", None), (1, 1, None, "no model"), (1, 2, "late", None)], heard)
+    system = spark.createDataFrame([(1, 0, None, "no audio"), (1, 1, "x", None)], heard)
+    once = P.processed_chunks(chunks, mic, system, tail=2)
+    got = {r.chunk_idx: (r.status, r.mic, r.system, r.degraded, r.error, r.tail) for r in once.collect()}
+    assert got == {0: ("done", " A  b\nc ", None, True, None, "b c"), 1: ("failed", None, None, False, "no model", None), 2: ("done", None, None, False, None, None), 3: ("pending", None, None, False, None, None)}
+    again = P.processed_chunks(once.select("call_id", "chunk_idx", "status"), mic, system)
+    assert sorted(r.status for r in again.collect()) == sorted(s for s, *_ in got.values())
+
+
+def test_engine_labels_and_byte_totals(spark):
+    from pyspark.sql import functions as F
+
+    from parley.operators import processing as P
+
+    rows = spark.createDataFrame([("qwen-1_5b",), ("q-1.5b",), ("3b",), ("x7b",), ("other",), (None,)], "m string")
+    assert [r[0] for r in rows.select(P.engine_label(F.col("m"))).collect()] == ["local-qwen-1.5b", "local-qwen-1.5b", "local-qwen-3b", "local-qwen-7b", "local-qwen", "local-qwen"]
+    calls, files = spark.range(2).select(F.col("id").alias("call_id")), spark.createDataFrame([(0, 5), (0, 7)], "call_id long, bytes long")
+    assert {r.call_id: r.bytes for r in P.byte_totals(calls, files).collect()} == {0: 12, 1: None}
