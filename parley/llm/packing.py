@@ -26,6 +26,7 @@ class Settings:
     fixed: float = 32.0  # cost of a sequence of any length, in tokens
     quadratic: float = 1 / 8192  # cost of attention for each token pair, in tokens
     group_pieces: int = 20_000  # pieces packed together, about; the number of groups grows with the table
+    hot_rows: int = 1_000  # the rows of a key with more than these are dealt over the groups each on its own
 
     def cost(self, size: int) -> float:
         return self.fixed + size + self.quadratic * size * size
@@ -94,17 +95,21 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", set
     """One row per piece: doc_id, piece, start, n_tokens, bin_id, bin_size, bin_tokens, position (of the piece in its bin).
 
     tokens: the length of a row (default: words and an end token, so that null and empty texts have 1; a length under
-    1 gives no piece). Ties are broken by key and piece. Repeated rows are packed each on its own; an empty table gives
-    no rows. Other columns are not read.
+    1 gives no piece). Ties are broken by key and piece. Repeated rows are packed each on its own, those of a key that
+    many share (null too) in several groups; an empty table gives no rows. Other columns are not read.
     """
     largest = max(settings.sizes)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), (word_tokens(F.col(text)) if tokens is None else tokens).cast("long").alias("length"))
-    rows = written(rows.where("length > 0"), "packing")
+    # A row's place is stored with it, so that a repeated task deals it alike.
+    rows = written(rows.where("length > 0").withColumn("place", F.monotonically_increasing_id()), "packing")
     pieces = int(rows.agg(F.coalesce(F.sum(F.ceil(F.col("length") / largest)), F.lit(0))).first()[0])
     groups = max(1, math.ceil(pieces / settings.group_pieces))
-    cut = rows.select("doc_id", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(largest).cast("long"))).alias("start"))
-    cut = cut.select("doc_id", "start", F.least(F.col("length") - F.col("start"), F.lit(largest)).alias("n_tokens"))
-    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    often = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > settings.hot_rows).select(F.col("doc_id").alias("often_id"), F.lit(True).alias("often"))
+    rows = rows.join(often, F.col("doc_id").eqNullSafe(F.col("often_id")), "left").withColumn("place", F.when(F.col("often"), F.col("place")))
+    cut = rows.select("doc_id", "length", "place", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(largest).cast("long"))).alias("start"))
+    cut = cut.select("doc_id", "start", "place", F.least(F.col("length") - F.col("start"), F.lit(largest)).alias("n_tokens"))
+    # A null place leaves the hash as it is: rows of other keys are dealt by key and start alone.
+    dealt = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "place"), F.lit(groups))).drop("place")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n_tokens", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)

@@ -294,6 +294,17 @@ def test_pack_against_brute_force(lengths):
     assert (bins.tolist(), sizes.tolist()) == (want[0], want[1])
 
 
+def test_packing_deals_hot_keys(spark):
+    """Rows that share a key, or have none, are spread over the groups; no piece is lost."""
+    settings = packing.Settings(group_pieces=100, hot_rows=50)
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"))
+    got = packing.pack_documents(docs, settings=settings).toPandas()
+    assert len(got) == 900 and got["n_tokens"].sum() == sum(i % 40 + 1 for i in range(900))
+    groups = got["bin_id"].str.split("-").str[0]
+    assert groups.value_counts().max() < 160
+    assert groups[got["doc_id"].isna()].nunique() > 5 and groups[got["doc_id"] == 7].nunique() > 5
+
+
 def test_packing_is_whole(spark, sf_dir):
     docs = edge_docs(spark).unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     got = packing.pack_documents(docs, settings=packing.Settings(group_pieces=50)).toPandas()
