@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import bpe_report, read_ranks
 from .common import LOWER, UPPER, documents
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_interactions, interactions_sql
 from .language_id import language_report
 from .license_scan import license_passages
 from .order_minhash import order_minhash_report
@@ -12,6 +13,8 @@ from .packing import pack_documents
 from .ppm import ppm_report
 from .secret_scan import secrets_report
 from .simhash import near_components
+from .source_audit import divergence_sql, source_divergence
+from .toxicity import toxicity_report
 from .warc import warc_report
 
 
@@ -57,6 +60,18 @@ def op10_language_id(spark, sf_dir):
     return language_report(documents(spark, sf_dir))
 
 
+def op11_counterfactual_toxicity(spark, sf_dir):
+    return toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_filter_interactions(spark, sf_dir):
+    return filter_interactions(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence(documents(spark, sf_dir))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -68,4 +83,6 @@ def oracle_sql():
             SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM d""",
+        "op12_filter_interactions": interactions_sql(),
+        "op13_source_divergence": divergence_sql(),
     }
