@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -30,6 +31,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _unmarked() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and the letters they stand on, then the combining marks, which stand on none."""
+    codes = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+    letters = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, codes) if c == c.lower()]
+    letters = [(c, base) for c, base in letters if c != base and base.isascii() and base.isalpha()]
+    return "".join(c for c, _ in letters) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in letters)
+
+
+MARKED, UNMARKED = _unmarked()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without the marks of Latin letters and without combining marks; letters of other scripts (й, ё) stay."""
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, MARKED, UNMARKED)).otherwise(low)
+
+
+def folded_words(text: Column) -> Column:
+    """The words under which a text is found: folded runs of letters and digits."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def token_estimate(text: Column) -> Column:
     """A quarter of the UTF-8 bytes, rounded down."""
     return F.floor(F.octet_length(text) / 4).cast("long")

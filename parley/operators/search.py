@@ -1,86 +1,14 @@
-"""Lexical, vector and hybrid search over passages, and vectors of speakers."""
+"""Vectors of speakers, quotes in passages, and how good a search is."""
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import squeezed, words
+from ..functions.text import squeezed
 from .bitmaps import in_bitmap, row_bitmap
 from .graph import stored
 
-K1, B = 1.2, 0.75
-RRF_K = 60
-MOST_TERMS = 12
-#: Words that say nothing about what is asked, a list for each language. They decide what is found.
-STOP_WORDS = {
-    "ru": frozenset(
-        """
-        что чем чём кто кого как где когда почему зачем сколько какой какая какое какие по
-        за на не ни но же ли бы из до от об под при для про
-        это эти этот эта там тут был были было была есть будет мы вы он она
-        они нам вам его нас вас их такой такая такое итог итоге итогу всё все или
-        сегодня вчера позавчера назад неделю неделе недели неделя месяц месяца месяце году года год квартал квартала
-        квартале прошлой прошлом прошлый прошлую прошлого
-        """.split()
-    ),
-    "en": frozenset("the and for was what who when where how why did does about with from that this which have has are were our you they".split()),
-}
-
-
-def query_terms(question: str, languages=("en", "ru")) -> list[tuple[str, bool]]:
-    """(term, is a prefix) of a question: letters and digits of two characters on, no stop words unless all are, the
-    first twelve; longer words become prefixes so that endings don't matter."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", question.lower()) if not unicodedata.combining(c))
-    found = [w for w in re.findall(r"[^\W_]+", plain) if len(w) >= 2]
-    stop = set().union(*(STOP_WORDS[x] for x in languages))
-    kept = [w for w in found if w not in stop] or found
-    return [(w[: max(4, len(w) - 2)], True) if len(w) >= 6 else (w, False) for w in dict.fromkeys(kept)][:MOST_TERMS]
-
-
-def postings(passages: DataFrame) -> DataFrame:
-    """passage_id, word, tf, dl: occurrences of each word and the length of its passage."""
-    split = passages.select("passage_id", words(F.col("text")).alias("w"))
-    rows = split.select("passage_id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("word"))
-    return rows.groupBy("passage_id", "word", "dl").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def counted_terms(passages: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """passage_id, dl, hits (term, tf of the terms that occur) of every passage; each text is split once."""
-    split = passages.select("passage_id", words(F.col("text")).alias("w"))
-    counted = [
-        F.struct(F.lit(t).alias("term"), F.size(F.filter("w", (lambda p: lambda w: w.startswith(p))(t) if prefix else (lambda p: lambda w: w == p)(t))).cast("long").alias("tf"))
-        for t, prefix in terms
-    ]
-    return split.select("passage_id", F.size("w").cast("long").alias("dl"), F.filter(F.array(*counted), lambda h: h["tf"] > 0).alias("hits"))
-
-
-def term_hits(passages: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """passage_id, dl, term, tf for passages with at least one term. Only words that match are counted, row by row."""
-    return counted_terms(passages, terms).select("passage_id", "dl", F.inline("hits"))
-
-
-def bm25(passages: DataFrame, terms: list[tuple[str, bool]]) -> DataFrame:
-    """passage_id, score (higher is better) of the passages that have a term; the idf is floored just above zero.
-
-    The texts are read and split once, into a thin table from which the statistics of the corpus come too.
-    """
-    if not terms:
-        return passages.select("passage_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    counted = stored(counted_terms(passages, terms), "terms")
-    hits = counted.where(F.size("hits") > 0).select("passage_id", "dl", F.inline("hits"))
-    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # MOST_TERMS rows at most
-    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(corpus), F.lit(True))
-    idf = F.greatest(F.lit(1e-6), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("passage_id").agg(F.sum(idf * weight).alias("score"))
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -98,20 +26,6 @@ def nearest(vectors: DataFrame, query: DataFrame, n: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(n)
 
 
-def fused(rankings: list[DataFrame], key: str) -> DataFrame:
-    """key, score: the sum of 1 / (60 + rank) over rankings (key, rank from 1)."""
-    both = rankings[0]
-    for r in rankings[1:]:
-        both = both.unionByName(r)
-    return both.groupBy(key).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"))
-
-
-def ranked(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """key, rank of the n best rows by score and then key."""
-    top = rows.orderBy(F.desc("score"), key).limit(n)
-    return top.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))
-
-
 def centroids(vectors: DataFrame, key: str = "contact_id") -> DataFrame:
     """The normalised mean vector of each key; keys whose mean is zero are left out."""
     parts = vectors.select(key, F.posexplode("vec").alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))

@@ -96,6 +96,36 @@ def passages(spark, sf_dir):
 PASSAGES = "passages AS (SELECT doc_id AS passage_id, source AS call_id, coalesce(text, '') AS text, lang FROM documents)"
 
 
+def dated_passages(spark, sf_dir):
+    """passages with the time of their call, here its number."""
+    return passages(spark, sf_dir).withColumn("at", F.regexp_extract("call_id", "[0-9]+", 0).try_cast("long"))
+
+
+def opening_questions(spark, sf_dir):
+    """The first turn of every conversation as a question; every other one is about a call, half of them about a period.
+    The vector of the same number is the question's, if there is one."""
+    t = table(spark, sf_dir, "conversations").where("turn = 0")
+    q = t.select(
+        F.col("conv_id").alias("question_id"),
+        F.coalesce("text", F.lit("")).alias("question"),
+        F.when(F.col("conv_id") % 2 == 1, F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))).alias("call_id"),
+        F.when(F.col("conv_id") % 4 >= 2, F.col("conv_id") % 10).alias("since"),
+        F.when(F.col("conv_id") % 4 >= 2, F.col("conv_id") % 10 + 8).alias("until"),
+    )
+    return q.join(vectors(spark, sf_dir).select(F.col("vec_id").alias("question_id"), "vec"), "question_id", "left")
+
+
+def embedded_passages(spark, sf_dir):
+    """The passages that have a vector, that of the same number."""
+    return dated_passages(spark, sf_dir).select("passage_id", "call_id", "at").join(vectors(spark, sf_dir).select(F.col("vec_id").alias("passage_id"), "vec"), "passage_id")
+
+
+DATED = """dated AS (SELECT *, try_cast(regexp_extract(call_id, '[0-9]+') AS BIGINT) AS "at" FROM passages)"""
+QUESTIONS = """questions AS (SELECT conv_id AS question_id, coalesce(text, '') AS question, CASE WHEN conv_id % 2 = 1 THEN 'src' || (conv_id % 20) END AS call_id,
+  CASE WHEN conv_id % 4 >= 2 THEN conv_id % 10 END AS since, CASE WHEN conv_id % 4 >= 2 THEN conv_id % 10 + 8 END AS until, vec
+  FROM conversations LEFT JOIN vectors ON vec_id = conv_id WHERE turn = 0)"""
+
+
 def failures(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.col("event_type").alias("kind"), "value", "props")

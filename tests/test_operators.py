@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import labels, models, text, times
-from parley.operators import answers, dml, folds, recap, search, segments
+from parley.operators import answers, dml, folds, lexical, recap, search, segments
 from parley.operators.relational import consent_given, in_scope, search_calls
 from parley.sources import stt
 from parley.streaming import machines
@@ -52,9 +52,11 @@ def test_like_metacharacters_mean_nothing(spark):
     assert search_calls(calls, "  ").count() == 2
 
 
-def test_query_terms():
-    assert search.query_terms("The who?") == [("the", False), ("who", False)]  # nothing but stop words: all stay
-    assert search.query_terms("Deadline of résumé") == [("deadli", True), ("of", False), ("resu", True)]
+def test_query_terms(spark):
+    ask = lambda q: [(t.term, t.prefix) for t in one(spark, lexical.query_terms(F.lit(q)))]
+    assert ask("The who?") == [("the", False), ("who", False)]  # nothing but stop words: all stay
+    assert ask("Deadline of résumé") == [("deadli", True), ("of", False), ("resu", True)]
+    assert ask("Район, ёлка и й") == [("район", False), ("ёлка", False)]
 
 
 def test_cosine_guards(spark):
