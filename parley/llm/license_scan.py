@@ -86,6 +86,7 @@ class Matcher:
         self.telling = {k: {w for w in v if w not in COMMON} for k, v in self.templates.items()}
         self.vocabulary = set().union(*self.telling.values())
         self.counts = {k: Counter(v) for k, v in self.templates.items()}
+        self.marks = {k: {w: sum(1 << i for i, x in enumerate(v) if x == w) for w in set(v)} for k, v in self.templates.items()}
         self.at = {k: {w: [i for i, x in enumerate(v) if x == w] for w in self.telling[k]} for k, v in self.templates.items()}
 
     def needed(self, name: str) -> int:
@@ -116,8 +117,7 @@ class Matcher:
         for name in names:
             template, own = self.templates[name], []
             windows = dict.fromkeys(self.stretches(words, name))
-            for window in list(windows):
-                windows.update(dict.fromkeys(self.repeats(words, name, *window)))
+            windows.update(dict.fromkeys(self.repeats(words, name, list(windows))))
             for start, end in windows:
                 pairs = align(words[start:end], template)
                 if len(pairs) >= self.covered(name):
@@ -142,24 +142,54 @@ class Matcher:
                     yield at, min(len(words), at + 2 * m)
                 done = h + m // 4
 
-    def repeats(self, words: list[str], name: str, start: int, end: int):
-        """For a window that holds telling words more often than the template, and so gives few anchors: stretches of
-        the template's length, and a fifth more, from each word where a copy may begin."""
-        template, counts = self.templates[name], self.counts[name]
-        found = Counter(w for w in words[start:end] if w in self.telling[name])
-        if all(n <= counts[w] for w, n in found.items()):
+    def shared(self, words: list[str], name: str, length: int) -> list[int]:
+        """How many words the template shares with the `length` words from each place on, counted once over the text."""
+        counts, held, n, out = self.counts[name], Counter(), 0, [0] * len(words)
+        for i in range(len(words) - 1, -1, -1):
+            if (w := words[i]) in counts:
+                held[w] += 1
+                n += held[w] <= counts[w]
+            if i + length < len(words) and (w := words[i + length]) in counts:
+                n -= held[w] <= counts[w]
+                held[w] -= 1
+            out[i] = n
+        return out
+
+    def longest_common(self, words: list[str], name: str) -> int:
+        """The length of the longest common subsequence with the template; no alignment has more pairs."""
+        marks, all_ = self.marks[name], (1 << len(self.templates[name])) - 1
+        open_ = all_
+        for w in words:
+            if met := open_ & marks.get(w, 0):
+                open_ = ((open_ + met) | (open_ - met)) & all_
+        return len(self.templates[name]) - open_.bit_count()
+
+    def repeats(self, words: list[str], name: str, windows: list[tuple[int, int]]):
+        """For windows that hold telling words more often than the template, and so give few anchors: stretches of the
+        template's length, and a fifth more, from each word where a copy may begin, unless too few words stand in order."""
+        counts, m, least = self.counts[name], len(self.templates[name]), self.covered(name)
+        places: set[int] = set()
+        for start, end in windows:
+            found = Counter(w for w in words[start:end] if w in self.telling[name])
+            if any(n > counts[w] for w, n in found.items()):
+                places.update(max(0, i - t) for i in range(start, end) for t in self.at[name].get(words[i], ()))
+        if not places:
             return
-        m, least = len(template), self.covered(name)
-        for at in sorted({max(0, i - t) for i in range(start, end) for t in self.at[name].get(words[i], ())}):
-            for stop in (at + m, at + m + m // 5):
-                if sum((Counter(words[at:stop]) & counts).values()) >= least:
-                    yield at, min(len(words), stop)
+        short, long = m, m + m // 5
+        by_length = {length: self.shared(words, name, length) for length in (short, long)}
+        for at in sorted(places):
+            if by_length[long][at] >= least and self.longest_common(words[at : at + long], name) >= least:
+                for length in (short, long):
+                    if by_length[length][at] >= least:
+                        yield at, min(len(words), at + length)
 
 
 def license_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, templates=None) -> DataFrame:
     """One row per passage: doc_id, license, coverage (of the template's words), start, end (code points, end exclusive).
 
-    A null or empty text has none; repeated rows are scanned each on its own. Other columns are not read.
+    A null or empty text has none; repeated rows are scanned each on its own. A text may be of any length and hold any
+    number of copies; of equal and overlapping passages of one template the better is given, of equally good ones the
+    shorter and then the earlier. An empty table gives no rows. Other columns are not read.
     """
     small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
