@@ -12,9 +12,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import bucketed, small_batches, written
+from .common import bucketed, join_groups, small_batches, written
 
 CRLF = "\r\n"
 #: Digits of base 32 as conv() writes them and as RFC 4648 does.
@@ -44,13 +43,14 @@ def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", html
     slim = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     marked = slim.withColumn("sha256", F.sha2("payload", 256))
     lines = marked.select("page_id", "url", "sha256", F.octet_length("payload").alias("size"), F.xxhash64("payload").alias("second"), base32_sha1(F.col("payload")).alias("sha1"))
-    lines = written(lines, "warc-lines")
-    found = lines.groupBy("sha256").agg(F.min("page_id").alias("first"), F.min("second").alias("low"), F.max("second").alias("high"))
+    lines = written(lines.withColumn("line", F.monotonically_increasing_id()), "warc-lines")  # the numbers stand from here on
+    best = F.min(F.struct(F.isnull("page_id").alias("none"), "page_id", "url", "line")).alias("best")
+    found = lines.groupBy("sha256").agg(best, F.count(F.lit(1)).alias("copies"), F.min("second").alias("low"), F.max("second").alias("high"))
     # Texts of one SHA-256 must agree in a second hash too.
-    found = found.select("sha256", "first", F.when(F.col("low") == F.col("high"), True).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))).alias("sure"))
-    copy = F.row_number().over(Window.partitionBy("page_id", "sha256").orderBy("url"))
-    joined = lines.withColumn("copy", copy).join(found.where("sure"), "sha256")
-    response = (F.col("size") < least_revisit) | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
+    sure = F.when(F.col("low") == F.col("high"), F.col("best")).otherwise(F.raise_error(F.lit("two payloads share a SHA-256"))).alias("best")
+    found = written(found.select("sha256", sure, "copies"), "warc-found")
+    joined = join_groups(lines, found, "sha256", "copies", lines.count()).withColumn("first", F.col("best.page_id"))
+    response = (F.col("size") < least_revisit) | (F.col("line") == F.col("best.line"))
     joined = joined.withColumn("kind", F.when(response, "response").otherwise("revisit"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(CRLF + CRLF))
@@ -98,7 +98,11 @@ def records(archive: Archive) -> DataFrame:
 
 
 def warc_report(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archive."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archive.
+
+    One row for each row of pages. Nulls, ties, repeated rows and an empty table fare as in write_archive(); a payload may
+    be of any length that a row can hold and have any number of copies. Other columns, whatever their names, are not read.
+    """
     rebuilt = records(write_archive(pages))
     key = F.regexp_extract(field("WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1)
     refers = F.regexp_extract(field("WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1)
@@ -112,8 +116,8 @@ def warc_report(pages: DataFrame) -> DataFrame:
         base32_sha1(F.col("payload")).alias("digest"),
     )
     read = written(read, "warc-read")
-    full = read.where("record_type = 'response'").groupBy("sha256").agg(F.max("size").alias("payload_bytes"), F.max("digest").alias("payload_digest"))
-    return read.join(full, "sha256").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    full = read.groupBy("sha256").agg(F.max("size").alias("payload_bytes"), F.max("digest").alias("payload_digest"), F.count(F.lit(1)).alias("copies"))
+    return join_groups(read, written(full, "warc-full"), "sha256", "copies", read.count()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 # ---- WARC files -----------------------------------------------------------------------------------------------------

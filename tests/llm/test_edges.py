@@ -2,13 +2,14 @@
 
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parley.llm import bpe, exact_dedup, language_id, license_scan, near_dedup, order_minhash, packing, ppm, secret_scan, simhash
+from parley.llm import bpe, exact_dedup, language_id, license_scan, near_dedup, order_minhash, packing, ppm, secret_scan, simhash, warc
 
 from .texts import edge_docs
 
@@ -131,3 +132,50 @@ def _lcs(a, b):
         for j, y in enumerate(b):
             row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
     return row[-1]
+
+
+def test_words_of_templates_in_any_order_take_linear_time():
+    matcher, rnd = license_scan.Matcher(), random.Random(2)
+    for name in ("mit", "apache-2.0-notice", "gpl-3.0"):
+        words = matcher.templates[name]
+        text = [rnd.choice(words) for _ in range(10_000)]
+        began = time.time()
+        matcher.scan(" ".join(text))
+        matcher.scan(" ".join(words * (10_000 // len(words))))
+        assert time.time() - began < 20
+    assert len(matcher.scan(" ".join(matcher.templates["mit"] * 50))) == 50
+
+
+def test_shared_words_and_common_subsequences():
+    matcher, rnd = license_scan.Matcher({"own": "a b c a d e"}), random.Random(3)
+    template = matcher.templates["own"]
+    for _ in range(200):
+        words = [rnd.choice("abcdefg") for _ in range(rnd.randrange(25))]
+        for length in (1, 3, 6, 9):
+            want = [sum((collections.Counter(words[i : i + length]) & collections.Counter(template)).values()) for i in range(len(words))]
+            assert matcher.shared(words, "own", length) == want
+        assert matcher.longest_common(words, "own") == _lcs(words, template)
+
+
+def test_archive_of_a_hot_payload(spark):
+    """A payload that most rows share, rows without an id, repeated rows and columns with clashing names."""
+    rows = [(i if i % 7 else None, f"u{i % 3}", "hot" if i % 4 else f"own {i % 40}") for i in range(3000)] + [(5, "u", "hot")] * 20
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = "sha256 size first copies line best head payload kind".split()
+    got = [warc.warc_report(df).collect() for df in (pages, pages.select("*", *(F.lit(f"own {c}").alias(c) for c in names)))]
+    assert counted_rows(got[0]) == counted_rows(got[1]) and len(got[0]) == len(rows)
+    by_digest = collections.defaultdict(list)
+    for r in got[0]:
+        by_digest[r.payload_digest].append(r)
+    first = {}
+    for i, _, t in rows:
+        first[t] = min(first.get(t, 10**9), 10**9 if i is None else i)
+    assert len(by_digest) == len(first)
+    for own in by_digest.values():
+        (response,) = [r for r in own if r.record_type == "response"]
+        smallest = min((r.page_id for r in own if r.page_id is not None), default=None)
+        assert response.page_id == smallest and {r.refers_to for r in own if r.record_type == "revisit"} <= {smallest}
+
+
+def counted_rows(rows):
+    return collections.Counter(map(str, rows))
