@@ -30,14 +30,24 @@ def is_placeholder(name: Column) -> Column:
 
 
 def without_noise_tags(text: Column) -> Column:
-    """Leading [...] tags of up to 40 characters that name a noise are taken off, one after another."""
-    return F.trim(F.regexp_replace(text, rf"^(?:\s*\[(?i:[^\]]{{0,38}}(?:{NOISE})[^\]]{{0,38}})\])+", ""))
+    """Leading [...] tags of at most 40 characters inside that name a noise are taken off, one after another."""
+    tag = rf"\s*\[(?=[^\]]{{0,40}}\])(?iu:[^\]]*(?:{'|'.join(NOISE)})[^\]]*)\]"
+    return F.regexp_replace(F.regexp_replace(text, f"^(?:{tag})+", ""), r"^\s+|\s+$", "")
 
 
 def unrepeated(text: Column) -> Column:
-    """A text that is one phrase three times or more (and six words at least) becomes the phrase; the shortest counts."""
-    once = F.regexp_extract(text, r"^((?:\S+ )*?\S+)(?: \1){2,}$", 1)
-    return F.when((once != "") & (F.size(F.split(text, " ")) >= 6), once).otherwise(text)
+    """A text that is one phrase three times or more (and six words at least) becomes the phrase, its words parted by one
+    blank; the shortest phrase counts, and any white space parts words. Other texts are trimmed only."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+
+    def phrase(ws: Column) -> Column:
+        # A text has the period p if it equals itself p words on; only divisors of its length come into question.
+        n = F.size(ws)
+        tried = F.when(n >= 6, F.sequence(F.lit(1), F.floor(n / 3).cast("int"))).otherwise(F.array().cast("array<int>"))
+        fits = F.filter(tried, lambda p: (n % p == 0) & (F.slice(ws, F.lit(1), n - p) == F.slice(ws, p + 1, n - p)))
+        return F.when(F.size(fits) > 0, F.array_join(F.slice(ws, F.lit(1), fits[0]), " "))
+
+    return F.coalesce(F.transform(F.array(F.split(trimmed, r"\s+")), phrase)[0], trimmed)
 
 
 def folded(text: Column) -> Column:

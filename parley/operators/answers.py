@@ -1,57 +1,10 @@
-"""Routing of questions and assembly of grounded prompts."""
+"""Assembly of grounded prompts and of direct answers."""
 
 from __future__ import annotations
 
-import re
-from datetime import date, timedelta
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed words that decide a route, a list for each language served. The first route that fits wins.
-ROUTES = {
-    "summary": {"en": ("summarise", "summarize", "summary"), "ru": ("резюме", "итоги")},
-    "stats": {"en": ("how many", "how long"), "ru": ("сколько",)},
-    "last": {"en": ("last", "latest"), "ru": ("последний", "последняя")},
-    "when": {"en": ("when",), "ru": ("когда",)},
-    "list": {"en": ("list", "which calls"), "ru": ("список", "какие")},
-    "who": {"en": ("who",), "ru": ("кто",)},
-}
-
-
-def route(question: Column) -> Column:
-    """The route of a question, or none."""
-    low, out = F.lower(F.coalesce(question, F.lit(""))), F.lit("none")
-    for name in reversed(ROUTES):
-        words = [re.escape(w) for by in ROUTES[name].values() for w in by]
-        out = F.when(low.rlike(r"(^|[^\p{L}])(" + "|".join(words) + r")($|[^\p{L}])"), name).otherwise(out)
-    return out
-
-
-def period(question: str, today: date) -> tuple[date, date] | None:
-    """[since, until) that a question names: today, yesterday, this or last week, month or year."""
-    q = question.lower()
-    if "yesterday" in q:
-        return today - timedelta(1), today
-    if "today" in q:
-        return today, today + timedelta(1)
-    week = today - timedelta(today.weekday())
-    if "last week" in q:
-        return week - timedelta(7), week
-    if "this week" in q:
-        return week, week + timedelta(7)
-    month = today.replace(day=1)
-    if "last month" in q:
-        return (month - timedelta(1)).replace(day=1), month
-    if "this month" in q:
-        return month, (month + timedelta(31)).replace(day=1)
-    if "last year" in q:
-        return date(today.year - 1, 1, 1), date(today.year, 1, 1)
-    if "this year" in q:
-        return date(today.year, 1, 1), date(today.year + 1, 1, 1)
-    return None
-
-
 def prompts(fragments: DataFrame, key: str, order: str) -> DataFrame:
     """key, prompt: numbered fragments in order, their markers made harmless."""
     numbered = F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.replace(x["text"], F.lit("<<<"), F.lit("‹‹‹"))))

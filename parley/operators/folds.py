@@ -6,6 +6,8 @@ key may have any number of rows: Spark's sort spills, and Python sees one batch
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections import deque
 
 import pyarrow as pa
@@ -229,26 +231,174 @@ def block_chunks(blocks: DataFrame, key: str, order: str, text: str, most: int,
     return in_order(rows, [order, text], _Blocks, f"{key} {kind}, chunk long, text string", most, overlap)
 
 
+class Spans:
+    """Whole numbers covered by half-open spans; spans that meet are kept as one, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[float] = []
+
+    def add(self, start: int, end: float) -> None:
+        if end <= start:
+            return
+        a, b = bisect.bisect_left(self.ends, start), bisect.bisect_right(self.starts, end)
+        if a < b:
+            start, end = min(start, self.starts[a]), max(end, self.ends[b - 1])
+        self.starts[a:b], self.ends[a:b] = [start], [end]
+
+    def __contains__(self, at: int) -> bool:
+        i = bisect.bisect_right(self.starts, at) - 1
+        return i >= 0 and at < self.ends[i]
+
+
 class _Untaken(Fold):
     def __init__(self):
-        self.taken: list[tuple] = []
+        self.taken = Spans()
 
     def row(self, rank, item, kind, start, end):
-        if kind and start is not None and any(a <= start and (b is None or start < b) for a, b in self.taken):
+        if kind and start is not None and start in self.taken:
             return []
         if start is not None:
-            self.taken.append((start, end))
+            self.taken.add(start, math.inf if end is None else end)
         return [(item,)]
 
 
 def without_overlaps(hits: DataFrame, key: str) -> DataFrame:
     """key, item of hits (rank, item, is_transcript, start, end) in rank order: a transcript's hit goes if it starts within
-    the span of one taken before (an open end reaches on). The state is the spans taken of one call."""
+    the span of one taken before (an open end reaches on). The state is the spans taken of one call, joined where they meet."""
     kind, own = hits.schema[key].dataType.simpleString(), hits.schema["item"].dataType.simpleString()
     rows = hits.select(key, F.col("rank").cast("long").alias("rank"), "item", "is_transcript", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     return in_order(rows, ["rank", "item"], _Untaken, f"{key} {kind}, item {own}")
 
 
+class _Assembly(Fold):
+    def __init__(self, budget: int, per_call: int):
+        self.budget, self.per_call, self.total, self.place = budget, per_call, 0, 0
+        self.texts: set[bytes] = set()
+        self.calls: dict = {}
+        self.spans: dict = {}
+
+    def row(self, rank, passage_id, call, digest, spoken, start, end, tokens, scoped):
+        outcome = "taken"
+        if digest in self.texts or spoken and start is not None and start in self.spans.get(call, ()):
+            outcome = "duplicate"
+        elif not scoped and self.calls.get(call, 0) >= self.per_call:
+            outcome = "call_full"
+        elif self.total + tokens > self.budget:
+            outcome = "over_budget"
+        if outcome != "taken":
+            return [(passage_id, outcome, None, self.total)]
+        self.total, self.place = self.total + tokens, self.place + 1
+        self.texts.add(digest)
+        self.calls[call] = self.calls.get(call, 0) + 1
+        if start is not None:
+            self.spans.setdefault(call, Spans()).add(start, math.inf if end is None else end)
+        return [(passage_id, "taken", self.place, self.total)]
+
+
+def assembled(hits: DataFrame, key: str, budget: int = 5500, per_call: int = 3) -> DataFrame:
+    """key, passage_id, outcome, place, total of hits (key, rank, passage_id, call_id, text, is_transcript, start, end,
+    tokens, scoped) gone through once in rank order. A hit is taken, with its place from 1, unless it is a duplicate (its
+    text was taken, or it is a transcript's and starts within a span taken of its call; an open end reaches on), its call
+    has given per_call already (call_full; not for questions in the scope of a call) or it would exceed the budget
+    (over_budget; a smaller one may still fit). total is the tokens taken so far. The state is what was taken.
+    """
+    kind = hits.schema[key].dataType.simpleString()
+    long = lambda c: F.col(c).cast("long").alias(c)
+    rows = hits.select(key, long("rank"), long("passage_id"), "call_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "is_transcript", long("start"), long("end"), long("tokens"), "scoped")
+    return in_order(rows, ["rank", "passage_id"], _Assembly, f"{key} {kind}, passage_id long, outcome string, place long, total long", budget, per_call)
+
+
+class _NearestKnown(Fold):
+    """Events in order of time: 0 a known row starts, 1 an unknown one, 2 an unknown one ends, 3 a known one does."""
+
+    def __init__(self, window: float):
+        self.window = window
+        self.active: list[tuple] = []  # (place, end, tag) of known rows, places and ends rising: the first is the best
+        self.begun: list[tuple] = []  # (start, place, tag) since the oldest open unknown row began, places rising
+        self.before = None  # (end, place, tag)
+        self.open: dict = {}
+        self.waiting: deque = deque()  # ended, and still without what comes after
+
+    def row(self, time, kind, place, other, tag):
+        if kind == 0:
+            done = []
+            while self.waiting:
+                first = self.waiting[0]
+                if first["end"] < time or time - first["end"] > self.window:
+                    done.append(self.settled(self.waiting.popleft(), (time, place, tag)))
+                else:
+                    break
+            if not self.active or self.active[-1][0] < place or self.active[-1][1] < other:
+                i = bisect.bisect_left(self.active, (place,))
+                if i == 0 or self.active[i - 1][1] < other:
+                    j = i
+                    while j < len(self.active) and self.active[j][1] <= other:
+                        j += 1
+                    self.active[i:j] = [(place, other, tag)]
+            if self.open:
+                while self.begun and self.begun[-1][1] > place:
+                    self.begun.pop()
+                self.begun.append((time, place, tag))
+            return done
+        if kind == 1:
+            while self.active and self.active[0][1] < time:
+                self.active.pop(0)
+            self.open[place] = {"place": place, "end": other, "start": time, "own": tag, "met": self.active[0] if self.active else None, "before": self.before}
+            return []
+        if kind == 3:
+            if self.before is None or time > self.before[0] or place < self.before[1]:
+                self.before = (time, place, tag)
+            return []
+        row = self.open.pop(place)
+        i = bisect.bisect_left(self.begun, (row["start"],))
+        if i < len(self.begun) and (row["met"] is None or self.begun[i][1] < row["met"][0]):
+            row["met"] = (self.begun[i][1], None, self.begun[i][2])
+        if not self.open:
+            self.begun.clear()
+        if row["met"] is not None:
+            return [(place, row["met"][2])]
+        self.waiting.append(row)
+        return []
+
+    def settled(self, row, after):
+        near = []
+        if row["before"] is not None:
+            near.append((row["start"] - row["before"][0], row["before"][1], row["before"][2]))
+        if after is not None:
+            near.append((after[0] - row["end"], after[1], after[2]))
+        best = min((n for n in near if n[0] <= self.window), default=(0, 0, row["own"]))
+        return (row["place"], best[2])
+
+    def end(self):
+        return [self.settled(row, None) for row in self.waiting]
+
+
+def nearest_known_intervals(rows: DataFrame, key: str, place: str, start: str, end: str, tag: str, unknown: str, window: float) -> DataFrame:
+    """key, place, resolved for the rows of the unknown tag: the tag of the known row of the key at the least distance, if
+    within window, else their own. Rows that overlap or touch have the distance 0; of equals the first place counts.
+    Known rows change nothing, and unknown ones don't lend each other. start is at most end.
+
+    One pass over starts and ends; the state is the rows open at a time, and what ended within the window.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    known = F.col(tag) != unknown
+    event = lambda at, kind, other: F.struct(F.col(at).cast("double").alias("time"), kind.alias("kind"), F.col(place).cast("long").alias("place"), F.col(other).cast("double").alias("other"), F.col(tag).alias("tag"))
+    both = F.array(event(start, F.when(known, 0).otherwise(1), end), event(end, F.when(known, 3).otherwise(2), start))
+    events = rows.select(key, F.inline(both))
+    return in_order(events, ["time", "kind", "place"], _NearestKnown, f"{key} {kind}, {place} long, resolved string", window)
+
+
+def first_distinct(rows: DataFrame, key: str, item: str, order: str, n: int) -> DataFrame:
+    """key, item, place: the n distinct items of each key that come first by order (and then by item).
+
+    Each task keeps one row for an item, so a hot key sorts its items and not its rows.
+    """
+    first = rows.groupBy(key, item).agg(F.min(order).alias("_first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("_first", item))
+    return first.select(key, item, place.alias("place")).where(F.col("place") <= n)
+
+
 def with_priority(fragments: DataFrame, extras: DataFrame, key: str, budget: int) -> DataFrame:
     """key, place, item, tokens: the ranked fragments (place, item, tokens) that fit a budget beside the extras, and these
     after them. The lowest ranked give way first, all at once."""

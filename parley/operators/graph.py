@@ -6,11 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset (tests), one in the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (as in tests)
+    takes one in the warehouse; on a cluster that is an error, as executors may not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not folder and not local:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared-{spark.sparkContext.applicationId}"
 
 
@@ -68,3 +73,15 @@ def components(links: DataFrame) -> DataFrame:
         edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         removed(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with the place of each row in an order, from 1: rows are sorted in ranges, and a range's places begin where those
+    before it end. Rows of equal order have places of their own; columns starting with two underscores aren't allowed."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Within a task the number rises by one a row, from the task's own start.
+    placed = stored(ranged.withColumn("__row", F.monotonically_increasing_id()).withColumn("__at", F.shiftright("__row", 33)), "numbered")
+    sizes = placed.groupBy("__at").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__at", F.coalesce(F.sum("__n").over(Window.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row a task
+    within = F.col("__row") - F.shiftleft("__at", 33)
+    return placed.join(before, "__at").withColumn(name, (F.col("__before") + within + 1).cast("long")).drop("__at", "__row", "__before")

@@ -84,7 +84,7 @@ def participants(speakers: DataFrame, contacts: DataFrame) -> DataFrame:
     )
     first = F.filter("people", lambda p, i: ~F.exists(F.slice("people", F.lit(1), i), lambda q: q["contact_id"] == p["contact_id"]))
     lines = F.transform(first, lambda p: p["line"])
-    note = F.when(F.col("others"), F.array(F.lit("Other speakers appear as raw speaker tags (not yet identified)."))).otherwise(F.array().cast("array<string>"))
+    note = F.when(F.col("others"), F.array(F.lit("Everyone else is named by tag."))).otherwise(F.array().cast("array<string>"))
     return found.select("call_id", F.when(F.size("people") > 0, F.array_join(F.concat(lines, note), "\n")).alias("known"), "names")
 
 

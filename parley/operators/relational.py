@@ -114,7 +114,7 @@ def named_in(questions: DataFrame, people: DataFrame, key: str, question: str) -
     Words meet by equality: each asked word is tried with none to three of its last characters taken off.
     """
     low = lambda c: F.translate(F.lower(F.col(c)), "ё", "е")
-    split = lambda c: F.array_distinct(F.filter(F.split(low(c), r"[^\p{L}\p{N}#]+"), lambda w: F.char_length(w) >= 3))
+    split = lambda c: F.array_distinct(F.filter(F.split(low(c), r"[^\p{L}\p{N}]+"), lambda w: F.char_length(w) >= 3))
     asked = questions.select(key, F.explode(split(question)).alias("w"))
     tried = asked.select(key, F.explode(F.array(*(F.substring("w", F.lit(1), F.char_length("w") - i) for i in range(4)))).alias("w")).distinct()
     names = people.select("contact_id", F.explode(split("display_name")).alias("w"))

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions import times
 from ..operators import folds
 from ..operators import relational as R
-from ..sources.tables import CALLS, CONTACTS, FAILURES, SPEAKERS, TURNS, calls, contacts, failures, speakers, sql, table, turns
+from ..sources.tables import CALLS, CONTACTS, FAILURES, SPEAKERS, TURNS, calls, contacts, failures, person_name, speakers, sql, table, turns
 from .base import query
 
 _BLOCKS = """t AS (SELECT conv_id, turn, row_number() OVER w AS i, block, (sum(strlen(block) + 1) OVER (PARTITION BY conv_id) - 1) // 4 AS whole FROM (SELECT conv_id, turn, '**' || speaker || '** [0:' || lpad((turn % 60)::VARCHAR, 2, '0') || ']:' || chr(10) || text AS block FROM turns) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, block))"""
@@ -51,6 +51,24 @@ def overlaps_dropped(spark, sf):
     return folds.without_overlaps(hits, "user_id").select("user_id", F.col("item").alias("event_id"))
 
 
+_RANKED = """h AS (SELECT user_id, event_id, event_id % 7 AS call, kind || (event_id % 23) AS text, kind <> 'error' AS spoken, 1 + event_id % 90 AS tokens, user_id % 2 = 0 AS scoped,
+ CASE WHEN event_id % 9 <> 0 THEN floor(epoch_us(ts) / 1000000)::BIGINT END AS s, CASE WHEN event_id % 50 <> 0 THEN floor(epoch_us(ts) / 1000000)::BIGINT + 7200 END AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM failures)"""
+_GONE = """k AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, '' AS outcome, 0::BIGINT AS place, 0::BIGINT AS total, []::VARCHAR[] AS texts, []::BIGINT[] AS calls, []::STRUCT(c BIGINT, a BIGINT, b BIGINT)[] AS spans FROM (SELECT DISTINCT user_id FROM h) UNION ALL
+ SELECT user_id, i, event_id, outcome, place + ok, total + ok * tokens, CASE WHEN ok = 1 THEN list_append(texts, text) ELSE texts END, CASE WHEN ok = 1 THEN list_append(calls, call) ELSE calls END, CASE WHEN ok = 1 AND s IS NOT NULL THEN list_append(spans, {'c': call, 'a': s, 'b': coalesce(e, 9000000000000)}) ELSE spans END FROM
+ (SELECT *, (outcome = 'taken')::INT AS ok FROM (SELECT h.*, k.place, k.total, k.texts, k.calls, k.spans, CASE WHEN list_contains(k.texts, h.text) OR h.spoken AND h.s IS NOT NULL AND len(list_filter(k.spans, lambda x: x.c = h.call AND x.a <= h.s AND h.s < x.b)) > 0 THEN 'duplicate'
+  WHEN NOT h.scoped AND len(list_filter(k.calls, lambda x: x = h.call)) >= 3 THEN 'call_full' WHEN k.total + h.tokens > 900 THEN 'over_budget' ELSE 'taken' END AS outcome FROM k JOIN h ON h.user_id = k.user_id AND h.i = k.i + 1)))"""
+
+
+@query("WITH RECURSIVE " + ", ".join((FAILURES, _RANKED, _GONE)) + " SELECT user_id, event_id, outcome, CASE WHEN outcome = 'taken' THEN place END AS place, total FROM k WHERE i > 0")
+def context_assembled(spark, sf):
+    """Ranked hits against duplicates, spans taken, calls that are full and a budget, in one pass."""
+    f, n = failures(spark, sf), F.col("event_id")
+    start = F.when(n % 9 != 0, F.unix_seconds("ts"))
+    hits = f.select("user_id", n.alias("rank"), n.alias("passage_id"), (n % 7).alias("call_id"), F.concat("kind", (n % 23).cast("string")).alias("text"), (F.col("kind") != "error").alias("is_transcript"), start.alias("start"),
+                    F.when(n % 50 != 0, F.unix_seconds("ts") + 7200).alias("end"), (1 + n % 90).alias("tokens"), (F.col("user_id") % 2 == 0).alias("scoped"))
+    return folds.assembled(hits, "user_id", budget=900).select("user_id", F.col("passage_id").alias("event_id"), "outcome", "place", "total")
+
+
 _USED = "u AS (SELECT call_id, CASE call_id % 4 WHEN 0 THEN [3, 1, 3, 9] WHEN 1 THEN [0, -1] WHEN 2 THEN [2] ELSE []::INT[] END AS raw, call_id % 5 AS n FROM calls)"
 
 
@@ -153,9 +171,10 @@ def who_is(spark, sf):
     """Answers to who somebody is: the card of the contact that is named, if there is one."""
     asked = F.when(F.col("contact_id") % 3 == 0, "Кто это вообще?").otherwise(F.concat(F.lit("кто такой "), "display_name"))
     own = contacts(spark, sf)
-    q = own.select("contact_id", Q.asked_name(asked).isNotNull().alias("named"), F.col("display_name").alias("name"))
+    q = own.select("contact_id", Q.asked_name(asked).isNotNull().alias("named"), person_name(F.col("contact_id")).alias("name"))
+    people = own.withColumn("display_name", person_name(F.col("contact_id")))
     stats = calls(spark, sf).groupBy("contact_id").agg(F.count(F.lit(1)).alias("n"), F.max("started_at").alias("last"))
-    found = R.named_in(q.where("named").select(F.col("contact_id").alias("asked"), "name"), own, "asked", "name").where("asked = contact_id").select("contact_id", F.lit(True).alias("met"))
+    found = R.named_in(q.where("named").select(F.col("contact_id").alias("asked"), "name"), people, "asked", "name").where("asked = contact_id").select("contact_id", F.lit(True).alias("met"))
     card = F.concat("display_name", F.lit(", "), "org", F.lit(". "), F.col("n").cast("string"), F.lit(" calls, the last on "), times.day_text(F.col("last")))
     return own.join(stats, "contact_id").join(found, "contact_id", "left").select("contact_id", F.when(F.col("met"), card).alias("card"))
 

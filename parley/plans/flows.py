@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from ..functions import models
+from ..functions import models, questions
 from ..operators import answers, folds
 from ..operators.graph import shared_folder
 from ..sources.tables import CALLS, CONTACTS, SPEAKERS, TURNS, calls, contacts, speakers, sql, table, turns
@@ -71,11 +73,22 @@ def chunk_transitions(spark, sf):
     return chunks.applied(c, c.select("call_id", "chunk_idx", event.alias("event")).where("event is not null"))
 
 
-@query(sql("SELECT call_id, chunk_idx, CASE WHEN status = 'done' THEN 'skip' WHEN call_id % 2 = 0 THEN 'stop' WHEN status = 'failed' THEN 'rerun' ELSE 'run' END AS action FROM chunks", _CHUNKS))
+@query(sql("SELECT f.call_id, f.k AS chunk_idx, CASE WHEN c.status IS NULL OR c.status = 'pending' THEN 'run' WHEN c.status = 'failed' THEN 'rerun' ELSE 'skip' END AS action FROM (SELECT call_id, max(chunk_idx) + call_id % 2 AS k FROM chunks GROUP BY call_id) f LEFT JOIN chunks c ON c.call_id = f.call_id AND c.chunk_idx = f.k", _CHUNKS))
 def chunk_plan(spark, sf):
+    """The last chunk of every call at its end; of every other call it has no row yet."""
     c = _chunks(spark, sf)
-    even = c.where("call_id % 2 = 0").select("call_id", "chunk_idx")
-    return chunks.plan(c, even.unionByName(even))
+    finals = c.groupBy("call_id").agg((F.max("chunk_idx") + F.col("call_id") % 2).alias("chunk_idx"))
+    return chunks.plan(c, finals)
+
+
+@query(sql("""SELECT event, call_id, CASE WHEN before >= 5 THEN 'stop' WHEN NOT has_audio THEN 'no_audio' WHEN tries >= 2 THEN 'tries_exhausted' WHEN has_transcript THEN 'reprocess' ELSE 'recover' END AS action FROM
+ (SELECT *, coalesce(sum((has_audio AND tries < 2)::INT) OVER (PARTITION BY event ORDER BY place, call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM
+ (SELECT contact_id % 50 AS event, -duration_sec AS place, call_id, provider LIKE '%U%' AS has_transcript, call_id % 4 <> 0 AS has_audio, call_id % 5 AS tries FROM calls WHERE status <> 'ready'))""", CALLS))
+def parked_resumed(spark, sf):
+    """Calls that wait, the longest first, at fifty events: which start again, and why others don't."""
+    c = calls(spark, sf).where("status <> 'ready'")
+    parked = c.select((F.col("contact_id") % 50).alias("event"), (-F.col("duration_sec")).alias("place"), "call_id", F.col("provider").contains("U").alias("has_transcript"), (F.col("call_id") % 4 != 0).alias("has_audio"), (F.col("call_id") % 5).alias("tries"))
+    return chunks.parked_plan(parked)
 
 
 @query(sql("SELECT call_id, chunk_idx, CASE WHEN status = 'done' AND call_id % 5 <> 0 THEN 'done' ELSE 'pending' END AS status FROM chunks", _CHUNKS))
@@ -84,9 +97,17 @@ def chunk_recovery(spark, sf):
     return chunks.recovered(c.where("call_id % 5 <> 0"), c)
 
 
-@query(sql("SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}])(summarise|summarize|summary)($|[^\\p{L}])') THEN 'summary' WHEN regexp_matches(lower(text), '(^|[^\\p{L}])(how many|how long)($|[^\\p{L}])') THEN 'stats' WHEN regexp_matches(lower(text), '(^|[^\\p{L}])(last|latest)($|[^\\p{L}])') THEN 'last' WHEN regexp_matches(lower(text), '(^|[^\\p{L}])(when)($|[^\\p{L}])') THEN 'when' WHEN regexp_matches(lower(text), '(^|[^\\p{L}])(list|which calls)($|[^\\p{L}])') THEN 'list' WHEN regexp_matches(lower(text), '(^|[^\\p{L}])(who)($|[^\\p{L}])') THEN 'who' ELSE 'none' END AS route FROM turns", TURNS))
+_ASKED = ("сколько звонков {n}", "кратко: {t}", "последний звонок, {t}", "резюме: последний звонок {t}", "когда обсуждали {t}?", "какие звонки {n}", "кто такой {t}", "{t}")
+_ROUTES = ("stats", "summary", "last", "last_summary", "when", "list", "who", "none")
+
+
+@query(sql(f"SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 8 = 1 AND conv_id % 2 = 1 THEN 'none' WHEN (conv_id + turn) % 8 = 3 AND conv_id % 2 = 0 THEN 'summary' ELSE {list(_ROUTES)}[(conv_id + turn) % 8 + 1] END AS route FROM turns", TURNS))
 def question_routes(spark, sf):
-    return turns(spark, sf).select("conv_id", "turn", answers.route(F.col("text")).alias("route"))
+    """Questions made of the turns, of every other conversation in the scope of a call."""
+    t = turns(spark, sf)
+    made = [F.concat(*(F.col("text") if x == "{t}" else F.col("turn").cast("string") if x == "{n}" else F.lit(x) for x in re.split(r"(\{[tn]\})", a) if x)) for a in _ASKED]
+    asked = F.element_at(F.array(*made), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int"))
+    return t.select("conv_id", "turn", questions.route(asked, F.col("conv_id") % 2 == 0).alias("route"))
 
 
 @query(sql("SELECT conv_id, string_agg('[' || i || '] ' || text, chr(10) ORDER BY i) AS prompt FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM turns) GROUP BY conv_id", TURNS))

@@ -21,11 +21,11 @@ def _audio(spark, sf):
     return files.select("user_id", "wav", audio.wav_samples(F.col("wav")).alias("a")).select("user_id", "wav", "a.rate", "a.samples")
 
 
-@query(sql(f"SELECT user_id, len(pcm) AS n, len(pcm) * 1000 // {RATE} AS ms, round(len(pcm) / {RATE}.0, 3)::DOUBLE AS sec_by_size, 44 + 2 * len(pcm) AS bytes, round(sqrt(list_sum(list_transform(pcm, lambda p: (p / 32768.0) ** 2)) / len(pcm)), 4) AS loudness, round(list_max(list_transform(pcm[1:len(pcm) // 4], lambda p: abs(p) / 32768.0)), 4)::DOUBLE AS first_peak FROM x", FAILURES, _LEVELS))
+@query(sql(f"SELECT user_id, len(pcm) AS n, len(pcm) * 1000 // {RATE} AS ms, round(len(pcm) / {RATE}.0, 3)::DOUBLE AS sec_by_size, 44 + 2 * len(pcm) AS bytes, round(sqrt(list_sum(list_transform(pcm, lambda p: (p / 32768.0) ** 2)) / len(pcm)), 4) AS loudness, round(CASE WHEN len(pcm) < 12 THEN 0 ELSE coalesce(list_max(list_transform(pcm[5:4 + w], lambda p: abs(p))) / greatest(1e-9, list_max(list_transform(pcm[5:4 + 4 * w], lambda p: abs(p)))), 0) END, 4)::DOUBLE AS first_peak FROM (SELECT *, greatest(1, (len(pcm) - 4) // 4) AS w FROM x)", FAILURES, _LEVELS))
 def audio_measures(spark, sf):
     """Durations by samples and by size, loudness and peaks of WAV files."""
     s, r = F.col("samples"), F.col("rate")
-    peak = F.round(audio.peaks(s, 4)[0].cast("double"), 4)
+    peak = F.when(F.size(s) < 12, 0.0).otherwise(F.round(audio.peaks(s, r, F.lit(0.5), F.lit(1e6), 4)[0], 4))
     return _audio(spark, sf).select("user_id", F.size(s).cast("long").alias("n"), audio.duration_ms(s, r).alias("ms"), F.round(audio.duration_by_size(F.col("wav")), 3).alias("sec_by_size"), F.octet_length("wav").cast("long").alias("bytes"), F.round(audio.rms(s), 4).alias("loudness"), peak.alias("first_peak"))
 
 

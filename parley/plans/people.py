@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import people as P
 from ..operators.relational import consent_given
+from ..operators.graph import numbered
 from ..sources.tables import CALLS, CONTACTS, SPEAKERS, VECTORS, calls, contacts, speakers, sql, vectors
 from .base import query
 
@@ -69,10 +70,8 @@ def owner_ensured(spark, sf):
 @query(sql("SELECT contact_id, display_name, org, row_number() OVER (ORDER BY is_owner DESC, display_name, contact_id) AS place, NOT is_owner AS hinted FROM contacts", CONTACTS))
 def contact_briefs(spark, sf):
     """Contacts in the order of lists (owner first, then by name), with whether they are hinted to a model."""
-    from pyspark.sql.window import Window
-
-    order = Window.orderBy(F.desc("is_owner"), "display_name", "contact_id")
-    return contacts(spark, sf).select("contact_id", "display_name", "org", F.row_number().over(order).cast("long").alias("place"), (~F.col("is_owner")).alias("hinted"))
+    placed = numbered(contacts(spark, sf).select("contact_id", "display_name", "org", "is_owner"), [F.desc("is_owner"), "display_name", "contact_id"], "place")
+    return placed.select("contact_id", "display_name", "org", "place", (~F.col("is_owner")).alias("hinted"))
 
 
 _VOICED = "s AS (SELECT *, call_id % 1000 AS at, CASE WHEN call_id % 3 <> 0 THEN call_id END AS cluster FROM speakers WHERE speaker_tag = 'speaker:1'), one AS (SELECT call_id, any_value(s) AS s FROM s GROUP BY call_id HAVING count(*) = 1)"
@@ -110,7 +109,7 @@ _KNOWN = "k AS (SELECT s.call_id, speaker_tag, s.contact_id, display_name, org,
 _FIRSTS = "f AS (SELECT call_id, contact_id, min(speaker_tag) AS tag, any_value('- ' || display_name || ' (' || org || ')') AS line FROM k WHERE sure GROUP BY ALL), o AS (SELECT call_id, bool_or(NOT sure) AS others FROM k GROUP BY call_id)"
 
 
-@query(sql("SELECT o.call_id, CASE WHEN count(f.line) > 0 THEN string_agg(f.line, chr(10) ORDER BY f.tag, f.contact_id) || CASE WHEN any_value(others) THEN chr(10) || 'Other speakers appear as raw speaker tags (not yet identified).' ELSE '' END END AS known FROM o LEFT JOIN f USING (call_id) GROUP BY o.call_id", SPEAKERS, CONTACTS, _KNOWN, _FIRSTS))
+@query(sql("SELECT o.call_id, CASE WHEN count(f.line) > 0 THEN string_agg(f.line, chr(10) ORDER BY f.tag, f.contact_id) || CASE WHEN any_value(others) THEN chr(10) || 'Everyone else is named by tag.' ELSE '' END END AS known FROM o LEFT JOIN f USING (call_id) GROUP BY o.call_id", SPEAKERS, CONTACTS, _KNOWN, _FIRSTS))
 def participants_block(spark, sf):
     """The distinct confirmed people of a call, and a note if others remain."""
     return P.participants(speakers(spark, sf).dropDuplicates(["call_id", "speaker_tag", "contact_id", "confirmed"]), contacts(spark, sf)).select("call_id", "known")

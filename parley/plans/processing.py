@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import processing as P
 from ..operators.graph import shared_folder, stored
 from ..sources import artifacts, stt
-from ..sources.tables import CALLS, CONTACTS, FAILURES, PASSAGES, TURNS, VECTORS, calls, contacts, passages, sql, turns, vectors
+from ..sources.tables import CALLS, CONTACTS, FAILURES, PASSAGES, TURNS, VECTORS, calls, contacts, passages, person_name, sql, turns, vectors
 from .base import query
 from .lifecycle import _LEVELS, RATE, _audio
 from .transcripts import contact_cards
@@ -168,7 +168,6 @@ def placeholder_speakers(spark, sf):
   ON k.contact_id IN (c.contact_id, c.contact_id + 1, 1)) WHERE rank <= 2""", CALLS, CONTACTS))
 def contacts_injected(spark, sf):
     """At most two contacts that a question names, as passages that no index holds."""
-    padded = lambda c: F.concat(F.lit("Customer#"), F.lpad(c.cast("string"), 9, "0"))
-    asked = calls(spark, sf).select(F.col("call_id").alias("question_id"), F.concat_ws(" ", F.lit("Who are"), padded(F.col("contact_id")), padded(F.col("contact_id") + 1), F.lit("and Customer#000000001?")).alias("question"))
-    people = contact_cards(spark, sf).join(contacts(spark, sf).select("contact_id", "display_name", (~F.col("is_owner")).cast("int").alias("place")), "contact_id")
+    asked = calls(spark, sf).select(F.col("call_id").alias("question_id"), F.concat_ws(" ", F.lit("Who are"), person_name(F.col("contact_id")), person_name(F.col("contact_id") + 1), F.lit("and"), person_name(F.lit(1)), F.lit("?")).alias("question"))
+    people = contact_cards(spark, sf).join(contacts(spark, sf).select("contact_id", person_name(F.col("contact_id")).alias("display_name"), (~F.col("is_owner")).cast("int").alias("place")), "contact_id")
     return P.contact_hits(asked, people, "question_id", "question")

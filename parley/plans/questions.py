@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import questions as Q
 from ..operators import relational as R
-from ..sources.tables import CALLS, CONTACTS, calls, contacts, sql
+from ..sources.tables import CALLS, CONTACTS, calls, contacts, person_name, person_name_sql, sql
 from .base import query
 
 ASKED = (
@@ -63,16 +63,17 @@ def askable_questions(spark, sf):
     return calls(spark, sf).select("call_id", Q.is_askable(text, 40).alias("askable"))
 
 
-_NAMED = "asked AS (SELECT call_id, unnest(string_split(lower('Who called ' || 'Customer#' || lpad(contact_id::VARCHAR, 9, '0') || CASE call_id % 3 WHEN 1 THEN 'xyz' WHEN 2 THEN 'wxyz' ELSE '' END), ' ')) AS w FROM calls)"
+_NAMED = f"asked AS (SELECT call_id, {person_name_sql('contact_id')} || CASE call_id % 3 WHEN 1 THEN 'xyz' WHEN 2 THEN 'wxyz' ELSE '' END AS w FROM calls)"
 
 
-@query(sql("SELECT DISTINCT call_id, contacts.contact_id FROM asked JOIN contacts ON starts_with(w, lower(display_name)) AND length(w) - length(display_name) <= 3", CALLS, CONTACTS, _NAMED))
+@query(sql("SELECT DISTINCT call_id, contacts.contact_id FROM asked JOIN contacts ON starts_with(w, " + person_name_sql("contacts.contact_id") + ") AND length(w) <= 12", CALLS, CONTACTS, _NAMED))
 def names_in_questions(spark, sf):
     """Contacts whose name is a word of the question, with an ending of three characters at most."""
     ending = F.when(F.col("call_id") % 3 == 1, "xyz").when(F.col("call_id") % 3 == 2, "wxyz").otherwise("")
-    named = F.concat(F.lit("Who called Customer#"), F.lpad(F.col("contact_id").cast("string"), 9, "0"), ending)
+    named = F.concat(F.lit("Who called "), F.upper(F.regexp_replace(person_name(F.col("contact_id")), "#1", "")), ending, F.lit("#2, then?"))
     asked = calls(spark, sf).select("call_id", named.alias("question"))
-    return R.named_in(asked, contacts(spark, sf), "call_id", "question").select("call_id", "contact_id")
+    people = contacts(spark, sf).withColumn("display_name", person_name(F.col("contact_id")))
+    return R.named_in(asked, people, "call_id", "question").select("call_id", "contact_id")
 
 
 _HINTS = "hints AS (SELECT call_id, CASE call_id % 4 WHEN 0 THEN ' CUSTOMER#' || lpad(contact_id::VARCHAR, 9, '0') WHEN 1 THEN 'the customer#' || lpad(contact_id::VARCHAR, 9, '0') || ' team' WHEN 2 THEN '  ' ELSE '#' || lpad((contact_id // 100)::VARCHAR, 7, '0') END AS hint FROM calls)"

@@ -127,8 +127,8 @@ def conditional_counts(spark, sf):
 @query(sql("SELECT kind, day, count(*) AS n, count(DISTINCT user_id) AS n_users FROM (SELECT kind, user_id, ts::DATE AS day FROM failures) GROUP BY GROUPING SETS ((kind), (day), ())", FAILURES))
 def failure_rollup(spark, sf):
     """Both breakdowns and the total in one pass."""
-    failures(spark, sf).withColumn("day", F.to_date("ts")).createOrReplaceTempView("parley_failures")
-    return spark.sql("SELECT kind, day, count(*) AS n, count(DISTINCT user_id) AS n_users FROM parley_failures GROUP BY GROUPING SETS ((kind), (day), ())")
+    f = failures(spark, sf).withColumn("day", F.to_date("ts"))
+    return f.groupingSets([("kind",), ("day",), ()], "kind", "day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("n_users"))
 
 
 @query(sql("SELECT user_id, round(CASE WHEN count(*) = 0 THEN 0 ELSE count(*) FILTER (kind = 'error') * 100.0 / count(*) END, 4) AS error_pct FROM failures GROUP BY user_id", FAILURES))

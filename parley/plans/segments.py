@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import squeezed
-from ..operators import segments as G
+from ..operators import folds, segments as G
 from ..sources.tables import FAILURES, PASSAGES, TURNS, failures, passages, sql, turns
 from .base import query
 
@@ -74,6 +74,24 @@ def nearest_known_tag(spark, sf):
     return G.nearest_known(failures(spark, sf), "user_id", "ts", "kind", "error", 3600).select("event_id", "resolved")
 
 
+_SPANS = "spans AS (SELECT user_id, event_id, kind, floor(epoch_us(ts) / 1000000)::BIGINT AS a, floor(epoch_us(ts) / 1000000)::BIGINT + CASE event_id % 7 WHEN 0 THEN 40000 ELSE (event_id % 5) * 1800 END AS b FROM failures)"
+
+
+@query(sql("""SELECT u.user_id, u.event_id, coalesce(first(k.kind ORDER BY d, k.event_id) FILTER (d <= 20000), u.kind) AS resolved FROM (SELECT u, k, greatest(0, u.a - k.b, k.a - u.b) AS d FROM spans u LEFT JOIN spans k ON u.user_id = k.user_id AND k.kind <> 'error' WHERE u.kind = 'error') GROUP BY u.user_id, u.event_id, u.kind""", FAILURES, _SPANS))
+def nearest_known_spans(spark, sf):
+    """Errors as stretches of time, and the kind of the nearest other stretch; nested and overlapping ones are at hand."""
+    start = F.unix_seconds("ts")
+    length = F.when(F.col("event_id") % 7 == 0, 40000).otherwise(F.col("event_id") % 5 * 1800)
+    rows = failures(spark, sf).select("user_id", "event_id", "kind", start.alias("a"), (start + length).alias("b"))
+    return folds.nearest_known_intervals(rows, "user_id", "event_id", "a", "b", "kind", "error", 20000.0)
+
+
+@query(sql("SELECT user_id, kind, place::INT AS place FROM (SELECT user_id, kind, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id), kind) AS place FROM failures GROUP BY user_id, kind) WHERE place <= 3", FAILURES))
+def first_kinds(spark, sf):
+    """The first three kinds of event of each user."""
+    return folds.first_distinct(failures(spark, sf), "user_id", "kind", "event_id", 3)
+
+
 @query(sql("SELECT conv_id, turn, coalesce(sum(end_sec - start_sec) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM turns", TURNS))
 def chunk_offsets(spark, sf):
     t = turns(spark, sf).withColumn("length", F.col("end_sec") - F.col("start_sec"))

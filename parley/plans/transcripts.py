@@ -35,13 +35,22 @@ def speaker_labels(spark, sf):
     return speakers(spark, sf).select("speaker_tag").distinct().select(tag, labels.speaker_label(tag).alias("label"), labels.short_speaker_label(tag).alias("short"), labels.capped_speaker(tag, 5).alias("capped"))
 
 
-@query(sql("SELECT conv_id, turn, trim(text) AS clean, substr(text, 1, 5) AS once FROM turns", TURNS).replace("trim(text) AS clean, substr(text, 1, 5) AS once", "trim(speaker || ' says ' || turn) AS clean, speaker || ' says' AS once"))
+_TAGS = ("[Музыка] ", " [Applause]\t[laute Musik] ", "[" + "x" * 35 + "music] ", "[" + "x" * 36 + "music] ", "[meeting] ")
+_GAPS = (" ", "  ", "\t", " \n ")
+
+
+@query(sql(f"""SELECT conv_id, turn, CASE WHEN n < 3 THEN body ELSE ['{_TAGS[3]}', '{_TAGS[4]}'][n - 2] || body END AS clean,
+ CASE WHEN turn % 4 = 0 OR len(w) < 2 THEN body ELSE array_to_string(w, ' ') END AS once FROM (SELECT conv_id, turn, (conv_id + turn) % 5 AS n, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS body, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM turns)""", TURNS).replace("len(w) < 2 THEN body", "len(w) < 2 OR len(list_distinct(w)) < len(w) THEN body"))
 def noise_and_loops(spark, sf):
     """Noise tags put before, and phrases repeated in, texts made from the turns come off again."""
-    said = F.concat(F.col("speaker"), F.lit(" says"))
-    noisy = F.concat(F.lit("[Music] [loud noise] "), said, F.lit(" "), F.col("turn").cast("string"))
-    loop = F.array_join(F.array_repeat(said, 4), " ")
-    return turns(spark, sf).select("conv_id", "turn", labels.without_noise_tags(noisy).alias("clean"), labels.unrepeated(loop).alias("once"))
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    gap = F.element_at(F.array(*map(F.lit, _GAPS)), (F.col("turn") % 4 + 1).cast("int"))
+    ws = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    # Texts whose words differ have no shorter phrase; every fourth one and the others stay as they are.
+    looped = (F.col("turn") % 4 != 0) & (F.size(ws) >= 2) & (F.size(F.array_distinct(ws)) == F.size(ws))
+    whole = F.array_join(ws, " ")
+    text = F.when(looped, F.concat_ws(" ", whole, F.concat(F.array_join(ws, "\t"), F.lit("  ")), F.concat(gap, whole))).otherwise(F.col("text"))
+    return turns(spark, sf).select("conv_id", "turn", labels.without_noise_tags(F.concat(tag, "text")).alias("clean"), labels.unrepeated(text).alias("once"))
 
 
 _QUERY = "ho cust42"

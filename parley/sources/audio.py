@@ -60,10 +60,16 @@ def rms(samples: Column) -> Column:
     return F.when(F.size(samples) > 0, F.least(F.lit(1.0), F.sqrt(total / F.size(samples)))).otherwise(0.0)
 
 
-def peaks(samples: Column, n: int) -> Column:
-    """The largest magnitude in each of n equal parts; samples after the last whole part are left out."""
-    width = F.floor(F.size(samples) / n).cast("int")
-    return F.when(width > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array_max(F.transform(F.slice(samples, i * width + 1, width), lambda x: F.abs(x)))))
+def peaks(samples: Column, rate: Column, start: Column, end: Column, n: int) -> Column:
+    """The largest magnitude in each of n equal parts of the stretch from start to end (seconds), over the largest of
+    all. Samples after the last whole part are left out; parts beyond the stretch are 0, and so is all of silence."""
+
+    def of(part: Column) -> Column:
+        width = F.greatest(F.lit(1), F.floor(F.size(part) / n).cast("int"))
+        top = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.array_max(F.transform(F.slice(part, i * width + 1, width), lambda x: F.abs(x.cast("double")))), F.lit(0.0)))
+        return F.transform(F.array(top), lambda t: F.when(F.array_max(t) > 0, F.transform(t, lambda x: x / F.array_max(t))).otherwise(t))[0]
+
+    return F.transform(F.array(slice_of(samples, rate, start, end)), of)[0]
 
 
 def wav_bytes(samples: Column, rate: Column) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql.window import Window
 STT = "result struct<language string>, transcription array<struct<text string, offsets struct<`from` long, `to` long>, tokens array<struct<text string, p double>>>>"
 
 #: What recognisers write for silence, noise and credits (whole texts, then parts of texts), and what they
-#: write for silence though people say it too.
+#: write for silence though people say it too; stems that mark a bracketed tag as noise.
 ARTIFACTS = ("thanks for watching", "[blank_audio]", "(silence)", "[music]", "(music)", "[applause]", "[foreign]", "[音楽]", "[bgm]", "[♪音楽♪]", "[музыка]", "[аплодисменты]", "[смех]", "[шум]", "[тишина]")
 CREDITS = ("редактор субтитров", "корректор субтитров", "субтитры подготовил", "субтитры:", "[апалькова", "[александрова", "н.александрова", "а.семкин", "subtitles by", "transcribed by", "продолжение следует")
 FILLERS = ("you", "thank you", "thanks", "bye", "goodbye")
-NOISE = "music|noise|silence|applause|laughter|blank"
+NOISE = ("музык", "music", "musique", "musik", "muzyk", "applause", "аплодис", "смех", "laughter", "шум", "noise", "silence", "тишина")
 _MARKERS = "-–—•*"
 
 

@@ -52,6 +52,18 @@ CONTACTS = """contacts AS (SELECT c_custkey AS contact_id, c_name AS display_nam
   CASE c_custkey % 3 WHEN 0 THEN '{"consent_voice":"true"}' WHEN 1 THEN '{"consent_voice":true}' ELSE '{}' END AS attributes FROM customer)"""
 
 
+_DIGITS, _LETTERS = "0123456789", "abcdefghij"
+
+
+def person_name(number):
+    """A name that differs by a word: the digits of a number as letters, and a mark that is no part of a word."""
+    return F.concat(F.translate(F.lpad(number.cast("string"), 9, "0"), _DIGITS, _LETTERS), F.lit("#1"))
+
+
+def person_name_sql(number: str) -> str:
+    return f"translate(lpad(({number})::VARCHAR, 9, '0'), '{_DIGITS}', '{_LETTERS}')"
+
+
 def speakers(spark, sf_dir):
     """A line item is a speaker: bound if its line status is F, else only suggested with a score."""
     li = table(spark, sf_dir, "lineitem")
