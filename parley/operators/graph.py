@@ -27,23 +27,6 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed_write(df: DataFrame, path: str, key: str, order: list[str], buckets: int) -> None:
-    """df as Parquet files under path, bucketed by key and sorted by order; the catalog keeps no entry of it."""
-    name = f"bucketed_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(*order).option("compression", "zstd").option("path", path).saveAsTable(name)
-    df.sparkSession.sql(f"DROP TABLE `{name}`")
-
-
-def bucketed_read(spark: SparkSession, path: str, schema: str, key: str, order: list[str], buckets: int) -> DataFrame:
-    """What bucketed_write() wrote: joins and groupings by key need no shuffle."""
-    name = f"bucketed_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TABLE `{name}` ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}'")
-    read = spark.table(name)
-    read.schema  # noqa: B018  resolved here, as the catalog forgets the table; its files stay
-    spark.sql(f"DROP TABLE `{name}`")
-    return read
-
-
 def removed(df: DataFrame) -> None:
     """Deletes the files behind a stored table that nothing reads any more."""
     spark = df.sparkSession

@@ -1,8 +1,8 @@
 """A stored inverted index over passages, and BM25 for tables of questions served from it.
 
-Postings stand in blocks of a word and a zone (passages of about one length), bucketed by the first four characters of
-the word: an exact term and all words behind a prefix term lie in one bucket, so terms meet words by an equi-join. A
-question first bounds every zone by the best weight of each term there; zones whose bound can't reach the best results
+Postings stand in blocks of a word and a zone (passages of about one length), sorted by the first four characters of the
+word: an exact term and all words behind a prefix term share these, so terms meet words by an equi-join, and a scan for
+some terms skips what lies between. Zones spread the blocks of a frequent word over all files. A question first bounds every zone by the best weight of each term there; zones whose bound can't reach the best results
 so far are not scored. An index grows by generations: passages added, and passages that are gone or replaced.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import folded_words
-from .graph import bucketed_read, bucketed_write, shared_folder, stored
+from .graph import shared_folder, stored
 
 K1, B = 1.2, 0.75
 MOST_TERMS = 12
-#: Characters of a word by which postings are bucketed; no prefix term is shorter.
+#: Characters of a word by which postings are sorted; no prefix term is shorter.
 HEAD = 4
 #: Passages of a zone, about, and the zones that are scored before the others are held against the result.
 ZONE_ROWS, FIRST_ZONES = 8192, 8
@@ -87,12 +87,13 @@ class Index:
     folder: str
 
     def manifest(self) -> list:
-        """A row for each generation: generation, buckets, parts, passages, words."""
+        """A row for each generation: generation, parts, passages, words."""
         return self.spark.read.parquet(f"{self.folder}/manifest").orderBy("generation").collect()
 
     def postings(self) -> DataFrame:
         """The blocks of all generations, each with its number."""
-        made = [bucketed_read(self.spark, f"{self.folder}/postings-{m.generation}", SCHEMA, "head", ["head", "word"], m.buckets).withColumn("generation", F.lit(m.generation)) for m in self.manifest()]
+        read = self.spark.read.schema(SCHEMA)
+        made = [read.parquet(f"{self.folder}/postings-{m.generation}").withColumn("generation", F.lit(m.generation)) for m in self.manifest()]
         out = made[0]
         for m in made[1:]:
             out = out.unionByName(m)
@@ -134,20 +135,20 @@ def blocks_of(passages: DataFrame, parts: int) -> DataFrame:
     counted = F.expr("transform(starts, (s, j) -> struct(ws[s] as word, cast(coalesce(get(starts, j + 1), size(ws)) - s as bigint) as tf))")
     rows = words.select("passage_id", "call_id", "at", "dl", "zone", F.inline(counted))
     entry = F.struct("passage_id", "tf", "dl", "call_id", "at")
-    grouped = rows.withColumn("head", F.substring("word", 1, HEAD)).repartition(F.col("head"), F.col("word"), F.col("zone")).groupBy("head", "word", "zone")
-    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("occurrences"), F.sort_array(F.collect_list(entry)).alias("entries")).select(*POSTINGS)
+    grouped = rows.withColumn("head", F.substring("word", 1, HEAD)).repartition("head", "zone").groupBy("head", "word", "zone")
+    blocks = grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("occurrences"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    return blocks.select(*POSTINGS).sortWithinPartitions("head", "word")
 
 
 def _added(index: Index, passages: DataFrame, generation: int, parts: int, gone: tuple[int, int] = (0, 0)) -> None:
     """Writes a generation; it counts once its row stands in the manifest."""
     spark, at = index.spark, index.folder
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bucketed_write(blocks_of(passages, parts), f"{at}/postings-{generation}", "head", ["head", "word"], buckets)
+    blocks_of(passages, parts).write.option("compression", "zstd").parquet(f"{at}/postings-{generation}")
     lengths = passages.select(F.col("passage_id").cast("long").alias("passage_id"), F.size(folded_words(F.coalesce("text", F.lit("")))).cast("long").alias("dl"))
     lengths.write.parquet(f"{at}/lengths-{generation}")
     n, words = spark.read.parquet(f"{at}/lengths-{generation}").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    row = [(generation, buckets, parts, n - gone[0], words - gone[1])]
-    spark.createDataFrame(row, "generation int, buckets int, parts int, passages long, words long").write.mode("append").parquet(f"{at}/manifest")
+    row = [(generation, parts, n - gone[0], words - gone[1])]
+    spark.createDataFrame(row, "generation int, parts int, passages long, words long").write.mode("append").parquet(f"{at}/manifest")
 
 
 def build_index(passages: DataFrame, folder: str | None = None) -> Index:
@@ -181,13 +182,21 @@ def term_blocks(index: Index, terms: DataFrame) -> DataFrame:
     if len(heads) <= FEW_HEADS:
         postings = postings.where(F.col("head").isin(heads))
     met = postings.join(F.broadcast(asked) if few <= FEW_TERMS else asked, "head").where(F.when(F.col("prefix"), F.startswith("word", "term")).otherwise(F.col("word") == F.col("term")))
-    entries = index.live(met.select("term", "prefix", "zone", "generation", F.inline("entries")))
-    made = index.manifest()
+    made, gone = index.manifest(), index.gone()
     mean = max(1e-9, sum(m.words for m in made) / max(1, sum(m.passages for m in made)))
-    rows = entries.repartition("term", "prefix", "zone").groupBy("term", "prefix", "zone", "passage_id", "dl", "call_id", "at").agg(F.sum("tf").alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    entry = F.struct("passage_id", weight.alias("weight"), "tf", "dl", "call_id", "at")
-    return stored(rows.groupBy("term", "prefix", "zone").agg(F.count(F.lit(1)).alias("n"), F.max(weight).alias("bound"), F.collect_list(entry).alias("entries")), "term-blocks")
+    weight = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+    entry = lambda e, tf: F.struct(e["passage_id"].alias("passage_id"), weight(tf, e["dl"]).alias("weight"), tf.alias("tf"), e["dl"].alias("dl"), e["call_id"].alias("call_id"), e["at"].alias("at"))
+    # A block of an exact term is what it is; blocks of the words behind a prefix are merged, and those with entries that
+    # may be gone are gone through.
+    parted = met.where("prefix") if gone is None else met
+    entries = index.live(parted.select("term", "prefix", "zone", "generation", F.inline("entries")))
+    summed = entries.repartition("term", "prefix", "zone").groupBy("term", "prefix", "zone", "passage_id").agg(F.sum("tf").alias("tf"), *(F.min(c).alias(c) for c in ("dl", "call_id", "at")))
+    listed = summed.groupBy("term", "prefix", "zone").agg(F.collect_list(entry({c: F.col(c) for c in ("passage_id", "dl", "call_id", "at")}, F.col("tf"))).alias("entries"))
+    if gone is None:
+        exact = met.where("not prefix").select("term", "prefix", "zone", F.transform("entries", lambda e: entry(e, e["tf"])).alias("entries"))
+        listed = listed.unionByName(exact)
+    bound = F.array_max(F.transform("entries", lambda e: e["weight"])).alias("bound")
+    return stored(listed.select("term", "prefix", "zone", F.size("entries").cast("long").alias("n"), bound, "entries"), "term-blocks")
 
 
 def rarity(index: Index, blocks: DataFrame) -> DataFrame:
@@ -241,14 +250,16 @@ def _zone_scores(n: int):
         row_of[place] = np.arange(len(place))
         calls = flat.field("call_id").take(pa.array(row_of)).to_numpy(zero_copy_only=False)
         at = flat.field("at").cast(pa.float64()).take(pa.array(row_of)).to_numpy(zero_copy_only=False)
-        spans = {k: (e - l, e) for k, e, l in zip(zip(blocks.column("term").to_pylist(), blocks.column("prefix").to_pylist(), strict=True), ends.tolist(), lists.value_lengths().to_pylist(), strict=True)}
+        spans: dict = {}
+        for term, prefix, end, length in zip(blocks.column("term").to_pylist(), blocks.column("prefix").to_pylist(), ends.tolist(), lists.value_lengths().to_pylist(), strict=True):
+            spans.setdefault((term, prefix), []).append(slice(end - length, end))
         out, total = {k: [] for k, _ in kinds}, np.zeros(len(ids))
         names = ("question_id", "part", "only_call", "other_than", "since", "until", "wanted")
         for question, part, only, other, since, until, wanted in zip(*(asked.column(c).to_pylist() for c in names), strict=True):
             total[:] = 0.0
             for w in wanted:
-                if span := spans.get((w["term"], w["prefix"])):
-                    total[place[slice(*span)]] += w["idf"] * weight[slice(*span)]
+                for span in spans.get((w["term"], w["prefix"]), ()):
+                    total[place[span]] += w["idf"] * weight[span]
             found = np.flatnonzero(total)
             if only is not None:
                 found = found[calls[found] == only]
@@ -290,7 +301,7 @@ def search(index: Index, questions: DataFrame, asked: DataFrame, n: int, languag
         return best_of(found, pass_, n)
 
     bounds = wanted.select(*pass_, F.inline("wanted")).join(blocks.select("term", "prefix", "zone", "bound"), ["term", "prefix"])
-    bounds = bounds.groupBy(*pass_, "zone").agg(F.sum(F.col("idf") * F.col("bound")).alias("upper"))
+    bounds = bounds.groupBy(*pass_, "zone").agg(F.sum(F.col("idf") * F.col("bound")).alias("upper"))  # the blocks of a word count one by one
     place = F.row_number().over(Window.partitionBy(*pass_).orderBy(F.desc("upper"), "zone"))
     bounds = stored(bounds.withColumn("place", place), "bounds")
     first = scored(bounds.where(F.col("place") <= FIRST_ZONES).select(*pass_, "zone"))
