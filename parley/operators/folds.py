@@ -329,13 +329,12 @@ class _NearestKnown(Fold):
                     done.append(self.settled(self.waiting.popleft(), (time, place, tag)))
                 else:
                     break
-            if not self.active or self.active[-1][0] < place or self.active[-1][1] < other:
-                i = bisect.bisect_left(self.active, (place,))
-                if i == 0 or self.active[i - 1][1] < other:
-                    j = i
-                    while j < len(self.active) and self.active[j][1] <= other:
-                        j += 1
-                    self.active[i:j] = [(place, other, tag)]
+            i = bisect.bisect_left(self.active, (place,))
+            if i == 0 or self.active[i - 1][1] < other:  # else an earlier place reaches as far
+                j = i
+                while j < len(self.active) and self.active[j][1] <= other:
+                    j += 1
+                self.active[i:j] = [(place, other, tag)]
             if self.open:
                 while self.begun and self.begun[-1][1] > place:
                     self.begun.pop()

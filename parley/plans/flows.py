@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..functions import models, questions
 from ..operators import answers, folds
 from ..operators.graph import shared_folder
 from ..sources.tables import CALLS, CONTACTS, SPEAKERS, TURNS, calls, contacts, speakers, sql, table, turns
-from ..streaming import chunks, machines
+from ..streaming import chunks, ledger, machines, sessions
 from .base import query
 
 
@@ -40,6 +41,90 @@ def silence_session_stream(spark, sf):
     return machines.drained(machines.silence_signals_stream(stream), shared_folder(spark))
 
 
+_EVENTS = """e AS (SELECT user_id AS key, floor(epoch_us(ts::TIMESTAMP) / 1000)::BIGINT AS ts, CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN CASE WHEN event_id % 9 = 0 THEN 2 ELSE 3 END ELSE 3 END AS kind, value FROM events),
+ t AS (SELECT key, ts, kind, CASE WHEN kind = 3 THEN value END AS value, row_number() OVER (PARTITION BY key ORDER BY ts, kind, CASE WHEN kind = 3 THEN value END) AS i FROM e)"""
+_WATCHED = """m AS (SELECT key, 0::BIGINT AS i, 0::BIGINT AS ts, -1::BIGINT AS sil, -1::BIGINT AS voi, false AS sug, false AS pau, false AS don, NULL::VARCHAR AS signal FROM (SELECT DISTINCT key FROM t) UNION ALL
+ SELECT key, i, ts, s1, CASE WHEN ended THEN -1 ELSE v1 END, CASE WHEN ctl OR ended THEN false ELSE sug OR says END, CASE WHEN ctl THEN kind = 0 OR pau AND kind = 2 ELSE pau END, don OR stops, CASE WHEN stops THEN 'stop' WHEN says THEN 'suggest' END FROM (
+  SELECT *, stopping AS stops, low AND NOT stopping AND NOT sug AND ts - s1 >= 21600000 AS says FROM (SELECT *, low AND ts - s1 >= 86400000 AS stopping FROM (
+   SELECT *, CASE WHEN ctl OR ended THEN -1 WHEN low AND sil < 0 THEN ts ELSE sil END AS s1 FROM (SELECT *, loud AND ts - v1 >= 7200000 AS ended FROM (
+    SELECT *, CASE WHEN ctl OR low THEN -1 WHEN loud AND voi < 0 THEN ts ELSE voi END AS v1 FROM (
+     SELECT t.key, t.i, t.ts, t.kind, t.kind < 3 AS ctl, m.sil, m.voi, m.sug, m.pau, m.don, NOT m.don AND NOT m.pau AND t.kind = 3 AND t.value >= 20 AS loud, NOT m.don AND NOT m.pau AND t.kind = 3 AND t.value < 20 AS low
+     FROM m JOIN t ON t.key = m.key AND t.i = m.i + 1)))))))"""
+_CONTROLLED = "WITH RECURSIVE " + ", ".join((_EVENTS, _WATCHED)) + " SELECT key, ts AS ts_ms, signal, ts - sil AS silent_ms, CASE signal WHEN 'stop' THEN least(sil + 5000, ts) ELSE sil + 86400000 END AS at_ms FROM m WHERE signal IS NOT NULL"
+_HOUR = 3_600_000
+_RULES = sessions.WatchRules(quiet=20.0, voice_ms=2 * _HOUR, suggest_ms=6 * _HOUR, stop_ms=24 * _HOUR)
+
+
+def _told(spark, sf):
+    """Levels and controls of each user: some events are pauses, resumptions and snoozes."""
+    e = machines.samples_of(table(spark, sf, "events").withColumn("value", F.struct("value", "event_id")))
+    e = e.select("key", "ts_ms", F.col("value.value").alias("value"), "event_type", F.col("value.event_id").alias("n"))
+    control = F.when(F.col("event_type") == "signup", "pause").when(F.col("event_type") == "view", "resume").when((F.col("event_type") == "click") & (F.col("n") % 9 == 0), "snooze")
+    told = e.withColumn("control", control)
+    return told.where("control is null").select("key", "ts_ms", "value"), told.where("control is not null").select("key", "ts_ms", "control")
+
+
+def _replayed(spark, sf):
+    """The same as streams from the shared folder; a last level of a key of its own, long after all others, ends them."""
+    out = []
+    for i, df in enumerate(_told(spark, sf)):
+        last = F.max("ts_ms") + 400 * 24 * _HOUR
+        end = df.agg(last.alias("ts_ms")).select(F.lit(-1).cast("long").alias("key"), "ts_ms", F.lit(1.0).alias("value")) if i == 0 else df.limit(0)
+        folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+        df.unionByName(end).write.parquet(folder)
+        out.append(spark.readStream.schema(df.schema).parquet(folder))
+    return out
+
+
+@query(_CONTROLLED)
+def silence_controls(spark, sf):
+    """Silences of recordings with pauses, resumptions and snoozes among the levels."""
+    return sessions.watched(sessions.events_of(*_told(spark, sf)), _RULES)
+
+
+@query(_CONTROLLED)
+def silence_controls_stream(spark, sf):
+    """The same on streams of levels and controls."""
+    stream = sessions.watched(sessions.events_of(*_replayed(spark, sf)), _RULES)
+    return machines.drained(stream, shared_folder(spark)).where("key >= 0")
+
+
+_CUT = sessions.CutRules(from_ms=22 * _HOUR, to_ms=26 * _HOUR, quiet=20.0, least_ms=_HOUR, idle_ms=240 * _HOUR)
+
+
+@query()
+def recording_cuts(spark, sf):
+    """Recordings cut about once a day in their silences, pauses left out; tests hold it against plain machines."""
+    return sessions.recording_chunks(sessions.events_of(*_told(spark, sf)), _CUT)
+
+
+@query()
+def recording_cuts_stream(spark, sf):
+    """The same on streams; tests hold it against recording_cuts."""
+    stream = sessions.recording_chunks(sessions.events_of(*_replayed(spark, sf)), _CUT)
+    return machines.drained(stream, shared_folder(spark)).where("key >= 0")
+
+
+_TOLD = "told AS (SELECT l_orderkey AS call_id, l_linenumber AS chunk_idx, unnest(['process', CASE WHEN l_quantity > 25 THEN 'done' ELSE 'fail' END, CASE WHEN l_returnflag = 'R' THEN 'retry' ELSE 'done' END]) AS event, generate_subscripts([1, 2, 3], 1) + 3 * l_suppkey AS n FROM lineitem)"
+_FOLDED = """o AS (SELECT *, row_number() OVER (PARTITION BY call_id, chunk_idx ORDER BY n, event) AS i FROM told), k AS (SELECT call_id, chunk_idx, 0::BIGINT AS i, 'pending' AS status FROM (SELECT DISTINCT call_id, chunk_idx FROM o) UNION ALL
+ SELECT o.call_id, o.chunk_idx, o.i, CASE WHEN event = 'process' AND status = 'pending' THEN 'processing' WHEN event = 'done' AND status = 'processing' THEN 'done' WHEN event = 'fail' AND status IN ('pending', 'processing', 'failed') THEN 'failed' WHEN event = 'retry' AND status = 'failed' THEN 'pending' ELSE status END
+ FROM k JOIN o ON o.call_id = k.call_id AND o.chunk_idx = k.chunk_idx AND o.i = k.i + 1)"""
+
+
+@query("WITH RECURSIVE " + ", ".join((_TOLD, _FOLDED)) + " SELECT call_id, chunk_idx, arg_max(status, i) AS status FROM k GROUP BY call_id, chunk_idx")
+def chunk_events_stream(spark, sf):
+    """Events of chunks, several each, as a stream into a table that takes each batch once."""
+    li = table(spark, sf, "lineitem")
+    events = F.array(F.lit("process"), F.when(F.col("l_quantity") > 25, "done").otherwise("fail"), F.when(F.col("l_returnflag") == "R", "retry").otherwise("done"))
+    told = li.select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").cast("long").alias("chunk_idx"), F.posexplode(events).alias("n", "event"), "l_suppkey")
+    told = told.select("call_id", "chunk_idx", (F.col("n") + 1 + 3 * F.col("l_suppkey")).cast("long").alias("order"), "event")
+    folder = f"{shared_folder(spark)}/chunk-events-{uuid.uuid4().hex}"
+    told.write.parquet(f"{folder}/in")
+    chunk_table = ledger.VersionedTable(spark, f"{folder}/table")
+    ledger.follow_events(spark.readStream.schema(told.schema).parquet(f"{folder}/in"), chunk_table, f"{folder}/state").awaitTermination()
+    return chunk_table.read()
+
+
 @query("SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def hourly_levels(spark, sf):
     return machines.hourly(machines.samples_of(table(spark, sf, "events"))).withColumn("total", F.round("total", 4))
