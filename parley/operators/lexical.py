@@ -26,8 +26,8 @@ MOST_TERMS = 12
 HEAD = 4
 #: Passages of a zone, about, and the zones that are scored before the others are held against the result.
 ZONE_ROWS, FIRST_ZONES = 8192, 8
-#: Questions that meet a zone in one task, about.
-QUESTIONS = 2048
+#: Passes of questions that meet a zone in one task, about.
+QUESTIONS = 16_384
 #: Terms that are broadcast, and heads that are pushed to the scan; with more of them Spark joins by shuffles.
 FEW_TERMS, FEW_HEADS = 20_000, 2_000
 #: Decimals of a score: sums in another order don't change who is best.
@@ -291,7 +291,8 @@ def search(index: Index, questions: DataFrame, asked: DataFrame, n: int, languag
     wanted = stored(asked.join(wanted.groupBy("question_id").agg(F.collect_list(F.struct("term", "prefix", "idf")).alias("wanted")), "question_id"), "wanted")  # MOST_TERMS of each
     deals = max(1, -(-wanted.count() // QUESTIONS))
     deal = F.pmod(F.xxhash64("question_id"), F.lit(deals)).cast("int").alias("deal")
-    held = blocks.select("term", "prefix", "zone", "entries", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal")).groupBy("zone", "deal")
+    slim = F.transform("entries", lambda e: F.struct(e["passage_id"].alias("passage_id"), e["weight"].alias("weight"), e["call_id"].alias("call_id"), e["at"].alias("at"))).alias("entries")
+    held = blocks.select("term", "prefix", "zone", slim, F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal")).groupBy("zone", "deal")
     kind = asked.schema["question_id"].dataType.simpleString()
 
     def scored(zones: DataFrame) -> DataFrame:
