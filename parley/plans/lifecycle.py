@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import dml
 from ..operators import recordings as L
-from ..sources import audio
+from ..operators.graph import shared_folder, stored
+from ..sources import audio, wav_ranges
 from ..sources.tables import CALLS, FAILURES, PASSAGES, calls, failures, passages, sql, table
 from .base import query
 
@@ -47,6 +50,43 @@ def audio_joined(spark, sf):
     return whole.select("user_id", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * 32768), 0).alias("total"))
 
 
+_RECORDED = """r AS (SELECT user_id, event_id // 2000 AS part, list((value - 20) / 40 ORDER BY ts, event_id) AS v FROM failures GROUP BY ALL),
+ d AS (SELECT user_id, part, CASE user_id % 3 WHEN 2 THEN list_transform(v, lambda x: x::FLOAT::DOUBLE) ELSE list_transform(v, lambda x: (trunc(least(1, greatest(-1, x)) * 32767) + CASE WHEN user_id % 3 = 1 THEN trunc(least(1, greatest(-1, x / 2)) * 32767) ELSE 0 END) / 32768 / (1 + (user_id % 3 = 1)::INT)) END AS s FROM r)"""
+
+
+def _recorded(spark, sf):
+    """The levels of each user in files of at most 2,000 samples: 16-bit PCM with one or two channels, and floats."""
+    levels = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda r: (r["value"] - 20) / 40)
+    rows = failures(spark, sf).groupBy("user_id", F.floor(F.col("event_id") / 2000).alias("part")).agg(levels.alias("samples"))
+    name = F.concat_ws("/", F.col("user_id").cast("string"), F.col("part").cast("string"))
+    files = rows.select(name.alias("name"), F.lit(RATE).alias("rate"), F.when(F.col("user_id") % 3 == 1, 2).otherwise(1).alias("channels"), (F.col("user_id") % 3 == 2).alias("is_float"), "samples")
+    folder = f"{shared_folder(spark)}/wavs-{uuid.uuid4().hex}"
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    return uri, stored(wav_ranges.write_wavs(files, uri), "wavs")
+
+
+def _named(path, n: int):
+    return F.regexp_extract(path, r"/(\d+)/(\d+)\.wav$", n).cast("long")
+
+
+@query(sql("SELECT user_id, part, len(s) AS frames, ceil(len(s) / 16.0)::BIGINT AS ranges, round(list_sum(s), 2) + 0.0 AS total FROM d", FAILURES, _RECORDED))
+def wav_ranges_read(spark, sf):
+    """Recordings of several formats read in ranges of sixteen frames."""
+    uri, _ = _recorded(spark, sf)
+    rows = wav_ranges.wav_ranges(spark, uri, 16).withColumn("x", F.aggregate("samples", F.lit(0.0), lambda a, v: a + v))
+    told = rows.groupBy("path").agg(F.sum(F.size("samples")).alias("frames"), F.count(F.lit(1)).alias("ranges"), (F.round(F.sum("x"), 2) + 0.0).alias("total"))
+    return told.select(_named("path", 1).alias("user_id"), _named("path", 2).alias("part"), "frames", "ranges", "total")
+
+
+@query(sql("SELECT user_id, part, place, len(p) AS n, round(coalesce(list_sum(p), 0), 2)::DOUBLE + 0.0 AS total FROM (SELECT user_id, part, 0 AS place, s[5:12] AS p FROM d UNION ALL SELECT user_id, part, 1, s[9:] FROM d)", FAILURES, _RECORDED))
+def wav_slices_read(spark, sf):
+    """Two stretches of each recording, one that goes on beyond its end, by reading just their bytes."""
+    _, files = _recorded(spark, sf)
+    bounds = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(a).alias("start_sec"), F.lit(b).alias("end_sec")) for i, (a, b) in enumerate([(0.5, 1.5), (1.0, 1e6)])))
+    rows = wav_ranges.slices(files.select("path", F.inline(bounds)))
+    return rows.select(_named("path", 1).alias("user_id"), _named("path", 2).alias("part"), "place", F.size("samples").cast("long").alias("n"), (F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 2) + 0.0).alias("total"))
+
+
 _FILES = "f AS (SELECT DISTINCT l_orderkey AS call_id, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber - 1 - (l_orderkey % 2) END AS chunk_idx FROM lineitem)"
 
 
