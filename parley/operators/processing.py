@@ -142,6 +142,26 @@ def persisted(calls: DataFrame, items: DataFrame, log: DataFrame, recaps: DataFr
     return stored, kept, logged
 
 
+def persisted_lists(tables: dict[str, DataFrame], recaps: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The next versions of the tables (by the names of recap.LISTS: call_id, place, text, quote) after cleaned recaps
+    (call_id and these lists), and what is odd about these: call_id, problems.
+
+    A recap without a text in any list is blank and changes no table; others replace the rows of their call in all three,
+    also where their own list is empty. Oddities don't keep a recap from being stored.
+    """
+    full = F.lit(False)
+    for name in R.LISTS:
+        full = full | (F.size(name) > 0)
+    good = recaps.where(full)
+    out = {}
+    for name in R.LISTS:
+        rows = good.select("call_id", F.posexplode(name).alias("place", "i")).select("call_id", F.col("place").cast("long").alias("place"), "i.text", "i.quote")
+        out[name] = tables[name].join(good.select("call_id"), "call_id", "left_anti").unionByName(rows)
+    long = [F.when(F.exists(name, lambda i: F.char_length(i["text"]) > 500), f"{name}: a text of over 500 characters") for name in R.LISTS]
+    problems = F.filter(F.array(F.when(~full, "blank"), *long), lambda p: p.isNotNull())
+    return out, recaps.select("call_id", problems.alias("problems")).where(F.size("problems") > 0)
+
+
 def contact_hits(questions: DataFrame, people: DataFrame, key: str, question: str, most: int = 2) -> DataFrame:
     """key, id (-1: no passage), call_id (contact:id), kind, token_est, text: the cards of contacts that a question names,
     in the order of people (contact_id, display_name, card, place)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +39,74 @@ def problems(recap: Column) -> Column:
     return F.filter(found, lambda p: p.isNotNull())
 
 
-def window_similarity(haystack: Column, needle: Column, most: int = 200) -> Column:
-    """1 if the needle (its first `most` characters) occurs, else the best similarity with a window of its length."""
-    n = F.substring(needle, 1, most)
-    size = F.char_length(n)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(haystack) - size + 1))
-    best = F.array_max(F.transform(starts, lambda i: 1 - F.levenshtein(F.substring(haystack, i, size), n) / F.greatest(size, F.lit(1))))
-    return F.when(size == 0, 0.0).when(haystack.contains(n), 1.0).otherwise(F.greatest(F.lit(0.0), best))
+#: Characters of a quote that are compared where it doesn't occur as it is.
+MOST_QUOTE = 200
+
+
+def _bits(needle: str) -> dict[str, int]:
+    marks: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        marks[c] = marks.get(c, 0) | 1 << i
+    return marks
+
+
+def _distances(marks: dict[str, int], m: int, text: str, anywhere: bool) -> list[int]:
+    """The edit distance of a needle of m characters (as bits) to the text up to each place; if anywhere, to the nearest
+    stretch that ends there. A column of the table is two numbers, so a character costs a few operations."""
+    all_, high = (1 << m) - 1, 1 << (m - 1)
+    up, down, score, out = all_, 0, m, []
+    for c in text:
+        eq = marks.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq | down
+        rise, fall = (down | ~(across | up)) & all_, up & across
+        if rise & high:
+            score += 1
+        elif fall & high:
+            score -= 1
+        rise, fall = rise << 1 | (not anywhere), fall << 1
+        up, down = (fall | ~(eq | down | rise)) & all_, rise & (eq | down) & all_
+        out.append(score)
+    return out
+
+
+def best_window(needle: str, text: str, least: float = 0.0, most: int = MOST_QUOTE) -> float:
+    """1 if the needle occurs, else the best similarity (1 less the edit distance over the length) of its first `most`
+    characters with a stretch of their length, or with the whole of a shorter text. Both are lower-cased, with one blank
+    between words.
+
+    No window is nearer than the nearest stretch that ends with it, so windows are tried from the lowest bound on until
+    no other can be better, or reach `least`: a similarity below that may be given as 0.
+    """
+    needle, text = " ".join(needle.lower().split()), " ".join(text.lower().split())
+    if not needle:
+        return 0.0
+    if needle in text:
+        return 1.0
+    needle = needle[:most]
+    m, marks = len(needle), _bits(needle)
+    if len(text) <= m:
+        return 1 - (_distances(marks, m, text, False)[-1] if text else m) / m
+    far = int((1 - least) * m + 1e-9)
+    bounds = _distances(marks, m, text, True)[m - 1 :]
+    best = m
+    for bound, start in sorted((b, i) for i, b in enumerate(bounds) if b <= far):
+        if bound >= best:
+            break
+        best = min(best, _distances(marks, m, text[start : start + m], False)[-1])
+    return 1 - best / m if best <= far else 0.0
+
+
+def quote_scores(quotes: Column, text: Column, least: float = 0.0) -> Column:
+    """best_window() of each quote (an array) in a text; null quotes and texts count as empty."""
+    @F.pandas_udf("array<double>")
+    def run(own: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[best_window(q or "", t or "", least) for q in qs] if qs is not None else None for qs, t in zip(own, texts, strict=True)])
+
+    return run(quotes, text)
+
+
+def window_similarity(haystack: Column, needle: Column, least: float = 0.0) -> Column:
+    return quote_scores(F.array(needle), haystack, least)[0]
 
 
 def evidence_state(quote: Column, score: Column) -> Column:
@@ -90,9 +152,24 @@ def keep_unlike(rows: DataFrame, key: str, order: str, text: str, most: float =
 
 def stripped(items: Column, transcript: Column, least: float = FOUND) -> Column:
     """Items (text, quote) without blank texts; quotes that the transcript doesn't hold become null."""
-    ok = lambda i: evidence_state(i["quote"], window_similarity(transcript, F.coalesce(i["quote"], F.lit("")))) == "ok"
     kept = F.filter(items, lambda i: F.trim(i["text"]) != "")
-    return F.transform(kept, lambda i: i.withField("quote", F.when(F.coalesce(F.trim(i["quote"]) != "", F.lit(False)) & ok(i), i["quote"])))
+    scores = quote_scores(F.transform(kept, lambda i: i["quote"]), transcript, least)
+    held = F.zip_with(kept, scores, lambda i, s: F.struct(i.alias("i"), s.alias("s")))
+    return F.transform(held, lambda h: h["i"].withField("quote", F.when(F.coalesce(F.trim(h["i"]["quote"]) != "", F.lit(False)) & (h["s"] >= least), h["i"]["quote"])))
+
+
+#: The lists of a recap that are checked and deduplicated alike.
+LISTS = ("action_items", "decisions", "open_questions")
+
+
+def cleaned(recaps: DataFrame, transcript: str, most: float = 0.7) -> DataFrame:
+    """recaps whose LISTS lose unproven quotes, blank items and those alike to one before, and whose participants (tag,
+    name) are distinct; each list is held against itself only. Null lists are empty."""
+    for name in LISTS:
+        recaps = recaps.withColumn(name, stripped(F.coalesce(name, F.array().cast(recaps.schema[name].dataType)), F.col(transcript)))
+    for name in LISTS:
+        recaps = recaps.withColumn(name, unlike_items(F.col(name), most))
+    return recaps.withColumn("participants", distinct_participants(F.coalesce("participants", F.array().cast(recaps.schema["participants"].dataType))))
 
 
 def unlike_items(items: Column, most: float = 0.7) -> Column:

@@ -87,7 +87,7 @@ def evidence_found(spark, sf):
     changed = F.concat(F.substring(t, 5, 20), F.lit("#"), F.substring(t, 26, 20))
     quote = F.when(k == 0, F.substring(t, 5, 40)).when(k == 1, changed).when(k == 2, F.reverse(F.substring(t, 5, 40)))
     q = turns(spark, sf).withColumn("quote", quote)
-    score = F.when(F.trim("quote") == "", 0.0).otherwise(recap.window_similarity(t, F.col("quote")))
+    score = F.when(F.trim("quote") == "", 0.0).otherwise(recap.window_similarity(t, F.col("quote"), recap.FOUND))
     return q.select("conv_id", "turn", recap.evidence_state(F.col("quote"), score).alias("state"))
 
 

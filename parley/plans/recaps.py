@@ -38,6 +38,37 @@ def items_deduplicated(spark, sf):
     return rows.select("conv_id", F.transform(kept, lambda k: k["text"]).alias("k")).select("conv_id", F.md5(F.array_join("k", "|")).alias("kept"), F.size("k").cast("long").alias("n"))
 
 
+# Recaps of turns: their sentences as items (every second with a quote, every fourth a wrong one), twice as decisions, and
+# those with a comma as open questions; every tenth turn has a recap of nothing.
+_SENTENCES = """s AS (SELECT conv_id * 1000 + turn AS call_id, text AS whole, CASE WHEN turn % 10 = 9 THEN [] ELSE list_filter(list_transform(string_split(text, '.'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') END AS w FROM turns),
+ n AS (SELECT call_id, whole, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS i, len(w) AS size FROM s),
+ f AS (SELECT call_id, 'action_items' AS list, i, text, CASE WHEN i % 4 = 0 THEN text END AS quote FROM n UNION ALL SELECT call_id, 'decisions', i, text, NULL FROM n UNION ALL SELECT call_id, 'open_questions', i, text, NULL FROM n WHERE contains(text, ','))"""
+_FIRST = """o AS (SELECT *, list_distinct(string_split(lower(text), ' ')) AS words, row_number() OVER (PARTITION BY call_id, list ORDER BY i) AS r FROM f),
+ k AS (SELECT call_id, list, r, text, quote, true AS ok, [words] AS held FROM o WHERE r = 1 UNION ALL SELECT o.call_id, o.list, o.r, o.text, o.quote, o.ok, CASE WHEN o.ok THEN list_append(o.held, o.words) ELSE o.held END FROM
+  (SELECT o.*, k.held, len(list_filter(k.held, lambda h: len(list_intersect(h, o.words)) >= 0.7 * len(list_distinct(list_concat(h, o.words))))) = 0 AS ok FROM k JOIN o ON o.call_id = k.call_id AND o.list = k.list AND o.r = k.r + 1) o)"""
+
+
+@query("WITH RECURSIVE " + ", ".join((TURNS, _SENTENCES, _FIRST)) + """ SELECT call_id, list, row_number() OVER (PARTITION BY call_id, list ORDER BY r) - 1 AS place, text, quote FROM k WHERE ok
+ UNION ALL SELECT call_id, unnest(['action_items', 'decisions', 'open_questions']), 0, 'old', NULL FROM s WHERE len(w) = 0""")
+def recap_lists_persisted(spark, sf):
+    """Recaps cleaned and written over the three tables of their call; blank ones change nothing."""
+    from ..operators import processing
+
+    t = turns(spark, sf)
+    said = F.filter(F.transform(F.split("text", r"\."), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    rows = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"), F.col("text").alias("whole"), F.when(F.col("turn") % 10 == 9, F.array().cast("array<string>")).otherwise(said).alias("w"))
+    none = F.lit(None).cast("string").alias("quote")
+    quote = lambda x, i: F.when(i % 4 == 0, F.concat(x, F.lit("  "))).when(i % 4 == 2, F.reverse(F.concat(x, F.lit("#!#!#!"), x)))
+    items = F.transform("w", lambda x, i: F.struct(x.alias("text"), quote(x, i).alias("quote")))
+    plain = F.transform("w", lambda x: F.struct(x.alias("text"), none))
+    asked = F.transform(F.filter("w", lambda x: x.contains(",")), lambda x: F.struct(x.alias("text"), none))
+    recaps = rows.select("call_id", "whole", items.alias("action_items"), F.concat(plain, plain).alias("decisions"), asked.alias("open_questions"), F.array(F.struct(F.lit("a").alias("tag"), F.lit("A").alias("name"))).alias("participants"))
+    old = rows.select("call_id", F.lit(0).cast("long").alias("place"), F.lit("old").alias("text"), none)
+    tables, _ = processing.persisted_lists({n: old for n in R.LISTS}, R.cleaned(recaps, "whole"))
+    out = [df.withColumn("list", F.lit(n)) for n, df in tables.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("call_id", "list", "place", "text", F.trim("quote").alias("quote"))
+
+
 _PEOPLE = """p AS (SELECT call_id, place, CASE place WHEN 0 THEN 'speaker:0' WHEN 1 THEN ' Speaker:0' WHEN 2 THEN 'speaker:1' WHEN 3 THEN 'speaker:2' ELSE 'speaker:2' END AS tag,
  CASE place WHEN 0 THEN 'Ann' WHEN 1 THEN 'Bob' WHEN 2 THEN CASE WHEN call_id % 2 = 0 THEN ' ANN ' ELSE 'Cid' END WHEN 3 THEN CASE WHEN call_id % 3 = 0 THEN NULL ELSE 'cid' END ELSE 'Dan' END AS name FROM calls, generate_series(0, 4) g(place))"""
 _SEEN = "t AS (SELECT *, row_number() OVER (PARTITION BY call_id, lower(trim(tag)) ORDER BY place) AS tag_no FROM p)"

@@ -3,12 +3,13 @@
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import labels
-from parley.operators import folds, graph
+from parley.operators import folds, graph, processing, recap
 from parley.sources import audio
 from parley.sources.stt import NOISE
 
@@ -147,3 +148,63 @@ def test_no_local_folder_on_a_cluster(spark):
     with pytest.raises(ValueError, match="checkpoint"):
         graph.shared_folder(Session())
     assert re.match(r".+", graph.shared_folder(spark))
+
+
+def brute_window(needle, text):
+    needle, text = " ".join(needle.lower().split()), " ".join(text.lower().split())
+    if not needle or needle in text:
+        return float(bool(needle))
+    needle = needle[:200]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    m = len(needle)
+    windows = [text] if len(text) <= m else [text[i : i + m] for i in range(len(text) - m + 1)]
+    return max(0.0, max(1 - distance(needle, w) / m for w in windows))
+
+
+def test_quotes_in_windows(spark):
+    rnd, rows = random.Random(7), []
+    for _ in range(120):
+        text = "".join(rnd.choice("abcd é\n") for _ in range(rnd.randrange(0, 60)))
+        at = rnd.randrange(max(1, len(text)))
+        quote = list(text[at : at + rnd.randrange(1, 30)])
+        for _ in range(rnd.randrange(4)):
+            if quote:
+                quote[rnd.randrange(len(quote)) : rnd.randrange(len(quote) + 1)] = rnd.choice("abX")
+        rows.append((text, "".join(quote).upper() if rnd.random() < 0.3 else "".join(quote)))
+    rows += [("x" * 300 + "abc" * 100, "abc" * 70 + "Z"), ("", "a"), ("a", ""), (None, None)]
+    for r in spark.createDataFrame(rows, "t string, q string").select("t", "q", recap.window_similarity(F.col("t"), F.col("q")).alias("s")).collect():
+        assert r.s == pytest.approx(brute_window(r.q or "", r.t or "")), (r.t, r.q)
+    for q, t in ((r[1] or "", r[0] or "") for r in rows):
+        whole = brute_window(q, t)
+        assert recap.best_window(q, t, 0.8) == pytest.approx(whole if whole >= 0.8 else 0.0) or len(" ".join(t.split())) <= len(" ".join(q.split())[:200])
+    text = " ".join(f"word{rnd.randrange(1000)}" for _ in range(20_000))
+    began = time.time()
+    assert recap.best_window(text[5000:5100] + "?" + text[5102:5180], text) > 0.98
+    assert time.time() - began < 5
+
+
+def test_recap_lists(spark):
+    item = lambda text, quote=None: {"text": text, "quote": quote}
+    kind = "array<struct<text:string,quote:string>>"
+    rows = [
+        (1, "We ship on Friday, all of us.", [item("ship it", "ship on fridax"), item("Ship IT"), item("  "), item("call them", "nobody said this")], None, [item("who pays the bill")], [("a", "Ann"), ("A ", "Bob"), ("b", "ann")]),
+        (2, "", [], [], None, None),
+    ]
+    recaps = spark.createDataFrame(rows, f"call_id int, t string, action_items {kind}, decisions {kind}, open_questions {kind}, participants array<struct<tag:string,name:string>>")
+    clean = recap.cleaned(recaps, "t")
+    one = clean.where("call_id = 1").first()
+    assert [tuple(i) for i in one.action_items] == [("ship it", "ship on fridax"), ("call them", None)]
+    assert one.decisions == [] and [p.tag for p in one.participants] == ["a"]
+    old = spark.createDataFrame([(c, 0, "old", None) for c in (1, 2, 3)], "call_id int, place long, text string, quote string")
+    tables, odd = processing.persisted_lists(dict.fromkeys(recap.LISTS, old), clean)
+    got = {n: sorted((r.call_id, r.text) for r in df.collect()) for n, df in tables.items()}
+    assert got == {"action_items": [(1, "call them"), (1, "ship it"), (2, "old"), (3, "old")], "decisions": [(2, "old"), (3, "old")], "open_questions": [(1, "who pays the bill"), (2, "old"), (3, "old")]}
+    assert [(r.call_id, r.problems) for r in odd.collect()] == [(2, ["blank"])]
