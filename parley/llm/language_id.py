@@ -230,7 +230,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", names: tuple[str
 def language_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous: trained on the rows whose crc32(key) mod 3 is not 1.
 
-    One row per row of docs, whatever further columns it has; edge cases as in train() and identify().
+    One row per row of docs, whatever further columns it has. Null and empty texts and those without a letter give `und`;
+    equal texts and repeated rows get equal answers and each count in training; texts may be of any length; without
+    labelled rows all answers are `und`; an empty table gives no rows.
     """
     held = (crc_mod(key, 3) == 1).alias("held_out")
     model = train(docs.where(crc_mod(key, 3) != 1))

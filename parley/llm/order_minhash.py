@@ -101,8 +101,9 @@ def order_minhash_report(docs: DataFrame, key: str = "doc_id", text: str = "text
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row.
 
     A null text is empty. The edited text has its last third (floor) replaced by the start of the next row's text, by
-    falling key; null keys come last, rows of one key follow each other by text. An only row is its own next. Other
-    columns are not read; an empty table gives no rows.
+    falling key; null keys come last, rows of one key follow each other by text. An only row is its own next. Texts
+    may be of any length that a row can hold; their words are sorted within the row. Other columns are not read; an empty
+    table gives no rows.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     slim = slim.withColumn("order_id", F.coalesce("doc_id", F.lit(-(1 << 63))))

@@ -34,6 +34,15 @@ def counted(df):
     return collections.Counter(map(str, df.collect()))
 
 
+def test_further_columns_of_encoding_and_packing(spark, sf_dir):
+    P = pytest.importorskip("public_tokenizers")
+    docs = edge_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    assert counted(bpe.bpe_report(clashing(docs), ranks, P.PATTERN)) == counted(bpe.bpe_report(docs, ranks, P.PATTERN))
+    stage = dict(corpus_pipeline.STAGES)["best_fit_packing"]
+    assert counted(stage(spark, clashing(docs), sf_dir)) == counted(stage(spark, docs, sf_dir))
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_further_columns_change_nothing(spark, name):
     docs = edge_docs(spark).where("doc_id is not null").dropDuplicates(["doc_id"])

@@ -154,3 +154,35 @@ def test_run_and_empty_input(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.count() == 0
+
+
+def test_the_whole_pipeline_by_brute_force(spark, tmp_path):
+    """Near and exact copies, texts without letters, nulls and secrets through run(): the pieces that must come out."""
+    rnd = random.Random(12)
+    texts = edited_copies(14, 8)
+    rows = [(3 * i, t) for i, t in enumerate(texts)]
+    rows += [(3 * rnd.randrange(len(texts)) + 1, texts[i].upper() if i % 2 else texts[i]) for i in rnd.sample(range(len(texts)), 20)]
+    rows += [(10_000 + i, t) for i, t in enumerate([None, "", "12 34 !", "...", "one word", "One Word", "own text with password = hunter2hunter2 in it", "ключ token: abcdef123456 здесь"])]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    rnd.shuffle(rows)
+    spark.createDataFrame([(i, t, "en" if i % 5 else None, "s", len(t or "")) for i, t in rows], DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    best = {}
+    for i, t in rows:
+        if t and any(c.isalpha() for c in t):
+            best[t.translate(fold)] = max((i, t), best.get(t.translate(fold), (-1, "")))
+    left = sorted(best.values())
+    left = [left[k] for k in left_by_brute_force([t.translate(fold) for _, t in left])]
+    left = [(i, t.replace("password = hunter2hunter2", "[SECRET]").replace("token: abcdef123456", "[SECRET]")) for i, t in left]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in left}
+    sizes = {i: len(t.split()) + 1 for i, t in left}
+    for i, n in sizes.items():
+        own = sorted((r.start, r.n_tokens) for r in packed if r.doc_id == i)
+        assert sum(n for _, n in own) == n and [s for s, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))]
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.bin_id, []).append(r)
+    for own in bins.values():
+        assert sum(r.n_tokens for r in own) == own[0].bin_tokens <= own[0].bin_size
