@@ -284,7 +284,7 @@ def search(index: Index, questions: DataFrame, asked: DataFrame, n: int, languag
     questions: question_id, question. A question without terms, or whose terms occur nowhere, has no rows. The result is
     that of scoring everything: zones are passed over only if their bound is below the n-th score found elsewhere.
     """
-    terms = asked_terms(questions, languages)
+    terms = asked_terms(questions.join(asked.select("question_id").distinct(), "question_id", "left_semi"), languages)
     blocks = term_blocks(index, terms)
     wanted = terms.join(rarity(index, blocks), ["term", "prefix"]).select("question_id", "term", "prefix", (F.col("idf") * F.col("times")).alias("idf"))
     pass_ = ["question_id", "part"]
