@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexical, vectors
 from .bitmaps import in_bitmap, row_bitmap
-from .graph import stored
+from .graph import removed, stored
 
 RRF_K = 60
 #: Candidates of each of the two searches.
@@ -38,12 +38,19 @@ def hybrid(index: lexical.Index, passages: DataFrame, questions: DataFrame, embe
     asked = stored(asked.join(lonely, "question_id"), "passes")
     bare, both = asked.where("lonely"), asked.where("not lonely")
 
-    found = lexical.search(index, questions, bare.withColumn("since", F.lit(None).cast("long")).withColumn("until", F.lit(None).cast("long")), 12, languages)
+    def search(passes: DataFrame, n: int) -> DataFrame:
+        scratch: list[DataFrame] = []
+        out = stored(lexical.search(index, questions, passes, n, languages, scratch), "found")
+        for table in scratch:
+            removed(table)
+        return out
+
+    found = search(bare.withColumn("since", F.lit(None).cast("long")).withColumn("until", F.lit(None).cast("long")), 12)
     chosen = found.join(bare.select("question_id", "part", "most"), ["question_id", "part"]).where("rank <= most").select("question_id", "part", "passage_id", "score", "rank")
     keys = ["question_id", "part", "passage_id"]
     if not none:
         able = questions.where(F.size(lexical.query_terms(F.coalesce("question", F.lit("")), languages)) > 0).select("question_id")
-        words = lexical.search(index, questions, both, CANDIDATES, languages)
+        words = search(both, CANDIDATES)
         near = vectors.nearest(embedded, both.join(able, "question_id").join(vecs, "question_id"), CANDIDATES)
         chosen = chosen.unionByName(fused([words, near], keys).withColumn("rank", F.lit(None).cast("int")))
     chosen = stored(chosen, "chosen")

@@ -278,12 +278,14 @@ def _zone_scores(n: int):
     return run
 
 
-def search(index: Index, questions: DataFrame, asked: DataFrame, n: int, languages=("en", "ru")) -> DataFrame:
+def search(index: Index, questions: DataFrame, asked: DataFrame, n: int, languages=("en", "ru"), scratch: list | None = None) -> DataFrame:
     """question_id, part, passage_id, call_id, score, rank: the n best passages by BM25 for each pass (rows of passes()).
 
     questions: question_id, question. A question without terms, or whose terms occur nowhere, has no rows. The result is
-    that of scoring everything: zones are passed over only if their bound is below the n-th score found elsewhere.
+    that of scoring everything: zones are passed over only if their bound is below the n-th score found elsewhere. The
+    written tables that the result reads are added to scratch, so that a caller who has stored it can remove them.
     """
+    scratch = [] if scratch is None else scratch
     terms = asked_terms(questions.join(asked.select("question_id").distinct(), "question_id", "left_semi"), languages)
     blocks = term_blocks(index, terms)
     wanted = terms.join(rarity(index, blocks), ["term", "prefix"]).select("question_id", "term", "prefix", (F.col("idf") * F.col("times")).alias("idf"))
@@ -305,10 +307,12 @@ def search(index: Index, questions: DataFrame, asked: DataFrame, n: int, languag
     bounds = bounds.groupBy(*pass_, "zone").agg(F.sum(F.col("idf") * F.col("bound")).alias("upper"))  # the blocks of a word count one by one
     place = F.row_number().over(Window.partitionBy(*pass_).orderBy(F.desc("upper"), "zone"))
     bounds = stored(bounds.withColumn("place", place), "bounds")
+    scratch += [blocks, wanted, bounds]
     first = scored(bounds.where(F.col("place") <= FIRST_ZONES).select(*pass_, "zone"))
     if bounds.where(F.col("place") > FIRST_ZONES).isEmpty():
         return first
     first = stored(first, "first")
+    scratch.append(first)
     reached = first.where(F.col("rank") == n).select(*pass_, F.col("score").alias("reached"))
     rest = bounds.where(F.col("place") > FIRST_ZONES).join(reached, pass_, "left").where(F.col("reached").isNull() | (F.col("upper") >= F.col("reached") - 1e-6))
     return best_of(first.drop("rank").unionByName(scored(rest.select(*pass_, "zone")).drop("rank")), pass_, n)
