@@ -169,5 +169,5 @@ def placeholder_speakers(spark, sf):
 def contacts_injected(spark, sf):
     """At most two contacts that a question names, as passages that no index holds."""
     asked = calls(spark, sf).select(F.col("call_id").alias("question_id"), F.concat_ws(" ", F.lit("Who are"), person_name(F.col("contact_id")), person_name(F.col("contact_id") + 1), F.lit("and"), person_name(F.lit(1)), F.lit("?")).alias("question"))
-    people = contact_cards(spark, sf).join(contacts(spark, sf).select("contact_id", person_name(F.col("contact_id")).alias("display_name"), (~F.col("is_owner")).cast("int").alias("place")), "contact_id")
+    people = contact_cards(spark, sf).hint("merge").join(contacts(spark, sf).select("contact_id", person_name(F.col("contact_id")).alias("display_name"), (~F.col("is_owner")).cast("int").alias("place")), "contact_id")
     return P.contact_hits(asked, people, "question_id", "question")

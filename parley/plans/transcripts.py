@@ -76,7 +76,7 @@ def markdown_export(spark, sf):
 @query(sql("SELECT contact_id, display_name || ', ' || org || '. ' || coalesce(n, 0) || ' calls' AS card FROM contacts LEFT JOIN (SELECT contact_id, count(*) AS n FROM calls GROUP BY 1) USING (contact_id)", CONTACTS, CALLS))
 def contact_cards(spark, sf):
     n = calls(spark, sf).groupBy("contact_id").agg(F.count(F.lit(1)).alias("n"))
-    return contacts(spark, sf).join(n, "contact_id", "left").select("contact_id", F.concat("display_name", F.lit(", "), "org", F.lit(". "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" calls")).alias("card"))
+    return contacts(spark, sf).hint("merge").join(n, "contact_id", "left").select("contact_id", F.concat("display_name", F.lit(", "), "org", F.lit(". "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" calls")).alias("card"))
 
 
 _ALIKE = """links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON list_dot_product(a.vec, b.vec) >= 0.75 * sqrt(list_dot_product(a.vec, a.vec)) * sqrt(list_dot_product(b.vec, b.vec)) - 1e-12),

@@ -27,3 +27,11 @@ def test_hints_meet_names_without_a_broadcast(spark):
         if met:
             want[q] = min(met)[1]
     assert {r.q: r.contact_id for r in found.collect()} == want
+
+
+def test_named_people_are_merged(spark):
+    asked = spark.createDataFrame([(1, "Who is Annie?"), (2, "bobbing and Anna"), (3, "an Bo"), (4, None)], "q long, question string")
+    people = spark.createDataFrame([(1, "Ann Lee", "a", 1), (2, "Bob", "b", 0), (3, "Anna", "c", 0), (4, "Bo", "d", 0)], "contact_id long, display_name string, card string, place int")
+    hits = processing.contact_hits(asked, people, "q", "question")
+    assert plan(hits).count("BroadcastHashJoin") == 1  # the bitmap
+    assert {(r.q, r.call_id) for r in hits.collect()} == {(1, "contact:1"), (2, "contact:3"), (2, "contact:1")}
