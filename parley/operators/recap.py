@@ -175,18 +175,18 @@ def cleaned(recaps: DataFrame, transcript: str, most: float = 0.7) -> DataFrame:
 def unlike_items(items: Column, most: float = 0.7) -> Column:
     """Items (text) that aren't `most` alike (Jaccard of words) to one kept before; items of one recap are few."""
     words = lambda t: F.array_distinct(F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != ""))
+    both = F.transform(items, lambda i: F.struct(i.alias("i"), words(i["text"]).alias("w")))
 
     def add(kept, item):
-        own = words(item["text"])
-
         def alike(k):
-            other = words(k["text"])
-            union = F.size(F.array_union(own, other))
-            return (union > 0) & (F.size(F.array_intersect(own, other)) >= most * union)
+            shared = F.size(F.array_intersect(item["w"], k["w"]))
+            union = F.size(item["w"]) + F.size(k["w"]) - shared
+            return (union > 0) & (shared >= most * union)
 
         return F.when(F.exists(kept, alike), kept).otherwise(F.array_append(kept, item))
 
-    return F.aggregate(items, F.slice(items, 1, 0), add)
+    kept = F.transform(F.array(both), lambda own: F.aggregate(own, F.slice(own, 1, 0), add))[0]  # words are split once
+    return F.transform(kept, lambda k: k["i"])
 
 
 def distinct_participants(people: Column) -> Column:

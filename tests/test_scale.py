@@ -35,3 +35,17 @@ def test_named_people_are_merged(spark):
     hits = processing.contact_hits(asked, people, "q", "question")
     assert plan(hits).count("BroadcastHashJoin") == 1  # the bitmap
     assert {(r.q, r.call_id) for r in hits.collect()} == {(1, "contact:1"), (2, "contact:3"), (2, "contact:1")}
+
+
+def test_cleaned_recaps_are_written_once(spark):
+    from parley.operators import recap
+
+    item = "array<struct<text:string,quote:string>>"
+    rows = [(1, "We ship on Monday", [("We ship on Monday", "ship on"), ("we SHIP on monday", None), (" ", None), ("Else", "none such at all")], None, [])]
+    recaps = spark.createDataFrame(rows, f"call_id long, whole string, action_items {item}, decisions {item}, open_questions {item}")
+    recaps = recaps.withColumn("participants", F.expr("cast(array() as array<struct<tag:string,name:string>>)"))
+    old = spark.createDataFrame([(1, 0, "old", None), (2, 0, "old", None)], "call_id long, place long, text string, quote string")
+    tables, _ = processing.persisted_lists({n: old for n in recap.LISTS}, recap.cleaned(recaps, "whole"))
+    assert "Python" not in plan(tables["action_items"])
+    assert {tuple(r) for r in tables["action_items"].collect()} == {(1, 0, "We ship on Monday", "ship on"), (1, 1, "Else", None), (2, 0, "old", None)}
+    assert {tuple(r) for r in tables["decisions"].collect()} == {(2, 0, "old", None)}
