@@ -57,7 +57,8 @@ _RECORDED = """r AS (SELECT user_id, event_id // 2000 AS part, list((value - 20)
 def _recorded(spark, sf):
     """The levels of each user in files of at most 2,000 samples: 16-bit PCM with one or two channels, and floats."""
     levels = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda r: (r["value"] - 20) / 40)
-    rows = failures(spark, sf).groupBy("user_id", F.floor(F.col("event_id") / 2000).alias("part")).agg(levels.alias("samples"))
+    parts = failures(spark, sf).withColumn("part", F.floor(F.col("event_id") / 2000))
+    rows = wav_ranges.dealt(parts, "user_id").groupBy("user_id", "part").agg(levels.alias("samples"))
     name = F.concat_ws("/", F.col("user_id").cast("string"), F.col("part").cast("string"))
     files = rows.select(name.alias("name"), F.lit(RATE).alias("rate"), F.when(F.col("user_id") % 3 == 1, 2).otherwise(1).alias("channels"), (F.col("user_id") % 3 == 2).alias("is_float"), "samples")
     folder = f"{shared_folder(spark)}/wavs-{uuid.uuid4().hex}"

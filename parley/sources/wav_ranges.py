@@ -1,23 +1,26 @@
 """WAV files by ranges of frames: the header is read first, then only the bytes that are asked for.
 
-Files are opened through pyarrow's file systems by URI, so driver and executors see the same shared storage. No task holds
-more than a range, however long a recording is.
+Files are opened through pyarrow's file systems by URI, so driver and executors see the same shared storage. Folders are
+listed and headers read in tasks; the driver sees neither. No task holds more than a range, however long a recording is.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as stores
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-#: Frames that a task reads, about.
+from ..operators.graph import stored
+
+#: Frames of a batch, about; files of more than twice as many bytes are long.
 TASK_FRAMES = 1 << 20
 RANGES = "path string, rate int, channels int, frames long, first long, samples array<float>"
 
@@ -35,11 +38,30 @@ class Wav:
         return self.channels * np.dtype(self.kind).itemsize
 
 
+@lru_cache(maxsize=1024)
+def _folder(uri: str):
+    return stores.FileSystem.from_uri(uri)
+
+
+def _located(uri: str):
+    """The file system and the path of a URI; that of a folder is looked up once for all its plainly named files."""
+    folder, _, name = uri.rpartition("/")
+    if folder.endswith(("/", ":")) or not re.fullmatch(r"[\w.-]+", name, re.ASCII):
+        return stores.FileSystem.from_uri(uri)
+    store, path = _folder(folder)
+    return store, f"{path.rstrip('/')}/{name}"
+
+
 def opened(uri: str):
-    store, path = stores.FileSystem.from_uri(uri)
+    store, path = _located(uri)
     return store.open_input_file(path)
 
 
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows in as many parts as keep all cores busy: files that are small in bytes still take their time."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by)
+
+
 def header(file) -> Wav:
     """What a file says of itself: 16-bit PCM or 32-bit floats of any number of channels. A recording that was never
     finished (no size, or more than there is) goes to the end of its file; other content raises ValueError."""
@@ -74,65 +96,81 @@ def frames_of(file, wav: Wav, first: int, n: int) -> np.ndarray:
     return (raw / np.float32(32768) if wav.kind == "<i2" else raw).mean(1, dtype=np.float32)
 
 
-@dataclass
-class _Ranges(InputPartition):
-    parts: list  # (uri, wav, first, n)
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.n = options["path"], int(options.get("frames", 1 << 20))
-        self.skip = str(options.get("skip_unreadable", "false")).lower() == "true"
-
-    def partitions(self):
-        store, path = stores.FileSystem.from_uri(self.path)
-        root = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else self.path.split("://")[0] + "://"
-        info = store.get_file_info(path)
-        files = [info] if info.type == stores.FileType.File else store.get_file_info(stores.FileSelector(path, recursive=True))
-        out, held = [], 0
-        for f in sorted((f for f in files if f.type == stores.FileType.File and f.path.lower().endswith(".wav")), key=lambda f: f.path):
-            try:
-                with store.open_input_file(f.path) as file:
-                    wav = header(file)
-            except (ValueError, OSError):
-                if not self.skip:
-                    raise
-                continue
-            for at in range(0, max(1, wav.frames), self.n):
-                # Short ranges share a task; a range counts as a thousand frames at least, for the opening of its file.
-                size = max(1000, min(self.n, wav.frames - at))
-                if not out or held + size > TASK_FRAMES:
-                    out.append(_Ranges([]))
-                    held = 0
-                out[-1].parts.append((root + f.path, wav, at, self.n))
-                held += size
-        return out or [_Ranges([])]
-
-    def read(self, task):
-        for uri, wav, first, n in task.parts:
-            with opened(uri) as file:
-                samples = frames_of(file, wav, first, n)
-            yield (uri, wav.rate, wav.channels, wav.frames, first, samples.tolist())
-
-
-class WavRanges(DataSource):
-    """spark.read.format("wav_ranges").load(uri): a row for each range of at most `frames` frames of each .wav file below
-    a URI. With skip_unreadable files that aren't WAV files are passed over; else they are an error."""
-
-    @classmethod
-    def name(cls):
-        return "wav_ranges"
-
-    def schema(self):
-        return RANGES
-
-    def reader(self, schema):
-        return _Reader(self.options)
+def _root(uri: str) -> str:
+    """What stands before a path of the URI's file system."""
+    _, path = stores.FileSystem.from_uri(uri)
+    return uri[: len(uri) - len(path)] if uri.endswith(path) else uri.split("://")[0] + "://"
+
+
+def _listed(spark: SparkSession, uri: str) -> DataFrame:
+    """path, size of each .wav file below a URI; the folders of a level are listed by as many tasks as there are cores."""
+    store, path = stores.FileSystem.from_uri(uri)
+    info, kind, root = store.get_file_info(path), "path string, size long, folder boolean", _root(uri)
+    if info.type == stores.FileType.File:
+        return spark.createDataFrame([(root + path, info.size)], "path string, size long")
+
+    def look(batches):
+        for batch in batches:
+            for own in batch.column("path").to_pylist():
+                at, inner = stores.FileSystem.from_uri(own)
+                found = at.get_file_info(stores.FileSelector(inner))
+                rows = [(root + f.path, f.size, f.type == stores.FileType.Directory) for f in found if f.type == stores.FileType.Directory or f.type == stores.FileType.File and f.path.lower().endswith(".wav")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], names=["path", "size", "folder"])
+
+    folders, levels = spark.createDataFrame([(root + path,)], "path string"), []
+    while not levels or not folders.isEmpty():
+        levels.append(stored(dealt(folders).mapInArrow(look, kind), "folders"))
+        folders = levels[-1].where("folder").select("path")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out.where("not folder").select("path", "size")
 
 
 def wav_ranges(spark: SparkSession, uri: str, frames: int = 1 << 20, skip_unreadable: bool = False) -> DataFrame:
-    spark.dataSource.register(WavRanges)
-    return spark.read.format("wav_ranges").option("frames", frames).option("skip_unreadable", skip_unreadable).load(uri)
+    """A row for each range of at most `frames` frames of each .wav file below a URI. With skip_unreadable files that
+    aren't WAV files are passed over; else they are an error. Short files are read by the task that opens them; the ranges
+    of long ones are dealt to tasks of their own."""
+    names = ["path", "rate", "channels", "frames", "first", "samples"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float32())]
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    def looked(path: str, read: bool) -> list[tuple]:
+        try:
+            with opened(path) as file:
+                wav = header(file)
+                starts = range(0, max(1, wav.frames), frames)
+                return [(path, wav.rate, wav.channels, wav.frames, at, frames_of(file, wav, at, frames) if read else None) for at in starts]
+        except (ValueError, OSError):
+            if not skip_unreadable:
+                raise
+            return []
+
+    def look(read: bool):
+        def run(batches):
+            for batch in batches:
+                rows, held = [], 0
+                for path in batch.column("path").to_pylist():
+                    for row in looked(path, read):
+                        rows.append(row)
+                        held += 0 if row[5] is None else len(row[5])
+                        if held >= TASK_FRAMES or len(rows) >= 10_000:
+                            yield table(rows)
+                            rows, held = [], 0
+                yield table(rows)
+
+        return run
+
+    def fetch(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in names[:5]), strict=True):
+                with opened(row[0]) as file:
+                    yield table([(*row, frames_of(file, header(file), row[4], frames))])
+
+    files = _listed(spark, uri)
+    short = dealt(files.where(F.col("size") <= 2 * TASK_FRAMES)).select("path").mapInArrow(look(True), RANGES)
+    long = dealt(files.where(F.col("size") > 2 * TASK_FRAMES)).select("path").mapInArrow(look(False), RANGES)
+    return short.unionByName(dealt(long).mapInArrow(fetch, RANGES))
 
 
 def slices(wanted: DataFrame) -> DataFrame:
@@ -141,17 +179,23 @@ def slices(wanted: DataFrame) -> DataFrame:
     kind = StructType([*wanted.schema.fields, *StructType.fromDDL("rate int, samples array<float>").fields])
 
     def read(batches):
+        now, file, wav = None, None, None
         for batch in batches:
             rates, samples = [], []
             for uri, start, end in zip(*(batch.column(c).to_pylist() for c in ("path", "start_sec", "end_sec")), strict=True):
                 if end < start:
                     raise ValueError(f"a slice of {uri} ends before it starts")
-                with opened(uri) as file:
-                    wav = header(file)
-                    first, last = (int(np.floor(min(max(0.0, x) * wav.rate, 2.0**62) + 0.5)) for x in (start, end))
-                    rates.append(wav.rate)
-                    samples.append(frames_of(file, wav, first, last - first))
+                if uri != now:  # slices of one file that follow each other open it once
+                    if file is not None:
+                        file.close()
+                    file = opened(uri)
+                    now, wav = uri, header(file)
+                first, last = (int(np.floor(min(max(0.0, x) * wav.rate, 2.0**62) + 0.5)) for x in (start, end))
+                rates.append(wav.rate)
+                samples.append(frames_of(file, wav, first, last - first))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates, pa.int32()), pa.array(samples, pa.list_(pa.float32()))], names=[*batch.schema.names, "rate", "samples"])
+        if file is not None:
+            file.close()
 
     return wanted.mapInArrow(read, kind)
 
@@ -185,6 +229,7 @@ def write_wavs(recordings: DataFrame, folder: str) -> DataFrame:
     written as files under a shared folder, each in the task that has it. A file that is there is written anew."""
 
     def write(batches):
+        made = None
         for batch in batches:
             paths, sizes = [], []
             for name, rate, channels, is_float, samples in zip(*(batch.column(c).to_pylist() for c in ("name", "rate", "channels", "is_float", "samples")), strict=True):
@@ -193,8 +238,9 @@ def write_wavs(recordings: DataFrame, folder: str) -> DataFrame:
                 data = x.astype("<f4").tobytes() if is_float else (np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()
                 width = 4 if is_float else 2
                 fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 3 if is_float else 1, channels, rate, rate * channels * width, channels * width, 8 * width)
-                store, path = stores.FileSystem.from_uri(f"{folder}/{name}.wav")
-                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                store, path = _located(f"{folder}/{name}.wav")
+                if made != (made := path.rsplit("/", 1)[0]):
+                    store.create_dir(made, recursive=True)
                 with store.open_output_stream(path) as out:
                     out.write(struct.pack("<4sI4s", b"RIFF", 36 + len(data), b"WAVE") + fmt + struct.pack("<4sI", b"data", len(data)) + data)
                 paths.append(f"{folder}/{name}.wav")

@@ -49,3 +49,15 @@ def test_cleaned_recaps_are_written_once(spark):
     assert "Python" not in plan(tables["action_items"])
     assert {tuple(r) for r in tables["action_items"].collect()} == {(1, 0, "We ship on Monday", "ship on"), (1, 1, "Else", None), (2, 0, "old", None)}
     assert {tuple(r) for r in tables["decisions"].collect()} == {(2, 0, "old", None)}
+
+
+def test_slices_of_a_folder_look_its_store_up_once(tmp_path):
+    from parley.sources import wav_ranges as W
+
+    W._folder.cache_clear()
+    for name in ("a.wav", "b.wav", "c d.wav"):
+        (tmp_path / name).write_bytes(b"x")
+    for name in ("a.wav", "b.wav", "a.wav", "c%20d.wav"):
+        with W.opened(f"file://{tmp_path}/{name}") as file:
+            assert file.read() == b"x"
+    assert W._folder.cache_info().misses == 1
