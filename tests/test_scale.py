@@ -61,3 +61,17 @@ def test_slices_of_a_folder_look_its_store_up_once(tmp_path):
         with W.opened(f"file://{tmp_path}/{name}") as file:
             assert file.read() == b"x"
     assert W._folder.cache_info().misses == 1
+
+
+def test_long_recordings_are_dealt_and_listed_in_tasks(spark, tmp_path, monkeypatch):
+    from parley.sources import wav_ranges as W
+
+    rows = [(f"{i}/deep/{n}", 8, 1, True, [float(x) for x in range(n)]) for i, n in ((1, 3), (2, 500), (2, 7))]
+    W.write_wavs(spark.createDataFrame(rows, "name string, rate int, channels int, is_float boolean, samples array<double>"), f"file://{tmp_path}").collect()
+    monkeypatch.setattr(W, "TASK_FRAMES", 200)  # the file of 500 frames is long
+    found = W.wav_ranges(spark, f"file://{tmp_path}", 60)
+    assert "Exchange" in plan(found)  # no listing of the driver's
+    got = {}
+    for r in found.orderBy("path", "first").collect():
+        got.setdefault(int(r.path.rsplit("/", 1)[1][:-4]), []).extend(r.samples)
+    assert {k: v == [float(x) for x in range(k)] for k, v in got.items()} == {3: True, 500: True, 7: True}
