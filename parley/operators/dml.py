@@ -39,10 +39,11 @@ def auto_bound(speakers: DataFrame, contacts: DataFrame, samples: DataFrame, lea
     least_score, and a contact who isn't the owner, consents and has enough samples."""
     enough = samples.groupBy(F.col("contact_id").alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_samples)
     able = contacts.where("NOT is_owner AND consents").select(F.col("contact_id").alias("c")).join(enough, "c").select("c", F.lit(True).alias("able"))
-    joined = speakers.join(able, F.col("suggestion_contact_id") == F.col("c"), "left")
-    sure = F.col("able") & F.col("contact_id").isNull() & ~F.col("confirmed") & (F.col("suggestion_score") >= least_score)
-    marked = joined.withColumn("auto_bound", F.coalesce(sure, F.lit(False)))
-    return updated(marked, F.col("auto_bound"), contact_id=F.col("suggestion_contact_id"), confirmed=F.lit(True)).drop("c", "able")
+    # Only rows that may be bound are joined: the others share a null suggestion and would meet in one task.
+    may = F.coalesce(F.col("contact_id").isNull() & ~F.col("confirmed") & (F.col("suggestion_score") >= least_score) & F.col("suggestion_contact_id").isNotNull(), F.lit(False))
+    joined = speakers.where(may).join(able, F.col("suggestion_contact_id") == F.col("c"), "left").withColumn("auto_bound", F.coalesce("able", F.lit(False))).drop("c", "able")
+    marked = joined.unionByName(speakers.where(~may).withColumn("auto_bound", F.lit(False)))
+    return updated(marked, F.col("auto_bound"), contact_id=F.col("suggestion_contact_id"), confirmed=F.lit(True))
 
 
 def write_version(table: DataFrame, folder: str, partition: str | None = None) -> str:

@@ -75,3 +75,17 @@ def test_long_recordings_are_dealt_and_listed_in_tasks(spark, tmp_path, monkeypa
     for r in found.orderBy("path", "first").collect():
         got.setdefault(int(r.path.rsplit("/", 1)[1][:-4]), []).extend(r.samples)
     assert {k: v == [float(x) for x in range(k)] for k, v in got.items()} == {3: True, 500: True, 7: True}
+
+
+def test_rows_without_a_contact_are_not_joined(spark):
+    from parley.operators import dml, people
+
+    contacts = spark.createDataFrame([(1, "Ann", "x", False, True), (2, "Bob", "y", False, False)], "contact_id long, display_name string, org string, is_owner boolean, consents boolean")
+    rows = [(1, "a", None, None, 0.9, False), (1, "b", None, 1, 0.9, False), (1, "c", 2, None, None, True), (1, "d", None, 2, 0.9, False), (1, "e", None, 1, 0.1, False), (2, "a", None, 1, None, None), (3, "a", 9, None, None, True)]
+    speakers = spark.createDataFrame(rows, "call_id long, speaker_tag string, contact_id long, suggestion_contact_id long, suggestion_score double, confirmed boolean")
+    bound = dml.auto_bound(speakers, contacts, spark.createDataFrame([(1,), (1,), (2,), (2,)], "contact_id long"), 0.7)
+    assert "isnotnull(suggestion_contact_id" in plan(bound)
+    assert {(r.call_id, r.speaker_tag, r.contact_id) for r in bound.where("auto_bound").collect()} == {(1, "b", 1)} and bound.count() == len(rows)
+    known = people.participants(speakers, contacts)
+    assert "isnotnull(contact_id" in plan(known)
+    assert {r.call_id: r.known for r in known.collect()} == {1: "- Bob (y)\nEveryone else is named by tag.", 2: None, 3: None}
