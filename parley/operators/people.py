@@ -74,7 +74,11 @@ def confirmed(speakers: DataFrame, commands: DataFrame, contacts: DataFrame, sam
 def participants(speakers: DataFrame, contacts: DataFrame) -> DataFrame:
     """call_id, known (lines of the distinct confirmed contacts, in order of appearance, and a note if others remain),
     names (map from tag to display name of the confirmed); known is null without confirmed ones."""
-    rows = speakers.join(contacts.select("contact_id", "display_name", "org"), "contact_id", "left")
+    # Only confirmed rows of a contact are joined: the others share a null contact and would meet in one task.
+    may = F.coalesce(F.col("confirmed") & F.col("contact_id").isNotNull(), F.lit(False))
+    slim = speakers.select("call_id", "speaker_tag", "contact_id", F.col("confirmed"))
+    none = F.lit(None).cast("string")
+    rows = slim.where(may).join(contacts.select("contact_id", "display_name", "org"), "contact_id", "left").unionByName(slim.where(~may).withColumns({"display_name": none, "org": none}))
     sure = F.col("confirmed") & F.col("display_name").isNotNull()
     person = F.struct("speaker_tag", "contact_id", F.concat(F.lit("- "), "display_name", F.coalesce(F.concat(F.lit(" ("), "org", F.lit(")")), F.lit(""))).alias("line"))
     found = rows.groupBy("call_id").agg(
