@@ -89,3 +89,21 @@ def test_rows_without_a_contact_are_not_joined(spark):
     known = people.participants(speakers, contacts)
     assert "isnotnull(contact_id" in plan(known)
     assert {r.call_id: r.known for r in known.collect()} == {1: "- Bob (y)\nEveryone else is named by tag.", 2: None, 3: None}
+
+
+def test_posting_blocks_are_built_in_more_tasks_with_more_zones(spark):
+    from parley.operators import lexical
+
+    texts = [None, "", "a b a"] + [f"word{i % 5} a x{i}" for i in range(40)]
+    passages = spark.createDataFrame(list(enumerate(texts)), "passage_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # runs go over batches
+    try:
+        made = lexical.blocks_of(passages, 3)
+        assert made.rdd.getNumPartitions() == 12
+        rows = made.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {(r.word, e.passage_id): (e.tf, e.dl) for r in rows for e in r.entries}
+    want = {(w, i): (t.split().count(w), len(t.split())) for i, t in enumerate(texts) if t for w in t.split()}
+    assert got == want and len({(r.word, r.zone) for r in rows}) == len(rows)
+    assert all(r.n == len(r.entries) and r.occurrences == sum(e.tf for e in r.entries) and r.head == r.word[:4] for r in rows)
