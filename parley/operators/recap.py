@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .graph import stored
 
@@ -123,16 +124,19 @@ def keep_unlike(rows: DataFrame, key: str, order: str, text: str, most: float =
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+"), lambda w: w != ""))
     own = stored(rows.select(key, order, text, words.alias("_w")).withColumn("_id", F.monotonically_increasing_id()))
     same = F.array_sort("_w")
-    nodes = stored(own.where(F.size("_w") > 0).groupBy(key, same.alias("_w")).agg(F.min(F.struct(order, text, F.col("_id").alias("id"))).alias("_at")))
-    met = nodes.select(key, F.col("_at.id").alias("id"), "_at", F.size("_w").alias("n"), F.explode("_w").alias("w"))
+    nodes = own.where(F.size("_w") > 0).groupBy(key, same.alias("_w")).agg(F.min(F.struct(order, text, F.col("_id").alias("id"))).alias("_at"))
+    # From here on rows go by their number within the key; texts and word lists meet only where a pair is verified.
+    nodes = stored(nodes.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("_at"))).select(key, "_w", "_i", F.col("_at.id").alias("_id")))
+    met = nodes.select(key, "_i", F.size("_w").alias("n"), F.explode("_w").alias("w"))
     counts = met.groupBy(key, "w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = met.join(counts, [key, "w"]).groupBy(key, "id", "n").agg(F.any_value("_at").alias("_at"), F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    first = ranked.select(key, "id", "n", "_at", F.explode(F.expr(f"slice(ws, 1, n - cast(ceil({most} * n - 1e-9) as int) + 1)")).alias("x")).where("x.df > 1").select(key, "id", "n", "_at", "x.w")
-    a, b = (first.select(key, "w", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "_at"))) for s in ("a", "b"))
-    near = a.join(b, [key, "w"]).where("_at_a < _at_b").where(f"least(n_a, n_b) >= {most} * greatest(n_a, n_b) - 1e-9").select("id_a", "id_b").distinct()
-    of = lambda s: nodes.select(F.col("_at.id").alias(f"id_{s}"), F.col("_w").alias(f"w_{s}"))
+    ranked = met.join(counts, [key, "w"]).groupBy(key, "_i", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    first = ranked.select(key, "_i", "n", F.posexplode(F.expr(f"slice(ws, 1, n - cast(ceil({most} * n - 1e-9) as int) + 1)")).alias("p", "x")).where("x.df > 1").select(key, "_i", "n", "p", "x.w")
+    a, b = (first.select(key, "w", *(F.col(c).alias(f"{c}_{s}") for c in ("_i", "n", "p"))) for s in ("a", "b"))
+    # At the first word that two sets share, no more than what follows it in either can be shared.
+    near = a.join(b, [key, "w"]).where("_i_a < _i_b").where(f"least(n_a - p_a, n_b - p_b) >= {most / (1 + most)} * (n_a + n_b) - 1e-9").select(key, "_i_a", "_i_b").distinct()
+    of = lambda s: nodes.select(key, F.col("_i").alias(f"_i_{s}"), F.col("_id").alias(f"id_{s}"), F.col("_w").alias(f"w_{s}"))
     both = F.size(F.array_intersect("w_a", "w_b"))
-    edges = near.join(of("a"), "id_a").join(of("b"), "id_b").where(both >= most * (F.size("w_a") + F.size("w_b") - both)).select("id_a", "id_b")
+    edges = near.join(of("a"), [key, "_i_a"]).join(of("b"), [key, "_i_b"]).where(both >= most * (F.size("w_a") + F.size("w_b") - both)).select("id_a", "id_b")
     edges, gone = stored(edges), None
     while not edges.isEmpty():
         later = edges.select(F.col("id_b").alias("id_a")).distinct()
@@ -140,7 +144,7 @@ def keep_unlike(rows: DataFrame, key: str, order: str, text: str, most: float =
         gone = drop if gone is None else gone.unionByName(drop)
         left = edges.join(drop.select(F.col("id").alias("id_b")), "id_b", "left_anti").join(drop.select(F.col("id").alias("id_a")), "id_a", "left_anti")
         edges = stored(left.join(later, "id_a", "left_semi"))
-    kept = nodes.select(F.col("_at.id").alias("_id"))
+    kept = nodes.select("_id")
     if gone is not None:
         kept = kept.join(gone.select(F.col("id").alias("_id")), "_id", "left_anti")
     joined = own.join(kept.withColumn("_kept", F.lit(True)), "_id", "left")

@@ -107,3 +107,16 @@ def test_posting_blocks_are_built_in_more_tasks_with_more_zones(spark):
     want = {(w, i): (t.split().count(w), len(t.split())) for i, t in enumerate(texts) if t for w in t.split()}
     assert got == want and len({(r.word, r.zone) for r in rows}) == len(rows)
     assert all(r.n == len(r.entries) and r.occurrences == sum(e.tf for e in r.entries) and r.head == r.word[:4] for r in rows)
+
+
+def test_words_of_turns_travel_without_their_texts(spark, monkeypatch):
+    """Near copies, equal words, null keys and texts; the words of a turn meet by its number."""
+    from parley.operators import recap
+
+    long = [" ".join(f"{'w' * 30}{i}x{j}" for j in range(400)) for i in range(40)]
+    rows = [("k", i, t) for i, t in enumerate(long)] + [("k", 50 + i, " ".join(t.split()[60:])) for i, t in enumerate(long[:3])] + [("q", 1, None), ("q", 2, ""), ("q", 3, "a a"), ("q", 3, "A"), (None, 1, "a"), (None, 2, "a")]
+    plans, write = [], recap.stored
+    monkeypatch.setattr(recap, "stored", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *a))[1])
+    got = recap.keep_unlike(spark.createDataFrame(rows, "k string, o long, t string"), "k", "o", "t").collect()
+    assert {(r.k, r.o, r.t) for r in got if not r.kept} == {("k", 50, rows[40][2]), ("k", 51, rows[41][2]), ("k", 52, rows[42][2]), ("q", 3, "a a"), (None, 2, "a")}
+    assert "_at" not in next(p for p in plans if "id_a" in p)  # no text beside a word
