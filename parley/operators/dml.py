@@ -11,13 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a task, about, where rows are dealt by key.
+TASK_ROWS = 200_000
+
+
+def tasks_for(rows: DataFrame) -> int:
+    """The number of tasks for rows, which should be cheap to count: it grows with them, and every core has one."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
+def dealt(rows: DataFrame, tasks: int, keys: list[str]) -> DataFrame:
+    """rows in so many tasks by key. What is grouped or joined by these keys afterwards isn't moved again, and no task
+    grows: without it a task first groups a whole split of a file, or what Spark puts together by its compressed size."""
+    return rows.repartition(tasks, *keys)
+
+
 def replaced(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The rows of every key that occurs in new give way to the new ones."""
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
 def upserted(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return table.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    return table.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
 def inserted_if_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

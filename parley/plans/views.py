@@ -77,11 +77,13 @@ def attributes_serialised(spark, sf):
 @query(sql("SELECT call_id, speaker_tag, CASE WHEN call_id % 3 = 0 THEN 'new' ELSE 'old' END AS cluster FROM (SELECT DISTINCT call_id, speaker_tag FROM speakers)", SPEAKERS))
 def clusters_written(spark, sf):
     """Cluster vectors written by call and tag; writes to speakers that don't exist change nothing."""
-    s = speakers(spark, sf).select("call_id", "speaker_tag").distinct().withColumn("cluster", F.lit("old"))
-    new = s.where("call_id % 3 = 0").withColumn("cluster", F.lit("new"))
-    stray = new.withColumn("speaker_tag", F.lit("speaker:99"))
-    known = new.unionByName(stray).join(s.select("call_id", "speaker_tag"), ["call_id", "speaker_tag"], "left_semi")
-    return dml.upserted(s, known, ["call_id", "speaker_tag"])
+    keys, rows = ["call_id", "speaker_tag"], speakers(spark, sf)
+    tasks = dml.tasks_for(rows)
+    s = dml.dealt(rows.select(*keys), tasks, keys).distinct()
+    new = s.where("call_id % 3 = 0")
+    written = dml.dealt(new.unionByName(new.withColumn("speaker_tag", F.lit("speaker:99"))), tasks, keys)
+    known = written.join(s.hint("merge"), keys, "left_semi").withColumn("cluster", F.lit("new"))
+    return dml.upserted(s.withColumn("cluster", F.lit("old")).hint("merge"), known, keys)
 
 
 @query(sql("SELECT conv_id, CASE WHEN conv_id % 4 = 0 THEN 'No transcript for call ' || conv_id || '.' ELSE md5(string_agg('**' || CASE WHEN speaker = 'user' AND conv_id % 2 = 1 THEN 'Ann' ELSE speaker END || '** [' || (start_sec // 60) || ':' || lpad((start_sec % 60)::VARCHAR, 2, '0') || ']: ' || text, chr(10) ORDER BY turn, text)) END AS transcript FROM turns WHERE NOT contains(text, chr(10)) GROUP BY conv_id", TURNS).replace(" WHERE NOT contains(text, chr(10))", ""))

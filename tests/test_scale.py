@@ -1,6 +1,7 @@
 """Steps that must not grow with the tables: what goes through the driver, hot tasks and memory of a task."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,17 @@ def test_words_of_turns_travel_without_their_texts(spark, monkeypatch):
     got = recap.keep_unlike(spark.createDataFrame(rows, "k string, o long, t string"), "k", "o", "t").collect()
     assert {(r.k, r.o, r.t) for r in got if not r.kept} == {("k", 50, rows[40][2]), ("k", 51, rows[41][2]), ("k", 52, rows[42][2]), ("q", 3, "a a"), (None, 2, "a")}
     assert "_at" not in next(p for p in plans if "id_a" in p)  # no text beside a word
+
+
+@pytest.mark.parametrize("name", ["clusters_written", "chunk_recovery", "chunk_transitions"])
+def test_rows_are_dealt_before_they_are_grouped(spark, sf_dir, monkeypatch, name):
+    """The number of tasks grows with line items, and nothing is grouped or sorted in tasks that Spark sizes by itself."""
+    from parley.operators import dml
+    from parley.plans import registry
+
+    monkeypatch.setattr(dml, "TASK_ROWS", 100)
+    tasks = dml.tasks_for(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    ran = plan(registry.queries()[name](spark, sf_dir))
+    assert tasks >= 50 and f", {tasks}), REPARTITION_BY_NUM" in ran
+    if name != "chunk_transitions":
+        assert set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", ran)) == {str(tasks)} and "BroadcastExchange" not in ran
