@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import models, questions
-from ..operators import answers, folds
+from ..operators import answers, dml, folds
 from ..operators.graph import shared_folder
 from ..sources.tables import CALLS, CONTACTS, SPEAKERS, TURNS, calls, contacts, speakers, sql, table, turns
 from ..streaming import chunks, ledger, machines, sessions
@@ -144,7 +144,8 @@ def adaptive_windows(spark, sf):
 def _chunks(spark, sf):
     li = table(spark, sf, "lineitem")
     status = F.when(F.col("l_returnflag") == "A", "done").when(F.col("l_returnflag") == "R", "failed").when(F.col("l_linestatus") == "F", "processing").otherwise("pending")
-    return li.select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("chunk_idx"), status.alias("status")).groupBy("call_id", "chunk_idx").agg(F.min("status").alias("status"))
+    rows = li.select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("chunk_idx"), status.alias("status"))
+    return dml.dealt(rows, dml.tasks_for(li), ["call_id", "chunk_idx"]).groupBy("call_id", "chunk_idx").agg(F.min("status").alias("status"))
 
 
 _CHUNKS = """chunks AS (SELECT l_orderkey AS call_id, l_linenumber AS chunk_idx, min(CASE WHEN l_returnflag = 'A' THEN 'done' WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'F' THEN 'processing' ELSE 'pending' END) AS status FROM lineitem GROUP BY ALL)"""

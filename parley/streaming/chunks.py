@@ -24,7 +24,7 @@ def applied(chunks: DataFrame, events: DataFrame) -> DataFrame:
 def recovered(chunks: DataFrame, files: DataFrame) -> DataFrame:
     """Chunks that only exist as files become pending rows; finished ones stay; others are pending again."""
     known = chunks.withColumn("status", F.when(F.col("status") == "done", "done").otherwise("pending"))
-    missing = files.join(chunks.select("call_id", "chunk_idx"), ["call_id", "chunk_idx"], "left_anti")
+    missing = files.join(chunks.select("call_id", "chunk_idx").hint("merge"), ["call_id", "chunk_idx"], "left_anti")
     return known.unionByName(missing.select("call_id", "chunk_idx", F.lit("pending").alias("status")))
 
 
