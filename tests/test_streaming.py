@@ -132,6 +132,30 @@ def test_events_once(spark, tmp_path):
     assert {(r.call_id, r.chunk_idx): (r.status, r.accepted, r.refused) for r in rows} == {(1, 0): ("done", 2, 1), (2, 0): ("processing", 1, 1), (1, 1): ("processing", 3, 0), (3, 5): ("pending", 0, 1), (9, 9): ("done", 0, 0)}
 
 
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_transitions_against_a_plain_fold(spark, monkeypatch, batch):
+    """Odd statuses and events, null keys and orders, chunks over many batches; no row is gone through in Python."""
+    rnd = random.Random(batch)
+    keys = [(None, 1), (1, None), (1, 1), *((i, 0) for i in range(2, 30))]
+    own = [(*k, rnd.choice([None, "", "odd", *ledger.STATES])) for k in keys[::2]]
+    told = [(*k, rnd.choice([None, 1, 2, i]), rnd.choice(["process", "done", "fail", "retry", "what", "", None])) for k in keys for i in range(rnd.choice([0, 1, 3, 40]))]
+    want = {}
+    for k in {x[:2] for x in own} | {x[:2] for x in told if x[3] is not None}:
+        status, good, bad = next((x[2] for x in own if x[:2] == k), None), 0, 0
+        for _, _, _, event in sorted((x for x in told if x[:2] == k and x[3] is not None), key=lambda x: (x[2] is not None, x[2] or 0, x[3])):
+            sources, target = chunks.TRANSITIONS.get(event, ((), None))
+            ok = (status or "pending") in sources
+            status, good, bad = target if ok else status or "pending", good + ok, bad + (not ok)
+        want[k] = (status, good, bad)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = ledger.transitions(spark.createDataFrame(own, "call_id long, chunk_idx long, status string"), spark.createDataFrame(told, "call_id long, chunk_idx long, order long, event string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {(r.call_id, r.chunk_idx): (r.status, r.accepted, r.refused) for r in got} == want
+    assert not hasattr(ledger, "in_order")
+
+
 def test_backfill(spark):
     rows = [(i, f"text {i}") for i in range(25)]
     passages = spark.createDataFrame(rows, "passage_id long, text string")
