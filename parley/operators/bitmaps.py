@@ -18,10 +18,13 @@ def fresh(df: DataFrame, name: str) -> str:
 MOST_BITS = 27
 
 
+def _bits(rows: int) -> int:
+    return min(MOST_BITS, max(15, (16 * max(1, rows)).bit_length()))
+
+
 def _place(value: Column, rows: int) -> Column:
     """A place from 1 to the bits of the bitmap for so many rows."""
-    bits = min(MOST_BITS, max(15, (16 * max(1, rows)).bit_length()))
-    return F.pmod(value, F.lit(1 << bits)) + 1
+    return F.pmod(value, F.lit(1 << _bits(rows))) + 1
 
 
 def row_bitmap(hashes: DataFrame, column: str, rows: int) -> DataFrame:
@@ -33,6 +36,14 @@ def row_bitmap(hashes: DataFrame, column: str, rows: int) -> DataFrame:
     return place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
 
 
+def bitmap_bytes(bitmap: DataFrame, rows: int) -> bytes:
+    """A row_bitmap() in one piece (16 MB at most): the bit of a hash h is bit h mod 8 of byte (h mod bits) / 8."""
+    out = bytearray(1 << (_bits(rows) - 3))
+    for r in bitmap.toLocalIterator():
+        out[(r.bucket - 1) * 4096 : (r.bucket - 1) * 4096 + len(r.bits)] = r.bits
+    return bytes(out)
+
+
 def in_bitmap(df: DataFrame, hash_: Column, bitmap: DataFrame, rows: int, name: str) -> DataFrame:
     """df with the boolean column `name`: whether the hash of the row is in the bitmap (which is broadcast: 16 MB at most)."""
     at, bucket, bits = (fresh(df, x) for x in ("bit_at", "bit_bucket", "bit_set"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.text import squeezed
-from .bitmaps import in_bitmap, row_bitmap
+from .bitmaps import bitmap_bytes, in_bitmap, row_bitmap
 from .graph import stored
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,26 +46,64 @@ def retrieval_metrics(results: DataFrame, relevant: DataFrame, k: int) -> DataFr
 
 #: Words of an item under which it meets passages.
 GRAM = 5
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _runs(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a batch (hs: hashes of words) and the hashes of their runs of n words."""
+    lists = batch.column("hs")
+    lengths, words = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten().to_numpy().view(np.uint64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.flatnonzero(np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words)) >= n)
+    run = np.full(len(at), n, dtype=np.uint64)
+    for k in range(n):
+        run = (run ^ words[at + k]) * _FACTOR
+        run ^= run >> np.uint64(29)
+    return row[at], run
+
+
+def _keys(batches):
+    """item_id, item, h of items (and n): the least hash of a run of n words."""
+    for batch in batches:
+        least = np.full(batch.num_rows, np.iinfo(np.int64).max)
+        own = batch.column("n").to_numpy()
+        for n in np.unique(own):
+            row, run = _runs(batch, int(n))
+            mine = own[row] == n
+            np.minimum.at(least, row[mine], run[mine].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("item"), pa.array(least)], names=["item_id", "item", "h"])
 
 
 def occurrences(passages: DataFrame, items: DataFrame) -> DataFrame:
     """item_id, passage_id: the passages in which the words of an item (lower-cased) stand in a row, as whole words.
 
     An item meets passages under one run of GRAM of its words, or under all of them if it has fewer; a bitmap of these
-    runs keeps other runs from being moved. What met is verified on the texts. Items without words occur nowhere.
+    runs (16 MB at most) leaves out other runs where they are made. What met is verified on the texts. Items without
+    words occur nowhere.
     """
     split = lambda: F.filter(F.split(squeezed(F.col("text")), " "), lambda w: w != "")
-    run = lambda ws, n: f"transform(sequence(0, size({ws}) - {n}), i -> xxhash64({n}, array_join(slice({ws}, i + 1, {n}), ' ')))"
-    own = stored(items.select("item_id", F.concat(F.lit(" "), F.array_join(split(), " "), F.lit(" ")).alias("item"), split().alias("w"), F.least(F.lit(GRAM), F.size(split())).alias("n")).where("n > 0"))
+    hashes = lambda ws: F.transform(ws, lambda w: F.xxhash64(w)).alias("hs")
+    own = items.select("item_id", F.concat(F.lit(" "), F.array_join(split(), " "), F.lit(" ")).alias("item"), hashes(split()))
+    own = stored(own.withColumn("n", F.least(F.lit(GRAM), F.size("hs"))).where("n > 0"))
     lengths = [r.n for r in own.select("n").distinct().collect()]  # GRAM at most
     if not lengths:
         return passages.select(F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), "passage_id").where(F.lit(False))
-    key = F.coalesce(*(F.when(F.col("n") == n, F.array_min(F.expr(run("w", n)))) for n in lengths))
-    keys = stored(own.select("item_id", "item", key.alias("h")))
-    runs = F.concat(*(F.when(F.size("w") >= n, F.expr(run("w", n))).otherwise(F.array().cast("array<bigint>")) for n in lengths))
+    keys = stored(own.mapInArrow(_keys, StructType([own.schema["item_id"], own.schema["item"], StructField("h", LongType())])))
     rows = keys.count()
-    told = passages.select("passage_id", split().alias("w")).select("passage_id", F.explode(F.array_distinct(runs)).alias("h"))
-    met = in_bitmap(told, F.col("h"), row_bitmap(keys, "h", rows), rows, "known").where("known").join(keys.select("item_id", "h"), "h")
+    known = passages.sparkSession.sparkContext.broadcast(bitmap_bytes(row_bitmap(keys, "h", rows), rows))
+
+    def told(batches):
+        bits = np.frombuffer(known.value, dtype=np.uint8)
+        for batch in batches:
+            found = [_runs(batch, n) for n in lengths]
+            row, run = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            place = run & np.uint64(8 * len(bits) - 1)
+            met = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            h, order = run[met].view(np.int64), row[met]
+            yield pa.RecordBatch.from_arrays([batch.column("passage_id").take(pa.array(order)), pa.array(h)], names=["passage_id", "h"])
+
+    runs = passages.select("passage_id", hashes(split())).mapInArrow(told, StructType([passages.schema["passage_id"], StructField("h", LongType())]))
+    met = runs.join(keys.select("item_id", "h"), "h")
     pairs = stored(met.select("item_id", "passage_id").distinct())
     found = row_bitmap(pairs.select(F.xxhash64("passage_id").alias("h")), "h", rows)
     texts = in_bitmap(passages.select("passage_id", "text"), F.xxhash64("passage_id"), found, rows, "met").where("met")

@@ -135,3 +135,22 @@ def test_rows_are_dealt_before_they_are_grouped(spark, sf_dir, monkeypatch, name
     assert tasks >= 50 and f", {tasks}), REPARTITION_BY_NUM" in ran
     if name != "chunk_transitions":
         assert set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", ran)) == {str(tasks)} and "BroadcastExchange" not in ran
+
+
+def test_unknown_runs_of_words_leave_no_rows(spark, monkeypatch):
+    """Runs of words are made and held against the bitmap in batches, not as rows; over small batches, null and long texts."""
+    from parley.operators import search
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 3, 60]))) for _ in range(80)] + [None]
+    items = [" ".join(rng.choice("abcd") for _ in range(rng.choice([0, 1, 2, 4, 5, 6, 9]))) for _ in range(60)] + [None]
+    plans, write = [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *a))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = search.occurrences(spark.createDataFrame(list(enumerate(texts)), "passage_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(i, p) for i, item in enumerate(items) if item for p, t in enumerate(texts) if t and f" {item} " in f" {t} "}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
+    assert not any("Generate" in p for p in plans)
