@@ -154,3 +154,23 @@ def test_unknown_runs_of_words_leave_no_rows(spark, monkeypatch):
     want = {(i, p) for i, item in enumerate(items) if item for p, t in enumerate(texts) if t and f" {item} " in f" {t} "}
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
     assert not any("Generate" in p for p in plans)
+
+
+def test_search_moves_an_index_once_and_leaves_no_tables(spark, sf_dir, monkeypatch):
+    """Words of passages move as one string; 100,000 passes are one deal; what a search wrote goes with its result."""
+    from pathlib import Path
+
+    from parley.operators import graph, lexical
+    from parley.plans import registry
+    from parley.plans import search as plans
+
+    moved = lexical.blocks_of(spark.createDataFrame([(1, "a b")], "passage_id long, text string"), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS packed" in moved.split("RepartitionByExpression")[1] and "AS starts" not in moved.split("RepartitionByExpression")[1]
+    assert lexical.QUESTIONS > 100_000 >= lexical.ASKED_AT_ONCE
+    plans.passage_index(spark, sf_dir)
+    at = Path(graph.shared_folder(spark).removeprefix("file://"))
+    before = {f.name for f in at.iterdir()}
+    whole = sorted(map(tuple, registry.queries()["search_questions"](spark, sf_dir).collect()))
+    assert not [f.name for f in at.iterdir() if f.name not in before and f.name.split("-")[0] in ("term", "bounds", "wanted", "first")]
+    monkeypatch.setattr(lexical, "ASKED_AT_ONCE", 3)
+    assert sorted(map(tuple, registry.queries()["search_questions"](spark, sf_dir).collect())) == whole
