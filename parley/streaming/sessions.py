@@ -7,8 +7,11 @@ until the watermark has passed it, so late rows take their place whatever batch
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,12 @@ from ..operators.folds import Fold, in_order
 #: Kinds of event, in the order in which those of one time count.
 KINDS = ("pause", "resume", "snooze", "level")
 EVENTS = "key long, ts_ms long, kind int, value double"
+#: Columns of a stream's held events and how they are packed, and rows of a pack at most.
+HELD = {"key": "int64", "ts_ms": "int64", "kind": "int32", "value": "float64"}
+PART = 10_000
+#: Keys of a stream are dealt to this many lanes, as Spark calls a processor, with several messages, per group and batch.
+#: Null keys have one of their own. A stream that goes on from a checkpoint must keep the number.
+LANES = 4096
 
 
 @dataclass(frozen=True)
@@ -164,7 +173,8 @@ class _Stored(Fold):
 
 
 class _Streamed(StatefulProcessor):
-    """Events held until the watermark has passed them, and the machine's state as JSON."""
+    """The machines of a lane of keys: events are held, packed, until the watermark has passed them; the state of each
+    machine is JSON under its key. A lane has one timer, for its next event or the end of its next idle recording."""
 
     def __init__(self, machine, rules, idle_ms):
         self.machine, self.rules, self.idle_ms = machine, rules, idle_ms
@@ -172,40 +182,69 @@ class _Streamed(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.held = handle.getListState("held", "ts_ms long, kind int, value double")
-        self.state = handle.getValueState("state", "json string")
+        self.held = handle.getListState("held", ", ".join(f"{c} binary" for c in HELD))
+        self.state = handle.getMapState("state", "key long", "json string")
+        self.open = handle.getValueState("open", "key binary, last binary")  # the last events, where recordings end by being idle
+
+    def hold(self, events: pd.DataFrame) -> None:
+        self.held.appendList([tuple(events[c].astype(kind).to_numpy().tobytes() for c, kind in HELD.items())])
 
     def handleInputRows(self, key, rows, timerValues):
         least = None
         for part in rows:
-            told = [(int(t), int(k), None if pd.isna(v) else float(v)) for t, k, v in zip(part["ts_ms"], part["kind"], part["value"], strict=True)]
-            self.held.appendList(told)
-            first = min((t[0] for t in told), default=None)
-            least = first if least is None or first is not None and first < least else least
-        if least is not None:
+            if len(part):
+                self.hold(part)
+                first = int(part["ts_ms"].min())
+                least = first if least is None else min(least, first)
+        timers = list(self.handle.listTimers())
+        if least is not None and (not timers or least < min(timers)):
+            for at in timers:
+                self.handle.deleteTimer(at)
             self.handle.registerTimer(least)
-        yield pd.DataFrame(columns=self.columns)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.held.get(), key=lambda e: (e[0], e[1], e[2] is not None, e[2] or 0.0)) if self.held.exists() else []
-        ready, later = [e for e in held if e[0] <= now], [e for e in held if e[0] > now]
-        machine = self.machine(self.rules)
-        if self.state.exists():
-            machine = self.machine(self.rules, **json.loads(self.state.get()[0]))
-        out = [row for e in ready for row in machine.event(*e)]
-        if self.idle_ms is not None and machine.last is not None and not later and now - machine.last > self.idle_ms:
-            out += machine.end()
-        state = asdict(machine)
-        del state["rules"]
-        self.state.update((json.dumps(state),))
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        last = {}
+        if self.idle_ms is not None and self.open.exists():
+            last = dict(zip(*(np.frombuffer(x, "int64").tolist() for x in self.open.get()), strict=True))
+        parts = [pd.DataFrame({c: np.frombuffer(x, kind) for (c, kind), x in zip(HELD.items(), part, strict=True)}) for part in self.held.get()] if self.held.exists() else []
+        held = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=list(HELD))
+        ready, later = held[held["ts_ms"] <= now], held[held["ts_ms"] > now]
+        ready = ready.sort_values(["key", "ts_ms", "kind", "value"], na_position="first")
+        values = (None if v != v else v for v in ready["value"].tolist())
+        events = zip(ready["key"].tolist(), ready["ts_ms"].tolist(), ready["kind"].tolist(), values, strict=True)
+        known = self.state.exists()
+
+        def passed(own, told):
+            state = self.state.getValue((own,)) if known else None
+            machine = self.machine(self.rules, **json.loads(state[0])) if state else self.machine(self.rules)
+            rows = [row for e in told for row in machine.event(*e[1:])]
+            if self.idle_ms is not None and machine.last is not None and now - machine.last > self.idle_ms:
+                rows += machine.end()
+            if machine.last is None:
+                self.state.removeKey((own,))
+                last.pop(own, None)
+            else:
+                self.state.updateValue((own,), (json.dumps({k: v for k, v in vars(machine).items() if k != "rules"}),))
+                last[own] = machine.last
+            out.extend((own if key[0] >= 0 else None, *row) for row in rows)
+
+        for own, told in groupby(events, itemgetter(0)):
+            passed(own, told)
         self.held.clear()
-        if later:
-            self.held.put(later)
-            self.handle.registerTimer(later[0][0])
-        elif self.idle_ms is not None and machine.last is not None:
-            self.handle.registerTimer(machine.last + self.idle_ms + 1)
-        yield pd.DataFrame([(key[0], *row) for row in out], columns=self.columns)
+        for i in range(0, len(later), PART):
+            self.hold(later[i : i + PART])
+        due = [int(later["ts_ms"].min())] if len(later) else []
+        if self.idle_ms is not None:
+            for own in [k for k, at in last.items() if now - at > self.idle_ms]:
+                passed(own, ())
+            self.open.update(tuple(np.array(x, "int64").tobytes() for x in (list(last), list(last.values()))))
+            due += [at + self.idle_ms + 1 for at in last.values()]
+        if due:
+            self.handle.registerTimer(min(due))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
 
     def close(self):
         pass
@@ -216,7 +255,9 @@ def _signals(events: DataFrame, machine, rules, idle_ms=None) -> DataFrame:
     if not events.isStreaming:
         return in_order(events.select("key", "ts_ms", "kind", "value"), ["ts_ms", "kind", "value"], _Stored, schema, machine, rules)
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return events.groupBy("key").transformWithStateInPandas(_Streamed(machine, rules, idle_ms), StructType.fromDDL(schema), "Append", "EventTime")
+    lane = F.when(F.col("key").isNull(), -1).otherwise(F.pmod(F.xxhash64("key"), F.lit(LANES))).alias("lane")
+    dealt = events.select(lane, F.coalesce("key", F.lit(0)).alias("key"), "ts_ms", "kind", "value", "ts")
+    return dealt.groupBy("lane").transformWithStateInPandas(_Streamed(machine, rules, idle_ms), StructType.fromDDL(schema), "Append", "EventTime")
 
 
 def events_of(levels: DataFrame, controls: DataFrame, late: str = "1 hour") -> DataFrame:

@@ -1,5 +1,6 @@
 """Streams against their stored twins over shuffled micro-batches, and against plain machines."""
 
+import json
 import random
 
 import pytest
@@ -54,6 +55,23 @@ def test_stream_equals_stored(spark, tmp_path, machine, rules):
     assert sorted(tuple(r) for r in got.where("key >= 0").collect()) == want and len(want) > 8
 
 
+@pytest.mark.parametrize("machine,rules", [(sessions.watched, RULES), (sessions.recording_chunks, CUTS)])
+def test_keys_share_lanes(spark, tmp_path, monkeypatch, machine, rules):
+    """Many keys, a null one and one over several packs among them, in few lanes; timers and calls don't grow with keys."""
+    monkeypatch.setattr(sessions, "LANES", 5, raising=False)
+    monkeypatch.setattr(sessions, "PART", 7, raising=False)
+    rows = [(None if r[0] == 3 else r[0] * (10**16 + 1), *r[1:]) for r in some_events(11, keys=80, n=60)]
+    stored = spark.createDataFrame(rows, "key long, ts_ms long, kind string, value double")
+    want = sorted(map(tuple, machine(sessions.events_of(*split(stored)), rules).collect()), key=str)
+    stream = machine(sessions.events_of(*split(replayed(spark, rows, f"{tmp_path}/in", 12, 30_000)), late="30 seconds"), rules)
+    run = stream.writeStream.format("memory").queryName(machine.__name__).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    timers = [json.loads(p.json)["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in run.recentProgress]
+    assert 0 < max(timers) <= 2 * (5 + 1)  # a lane's next one and the one that replaced it
+    got = spark.table(machine.__name__).where("key is null or key >= 0").collect()
+    assert sorted(map(tuple, got), key=str) == want and len(want) > 80 and any(r[0] is None for r in want)
+
+
 def brute_watch(rows, rules):
     out = []
     for key in {r[0] for r in rows}:
