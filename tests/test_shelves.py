@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parley.operators import lexical
+from parley.operators import hybrid, lexical, vectors
 
 from .test_search import PASSAGES, asked, brute_search, found, some_passages
 
@@ -27,6 +27,20 @@ def test_no_rows_between_questions_and_zones_are_written(spark, monkeypatch):
     assert sum(rows["many", "written"]) <= sum(rows["few", "written"]) + 9 * passes
 
 
+def test_texts_are_moved_after_ranks(spark):
+    rows = some_passages(40)
+    passages = spark.createDataFrame(rows, PASSAGES)
+    q = asked(spark).withColumn("vec", F.lit(None).cast("array<double>"))
+    got = hybrid.hybrid(lexical.build_index(passages), passages, q, None)
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    top = next(i for i, line in enumerate(lines) if "Window" in line)
+    below = [line for line in lines[top:] if line]
+    below = below[: next((i for i, line in enumerate(below[1:], 1) if depth(line) <= depth(below[0])), len(below))]
+    assert len(below) > 3 and not [line for line in below if "text#" in line.split("LogicalRDD")[0] and "Project" in line]
+    assert got.count()
+
+
 @pytest.mark.parametrize("n", [1, 3, 12, 40])
 def test_the_best_of_many_ties(n):
     rnd = np.random.default_rng(n)
@@ -40,6 +54,10 @@ def test_the_best_of_many_ties(n):
             want = [i for i in np.lexsort((np.arange(rows), -rounded)) if score[i] > 0][:n]
             places = lexical._best(padded, n) if rows else np.zeros(0, dtype=np.int64)
             assert [int(x) for x in places[np.argsort(-rounded[places], kind="stable")[:n]]] == want
+            both = np.stack([np.where(score > 0, score, -np.inf), np.full(rows, -np.inf)]) if rows else np.zeros((2, 0))
+            at, columns = vectors._candidates(both, n)
+            want = [i for i in np.lexsort((np.arange(rows), -np.round(score, 12))) if score[i] > 0][:n]
+            assert set(want) <= set(columns[at == 0].tolist()) and not (at == 1).any()
 
 
 def test_scopes_are_exact_beyond_floats(spark):
