@@ -55,7 +55,7 @@ _RECORDED = """r AS (SELECT user_id, event_id // 2000 AS part, list((value - 20)
 
 
 def _recorded(spark, sf):
-    """The levels of each user in files of at most 2,000 samples: 16-bit PCM with one or two channels, and floats."""
+    """The levels of each user in WAV files of at most 2,000 samples, in packs: 16-bit PCM with one or two channels, and floats."""
     levels = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda r: (r["value"] - 20) / 40)
     parts = failures(spark, sf).withColumn("part", F.floor(F.col("event_id") / 2000))
     rows = wav_ranges.dealt(parts, "user_id").groupBy("user_id", "part").agg(levels.alias("samples"))
