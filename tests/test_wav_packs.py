@@ -1,6 +1,8 @@
 """Recordings in packs against the samples they were made of."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from parley.sources import wav_ranges as W
 
@@ -28,3 +30,19 @@ def test_recordings_are_packed(spark, tmp_path):
     for r in W.slices(wanted).collect():
         a, b = (int(min(x, 1e6) * 100 + 0.5) for x in (r.start_sec, r.end_sec))
         assert np.allclose(r.samples, made[named(r.path)][a:b], atol=1e-6)
+
+
+def test_packs_with_long_and_broken_recordings(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    long = np.linspace(-1, 1, W.TASK_FRAMES + 5_000)
+    rows = [("a", 100, 1, False, [0.5, 0.25]), ("b", 100, 1, False, long.tolist()), ("c", 100, 1, False, [-0.5])]
+    kind = "name string, rate int, channels int, is_float boolean, samples array<double>"
+    assert W.write_wavs(spark.createDataFrame(rows, kind).coalesce(1), folder).count() == 3
+    assert len(list(tmp_path.glob("*.wavs"))) == 3  # a long recording stands alone
+    ranges = W.wav_ranges(spark, folder, 1 << 19).select("path", "first", F.size("samples").alias("n")).collect()
+    assert sorted((r.path[-5:], r["first"], r.n) for r in ranges) == [("a.wav", 0, 2), ("b.wav", 0, 1 << 19), ("b.wav", 1 << 19, 1 << 19), ("b.wav", 1 << 20, 5_000), ("c.wav", 0, 1)]
+    first = sorted(tmp_path.glob("*.wavs"))[0]
+    first.write_bytes(first.read_bytes()[:-1])
+    with pytest.raises(Exception, match="ends within a recording"):
+        W.wav_ranges(spark, folder).collect()
+    assert {r.path[-5:] for r in W.wav_ranges(spark, folder, skip_unreadable=True).collect()} == {"b.wav", "c.wav"}
